@@ -125,93 +125,89 @@ def first_grammar_rev(view: DataFrame, order: str) -> DataFrame:
     return view.agg(F.min_by("grammar_rev", F.when(F.col("grammar_rev").isNotNull(), F.col(order))).alias("grammar_rev"))
 
 
-def profile(view: DataFrame, contract: Contract) -> DataFrame:
-    """All statistics as one row.
+def profile_long(view: DataFrame, contract: Contract) -> DataFrame:
+    """All statistics in tidy form: ``(stat, key, subkey, value)``.
 
     Everything that needs no key is one aggregation over one scan. The id count shuffles ids
-    alone, and the keyed statistics shuffle their partial counts. The parts are single rows, so
-    the cross joins that put them side by side join one row with one row.
+    alone; the keyed statistics shuffle partial counts. Tasks and labels come from the same
+    grouped counts, so their shuffle is shared.
     """
     total = F.count(F.lit(1))
-    fields = F.create_map(
-        *[x for i, f in enumerate(contract.required_fields) for x in (F.lit(f), _rate(F.count_if(F.col("fields")[i]), total))]
-    ) if contract.required_fields else F.create_map().cast("map<string,double>")
-    meta = F.create_map(
-        *[x for i, f in enumerate(contract.meta_required) for x in (F.lit(f), _rate(F.count_if(F.col("meta_fields")[i]), total))]
-    ) if contract.meta_required else F.create_map().cast("map<string,double>")
     scalars = view.agg(
         total.alias("rows_total"),
-        fields.alias("field_coverage"),
-        meta.alias("meta_field_coverage"),
         _rate(F.count_if("noisy"), total).alias("noise_rate"),
+        *[_rate(F.count_if(F.col("fields")[i]), total).alias(f"f{i}") for i in range(len(contract.required_fields))],
+        *[_rate(F.count_if(F.col("meta_fields")[i]), total).alias(f"m{i}") for i in range(len(contract.meta_required))],
         *_length_sums(F.col("texts")),
-    ).select(
-        "rows_total",
-        "field_coverage",
-        "meta_field_coverage",
-        "noise_rate",
-        F.struct(*_length_stats()).alias("text_length"),
-    )
-    tasks = task_distribution(view).agg(
-        _as_map(F.coalesce("task_type", F.lit("null")), F.col("n")).alias("task_distribution")
-    )
-    labels = (
-        label_distribution(view)
-        .groupBy("task_type")
-        .agg(_as_map(F.col("task_label"), F.col("n")).alias("labels"))
-        .agg(_as_map(F.col("task_type"), F.col("labels")).alias("label_distribution"))
-    )
-    vocab = vocabulary_size(view).agg(_as_map(F.col("task_type"), F.col("vocab_size")).alias("ngram_vocab"))
-    result = scalars
-    for part in (unique_ids(view), tasks, labels, vocab):
-        result = result.crossJoin(part)
-    return result.select(
-        "rows_total",
-        "unique_ids",
-        "task_distribution",
-        "label_distribution",
-        "field_coverage",
-        "meta_field_coverage",
-        "ngram_vocab",
-        "text_length",
-        "noise_rate",
+    ).select("*", *_length_stats())
+    entries = [
+        ("rows_total", "", "rows_total"),
+        ("noise_rate", "", "noise_rate"),
+        *[("text_length", k, k) for k in ("mean", "stdev", "min", "max")],
+        *[("field_coverage", name, f"f{i}") for i, name in enumerate(contract.required_fields)],
+        *[("meta_field_coverage", name, f"m{i}") for i, name in enumerate(contract.meta_required)],
+    ]
+    long = scalars.select(
+        F.inline(F.array(*[_entry(stat, F.lit(key), F.lit(""), F.col(column)) for stat, key, column in entries]))
     )
+    counts = view.groupBy("task_type", "task_label").agg(F.count(F.lit(1)).alias("n"))
+    tasks = counts.groupBy("task_type").agg(F.sum("n").alias("n"))
+    labels = counts.filter(F.col("task_type").isNotNull() & F.col("task_label").isNotNull())
+    parts = [
+        (unique_ids(view), "unique_ids", F.lit(""), F.lit(""), "unique_ids"),
+        (tasks, "task_distribution", F.coalesce("task_type", F.lit("null")), F.lit(""), "n"),
+        (labels, "label_distribution", F.col("task_type"), F.col("task_label"), "n"),
+        (vocabulary_size(view), "ngram_vocab", F.col("task_type"), F.lit(""), "vocab_size"),
+    ]
+    for frame, stat, key, subkey, value in parts:
+        long = long.unionByName(frame.select(F.inline(F.array(_entry(stat, key, subkey, F.col(value))))))
+    return long
 
 
-def _as_map(key: Column, value: Column) -> Column:
-    return F.map_from_entries(F.array_sort(F.collect_list(F.struct(key.alias("k"), value.alias("v")))))
+def _entry(stat: str, key: Column, subkey: Column, value: Column) -> Column:
+    return F.struct(
+        F.lit(stat).alias("stat"), key.alias("key"), subkey.alias("subkey"), value.cast("double").alias("value")
+    )
 
 
-def profile_long(profiled: DataFrame) -> DataFrame:
-    """Tidy form of a profile: one row per statistic and key."""
-    def entries(name: str) -> Column:
-        return F.transform(
-            F.map_entries(name),
-            lambda e: F.struct(F.lit(name).alias("stat"), e["key"].alias("key"), e["value"].cast("double").alias("value")),
-        )
+def profile(view: DataFrame, contract: Contract) -> DataFrame:
+    """All statistics as one row. It gathers one entry per statistic, task and label name."""
+
+    def scalar(stat: str, key: str = "") -> Column:
+        return F.max(F.when((F.col("stat") == stat) & (F.col("key") == key), F.col("value")))
 
-    def scalar(name: str, column: Column, key: str = "") -> Column:
-        return F.struct(F.lit(name).alias("stat"), F.lit(key).alias("key"), column.cast("double").alias("value"))
+    def mapping(stat: str, as_type: str) -> Column:
+        entry = F.struct("key", F.col("value").cast(as_type).alias("value"))
+        return F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("stat") == stat, entry))))
 
-    labels = F.flatten(
+    label = F.struct("key", "subkey", F.col("value").cast("long").alias("n"))
+    labels = F.array_sort(F.collect_list(F.when(F.col("stat") == "label_distribution", label)))
+    nested = F.map_from_entries(
         F.transform(
-            F.map_entries("label_distribution"),
-            lambda t: F.transform(
-                F.map_entries(t["value"]),
-                lambda e: F.struct(
-                    F.lit("label_distribution").alias("stat"),
-                    F.concat_ws("/", t["key"], e["key"]).alias("key"),
-                    e["value"].cast("double").alias("value"),
+            F.array_distinct(F.transform("labels", lambda e: e["key"])),
+            lambda task: F.struct(
+                task,
+                F.map_from_entries(
+                    F.transform(
+                        F.filter("labels", lambda e: e["key"] == task), lambda e: F.struct(e["subkey"], e["n"])
+                    )
                 ),
             ),
         )
     )
-    singles = F.array(
-        scalar("rows_total", F.col("rows_total")),
-        scalar("unique_ids", F.col("unique_ids")),
-        scalar("noise_rate", F.col("noise_rate")),
-        *[scalar("text_length", F.col(f"text_length.{k}"), k) for k in ("mean", "stdev", "min", "max")],
+    return (
+        profile_long(view, contract)
+        .agg(
+            scalar("rows_total").cast("long").alias("rows_total"),
+            scalar("unique_ids").cast("long").alias("unique_ids"),
+            mapping("task_distribution", "long").alias("task_distribution"),
+            labels.alias("labels"),
+            mapping("field_coverage", "double").alias("field_coverage"),
+            mapping("meta_field_coverage", "double").alias("meta_field_coverage"),
+            mapping("ngram_vocab", "long").alias("ngram_vocab"),
+            F.struct(*[scalar("text_length", k).alias(k) for k in ("mean", "stdev", "min", "max")]).alias("text_length"),
+            scalar("noise_rate").alias("noise_rate"),
+        )
+        .withColumn("labels", nested)
+        .withColumnRenamed("labels", "label_distribution")
     )
-    maps = [entries(m) for m in ("task_distribution", "field_coverage", "meta_field_coverage", "ngram_vocab")]
-    return profiled.select(F.inline(F.concat(singles, labels, *maps)))
-

@@ -178,19 +178,19 @@ ORACLE: dict[str, str] = {
         ) WHERE rev IS NOT NULL""",
     "a11_profile": f"""WITH {_TOKENS},
         lengths AS (SELECT {_LENGTH_STATS} FROM task_texts)
-        SELECT 'rows_total' AS stat, '' AS key, CAST(count(*) AS DOUBLE) AS value FROM records
-        UNION ALL SELECT 'unique_ids', '', CAST(count(DISTINCT id) AS DOUBLE) FROM records
-        UNION ALL SELECT 'noise_rate', '', {_rate("count(*) FILTER (coalesce(is_noisy, false))")} FROM records
-        UNION ALL SELECT 'text_length', k, v FROM (
+        SELECT 'rows_total' AS stat, '' AS key, '' AS subkey, CAST(count(*) AS DOUBLE) AS value FROM records
+        UNION ALL SELECT 'unique_ids', '', '', CAST(count(DISTINCT id) AS DOUBLE) FROM records
+        UNION ALL SELECT 'noise_rate', '', '', {_rate("count(*) FILTER (coalesce(is_noisy, false))")} FROM records
+        UNION ALL SELECT 'text_length', k, '', v FROM (
           SELECT unnest(['mean', 'stdev', 'min', 'max']) AS k, unnest([mean, stdev, min, max]) AS v FROM lengths)
-        UNION ALL SELECT 'task_distribution', task, CAST(count(*) AS DOUBLE) FROM records GROUP BY task
-        UNION ALL SELECT 'label_distribution', task || '/' || label, CAST(count(*) AS DOUBLE) FROM records
+        UNION ALL SELECT 'task_distribution', task, '', CAST(count(*) AS DOUBLE) FROM records GROUP BY task
+        UNION ALL SELECT 'label_distribution', task, label, CAST(count(*) AS DOUBLE) FROM records
           WHERE label IS NOT NULL GROUP BY task, label
-        UNION ALL SELECT 'field_coverage', unnest(['id', 'meta', 'task']),
+        UNION ALL SELECT 'field_coverage', unnest(['id', 'meta', 'task']), '',
           unnest([{_rate("count(id)")}, {_rate("count(*)")}, {_rate("count(task)")}]) FROM records
-        UNION ALL SELECT 'meta_field_coverage', unnest({list(_COVERED_META)}),
+        UNION ALL SELECT 'meta_field_coverage', unnest({list(_COVERED_META)}), '',
           unnest([{", ".join(_rate(c) for c in _COVERED_META.values())}]) FROM records
-        UNION ALL SELECT 'ngram_vocab', task, CAST(count(DISTINCT token) AS DOUBLE) FROM task_tokens GROUP BY task""",
+        UNION ALL SELECT 'ngram_vocab', task, '', CAST(count(DISTINCT token) AS DOUBLE) FROM task_tokens GROUP BY task""",
     "o01_split_assign": f"WITH {_SPLIT_RANKED} SELECT id, split FROM assigned",
     "o02_allocation": """
         WITH totals AS (SELECT lang, source, count(*) AS total FROM documents GROUP BY lang, source),

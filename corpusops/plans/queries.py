@@ -186,7 +186,7 @@ def a10_first_rev(spark, sf_dir):
 
 @query("a11_profile")
 def a11_profile(spark, sf_dir):
-    return prof.profile_long(prof.profile(_structured(spark, sf_dir), CONTRACT))
+    return prof.profile_long(_structured(spark, sf_dir), CONTRACT)
 
 
 # Splits
