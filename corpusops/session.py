@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +47,25 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class WrittenTable:
+    """A table of an iterative job, written anew into one of two alternating folders.
+
+    Each version is read back from files in the shared folder, so no lineage piles up, losing an
+    executor costs nothing, and at most two versions take up space.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.base = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.turn = 0
+
+    def write(self, df: DataFrame) -> DataFrame:
+        path = f"{self.base}/{'ab'[self.turn % 2]}"
+        self.turn += 1
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
 def join_small(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join with an already materialised ``small`` side, broadcasting it only if it is small.
 
