@@ -99,3 +99,16 @@ def byte_pieces(text: Column) -> Column:
 def bytes_of(text: Column) -> Column:
     """UTF-8 bytes as two-digit hex strings."""
     return F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit(".."), 0)
+
+
+def tokenizer_id(algo: Column, vocab_size: Column, norm: Column, lower: Column, punct_policy: Column, seed: Column) -> Column:
+    """Name of a tokenizer configuration."""
+    return F.concat_ws(
+        "-",
+        algo,
+        vocab_size.cast("string"),
+        norm,
+        F.when(lower, "lower").otherwise("nolower"),
+        punct_policy,
+        F.concat(F.lit("s"), seed.cast("string")),
+    )

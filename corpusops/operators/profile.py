@@ -10,7 +10,9 @@ from corpusops.functions.text import split_whitespace
 from corpusops.operators.validation import record_of
 
 
-def profile_view(df: DataFrame, contract: Contract, flat: bool = False) -> DataFrame:
+def profile_view(
+    df: DataFrame, contract: Contract, flat: bool = False, keep: tuple[str, ...] = ()
+) -> DataFrame:
     """The narrow projection all statistics read: raw and typed records look the same here.
 
     ``flat`` also counts top-level ``text``, ``src``, ``tgt`` and ``label`` of records whose
@@ -33,6 +35,7 @@ def profile_view(df: DataFrame, contract: Contract, flat: bool = False) -> DataF
         F.array(*[record.is_mapping("meta") & record.covered("meta", k) for k in contract.meta_required])
         .cast("array<boolean>")
         .alias("meta_fields"),
+        *keep,
     )
 
 

@@ -41,72 +41,68 @@ def _check_window(window: int) -> None:
         raise DatasetError("window must not be negative")
 
 
-def _pairs_at(ids: Column, distance: int) -> tuple[Column, Column]:
-    """The sequence from ``distance`` on, and the same length from its start."""
-    size = F.greatest(F.size(ids) - distance, F.lit(0))
-    return F.slice(ids, F.lit(distance + 1), size), F.slice(ids, F.lit(1), size)
-
-
-def _zip(query: Column, key: Column) -> Column:
+def _local_pairs(ids: Column, distance: Column) -> Column:
+    """All pairs whose query lies ``distance`` after (or, if negative, before) its key."""
+    gap = F.abs(distance)
+    size = F.greatest(F.size(ids) - gap, F.lit(0))
+    later, earlier = F.slice(ids, gap + 1, size), F.slice(ids, F.lit(1), size)
+    query = F.when(distance >= 0, later).otherwise(earlier)
+    key = F.when(distance >= 0, earlier).otherwise(later)
     return F.zip_with(query, key, lambda q, k: F.struct(q.alias("query"), k.alias("key")))
 
 
-def _local_pairs(ids: Column, window: int, causal: bool) -> list[Column]:
-    """Pairs within the window, one aligned array per distance: work grows with length times
-    window, and no row is joined with another."""
-    result = []
-    for distance in range(window + 1):
-        later, earlier = _pairs_at(ids, distance)
-        result.append(_zip(later, earlier))
-        if distance and not causal:
-            result.append(_zip(earlier, later))
-    return result
-
+def _global_pairs(ids: Column, place: Column, window: int, n_global: int, causal: bool) -> Column:
+    """Pairs of one leading position with all others that the window does not cover already.
 
-def _global_pairs(ids: Column, window: int, n_global: int, causal: bool) -> list[Column]:
-    """Pairs with one of the first positions that the window does not cover already.
-
-    Position ``g`` sees and is seen by every position. A pair of two leading positions is listed
-    from the query's side only.
+    The position sees and is seen by every other. A pair of two leading positions is listed from
+    the query's side only.
     """
-    result = []
-    for g in range(n_global):
-        token = F.get(ids, g)
-        sees = F.filter(
-            F.transform(ids, lambda k, i: F.when(~_covered(F.lit(g), i, window, causal), F.struct(token.alias("query"), k.alias("key")))),
-            lambda p: p.isNotNull(),
-        )
-        seen = F.filter(
-            F.transform(
-                ids,
-                lambda q, i: F.when(
-                    (i >= n_global) & ~_covered(i, F.lit(g), window, causal), F.struct(q.alias("query"), token.alias("key"))
-                ),
-            ),
-            lambda p: p.isNotNull(),
-        )
-        result += [F.when(F.size(ids) > g, sees), F.when(F.size(ids) > g, seen)]
-    return [F.coalesce(r, F.array().cast("array<struct<query:int,key:int>>")) for r in result]
+    token = F.get(ids, place)
 
+    def covered(query: Column, key: Column) -> Column:
+        near = F.abs(query - key) <= window
+        return near & (key <= query) if causal else near
 
-def _covered(query: Column, key: Column, window: int, causal: bool) -> Column:
-    near = F.abs(query - key) <= window
-    return near & (key <= query) if causal else near
+    sees = F.transform(
+        ids, lambda k, i: F.when(~covered(place, i), F.struct(token.alias("query"), k.alias("key")))
+    )
+    seen = F.transform(
+        ids,
+        lambda q, i: F.when((i >= n_global) & ~covered(i, place), F.struct(q.alias("query"), token.alias("key"))),
+    )
+    both = F.filter(F.concat(sees, seen), lambda p: p.isNotNull())
+    return F.when(F.size(ids) > place, both)
 
 
 def context_pairs(sequences: DataFrame, window: int, causal: bool, n_global: int = 0) -> DataFrame:
     """How often each token (query) has another (key) in its context.
 
     Context is the sliding window, plus the first ``n_global`` positions, which see and are seen by
-    all regardless of order. Pairs are made and partly counted where the sequence is read.
+    all regardless of order. A sequence is paired with shifted copies of itself where it is read,
+    one distance at a time: work and output grow with length times window, no row is joined with
+    another, and pairs are partly counted before they are shuffled.
     """
     _check_window(window)
     ids = F.col("input_ids")
-    lists = _local_pairs(ids, window, causal)
+    steps = F.transform(
+        F.sequence(F.lit(0 if causal else -window), F.lit(window)),
+        lambda d: F.struct(F.lit(False).alias("lead"), d.alias("at")),
+    )
+    pairs = _local_pairs(ids, F.col("step.at"))
     if n_global > 0:
-        lists += _global_pairs(ids, window, n_global, causal)
-    pairs = sequences.select(F.explode(F.array(*lists)).alias("pairs")).select(F.inline("pairs"))
-    return pairs.groupBy("query", "key").agg(F.count(F.lit(1)).alias("pairs"))
+        leads = F.transform(
+            F.sequence(F.lit(0), F.lit(n_global - 1)), lambda g: F.struct(F.lit(True).alias("lead"), g.alias("at"))
+        )
+        steps = F.concat(steps, leads)
+        pairs = F.when(
+            F.col("step.lead"), _global_pairs(ids, F.col("step.at"), window, n_global, causal)
+        ).otherwise(pairs)
+    return (
+        sequences.select("input_ids", F.explode(steps).alias("step"))
+        .select(F.inline(pairs))
+        .groupBy("query", "key")
+        .agg(F.count(F.lit(1)).alias("pairs"))
+    )
 
 
 def positions(sequences: DataFrame, keys: list[str]) -> DataFrame:

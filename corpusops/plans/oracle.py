@@ -206,3 +206,241 @@ ORACLE: dict[str, str] = {
     "o07_epoch_order": f"""WITH {RECORDS}
         SELECT id, row_number() OVER (ORDER BY md5('42:3:' || id), id) AS ordinal FROM records""",
 }
+
+# Text, vocabulary and token reports
+
+_WORD = "[\\p{L}\\p{M}\\p{N}_]+|[^\\s\\p{L}\\p{M}\\p{N}_]+"
+_PIECE = "''s|''t|''re|''ve|''m|''ll|''d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+"
+
+
+def _normal(column: str) -> str:
+    """Composed, lower case, whitespace collapsed."""
+    return f"trim(regexp_replace(lower(nfc_normalize({column})), '\\s+', ' ', 'g'))"
+
+
+_SPACED = "trim(regexp_replace(regexp_replace(lower(nfc_normalize(text)), '\\p{P}+', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+WORDS = f"""
+words AS (
+  SELECT word, count(*) AS n FROM (
+    SELECT unnest(regexp_extract_all({_normal("text")}, '{_WORD}')) AS word FROM documents
+  ) GROUP BY word
+),
+top_words AS (
+  SELECT word AS token, n, row_number() OVER (ORDER BY n DESC, word) + 4 AS id
+  FROM words QUALIFY row_number() OVER (ORDER BY n DESC, word) <= 1995
+)"""
+
+BYTES = f"""
+byte_counts AS (
+  SELECT token, count(*) AS n FROM (
+    SELECT unnest(regexp_extract_all(hex(encode({_normal("text")})), '..')) AS token FROM documents
+  ) GROUP BY token
+),
+byte_vocab AS (
+  SELECT token, n, ln(n / sum(n) OVER ()) AS score, row_number() OVER (ORDER BY n DESC, token) + 4 AS id
+  FROM byte_counts
+),
+byte_map AS (SELECT map(list(token), list(id)) AS ids FROM byte_vocab WHERE id < 64)"""
+
+
+def _encoded(source: str, key: str, column: str) -> str:
+    """Byte ids of each text: unknown bytes in a row within a piece are one unknown token."""
+    return f"""{BYTES},
+pieces AS (
+  SELECT {key}, pos, list_transform(regexp_extract_all(hex(encode(piece)), '..'), lambda b: coalesce(ids[b], 3)) AS raw
+  FROM (
+    SELECT {key}, unnest(p) AS piece, unnest(range(len(p))) AS pos
+    FROM (SELECT {key}, regexp_extract_all({_normal(column)}, '{_PIECE}') AS p FROM {source})
+  ), byte_map
+),
+fused AS (
+  SELECT {key}, pos, list_filter(raw, lambda x, i: x <> 3 OR i = 1 OR raw[i - 1] <> 3) AS ids FROM pieces
+)"""
+
+
+_SAMPLES = f"""{RECORDS},
+payloads AS (
+  SELECT row_number() OVER (ORDER BY id, field) AS sample, split, task, payload FROM (
+    SELECT id, task, unnest(['text', 'src', 'tgt']) AS field, unnest([text, src, tgt]) AS payload,
+      CASE WHEN meta_split IN ('en', 'user') THEN 'train' WHEN meta_split = 'fr' THEN 'dev' ELSE 'test' END AS split
+    FROM records
+  ) WHERE payload IS NOT NULL
+),
+{_encoded("payloads", "sample", "payload").lstrip()},
+samples AS (
+  SELECT any_value(split) AS split, any_value(task) AS task, coalesce(sum(len(ids)), 0) AS n_tokens,
+    coalesce(sum(len(list_filter(ids, lambda x: x = 3))), 0) AS n_unk
+  FROM payloads LEFT JOIN fused USING (sample) GROUP BY sample
+)"""
+
+_NUM = "count(*) AS num_samples, CAST(sum(n_tokens) AS BIGINT) AS num_tokens"
+_OOV = "round(coalesce(sum(n_unk) / nullif(sum(n_tokens), 0), 0), 6) AS oov_rate"
+_AVG = "round(coalesce(sum(n_tokens) / count(*), 0), 6) AS avg_tokens_per_sample"
+_P50 = "round(quantile_cont(n_tokens, 0.5), 6) AS tokens_len_p50"
+_P95 = "round(quantile_cont(n_tokens, 0.95), 6) AS tokens_len_p95"
+_COVERAGE = "coalesce(1 - sum(n_unk) / nullif(sum(n_tokens), 0), 0)"
+
+SEQUENCES = f"""
+sequences AS (
+  SELECT doc_id AS seq_id, row_number() OVER (ORDER BY doc_id) AS "row", ids,
+    CASE WHEN doc_id % 2 <> 0 THEN list_transform(ids, lambda x: CASE WHEN x > 8 THEN 0 ELSE 1 END) END AS mask,
+    coalesce(CASE WHEN doc_id % 2 <> 0 THEN list_transform(ids, lambda x: CASE WHEN x > 8 THEN 0 ELSE 1 END) END,
+      list_transform(ids, lambda x: 1)) AS full_mask
+  FROM (
+    SELECT doc_id, list_transform(regexp_extract_all(text, '{_WORD}'), lambda t: CAST(length(t) AS INTEGER)) AS ids
+    FROM documents
+  )
+),
+tokens AS (
+  SELECT seq_id, unnest(ids) AS id, unnest(full_mask) AS mask, unnest(range(len(ids))) AS pos, len(ids) AS size
+  FROM sequences
+)"""
+
+_LOG = """
+eval_log AS (
+  SELECT user_id % 4 AS run, event_id AS step, value AS loss, 1 + event_id % 13 AS n_tokens FROM events
+)"""
+
+_DIGEST = """
+  SELECT seq_id, count(*) AS positions, min(mean) AS low, max(mean) AS high,
+    CAST(sum(CAST(floor(mean * 1000) AS BIGINT) * (pos % 1000 + 1)) AS BIGINT) AS digest
+  FROM means GROUP BY seq_id"""
+
+
+def _mean(frame: str) -> str:
+    return f"""means AS (
+  SELECT seq_id, pos, coalesce(CAST(sum(id) FILTER (mask <> 0) OVER w AS DOUBLE)
+    / nullif(count(*) FILTER (mask <> 0) OVER w, 0), 0) AS mean
+  FROM tokens WINDOW w AS (PARTITION BY seq_id ORDER BY pos {frame})
+)"""
+
+
+def _joined(lists: str) -> str:
+    return f"md5(array_to_string({lists}, ' '))"
+
+
+def _lengths(column: str) -> str:
+    return f"list_transform(regexp_extract_all({column}, '{_WORD}'), lambda t: length(t) + 4)"
+
+
+def _registry(condition: str, state: str) -> str:
+    return f"""SELECT 'tok-' || user_id AS tokenizer_id, max(event_id) AS created_at, '{state}' AS state
+  FROM events WHERE {condition} GROUP BY user_id"""
+
+
+ORACLE |= {
+    "f01_normalize": f"SELECT doc_id, CAST(length({_SPACED}) AS INTEGER) AS chars, md5({_SPACED}) AS text_md5 FROM documents",
+    "f02_normalize_encode": f"""SELECT doc_id, CAST(length({_normal("text")}) AS INTEGER) AS chars,
+        md5({_normal("text")}) AS text_md5 FROM documents""",
+    "f04_pretokenize": f"""SELECT doc_id, CAST(len(t) AS INTEGER) AS n_tokens, {_joined("t")} AS tokens_md5
+        FROM (SELECT doc_id, regexp_extract_all(text, '{_WORD}') AS t FROM documents)""",
+    "f05_bytes": """SELECT doc_id, CAST(octet_length(encode(text)) AS INTEGER) AS n_bytes, md5(hex(encode(text))) AS bytes_md5
+        FROM documents""",
+    "f08_tags": """SELECT event_id, unnest(['kind', 'user', 'props']) AS tag,
+        unnest([event_type, CAST(user_id AS VARCHAR), 'a=' || props]) AS value FROM events""",
+    "f09_flatten": """SELECT doc_id, CAST(to_json({'doc_id': doc_id, 'meta.source': source, 'meta.lang': lang,
+        'meta.size.n_chars': n_chars}) AS VARCHAR) AS flat FROM documents""",
+    "f10_tokenizer_id": """SELECT doc_id, ['char', 'bpe', 'unigram'][doc_id % 3 + 1] || '-' || n_chars || '-'
+        || CASE WHEN doc_id % 2 = 0 THEN 'nfc' ELSE 'none' END || '-' || CASE WHEN lang = 'en' THEN 'lower' ELSE 'nolower' END
+        || '-' || ['keep', 'strip', 'space'][doc_id % 3 + 1] || '-s' || doc_id AS tokenizer_id FROM documents""",
+    "t01_word_freq": f"WITH {WORDS} SELECT word, n FROM words",
+    "o05_topk_vocab": f"WITH {WORDS} SELECT token, n, id FROM top_words",
+    "j03_vocab_lookup": f"""WITH {WORDS}
+        SELECT coalesce(id, 3) AS id, count(*) AS words, CAST(sum(words.n) AS BIGINT) AS uses
+        FROM words LEFT JOIN top_words ON token = word GROUP BY 1""",
+    "u03_missing_specials": f"""WITH {WORDS}
+        SELECT token FROM (SELECT unnest(['<pad>', '<bos>', '<eos>', '<unk>', '<sep>']) AS token)
+        EXCEPT SELECT token FROM top_words""",
+    "t04_char_vocab": f"""WITH {BYTES}
+        SELECT token, n, id, round(score, 6) AS score FROM byte_vocab WHERE id < 64""",
+    "t05_encode_char": f"""WITH {_encoded("documents", "doc_id", "text")}
+        SELECT doc_id, CAST(coalesce(sum(len(ids)), 0) AS INTEGER) AS n_tokens,
+          md5(coalesce(string_agg(array_to_string(ids, ' '), ' ' ORDER BY pos), '')) AS ids_md5
+        FROM documents LEFT JOIN fused USING (doc_id) GROUP BY doc_id""",
+    "t11_decode_char": f"SELECT doc_id, md5({_normal('text')}) AS text_md5 FROM documents",
+    "a13_token_metrics": f"WITH {_SAMPLES} SELECT {_NUM}, {_OOV}, {_AVG} FROM samples",
+    "a14_length_percentiles": f"WITH {_SAMPLES} SELECT split, {_P50}, {_P95} FROM samples GROUP BY split",
+    "a15_task_coverage": f"""WITH {_SAMPLES}
+        SELECT split, task, round({_COVERAGE}, 6) AS coverage FROM samples GROUP BY split, task""",
+    "a16_token_report": f"""WITH {_SAMPLES}
+        SELECT split, task, CASE grouping(split) * 2 + grouping(task) WHEN 0 THEN 'split_task' WHEN 1 THEN 'split'
+          WHEN 2 THEN 'task' ELSE 'all' END AS grain,
+          {_NUM}, {_OOV}, {_AVG}, {_P50}, {_P95}, round({_COVERAGE}, 6) AS coverage
+        FROM samples GROUP BY GROUPING SETS ((split), (split, task), (task), ())""",
+    "a17_macro_coverage": f"""WITH {_SAMPLES}
+        SELECT round(avg(coverage), 6) AS macro_coverage
+        FROM (SELECT task, {_COVERAGE} AS coverage FROM samples GROUP BY task)""",
+    "j01_split_semi": """
+        SELECT source AS name, count(*) AS rows FROM documents WHERE source IN (
+          SELECT source FROM documents JOIN labels USING (doc_id) WHERE toxic = 1
+        ) GROUP BY source""",
+    "j02_registry_upsert": f"""
+        WITH fresh AS ({_registry("event_type = 'purchase'", "new")}), stale AS ({_registry("event_type <> 'purchase'", "old")})
+        SELECT * FROM stale WHERE tokenizer_id NOT IN (SELECT tokenizer_id FROM fresh) UNION ALL SELECT * FROM fresh""",
+    "s06_sequence_scan": f"""WITH {SEQUENCES}
+        SELECT seq_id, {_joined("ids")} AS ids_md5, {_joined("full_mask")} AS mask_md5 FROM sequences""",
+    "p12_max_len": f"WITH {SEQUENCES} SELECT seq_id, CAST(len(ids) AS INTEGER) AS n_tokens FROM sequences WHERE len(ids) > 512",
+    "j04_context_pairs": f"""WITH {SEQUENCES}
+        SELECT q.id AS query, k.id AS key, count(*) AS pairs
+        FROM (SELECT *, unnest(range(-3, 4)) AS d FROM tokens) q JOIN tokens k ON k.seq_id = q.seq_id AND k.pos = q.pos + d
+        GROUP BY 1, 2""",
+    "j05_global_pairs": f"""WITH {SEQUENCES},
+        pairs AS (
+          SELECT seq_id, pos AS q, pos + d AS k FROM (SELECT *, unnest(range(-2, 1)) AS d FROM tokens) WHERE pos + d >= 0
+          UNION SELECT seq_id, pos, g FROM (SELECT *, unnest(range(0, 2)) AS g FROM tokens) WHERE g < size
+          UNION SELECT seq_id, g, pos FROM (SELECT *, unnest(range(0, 2)) AS g FROM tokens) WHERE g < size
+        ),
+        queried AS MATERIALIZED (
+          SELECT p.seq_id, p.k, t.id AS query FROM pairs p JOIN tokens t ON t.seq_id = p.seq_id AND t.pos = p.q
+        )
+        SELECT query, t.id AS key, count(*) AS pairs
+        FROM queried p JOIN tokens t ON t.seq_id = p.seq_id AND t.pos = p.k GROUP BY 1, 2""",
+    "w02_prefix_mean": f"""WITH {SEQUENCES},
+        {_mean("ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW")} {_DIGEST}""",
+    "w03_sliding_mean": f"WITH {SEQUENCES}, {_mean('ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING')} {_DIGEST}",
+    "f12_pad_batch": f"""WITH {SEQUENCES},
+        batched AS (
+          SELECT *, ("row" - 1) // 8 AS batch, max(len(ids)) OVER (PARTITION BY ("row" - 1) // 8) AS width FROM sequences
+        )
+        SELECT seq_id, batch, CAST(width AS INTEGER) AS width,
+          {_joined("list_concat(ids, list_transform(range(width - len(ids)), lambda x: 0))")} AS ids_md5,
+          {_joined("list_concat(full_mask, list_transform(range(width - len(ids)), lambda x: 0))")} AS mask_md5
+        FROM batched""",
+    "f14_shift_labels": f"""WITH {SEQUENCES},
+        labels AS (
+          SELECT seq_id, CASE WHEN mask IS NULL THEN ids[2:] ELSE
+            list_transform(ids[2:], lambda x, i: CASE WHEN mask[i + 1] = 0 THEN -100 ELSE x END) END AS labels FROM sequences
+        )
+        SELECT seq_id, CAST(len(labels) AS INTEGER) AS n_labels, {_joined("labels")} AS labels_md5 FROM labels""",
+    "f15_template": f"""WITH {RECORDS}
+        SELECT id, {_joined(f'''CASE WHEN text IS NOT NULL THEN [1] || {_lengths("text")} || [2]
+          ELSE [1] || {_lengths("src")} || [4] || {_lengths("tgt")} || [2] END''')} AS ids_md5 FROM records""",
+    "a19_batch_tokens": f"""WITH {SEQUENCES}
+        SELECT ("row" - 1) // 8 AS batch, CAST(sum(coalesce(list_sum(mask), len(ids))) AS BIGINT) AS tokens
+        FROM sequences GROUP BY 1""",
+    "a18_eval_summary": f"""WITH {_LOG}
+        SELECT run, round(loss, 6) AS loss, round(exp(least(20.0, loss)), 3) AS ppl FROM (
+          SELECT run, sum(loss * n_tokens) / greatest(1, sum(n_tokens)) AS loss FROM eval_log GROUP BY run)""",
+    "a20_throughput": f"""WITH {_LOG}
+        SELECT CAST(ceil(step / 50) AS BIGINT) AS "interval", CAST(sum(n_tokens) AS BIGINT) AS tokens,
+          round(sum(n_tokens) / sum(loss), 6) AS tokens_per_s, round(sum(loss) / 50 * 1000, 6) AS step_ms,
+          bool_or(step % 50 = 0) AS complete FROM eval_log GROUP BY 1""",
+    "w01_best_so_far": f"""WITH {_LOG}
+        SELECT run, step, min(loss) OVER (PARTITION BY run ORDER BY step) AS best FROM eval_log""",
+    "o06_latest_run": "SELECT event_id AS run_id, event_type AS kind FROM events ORDER BY ts DESC, event_id DESC LIMIT 1",
+    "r01_params_long": f"""WITH {RECORDS}
+        SELECT id, unnest(['task', 'meta.grammar_rev', 'meta.seed', 'meta.split', 'meta.template_index', 'meta.is_noisy']) AS param,
+          unnest([task, grammar_rev, CAST(seed AS VARCHAR), meta_split, CAST(template_index AS VARCHAR),
+            CAST(is_noisy AS VARCHAR)]) AS value FROM records""",
+    "r02_metrics_long": f"""WITH {_LOG}
+        SELECT run, step, unnest(['loss', 'n_tokens']) AS metric, unnest([loss, CAST(n_tokens AS DOUBLE)]) AS value FROM eval_log""",
+    "r04_nested_runs": """
+        SELECT c.event_id AS run_id, p.event_id AS parent_run_id, c.ts >= p.ts AS in_order
+        FROM events c JOIN events p ON p.event_id = c.event_id - c.event_id % 5 WHERE c.event_id % 5 <> 0""",
+    "st1_metrics_tail": """SELECT event_type AS metric, count(*) AS n, round(sum(value), 6) AS total,
+        min(value) AS low, max(value) AS high FROM events GROUP BY event_type""",
+    "st2_stream_validate": f"""WITH {CHECKED}
+        SELECT doc_id, CASE WHEN len(errors) = 0 THEN 'valid' ELSE 'quarantine' END AS side,
+          array_to_string(errors, '; ') AS messages FROM checked""",
+}

@@ -5,15 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusops.contracts import DEFAULT_CONTRACT as CONTRACT
+from corpusops.functions import arrays, text
 from corpusops.functions.records import VariantRecord
+from corpusops.operators import bpe, chars, ranking, report, runlog, sequences, splits, unigram, validation, vocab
 from corpusops.operators import profile as prof
-from corpusops.operators import ranking, splits, validation
+from corpusops.operators.tokenizer import TokenizerConfig, TokenizerModel, encode
 from corpusops.sources import readers, views
-from corpusops.sources.positions import with_row_numbers
+from corpusops.sources.positions import block_offsets, number_rows, with_row_numbers
+from corpusops.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -96,8 +98,6 @@ def _checked_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("p05_row_errors")
 def p05_row_errors(spark, sf_dir):
-    from corpusops.sources.positions import block_offsets, number_rows
-
     offsets = block_offsets(views.raw_lines(spark, sf_dir, positioned=True))
     errors = validation.error_rows(_checked_lines(spark, sf_dir), "doc_id", "scan_pos")
     return number_rows(errors, offsets).select("row", "doc_id", "ord", "message")
@@ -222,3 +222,394 @@ def o07_epoch_order(spark, sf_dir):
     placed = ranking.with_place(views.records(spark, sf_dir).select("id", "task"))
     key = ranking.seeded_key(placed, f"{SEED}:{epoch}")
     return ranking.ordinals(placed, key).select("id", "ordinal")
+
+
+# Text functions and vocabularies
+
+
+@query("f01_normalize")
+def f01_normalize(spark, sf_dir):
+    docs = views.documents(spark, sf_dir)
+    normal = text.normalize_training(F.col("text"), "nfc", True, "space")
+    return docs.select("doc_id", F.char_length(normal).alias("chars"), F.md5(normal).alias("text_md5"))
+
+
+@query("f02_normalize_encode")
+def f02_normalize_encode(spark, sf_dir):
+    docs = views.documents(spark, sf_dir)
+    normal = text.normalize_encoding(F.col("text"), "nfc", True, "keep")
+    return docs.select("doc_id", F.char_length(normal).alias("chars"), F.md5(normal).alias("text_md5"))
+
+
+@query("f04_pretokenize")
+def f04_pretokenize(spark, sf_dir):
+    docs = views.documents(spark, sf_dir).withColumn("tokens", text.pretokenize(F.col("text")))
+    return docs.select(
+        "doc_id", F.size("tokens").alias("n_tokens"), F.md5(F.array_join("tokens", " ")).alias("tokens_md5")
+    )
+
+
+@query("f05_bytes")
+def f05_bytes(spark, sf_dir):
+    docs = views.documents(spark, sf_dir).withColumn("symbols", text.bytes_of(F.col("text")))
+    return docs.select(
+        "doc_id", F.size("symbols").alias("n_bytes"), F.md5(F.array_join("symbols", "")).alias("bytes_md5")
+    )
+
+
+@query("f08_tags")
+def f08_tags(spark, sf_dir):
+    pairs = F.array(
+        F.concat(F.lit("kind= "), F.col("event_type")),
+        F.concat(F.lit(" user ="), F.col("user_id").cast("string")),
+        F.concat(F.lit("props=a="), F.col("props")),
+        F.col("event_type"),
+    )
+    return views.table(spark, sf_dir, "events").select("event_id", F.explode(arrays.parse_tags(pairs)).alias("tag", "value"))
+
+
+@query("f09_flatten")
+def f09_flatten(spark, sf_dir):
+    nested = views.table(spark, sf_dir, "documents").select(
+        "doc_id",
+        F.struct("source", "lang", F.struct("n_chars").alias("size")).alias("meta"),
+    )
+    flat = runlog.flatten_columns(nested)
+    return flat.select("doc_id", F.to_json(F.struct(*[f"`{c}`" for c in flat.columns])).alias("flat"))
+
+
+@query("f10_tokenizer_id")
+def f10_tokenizer_id(spark, sf_dir):
+    name = text.tokenizer_id(
+        F.element_at(F.array(*[F.lit(a) for a in text.ALGORITHMS]), (F.col("doc_id") % 3 + 1).cast("int")),
+        F.col("n_chars"),
+        F.when(F.col("doc_id") % 2 == 0, "nfc").otherwise("none"),
+        F.col("lang") == "en",
+        F.element_at(F.array(*[F.lit(p) for p in text.PUNCT_POLICIES]), (F.col("doc_id") % 3 + 1).cast("int")),
+        F.col("doc_id"),
+    )
+    return views.table(spark, sf_dir, "documents").select("doc_id", name.alias("tokenizer_id"))
+
+
+LEARNING = TokenizerConfig("char", 64)
+
+
+def _document_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vocab.word_counts(views.documents(spark, sf_dir), LEARNING.training_text(F.col("text")))
+
+
+@query("t01_word_freq")
+def t01_word_freq(spark, sf_dir):
+    return _document_words(spark, sf_dir)
+
+
+@query("o05_topk_vocab")
+def o05_topk_vocab(spark, sf_dir):
+    return vocab.top_words(_document_words(spark, sf_dir), 2_000)
+
+
+@query("j03_vocab_lookup")
+def j03_vocab_lookup(spark, sf_dir):
+    words = _document_words(spark, sf_dir)
+    found = vocab.lookup_ids(words, vocab.top_words(words, 2_000), 2_000, text.UNK_ID)
+    return found.groupBy("id").agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("uses"))
+
+
+@query("u03_missing_specials")
+def u03_missing_specials(spark, sf_dir):
+    return vocab.missing_specials(vocab.top_words(_document_words(spark, sf_dir), 2_000))
+
+
+def _char_vocabulary(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
+    return vocab.char_vocabulary(views.documents(spark, sf_dir), LEARNING.training_text(F.col("text")), size)
+
+
+@query("t04_char_vocab")
+def t04_char_vocab(spark, sf_dir):
+    return _char_vocabulary(spark, sf_dir, LEARNING.vocab_size).select(
+        "token", "n", "id", F.round("score", 6).alias("score")
+    )
+
+
+def _byte_ids(spark: SparkSession, sf_dir: str, size: int) -> dict[str, int]:
+    """At most 256 rows, whatever the corpus."""
+    return {r["token"]: r["id"] for r in _char_vocabulary(spark, sf_dir, size).collect()}
+
+
+@query("t05_encode_char")
+def t05_encode_char(spark, sf_dir):
+    ids = _byte_ids(spark, sf_dir, LEARNING.vocab_size)
+    coded = chars.encode_bytes(LEARNING.encoding_text(F.col("text")), ids)
+    return (
+        views.documents(spark, sf_dir)
+        .select("doc_id", coded.alias("ids"))
+        .select("doc_id", F.size("ids").alias("n_tokens"), F.md5(F.array_join("ids", " ")).alias("ids_md5"))
+    )
+
+
+@query("t11_decode_char")
+def t11_decode_char(spark, sf_dir):
+    ids = _byte_ids(spark, sf_dir, 256 + len(text.SPECIAL_TOKENS))
+    coded = views.documents(spark, sf_dir).select(
+        "doc_id", chars.encode_bytes(LEARNING.encoding_text(F.col("text")), ids).alias("ids")
+    )
+    return coded.select("doc_id", F.md5(chars.decode_bytes(F.col("ids"), ids)).alias("text_md5"))
+
+
+@query("t02_bpe_merges")
+def t02_bpe_merges(spark, sf_dir):
+    config = TokenizerConfig("bpe", 256)
+    words = vocab.word_counts(views.documents(spark, sf_dir), config.training_text(F.col("text")))
+    learned = bpe.learn_bpe(words, config.vocab_size)
+    return TokenizerModel(config, learned.tokens, [], learned.merges).merge_table(spark)
+
+
+@query("t03_unigram")
+def t03_unigram(spark, sf_dir):
+    config = TokenizerConfig("unigram", 4_000)
+    words = vocab.word_counts(views.documents(spark, sf_dir), config.training_text(F.col("text")))
+    learned = unigram.learn_unigram(words, config.vocab_size, seed_size=12_000)
+    pieces, scores = [*text.SPECIAL_TOKENS, *learned.pieces], [0.0] * 5 + learned.scores
+    return TokenizerModel(config, pieces, scores).vocabulary(spark)
+
+
+@query("t05_encode")
+def t05_encode(spark, sf_dir):
+    """Encodes all documents with a BPE vocabulary of their most frequent words' characters."""
+    config = TokenizerConfig("bpe", 128)
+    docs = views.documents(spark, sf_dir)
+    learned = bpe.learn_bpe(vocab.word_counts(docs, config.training_text(F.col("text"))), config.vocab_size)
+    model = TokenizerModel(config, learned.tokens, [], learned.merges)
+    return encode(docs, model, "text").select(
+        "doc_id", F.size("input_ids").alias("n_tokens"), F.md5(F.array_join("input_ids", " ")).alias("ids_md5")
+    )
+
+
+# Tokenisation report
+
+
+def _histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = _byte_ids(spark, sf_dir, LEARNING.vocab_size)
+    coded = chars.encode_bytes(LEARNING.encoding_text(F.col("payload")), ids)
+    encoded = views.record_texts(spark, sf_dir).select("split", "task", coded.alias("input_ids"))
+    return report.length_histogram(report.token_samples(encoded, text.UNK_ID))
+
+
+METRICS = ["oov_rate", "avg_tokens_per_sample", "tokens_len_p50", "tokens_len_p95", "coverage"]
+
+
+def _rounded(frame: DataFrame, names: list[str]) -> DataFrame:
+    return frame.select(*[F.round(c, 6).alias(c) if c in names else F.col(c) for c in frame.columns])
+
+
+@query("a13_token_metrics")
+def a13_token_metrics(spark, sf_dir):
+    metrics = report.token_metrics(_histogram(spark, sf_dir))
+    return _rounded(metrics, METRICS).select("num_samples", "num_tokens", "oov_rate", "avg_tokens_per_sample")
+
+
+@query("a14_length_percentiles")
+def a14_length_percentiles(spark, sf_dir):
+    metrics = report.token_metrics(_histogram(spark, sf_dir), "split")
+    return _rounded(metrics, METRICS).select("split", "tokens_len_p50", "tokens_len_p95")
+
+
+@query("a15_task_coverage")
+def a15_task_coverage(spark, sf_dir):
+    metrics = report.token_metrics(_histogram(spark, sf_dir), "split", "task")
+    return _rounded(metrics, METRICS).select("split", "task", "coverage")
+
+
+@query("a16_token_report")
+def a16_token_report(spark, sf_dir):
+    return _rounded(report.token_report(_histogram(spark, sf_dir)), METRICS)
+
+
+@query("a17_macro_coverage")
+def a17_macro_coverage(spark, sf_dir):
+    return _rounded(report.macro_coverage(_histogram(spark, sf_dir)), ["macro_coverage"])
+
+
+# Joins on names
+
+
+@query("j01_split_semi")
+def j01_split_semi(spark, sf_dir):
+    sources = views.table(spark, sf_dir, "documents").groupBy(F.col("source").alias("name")).agg(F.count(F.lit(1)).alias("rows"))
+    toxic = views.table(spark, sf_dir, "labels").filter(F.col("toxic") == 1).select("doc_id")
+    requested = (
+        views.table(spark, sf_dir, "documents").join(toxic, "doc_id").select(F.col("source").alias("name")).distinct()
+    )
+    return sources.join(requested, "name", "left_semi")
+
+
+def _registry(spark: SparkSession, sf_dir: str, updates: bool) -> DataFrame:
+    """Tokenizer entries by user: the older ones from clicks and views, updates from purchases."""
+    kind = F.col("event_type") == "purchase"
+    return (
+        views.table(spark, sf_dir, "events")
+        .filter(kind if updates else ~kind)
+        .groupBy(F.concat(F.lit("tok-"), F.col("user_id").cast("string")).alias("tokenizer_id"))
+        .agg(F.max("event_id").alias("created_at"), F.lit("new" if updates else "old").alias("state"))
+    )
+
+
+@query("j02_registry_upsert")
+def j02_registry_upsert(spark, sf_dir):
+    merged = runlog.upsert(_registry(spark, sf_dir, False), _registry(spark, sf_dir, True))
+    return runlog.newest_first(merged)
+
+
+# Sequences
+
+
+@query("s06_sequence_scan")
+def s06_sequence_scan(spark, sf_dir):
+    mask = readers.default_mask(F.col("input_ids"), F.col("attention_mask"))
+    return views.sequences(spark, sf_dir).select(
+        "seq_id",
+        F.md5(F.array_join("input_ids", " ")).alias("ids_md5"),
+        F.md5(F.array_join(mask, " ")).alias("mask_md5"),
+    )
+
+
+@query("p12_max_len")
+def p12_max_len(spark, sf_dir):
+    return sequences.over_length(views.sequences(spark, sf_dir), 512).select(
+        "seq_id", F.size("input_ids").alias("n_tokens")
+    )
+
+
+@query("j04_context_pairs")
+def j04_context_pairs(spark, sf_dir):
+    return sequences.context_pairs(views.sequences(spark, sf_dir), window=3, causal=False)
+
+
+@query("j05_global_pairs")
+def j05_global_pairs(spark, sf_dir):
+    return sequences.context_pairs(views.sequences(spark, sf_dir), window=2, causal=True, n_global=2)
+
+
+def _mean_digest(tokens: DataFrame) -> DataFrame:
+    """Figures per sequence that pin down the means at all its positions."""
+    return tokens.groupBy("seq_id").agg(
+        F.count(F.lit(1)).alias("positions"),
+        F.min("mean").alias("low"),
+        F.max("mean").alias("high"),
+        F.sum(F.floor(F.col("mean") * 1000).cast("long") * (F.col("pos") % 1000 + 1)).alias("digest"),
+    )
+
+
+@query("w02_prefix_mean")
+def w02_prefix_mean(spark, sf_dir):
+    tokens = sequences.positions(views.sequences(spark, sf_dir), ["seq_id"])
+    return _mean_digest(sequences.prefix_mean(tokens, "seq_id"))
+
+
+@query("w03_sliding_mean")
+def w03_sliding_mean(spark, sf_dir):
+    tokens = sequences.positions(views.sequences(spark, sf_dir), ["seq_id"])
+    return _mean_digest(sequences.sliding_mean(tokens, "seq_id", window=4, causal=False))
+
+
+def _numbered_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mask = readers.default_mask(F.col("input_ids"), F.col("attention_mask"))
+    numbered = with_row_numbers(views.sequences(spark, sf_dir, positioned=True))
+    return numbered.withColumn("attention_mask", mask)
+
+
+@query("f12_pad_batch")
+def f12_pad_batch(spark, sf_dir):
+    return sequences.pad_batches(_numbered_sequences(spark, sf_dir), 8).select(
+        "seq_id",
+        "batch",
+        F.size("input_ids").alias("width"),
+        F.md5(F.array_join("input_ids", " ")).alias("ids_md5"),
+        F.md5(F.array_join("attention_mask", " ")).alias("mask_md5"),
+    )
+
+
+@query("f14_shift_labels")
+def f14_shift_labels(spark, sf_dir):
+    labels = arrays.shift_labels(F.col("input_ids"), F.col("attention_mask"))
+    return views.sequences(spark, sf_dir).select(
+        "seq_id", F.size(labels).alias("n_labels"), F.md5(F.array_join(labels, " ")).alias("labels_md5")
+    )
+
+
+@query("f15_template")
+def f15_template(spark, sf_dir):
+    def lengths(name: str):
+        return F.transform(text.pretokenize(F.col(name)), lambda t: F.char_length(t) + 4)
+
+    single = arrays.template(lengths("text"), 1, 2, 4)
+    pair = arrays.template(lengths("src"), 1, 2, 4, lengths("tgt"))
+    joined = F.array_join(F.when(F.col("text").isNotNull(), single).otherwise(pair), " ")
+    return views.records(spark, sf_dir).select("id", F.md5(joined).alias("ids_md5"))
+
+
+@query("a19_batch_tokens")
+def a19_batch_tokens(spark, sf_dir):
+    numbered = with_row_numbers(views.sequences(spark, sf_dir, positioned=True))
+    return numbered.groupBy(F.floor((F.col("row") - 1) / 8).cast("long").alias("batch")).agg(
+        F.sum(arrays.batch_tokens(F.col("input_ids"), F.col("attention_mask"))).alias("tokens")
+    )
+
+
+# Run logs and streams
+
+
+@query("a18_eval_summary")
+def a18_eval_summary(spark, sf_dir):
+    summary = runlog.eval_summary(views.eval_log(spark, sf_dir), "run")
+    return summary.select("run", F.round("loss", 6).alias("loss"), F.round("ppl", 3).alias("ppl"))
+
+
+@query("a20_throughput")
+def a20_throughput(spark, sf_dir):
+    log = views.eval_log(spark, sf_dir).withColumn("elapsed", F.col("loss"))
+    return _rounded(runlog.throughput(log, 50), ["tokens_per_s", "step_ms"])
+
+
+@query("w01_best_so_far")
+def w01_best_so_far(spark, sf_dir):
+    return runlog.best_so_far(views.eval_log(spark, sf_dir)).select("run", "step", "best")
+
+
+@query("o06_latest_run")
+def o06_latest_run(spark, sf_dir):
+    return runlog.latest_run(views.runs(spark, sf_dir)).select("run_id", "kind")
+
+
+@query("r01_params_long")
+def r01_params_long(spark, sf_dir):
+    return runlog.params_long(views.records(spark, sf_dir).select("id", "task", "meta"), "id")
+
+
+@query("r02_metrics_long")
+def r02_metrics_long(spark, sf_dir):
+    return runlog.metrics_long(views.eval_log(spark, sf_dir), ["loss", "n_tokens"], "run", "step")
+
+
+@query("r04_nested_runs")
+def r04_nested_runs(spark, sf_dir):
+    return runlog.children(views.runs(spark, sf_dir)).select(
+        "run_id", "parent_run_id", (F.col("start_time") >= F.col("parent_start_time")).alias("in_order")
+    )
+
+
+@query("st1_metrics_tail")
+def st1_metrics_tail(spark, sf_dir):
+    events = views.table_stream(spark, sf_dir, "events").select(F.col("event_type").alias("metric"), "value")
+    totals = jobs.tail_totals(events, jobs.work_folder(spark, "metrics-tail"))
+    return _rounded(totals, ["total"])
+
+
+@query("st2_stream_validate")
+def st2_stream_validate(spark, sf_dir):
+    lines = views.table_stream(spark, sf_dir, "documents").select("doc_id", views.raw_line().alias("value"))
+    out = jobs.work_folder(spark, "stream-validate")
+    valid, quarantine = jobs.validate_stream(lines, CONTRACT, out, ("doc_id",))
+    return valid.select("doc_id", F.lit("valid").alias("side"), F.lit("").alias("messages")).unionByName(
+        quarantine.select("doc_id", F.lit("quarantine").alias("side"), F.array_join("errors", "; ").alias("messages"))
+    )

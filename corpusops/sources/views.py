@@ -6,7 +6,7 @@ can be numbered in file order.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusops.functions.text import pretokenize
@@ -97,15 +97,28 @@ def record_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def json_text(text) -> object:
+def json_text(text: Column) -> Column:
     """A string as a JSON literal."""
     in_array = F.to_json(F.array(text))
     return F.substring(in_array, F.lit(2), F.char_length(in_array) - 2)
 
 
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The same table as a stream of its files."""
+    schema = table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
 def raw_lines(spark: SparkSession, sf_dir: str, positioned: bool = False) -> DataFrame:
     """One JSON line per document, with the usual defects of raw data by document number."""
-    docs = table(spark, sf_dir, "documents").select("*", "_metadata")
+    docs = table(spark, sf_dir, "documents")
+    if not positioned:
+        return docs.select("doc_id", raw_line().alias("value"))
+    lines = docs.select("doc_id", raw_line().alias("value"), "_metadata")
+    return lines.filter(not_blank(F.col("value"))).select("doc_id", "value", scan_position())
+
+
+def raw_line() -> Column:
     kind = F.col("doc_id") % 50
     num = F.col("doc_id").cast("string")
     ident = F.concat(F.lit('"id":"doc-'), num, F.lit('"'))
@@ -120,7 +133,7 @@ def raw_lines(spark: SparkSession, sf_dir: str, positioned: bool = False) -> Dat
     def obj(*parts):
         return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
 
-    value = (
+    return (
         F.when(kind == 0, obj(meta, task, text))
         .when(kind == 1, obj(ident, F.concat(meta_open, F.lit("}")), task, text))
         .when(kind == 2, obj(ident, F.lit('"meta":[1]'), task, text))
@@ -132,10 +145,6 @@ def raw_lines(spark: SparkSession, sf_dir: str, positioned: bool = False) -> Dat
         .when(kind == 8, F.lit("[1,2]"))
         .otherwise(obj(ident, meta, task, text))
     )
-    lines = docs.select("doc_id", value.alias("value"), "_metadata")
-    if not positioned:
-        return lines.select("doc_id", "value")
-    return lines.filter(not_blank(F.col("value"))).select("doc_id", "value", scan_position())
 
 
 def sequences(spark: SparkSession, sf_dir: str, positioned: bool = False) -> DataFrame:
