@@ -14,7 +14,10 @@ from corpusops.contracts import DatasetError
 # Patterns that decide what a token is, so they must not vary.
 # Whitespace of the record statistics also counts the four ASCII separators.
 STAT_SPACE = r"(?U)[\s\x1c-\x1f]+"
-SPACE = r"(?U)\s+"
+NOT_SPACE = r"(?U)[^\s\x1c-\x1f]"
+# Whitespace runs other than one plain space, which collapsing leaves as it is.
+STAT_RUN = r"(?U)(?:[^\S ]|[\x1c-\x1f])[\s\x1c-\x1f]*| [\s\x1c-\x1f]+"
+RUN = r"(?U)[^\S ]\s*| \s+"
 PUNCTUATION = r"\p{P}+"
 WORD_OR_PUNCT = r"(?U)\w+|[^\w\s]+"
 BYTE_PIECE = (
@@ -64,14 +67,14 @@ def _base(text: Column, norm: str, lower: bool, punct_policy: str) -> Column:
     return text
 
 
-def _collapse(text: Column, space: str) -> Column:
-    return F.trim(F.regexp_replace(text, space, " "))
+def _collapse(text: Column, run: str) -> Column:
+    return F.trim(F.regexp_replace(text, run, " "))
 
 
 def normalize_training(text: Column, norm: str = "nfc", lower: bool = True, punct_policy: str = "keep") -> Column:
     """Normaliser of the training text: whitespace is collapsed only when punctuation is touched."""
     result = _base(text, norm, lower, punct_policy)
-    return result if punct_policy == "keep" else _collapse(result, STAT_SPACE)
+    return result if punct_policy == "keep" else _collapse(result, STAT_RUN)
 
 
 def normalize_encoding(text: Column, norm: str = "nfc", lower: bool = True, punct_policy: str = "keep") -> Column:
@@ -79,7 +82,7 @@ def normalize_encoding(text: Column, norm: str = "nfc", lower: bool = True, punc
     result = _base(text, norm, lower, punct_policy)
     if norm == "none" and not lower and punct_policy == "keep":
         return result
-    return _collapse(result, SPACE)
+    return _collapse(result, RUN)
 
 
 def split_whitespace(text: Column) -> Column:

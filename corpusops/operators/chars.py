@@ -1,43 +1,17 @@
-"""Byte-level encoding and decoding in built-in expressions only.
-
-The vocabulary has at most 256 bytes, so it travels as a constant array.
-"""
+"""Decoding of byte-level ids in built-in expressions only."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpusops.functions.text import UNK_ID, byte_pieces, bytes_of
-
-
-def _table(ids: dict[str, int]) -> Column:
-    """Id by byte value, as a constant array: constant-time lookup."""
-    return F.array(*[F.lit(ids.get(f"{b:02X}", UNK_ID)) for b in range(256)])
-
-
-def encode_bytes(text: Column, ids: dict[str, int]) -> Column:
-    """Ids of the bytes of a text; a run of unknown bytes within one piece is one unknown token."""
-    table = _table(ids)
-
-    def piece_ids(piece: Column) -> Column:
-        raw = F.transform(bytes_of(piece), lambda h: F.element_at(table, F.conv(h, 16, 10).cast("int") + 1))
-        if len(ids) >= 256:
-            return raw
-        # The one-element array names the list, so that it is computed once per piece.
-        fused = F.transform(
-            F.array(raw),
-            lambda r: F.filter(r, lambda x, i: (x != UNK_ID) | (i == 0) | (F.get(r, i - 1) != UNK_ID)),
-        )
-        return fused[0]
-
-    return F.flatten(F.transform(byte_pieces(text), piece_ids))
-
 
 def decode_bytes(input_ids: Column, ids: dict[str, int]) -> Column:
-    """Text of byte ids; ids outside the byte vocabulary (specials, unknown) are left out."""
-    size = max([*ids.values(), UNK_ID]) + 1
+    """Text of byte ids; ids outside the byte vocabulary (specials, unknown) are left out.
+
+    The vocabulary has at most 256 bytes, so it travels as a constant array, indexed by id.
+    """
     by_id = {v: k for k, v in ids.items()}
-    table = F.array(*[F.lit(by_id.get(i, "")) for i in range(size)])
+    table = F.array(*[F.lit(by_id.get(i, "")) for i in range(max(by_id, default=0) + 1)])
     joined = F.array_join(F.transform(input_ids, lambda i: F.coalesce(F.get(table, i), F.lit(""))), "")
     return F.make_valid_utf8(F.unhex(joined).cast("string"))

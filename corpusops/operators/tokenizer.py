@@ -106,6 +106,11 @@ class TokenizerModel:
         ids = self.ids
         return {t: ids[t] for t in SPECIAL_TOKENS}
 
+    def byte_ids(self) -> dict[str, int]:
+        """Id by byte value in hex, for byte-level vocabularies."""
+        ids = self.ids
+        return {f"{b:02X}": ids[c] for b, c in enumerate(byte_characters()) if c in ids}
+
     def vocabulary(self, spark: SparkSession) -> DataFrame:
         scores = self.scores or [None] * len(self.tokens)
         return spark.createDataFrame(

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from corpusops.contracts import DEFAULT_CONTRACT as CONTRACT
 from corpusops.functions import arrays, text
 from corpusops.functions.records import VariantRecord
-from corpusops.operators import bpe, chars, ranking, report, runlog, sequences, splits, unigram, validation, vocab
+from corpusops.operators import chars, ranking, report, runlog, sequences, splits, validation, vocab
 from corpusops.operators import profile as prof
 from corpusops.operators.tokenizer import TokenizerConfig, TokenizerModel, encode
+from corpusops.plans.tokenizer_job import learn
 from corpusops.sources import readers, views
 from corpusops.sources.positions import block_offsets, number_rows, with_row_numbers
 from corpusops.streaming import jobs
@@ -320,66 +321,48 @@ def u03_missing_specials(spark, sf_dir):
     return vocab.missing_specials(vocab.top_words(_document_words(spark, sf_dir), 2_000))
 
 
-def _char_vocabulary(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
-    return vocab.char_vocabulary(views.documents(spark, sf_dir), LEARNING.training_text(F.col("text")), size)
-
-
 @query("t04_char_vocab")
 def t04_char_vocab(spark, sf_dir):
-    return _char_vocabulary(spark, sf_dir, LEARNING.vocab_size).select(
-        "token", "n", "id", F.round("score", 6).alias("score")
+    found = vocab.char_vocabulary(
+        views.documents(spark, sf_dir), LEARNING.training_text(F.col("text")), LEARNING.vocab_size
     )
+    return found.select("token", "n", "id", F.round("score", 6).alias("score"))
 
 
-def _byte_ids(spark: SparkSession, sf_dir: str, size: int) -> dict[str, int]:
-    """At most 256 rows, whatever the corpus."""
-    return {r["token"]: r["id"] for r in _char_vocabulary(spark, sf_dir, size).collect()}
+def _char_model(spark: SparkSession, sf_dir: str, size: int) -> TokenizerModel:
+    return learn(views.documents(spark, sf_dir), TokenizerConfig("char", size), "text")
 
 
 @query("t05_encode_char")
 def t05_encode_char(spark, sf_dir):
-    ids = _byte_ids(spark, sf_dir, LEARNING.vocab_size)
-    coded = chars.encode_bytes(LEARNING.encoding_text(F.col("text")), ids)
-    return (
-        views.documents(spark, sf_dir)
-        .select("doc_id", coded.alias("ids"))
-        .select("doc_id", F.size("ids").alias("n_tokens"), F.md5(F.array_join("ids", " ")).alias("ids_md5"))
+    model = _char_model(spark, sf_dir, LEARNING.vocab_size)
+    return encode(views.documents(spark, sf_dir), model, "text", "ids").select(
+        "doc_id", F.size("ids").alias("n_tokens"), F.md5(F.array_join("ids", " ")).alias("ids_md5")
     )
 
 
 @query("t11_decode_char")
 def t11_decode_char(spark, sf_dir):
-    ids = _byte_ids(spark, sf_dir, 256 + len(text.SPECIAL_TOKENS))
-    coded = views.documents(spark, sf_dir).select(
-        "doc_id", chars.encode_bytes(LEARNING.encoding_text(F.col("text")), ids).alias("ids")
-    )
-    return coded.select("doc_id", F.md5(chars.decode_bytes(F.col("ids"), ids)).alias("text_md5"))
+    model = _char_model(spark, sf_dir, 256 + len(text.SPECIAL_TOKENS))
+    coded = encode(views.documents(spark, sf_dir), model, "text", "ids")
+    return coded.select("doc_id", F.md5(chars.decode_bytes(F.col("ids"), model.byte_ids())).alias("text_md5"))
 
 
 @query("t02_bpe_merges")
 def t02_bpe_merges(spark, sf_dir):
-    config = TokenizerConfig("bpe", 256)
-    words = vocab.word_counts(views.documents(spark, sf_dir), config.training_text(F.col("text")))
-    learned = bpe.learn_bpe(words, config.vocab_size)
-    return TokenizerModel(config, learned.tokens, [], learned.merges).merge_table(spark)
+    return learn(views.documents(spark, sf_dir), TokenizerConfig("bpe", 256), "text").merge_table(spark)
 
 
 @query("t03_unigram")
 def t03_unigram(spark, sf_dir):
     config = TokenizerConfig("unigram", 4_000)
-    words = vocab.word_counts(views.documents(spark, sf_dir), config.training_text(F.col("text")))
-    learned = unigram.learn_unigram(words, config.vocab_size, seed_size=12_000)
-    pieces, scores = [*text.SPECIAL_TOKENS, *learned.pieces], [0.0] * 5 + learned.scores
-    return TokenizerModel(config, pieces, scores).vocabulary(spark)
+    return learn(views.documents(spark, sf_dir), config, "text", seed_size=12_000).vocabulary(spark)
 
 
 @query("t05_encode")
 def t05_encode(spark, sf_dir):
-    """Encodes all documents with a BPE vocabulary of their most frequent words' characters."""
-    config = TokenizerConfig("bpe", 128)
     docs = views.documents(spark, sf_dir)
-    learned = bpe.learn_bpe(vocab.word_counts(docs, config.training_text(F.col("text"))), config.vocab_size)
-    model = TokenizerModel(config, learned.tokens, [], learned.merges)
+    model = learn(docs, TokenizerConfig("bpe", 128), "text")
     return encode(docs, model, "text").select(
         "doc_id", F.size("input_ids").alias("n_tokens"), F.md5(F.array_join("input_ids", " ")).alias("ids_md5")
     )
@@ -389,10 +372,9 @@ def t05_encode(spark, sf_dir):
 
 
 def _histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = _byte_ids(spark, sf_dir, LEARNING.vocab_size)
-    coded = chars.encode_bytes(LEARNING.encoding_text(F.col("payload")), ids)
-    encoded = views.record_texts(spark, sf_dir).select("split", "task", coded.alias("input_ids"))
-    return report.length_histogram(report.token_samples(encoded, text.UNK_ID))
+    model = _char_model(spark, sf_dir, LEARNING.vocab_size)
+    encoded = encode(views.record_texts(spark, sf_dir).select("split", "task", "payload"), model)
+    return report.length_histogram(report.token_samples(encoded, model.unk_id))
 
 
 METRICS = ["oov_rate", "avg_tokens_per_sample", "tokens_len_p50", "tokens_len_p95", "coverage"]

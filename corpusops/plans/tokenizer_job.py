@@ -30,8 +30,10 @@ from corpusops.sources.writers import path_digests, write_json_document
 REGISTRY_SCHEMA = "tokenizer_id string, manifest_path string, algo string, vocab_size long, created_at string"
 
 
-def learn(texts: DataFrame, config: TokenizerConfig, text: str = "payload") -> TokenizerModel:
-    """Learn a vocabulary from raw texts."""
+def learn(
+    texts: DataFrame, config: TokenizerConfig, text: str = "payload", seed_size: int = unigram.DEFAULT_SEED_SIZE
+) -> TokenizerModel:
+    """Learn a vocabulary from raw texts. ``seed_size`` bounds the first pieces of unigram."""
     column = config.training_text(F.col(text))
     zeros = [0.0] * len(SPECIAL_TOKENS)
     if config.algo == "char":
@@ -43,7 +45,7 @@ def learn(texts: DataFrame, config: TokenizerConfig, text: str = "payload") -> T
     if config.algo == "bpe":
         learned = bpe.learn_bpe(words, config.vocab_size)
         return TokenizerModel(config, learned.tokens, [], learned.merges)
-    pieces = unigram.learn_unigram(words, config.vocab_size)
+    pieces = unigram.learn_unigram(words, config.vocab_size, seed_size=seed_size)
     return TokenizerModel(config, [*SPECIAL_TOKENS, *pieces.pieces], zeros + pieces.scores)
 
 

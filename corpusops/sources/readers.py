@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusops.contracts import DatasetError, MalformedLineError
 from corpusops.functions.records import VariantRecord
-from corpusops.functions.text import STAT_SPACE
+from corpusops.functions.text import NOT_SPACE
 from corpusops.sources.positions import scan_position, with_row_numbers
 
 JSONL = "JSONL"
@@ -26,7 +26,8 @@ def normalise_format(name: str) -> str:
 
 
 def not_blank(line: Column) -> Column:
-    return F.regexp_replace(line, STAT_SPACE, "") != ""
+    """Whether a line has any visible character; the search stops at the first one."""
+    return line.rlike(NOT_SPACE)
 
 
 def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -34,8 +35,9 @@ def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     return lines.filter(not_blank(F.col(column))).withColumn("v", F.try_parse_json(column))
 
 
-def is_object() -> Column:
-    return VariantRecord("v").is_mapping()
+def is_object(line: str = "value") -> Column:
+    """Whether a parsed line is a JSON object, told from its first character."""
+    return F.col("v").isNotNull() & F.col(line).rlike(r"^\s*\{")
 
 
 def bad_lines(parsed: DataFrame) -> DataFrame:

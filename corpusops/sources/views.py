@@ -24,13 +24,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
 
 
-def records(spark: SparkSession, sf_dir: str, texts: bool = True) -> DataFrame:
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean corpus with the tasks cls, lm and seq2seq.
 
     The user turn and the assistant turn that answers it meet in an equi-join on conversation
     and turn, which stays even however long one conversation is.
     """
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     meta_doc = F.struct(
         F.col("source").alias("grammar_rev"),
@@ -97,12 +97,6 @@ def record_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def json_text(text: Column) -> Column:
-    """A string as a JSON literal."""
-    in_array = F.to_json(F.array(text))
-    return F.substring(in_array, F.lit(2), F.char_length(in_array) - 2)
-
-
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The same table as a stream of its files."""
     schema = table(spark, sf_dir, name).schema
@@ -113,37 +107,32 @@ def raw_lines(spark: SparkSession, sf_dir: str, positioned: bool = False) -> Dat
     """One JSON line per document, with the usual defects of raw data by document number."""
     docs = table(spark, sf_dir, "documents")
     if not positioned:
-        return docs.select("doc_id", raw_line().alias("value"))
+        return spread(docs.select("doc_id", "lang", "source", "text")).select("doc_id", raw_line().alias("value"))
     lines = docs.select("doc_id", raw_line().alias("value"), "_metadata")
     return lines.filter(not_blank(F.col("value"))).select("doc_id", "value", scan_position())
 
 
 def raw_line() -> Column:
     kind = F.col("doc_id") % 50
-    num = F.col("doc_id").cast("string")
-    ident = F.concat(F.lit('"id":"doc-'), num, F.lit('"'))
-    index = (F.col("doc_id") % 7).cast("string")
-    meta_open = F.concat(
-        F.lit('"meta":{"grammar_rev":'), json_text(F.col("source")), F.lit(',"seed":42,"split":'), json_text(F.col("lang"))
-    )
-    meta = F.concat(meta_open, F.lit(',"template_index":'), index, F.lit("}"))
-    text = F.concat(F.lit('"text":'), json_text(F.col("text")))
-    task = F.lit('"task":"lm"')
+    ident = F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("id")
+    begun = [F.col("source").alias("grammar_rev"), F.lit(42).alias("seed"), F.col("lang").alias("split")]
+    meta = F.struct(*begun, (F.col("doc_id") % 7).alias("template_index")).alias("meta")
+    task = F.lit("lm").alias("task")
 
-    def obj(*parts):
-        return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+    def line(*fields: Column) -> Column:
+        return F.to_json(F.struct(*fields, "text"), {"ignoreNullFields": "false"})
 
     return (
-        F.when(kind == 0, obj(meta, task, text))
-        .when(kind == 1, obj(ident, F.concat(meta_open, F.lit("}")), task, text))
-        .when(kind == 2, obj(ident, F.lit('"meta":[1]'), task, text))
-        .when(kind == 3, obj(ident, meta, F.lit('"task":"lm_error"'), text))
-        .when(kind == 4, obj(F.lit('"id":null'), meta, task, text))
+        F.when(kind == 0, line(meta, task))
+        .when(kind == 1, line(ident, F.struct(*begun).alias("meta"), task))
+        .when(kind == 2, line(ident, F.array(F.lit(1)).alias("meta"), task))
+        .when(kind == 3, line(ident, meta, F.lit("lm_error").alias("task")))
+        .when(kind == 4, line(F.lit(None).cast("string").alias("id"), meta, task))
         .when(kind == 5, F.lit("{bad"))
         .when(kind == 6, F.lit("   "))
-        .when(kind == 7, obj(ident, meta, text))
+        .when(kind == 7, line(ident, meta))
         .when(kind == 8, F.lit("[1,2]"))
-        .otherwise(obj(ident, meta, task, text))
+        .otherwise(line(ident, meta, task))
     )
 
 
