@@ -53,9 +53,9 @@ class VariantRecord:
         return F.when(self.is_string(*keys), self._get(keys, "string"))
 
     def shown(self, *keys: str) -> Column:
-        """The value as text, whatever its type."""
-        return F.when(self.is_string(*keys), self._get(keys, "string")).otherwise(
-            F.to_json(self._get(keys, "variant"))
+        """The value as text, whatever its type; null for a missing key and for a JSON null."""
+        return F.when(self.is_string(*keys), self._get(keys, "string")).when(
+            self._kind(*keys) != "VOID", F.to_json(self._get(keys, "variant"))
         )
 
     def truthy(self, *keys: str) -> Column:

@@ -40,8 +40,7 @@ def task_is_outside(record: Record, contract: Contract) -> Column:
 def row_errors(record: Record, contract: Contract) -> Column:
     """All messages of a row, in the order fields, meta, task."""
     domain = str(list(contract.tasks))
-    task = F.coalesce(F.when(record.present("task"), record.shown("task")), F.lit("None"))
-    task = F.when(task == "null", F.lit("None")).otherwise(task)
+    task = F.coalesce(record.shown("task"), F.lit("None"))
     return F.concat(
         F.transform(missing_fields(record, contract), lambda f: F.concat(F.lit("Missing required field '"), f, F.lit("'"))),
         _compact([F.when(meta_is_broken(record, contract), F.lit("'meta' must be a mapping"))]),
