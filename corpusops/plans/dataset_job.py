@@ -137,7 +137,8 @@ def process_dataset(
         F.col(f"{POSITION}.seq").alias("place"),
     )
     wanted = profile_view(scan, contract).columns
-    view = WrittenTable(spark, "profile").write(
+    table = WrittenTable(spark, "profile")
+    view = table.write(
         profile_view(scan, contract, keep=("body_md5", "place", "bad", "errors", POSITION))
     )
     gate = view.agg(F.count_if("bad").alias("bad")).first()
@@ -154,6 +155,7 @@ def process_dataset(
 
     started = time.perf_counter()
     rows = _write(spark, scan, view, ratios, seed, out)
+    table.drop()
     digests = _split_digests(spark, out)
     duration = time.perf_counter() - started
     manifest = {

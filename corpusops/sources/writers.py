@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Keeps part files far below the 2 GB a single binary value can hold.
-MAX_RECORDS_PER_FILE = 1_000_000
+MAX_RECORDS_PER_FILE = 100_000
 
 
 def write_json_document(spark: SparkSession, path: str, payload: Mapping[str, Any]) -> str:

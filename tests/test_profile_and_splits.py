@@ -158,3 +158,11 @@ def test_process_job(spark, tmp_path):
     source.write_text(json.dumps({"id": 1}) + "\n")
     with pytest.raises(InvalidDatasetError):
         run("three")
+
+
+def test_process_empty_dataset(spark, tmp_path):
+    source = tmp_path / "none.jsonl"
+    source.write_text("\n  \n")
+    result = process_dataset(spark, str(source), DEFAULT_CONTRACT, "jsonl", RATIOS, 5, str(tmp_path / "out"))
+    assert result.stats["rows_total"] == 0
+    assert all(s["rows"] == 0 and s["sha256"] == "" for s in result.manifest["splits"].values())

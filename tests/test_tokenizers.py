@@ -116,6 +116,17 @@ def test_unigram_invariants(spark):
     assert learned.pieces == once
 
 
+def test_seed_pieces_by_brute_force(spark):
+    rows = [("abcab", 3), ("\U0001F600a\U0001F600", 2), ("x" * 40, 1)]
+    expected = {}
+    for word, n in rows:
+        for i in range(len(word)):
+            for j in range(i + 1, min(i + 4, len(word)) + 1):
+                expected[word[i:j]] = expected.get(word[i:j], 0) + n
+    found = unigram.seed_pieces(spark.createDataFrame(rows, "word string, n long"), 4, 1_000).collect()
+    assert {r["piece"]: r["n"] for r in found} == {p: n for p, n in expected.items() if n >= 2 or len(p) == 1}
+
+
 def test_lattice_sums_by_brute_force():
     pieces = ["a", "b", "ab", "ba", "aba"]
     scores = [-1.0, -1.5, -0.7, -2.0, -1.1]
