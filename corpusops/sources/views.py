@@ -141,9 +141,9 @@ def sequences(spark: SparkSession, sf_dir: str, positioned: bool = False) -> Dat
 
     The mask is 0 where the id exceeds 8, and missing for every other document.
     """
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "_metadata")
-    place = [scan_position()] if positioned else []
-    scan = docs.select("doc_id", "text", *place)
+    scan = table(spark, sf_dir, "documents").select("doc_id", "text")
+    if positioned:
+        scan = table(spark, sf_dir, "documents").select("doc_id", "text", scan_position())
     ids = F.transform(pretokenize(F.col("text")), lambda t: F.char_length(t))
     mask = F.when(
         F.col("doc_id") % 2 != 0, F.transform("input_ids", lambda x: F.when(x > 8, 0).otherwise(1))
