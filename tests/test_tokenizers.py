@@ -213,3 +213,10 @@ def test_train_and_inspect_jobs(spark, tmp_path):
     manifest.write_text(json.dumps({"splits": {"dev": splits["dev"]}}))
     with pytest.raises(DatasetError):
         train_tokenizer(spark, str(manifest), TokenizerConfig("bpe", 64), str(tmp_path / "none"))
+
+
+@pytest.mark.parametrize("size", [10, 1_000_000])
+def test_vocabulary_lookup(spark, size):
+    words = spark.createDataFrame([("a", 3), ("b", 2), ("c", 1)], "word string, n long")
+    found = vocab.lookup_ids(words, vocab.top_words(words, 7), size, 3).collect()
+    assert {r["word"]: r["id"] for r in found} == {"a": 5, "b": 6, "c": 3}

@@ -163,3 +163,16 @@ def test_row_numbers_over_files_and_blocks(spark, tmp_path):
         assert errors.agg({"row": "max"}).first()[0] == number
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_row_numbers_by_shuffle_join(spark, tmp_path, monkeypatch):
+    """Beyond the broadcast bound the block table is joined by shuffle, with the same result."""
+    from corpusops import session
+
+    for name in "ab":
+        write_lines(tmp_path / f"{name}.jsonl", [{"id": f"{name}{i}"} for i in range(50)])
+    monkeypatch.setattr(session, "BROADCAST_ROW_LIMIT", 0)
+    rows = with_row_numbers(scan_lines(spark, str(tmp_path))).collect()
+    assert {json.loads(r["value"])["id"]: r["row"] for r in rows} == {
+        f"{name}{i}": 50 * "ab".index(name) + i + 1 for name in "ab" for i in range(50)
+    }
