@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusops.llm import decontamination, language, mixture, near_duplicates, sharding
+from corpusops.llm import decontamination, language, mixture, near_duplicates, repeats, sharding
 from corpusops.llm.common import table
 
 N_SHARDS = 16
@@ -20,6 +20,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", held_out.alias("held_out"), "language.lang_pred", "language.score", "language.rejected")
 
 
+def op4_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.find_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op5_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), size=4)
 
@@ -55,6 +60,7 @@ def op9_mixture_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_language_id": op2_language_id,
+    "op4_suffix_levels": op4_suffix_levels,
     "op5_superminhash": op5_superminhash,
     "op6_stratified_shards": op6_stratified_shards,
     "op8_prefix_join": op8_prefix_join,
