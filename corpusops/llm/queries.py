@@ -5,10 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusops.llm import decontamination, language, mixture, near_duplicates, repeats, sharding
+from corpusops.llm import decontamination, language, links, mixture, near_duplicates, neighbours, repeats, sharding, toxicity
 from corpusops.llm.common import table
 
 N_SHARDS = 16
+RULES = [
+    ("org/", "allow"),
+    ("example.org/es/", "block"),
+    ("example.org/en/1", "block"),
+    ("com/fr/", "allow"),
+    ("com/de/", "block"),
+]
+
+
+def op1_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +31,13 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", held_out.alias("held_out"), "language.lang_pred", "language.score", "language.rejected")
 
 
+def op3_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    chain = toxicity.fit(docs, table(spark, sf_dir, "labels"), ["quality", "toxic"])
+    judged = toxicity.predict(docs, F.col("text"), chain)
+    return judged.select("doc_id", "toxicity.p_quality", "toxicity.p_toxic", F.col("toxicity.is_toxic").alias("toxic"))
+
+
 def op4_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeats.find_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -58,11 +76,19 @@ def op9_mixture_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = links.judge_urls(table(spark, sf_dir, "pages"), RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES = {
+    "op1_learned_partitions": op1_learned_partitions,
     "op2_language_id": op2_language_id,
+    "op3_toxicity_chain": op3_toxicity_chain,
     "op4_suffix_levels": op4_suffix_levels,
     "op5_superminhash": op5_superminhash,
     "op6_stratified_shards": op6_stratified_shards,
     "op8_prefix_join": op8_prefix_join,
     "op9_mixture_tree": op9_mixture_tree,
+    "op10_link_trust": op10_link_trust,
 }

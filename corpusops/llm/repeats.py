@@ -19,8 +19,8 @@ anchor form a block, a stretch of text of at most ``2 * length - GRAM`` bytes.
 An anchor with very many different blocks (a common line in ever new surroundings) would fill one
 shard. Its windows are counted by digest in a plain distributed aggregation instead.
 
-Texts are identified by MD5, so copies share one result. They are shuffled once, for the blocks
-of step 3 and the cuts of step 4 together; everything else is narrow.
+Texts are identified by MD5, so copies share one result. Texts are shuffled twice, to fetch the blocks
+of step 3 and to cut in step 4; everything else is narrow.
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ LENGTH = 200
 GRAM = 40
 CHUNK = 1 << 19  # windows looked at together; a block may be cut there, which step 3 makes good
 POSITION_BITS = 20
-BATCH_SUFFIXES = 20_000
+BATCH_SUFFIXES = 50_000
 SHARD_SUFFIXES = 150_000
 MOST_BLOCKS = 4_000  # different blocks of one anchor in a shard
 
@@ -117,12 +117,11 @@ class SuffixLevels:
             places.extend(range(at, at + len(block) - self.length + 1))
             at += len(block)
         array = self.scan(places)
+        while self.levels and len(self.levels[-1]) < 2 * len(array):
+            array = self.scan(self.levels.pop() + array)
         for level in self.levels:
             self.scan(level + array)
         self.levels.append(array)
-        while len(self.levels) > 1 and len(self.levels[-2]) < 2 * len(self.levels[-1]):
-            upper = self.levels.pop()
-            self.levels[-1] = self.scan(self.levels[-1] + upper)
 
     def scan(self, places: list[int]) -> list[int]:
         """Sort by suffix, which merges runs already in order, and mark equal neighbours."""
@@ -139,22 +138,30 @@ def _anchor_rows(length: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = Anchors(length)
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            source, anchors, digests, firsts, counts = [], [], [], [], []
+            texts = batch.column(1).to_pylist()
+            for i, text in enumerate(texts):
                 for anchor, first, count in cutter.blocks(text):
                     ends = (first + count + length - 1).tolist()
-                    digest = [xxhash.xxh3_64_intdigest(text[a:b]) for a, b in zip(first.tolist(), ends)]
-                    n = len(first)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([key]).take(pa.array(np.zeros(n, np.int64))),
-                            pa.array(np.full(n, len(text), np.int64)),
-                            pa.array(anchor.view(np.int64)),
-                            pa.array(np.array(digest, np.uint64).view(np.int64)),
-                            pa.array(first.astype(np.int64)),
-                            pa.array(count.astype(np.int32)),
-                        ],
-                        ["key", "n_bytes", "anchor", "digest", "first", "windows"],
-                    )
+                    digests += [xxhash.xxh3_64_intdigest(text[a:b]) for a, b in zip(first.tolist(), ends)]
+                    anchors.append(anchor)
+                    firsts.append(first)
+                    counts.append(count)
+                    source.append(np.full(len(first), i))
+            if not source:
+                continue
+            at = np.concatenate(source)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).take(pa.array(at)),
+                    pa.array(np.array([len(t) for t in texts], np.int64)[at]),
+                    pa.array(np.concatenate(anchors).view(np.int64)),
+                    pa.array(np.array(digests, np.uint64).view(np.int64)),
+                    pa.array(np.concatenate(firsts).astype(np.int64)),
+                    pa.array(np.concatenate(counts).astype(np.int32)),
+                ],
+                ["key", "n_bytes", "anchor", "digest", "first", "windows"],
+            )
 
     return rows
 
@@ -339,6 +346,7 @@ def find_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", le
         marked = marked.unionByName(hit.withColumn("high", F.col("low")))
 
     # 4: ranges of every occurrence, united per text.
+    marked = cut_lineage(marked)
     runs = blocks.join(marked, ["anchor", "digest"]).select(
         "key", "n_bytes", "first", F.explode(F.arrays_zip("low", "high")).alias("run")
     )
@@ -351,6 +359,7 @@ def find_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", le
         .select("key", "n_bytes", united(F.col("r.low"), F.col("r.high")).alias("s"))
         .select("key", "n_bytes", "s.*")
     )
+    spans = cut_lineage(spans)
     partly = spans.filter("n_removed < n_bytes").select("key", "starts", "ends")
     # A text that loses a part of itself only has no copy, so it meets one body.
     cuts = partly.join(bodies, "key").select("key", kept_sha256(F.col("body"), F.col("starts"), F.col("ends")).alias("sha"))
