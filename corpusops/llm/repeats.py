@@ -10,9 +10,9 @@ anchor form a block, a stretch of text of at most ``2 * length - GRAM`` bytes.
    repeat; most of a corpus ends here, having moved a few bytes per block.
 2. Equal blocks are counted by digest. What occurs twice is repeated as a whole, so a group of
    copies of any size becomes one row with a count.
-3. Anchors with several different blocks are dealt to shards of bounded size. A shard takes its
-   blocks in batches: each batch gets a suffix array of its windows, is merge-scanned against the
-   existing levels, where equal neighbours are repeats, and levels of equal size are merged, so each
+3. Anchors with several different blocks are dealt to shards of bounded size. Windows whose rolling
+   hash occurs once in the shard are passed over. A shard takes its blocks in batches: each batch gets
+   a suffix array of its windows, is merge-scanned against the existing levels, where equal neighbours are repeats, and levels of equal size are merged, so each
    suffix is merged a logarithmic number of times.
 4. The marked windows are carried to all occurrences of their block, united per text and cut out.
 
@@ -62,11 +62,28 @@ class Anchors:
         self.up, self.down = np.multiply.accumulate(ups), np.multiply.accumulate(downs)
         self.byte = mix(np.arange(1, 257, dtype=np.uint64))
 
-    def gram_hashes(self, raw: np.ndarray) -> np.ndarray:
+    def hashes(self, raw: np.ndarray, width: int) -> np.ndarray:
+        """Rolling hash of every ``width`` bytes, the same wherever they lie."""
         total = np.zeros(len(raw) + 1, np.uint64)
         np.cumsum(self.byte[raw] * self.up[: len(raw)], out=total[1:])
-        n = len(raw) - self.gram + 1
-        return mix((total[self.gram :] - total[:n]) * self.down[:n])
+        n = len(raw) - width + 1
+        return mix((total[width:] - total[:n]) * self.down[:n])
+
+    def candidates(self, blocks: list[bytes]) -> np.ndarray:
+        """For all bytes of the blocks end to end: whether a window begins there whose hash occurs twice."""
+        text = b"".join(blocks)
+        found = [
+            self.hashes(np.frombuffer(text, np.uint8, min(CHUNK + self.length - 1, len(text) - at), at), self.length)
+            for at in range(0, len(text) - self.length + 1, CHUNK)
+        ]
+        size = np.array([len(b) for b in blocks])
+        place = np.arange(len(text)) + self.length <= np.repeat(np.cumsum(size), size)
+        at = np.flatnonzero(place)
+        hashes = np.concatenate(found)[at]
+        order = np.argsort(hashes, kind="stable")
+        same = hashes[order][1:] == hashes[order][:-1]
+        place[at[order[~(np.append(False, same) | np.append(same, False))]]] = False
+        return place
 
     def smallest(self, keys: np.ndarray) -> np.ndarray:
         """Minimum of every run of ``width`` keys, from running minima of fixed pieces."""
@@ -84,7 +101,7 @@ class Anchors:
         low = np.uint64((1 << POSITION_BITS) - 1)
         for begin in range(0, windows, CHUNK):
             raw = np.frombuffer(text, np.uint8, min(CHUNK, windows - begin) + self.length - 1, begin)
-            hashes = self.gram_hashes(raw)
+            hashes = self.hashes(raw, self.gram)
             keys = (hashes & ~low) | np.arange(len(hashes), dtype=np.uint64)
             anchor = (self.smallest(keys) & low).astype(np.int64)
             first = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
@@ -107,15 +124,11 @@ class SuffixLevels:
     def suffix(self, place: int) -> bytes:
         return self.text[place : place + self.length]
 
-    def add(self, blocks: list[tuple[bytes, bool]]) -> None:
-        """Index a batch of (block, whether all of it is repeated elsewhere)."""
-        places: list[int] = []
-        at = len(self.text)
-        self.text = b"".join([self.text, *(block for block, _ in blocks)])
-        for block, known in blocks:
-            self.repeated += (b"\1" if known else b"\0") * len(block)
-            places.extend(range(at, at + len(block) - self.length + 1))
-            at += len(block)
+    def add(self, blocks: list[bytes], begins: np.ndarray) -> None:
+        """Index a batch of blocks; ``begins`` says for each of its bytes whether a window begins there."""
+        places = (np.flatnonzero(begins) + len(self.text)).tolist()
+        self.text = b"".join([self.text, *blocks])
+        self.repeated += bytes(len(begins))
         array = self.scan(places)
         while self.levels and len(self.levels[-1]) < 2 * len(array):
             array = self.scan(self.levels.pop() + array)
@@ -177,27 +190,26 @@ def _runs(flags: np.ndarray) -> tuple[list[int], list[int]]:
 
 def _index_shards(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [pa.Table.from_batches([b]) for b in batches]
+        shard = pa.concat_tables(rows) if rows else None
+        if not shard:
+            return
+        blocks = shard.column("block").to_pylist()
+        begins = Anchors(length).candidates(blocks)
+        ends = np.cumsum([len(b) for b in blocks])
         index = SuffixLevels(length)
-        names: list[tuple[int, int, int, int]] = []
-        waiting: list[tuple[bytes, bool]] = []
-        suffixes = at = 0
-        for batch in batches:
-            for anchor, digest, block, n in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if n == 1:
-                    names.append((anchor, digest, at, len(block)))
-                waiting.append((block, n > 1))
-                at += len(block)
-                suffixes += len(block) - length + 1
-                if suffixes >= BATCH_SUFFIXES:
-                    index.add(waiting)
-                    waiting, suffixes = [], 0
-        if waiting:
-            index.add(waiting)
+        first, done = 0, 0
+        # Batches of about as many windows each.
+        windows = np.cumsum(begins)[ends - 1]
+        while first < len(blocks):
+            last = max(first + 1, int(np.searchsorted(windows, windows[first - 1] * (first > 0) + BATCH_SUFFIXES, "right")))
+            index.add(blocks[first:last], begins[done : ends[last - 1]])
+            first, done = last, int(ends[last - 1])
         flags = np.frombuffer(bytes(index.repeated), np.uint8)
         anchors, digests, lows, highs = [], [], [], []
-        for anchor, digest, at, size in names:
-            low, high = _runs(flags[at : at + size])
-            if low:
+        for anchor, digest, n, end, block in zip(*(shard.column(c).to_pylist() for c in ("anchor", "digest", "n")), ends, blocks):
+            low, high = _runs(flags[end - len(block) : end])
+            if low and n == 1:
                 anchors.append(anchor)
                 digests.append(digest)
                 lows.append(low)
