@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -67,6 +68,38 @@ def _base(text: Column, norm: str, lower: bool, punct_policy: str) -> Column:
     return text
 
 
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _nfc_parts(lists: pa.Array) -> pa.Array:
+    lists = lists.cast(pa.list_(pa.string()))
+    return pa.array([None if x is None else [unicodedata.normalize("NFC", t) for t in x] for x in lists.to_pylist()], lists.type)
+
+
+def cut_specials(text: Column, specials: Sequence[str] = SPECIAL_TOKENS) -> Column:
+    """A text cut before and after every special token it spells out."""
+    names = "|".join(rf"\Q{t}\E" for t in sorted(specials, key=len, reverse=True))
+    # Marked by a noncharacter, which no text holds, so the longest token at a place wins.
+    return F.split(F.regexp_replace(text, f"({names})", "\uffff$1\uffff"), "\uffff")
+
+
+def holds_special(text: Column, specials: Sequence[str] = SPECIAL_TOKENS) -> Column:
+    return F.coalesce(text.rlike("|".join(rf"\Q{t}\E" for t in specials)), F.lit(False))
+
+
+def normalize_parts(parts: Column, norm: str, lower: bool, punct_policy: str, specials: Sequence[str]) -> Column:
+    """The encoder's normaliser for each part of a cut text; special tokens stay as they are."""
+    if norm == "nfc":
+        parts = _nfc_parts(parts)
+    collapse = norm != "none" or lower or punct_policy != "keep"
+
+    def normal(part: Column) -> Column:
+        if lower:
+            part = F.translate(part, "\u03a3", "\u03c3")
+        part = _base(part, "none", lower, punct_policy)
+        return _collapse(part, RUN) if collapse else part
+
+    return F.transform(parts, lambda part: F.when(part.isin(*specials), part).otherwise(normal(part)))
+
+
 def _collapse(text: Column, run: str) -> Column:
     return F.trim(F.regexp_replace(text, run, " "))
 
@@ -79,6 +112,9 @@ def normalize_training(text: Column, norm: str = "nfc", lower: bool = True, punc
 
 def normalize_encoding(text: Column, norm: str = "nfc", lower: bool = True, punct_policy: str = "keep") -> Column:
     """Normaliser of the encoder: whitespace is collapsed as soon as any step is on."""
+    if lower:
+        # The encoder maps characters one by one, so a final capital sigma becomes the plain one.
+        text = F.translate(nfc(text) if norm == "nfc" else text, "\u03a3", "\u03c3")
     result = _base(text, norm, lower, punct_policy)
     if norm == "none" and not lower and punct_policy == "keep":
         return result

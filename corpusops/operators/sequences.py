@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusops.contracts import DatasetError
 from corpusops.functions.arrays import pad
@@ -105,29 +109,46 @@ def context_pairs(sequences: DataFrame, window: int, causal: bool, n_global: int
     )
 
 
-def positions(sequences: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per position: index, id and mask (1 where there is none)."""
-    zipped = F.arrays_zip(F.col("input_ids").alias("id"), F.coalesce("attention_mask", F.transform("input_ids", lambda _: F.lit(1))).alias("mask"))
-    return sequences.select(*keys, F.posexplode(zipped).alias("pos", "t")).select(
-        *keys, "pos", F.col("t").getField("id").alias("id"), F.col("t").getField("mask").alias("mask")
-    )
+def prefix_mean(sequences: DataFrame, causal: bool = True, name: str = "mean") -> DataFrame:
+    """Add the running mean of the unmasked ids of each sequence, or its overall mean, at every position."""
+    return sequences.withColumn(name, _means(0, None if causal else -1))
 
 
-def _mean(frame) -> Column:
-    """Mean of the unmasked ids of a frame; 0 if there are none."""
-    kept = F.when(F.col("mask") != 0, F.col("id"))
-    return F.coalesce(F.try_divide(F.sum(kept).over(frame).cast("double"), F.count(kept).over(frame)), F.lit(0.0))
+def sliding_mean(sequences: DataFrame, window: int, causal: bool = True, name: str = "mean") -> DataFrame:
+    """Add the mean over the sliding window that ends at, or surrounds, each position."""
+    _check_window(window)
+    return sequences.withColumn(name, _means(window + 1, 0 if causal else window))
 
 
-def prefix_mean(tokens: DataFrame, key: str, causal: bool = True) -> DataFrame:
-    """Running mean of each sequence, or its overall mean at every position."""
-    frame = W.partitionBy(key).orderBy("pos")
-    end = W.currentRow if causal else W.unboundedFollowing
-    return tokens.withColumn("mean", _mean(frame.rowsBetween(W.unboundedPreceding, end)))
+def _means(reach: int, ahead: int | None) -> Column:
+    """Means of a window of each position, from running sums of the row's own arrays.
 
+    ``reach`` is how many positions the window spans up to and with its own (0: from the start), ``ahead``
+    how many follow (None: none, -1: to the end). A position whose window has no unmasked id
+    gets 0. A sequence lies in one row, so nothing is shuffled.
+    """
 
-def sliding_mean(tokens: DataFrame, key: str, window: int, causal: bool = True) -> DataFrame:
-    """Mean over the sliding window that ends at, or surrounds, each position."""
-    _check_window(window)
-    frame = W.partitionBy(key).orderBy("pos").rowsBetween(-window, 0 if causal else window)
-    return tokens.withColumn("mean", _mean(frame))
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def means(ids: pa.Array, masks: pa.Array) -> pa.Array:
+        sizes = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        out, offsets, valid = [], np.append(0, np.cumsum(sizes)), ids.is_valid()
+        for i, n in enumerate(sizes):
+            if not n:
+                continue
+            row = ids[i].values
+            kept = row.is_valid().to_numpy(zero_copy_only=False)
+            if masks[i].is_valid:
+                mask = masks[i].values.fill_null(0).to_numpy(zero_copy_only=False) != 0
+                kept &= np.append(mask, np.zeros(max(0, n - len(mask)), bool))[:n]
+            value = np.where(kept, row.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), 0)
+            total, count = np.append(0, np.cumsum(value)), np.append(0, np.cumsum(kept))
+            at = np.arange(n)
+            low = np.maximum(at - reach + 1, 0) if reach else np.zeros(n, np.int64)
+            high = np.full(n, n) if ahead == -1 else np.minimum(at + (ahead or 0) + 1, n)
+            sums, counts = total[high] - total[low], count[high] - count[low]
+            out.append(np.where(counts > 0, sums / np.maximum(counts, 1), 0.0))
+        flat = np.concatenate(out) if out else np.zeros(0)
+        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))
+        return pc.if_else(valid, lists, pa.scalar(None, lists.type))
+
+    return means(F.col("input_ids"), F.col("attention_mask"))

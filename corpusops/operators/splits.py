@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusops.contracts import DatasetError
@@ -14,31 +14,35 @@ from corpusops.operators.ranking import PLACE, below, cut_points, seeded_key, wi
 
 
 def parse_ratios(text: str) -> dict[str, float]:
-    """``train=0.8,dev=0.2`` to a mapping."""
+    """``train=0.8,dev=0.2`` to a mapping; a name given twice keeps its last ratio."""
     if not text:
         raise DatasetError("at least one split ratio is needed")
-    ratios: dict[str, float] = {}
-    for part in text.split(","):
-        name, _, value = part.partition("=")
-        if not name or not value:
-            raise DatasetError(f"split '{part}' must look like name=ratio")
-        try:
-            ratios[name.strip()] = float(value)
-        except ValueError as error:
-            raise DatasetError(f"split '{name}' has no numeric ratio: {value}") from error
-    return ratios
+    return dict(map(_ratio, text.split(",")))
+
+
+def _ratio(entry: str) -> tuple[str, float]:
+    match = re.fullmatch(r"([^=]+)=(.+)", entry)
+    if match is None:
+        raise DatasetError(f"split '{entry}' must look like name=ratio")
+    name, number = match.group(1).strip(), match.group(2)
+    try:
+        return name, float(number)
+    except ValueError:
+        raise DatasetError(f"split '{name}' has no numeric ratio: {number}") from None
 
 
 def normalise_ratios(ratios: Mapping[str, float]) -> dict[str, float]:
-    if not ratios:
-        raise DatasetError("at least one split is needed")
-    negative = [name for name, value in ratios.items() if value < 0]
-    if negative:
-        raise DatasetError(f"split ratios must not be negative: {negative}")
-    total = sum(ratios.values())
-    if total <= 0:
-        raise DatasetError("split ratios must have a positive sum")
-    return {name: value / total for name, value in ratios.items()}
+    """Ratios scaled to a sum of one."""
+    total = math.fsum(ratios.values())
+    below_zero = sorted(name for name in ratios if ratios[name] < 0)
+    for wrong, message in (
+        (not ratios, "at least one split is needed"),
+        (below_zero, f"split ratios must not be negative: {below_zero}"),
+        (not total > 0, "split ratios must have a positive sum"),
+    ):
+        if wrong:
+            raise DatasetError(message)
+    return {name: ratios[name] / total for name in ratios}
 
 
 def allocate(total: int, ratios: Mapping[str, float]) -> dict[str, int]:
@@ -52,21 +56,22 @@ def allocate(total: int, ratios: Mapping[str, float]) -> dict[str, int]:
 
 
 def allocation(totals: DataFrame, ratios: Mapping[str, float], total: str = "total") -> DataFrame:
-    """The same rule for many totals at once: one row per input row and split."""
-    keys = totals.columns
-    names = normalise_ratios(ratios)
-    shares = totals.select(
-        "*",
-        F.inline(F.array(*[F.struct(F.lit(n).alias("split"), F.lit(r).alias("ratio")) for n, r in names.items()])),
-    ).withColumn("share", F.col("ratio") * F.col(total))
-    floors = F.floor("share").cast("long")
-    best = W.partitionBy(*keys).orderBy(F.desc(F.col("share") - floors), F.desc("split"))
-    left = F.col(total) - F.sum(floors).over(W.partitionBy(*keys))
-    return shares.select(
-        *keys,
-        "split",
-        (floors + F.when(F.row_number().over(best) <= left, 1).otherwise(0)).cast("long").alias("rows"),
-    )
+    """The same rule for many totals at once: one row per input row and split, without a shuffle."""
+    # By name from the last: array positions then order ties as the rule wants them.
+    names = sorted(normalise_ratios(ratios).items(), reverse=True)
+    share = [F.col(total) * F.lit(ratio) for _, ratio in names]
+    base = [F.floor(s).cast("long") for s in share]
+    left = F.col(total) - sum(base[1:], base[0])
+    best = F.array_sort(F.array(*[F.struct((b - s).alias("less"), F.lit(i).alias("at")) for i, (s, b) in enumerate(zip(share, base))]))
+    order = F.transform(best, lambda x: x["at"])
+    rows = [
+        F.struct(
+            F.lit(name).alias("split"),
+            (b + F.when(F.array_position(order, i) <= left, 1).otherwise(0)).cast("long").alias("rows"),
+        )
+        for i, ((name, _), b) in enumerate(zip(names, base))
+    ]
+    return totals.select("*", F.inline(F.array(*rows)))
 
 
 def assign_splits(

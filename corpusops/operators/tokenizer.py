@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import itertools
 import json
 import math
 from collections.abc import Callable
@@ -18,10 +19,15 @@ from pyspark.sql import types as T
 from corpusops.contracts import DatasetError
 from corpusops.functions.text import (
     ALGORITHMS,
+    NORMS,
+    PUNCT_POLICIES,
     SPECIAL_TOKENS,
     byte_pieces,
     check_text_options,
+    cut_specials,
+    holds_special,
     normalize_encoding,
+    normalize_parts,
     normalize_training,
     pretokenize,
 )
@@ -29,6 +35,7 @@ from corpusops.operators.vocab import add_missing_specials
 
 UNKNOWN_PENALTY = 10.0
 WORD_CACHE = 200_000
+MOST_ID = 20_000_000  # of an imported vocabulary
 
 
 @dataclass(frozen=True)
@@ -45,7 +52,7 @@ class TokenizerConfig:
             raise DatasetError(f"unknown algorithm '{self.algo}', expected one of {list(ALGORITHMS)}")
         check_text_options(self.norm, self.punct_policy)
         if self.vocab_size <= len(SPECIAL_TOKENS):
-            raise DatasetError("vocab_size must exceed the number of special tokens")
+            raise DatasetError("no room for anything but special tokens in a vocabulary of this size")
 
     @property
     def tokenizer_id(self) -> str:
@@ -85,10 +92,14 @@ def byte_characters() -> list[str]:
 @dataclass(frozen=True)
 class TokenizerModel:
     config: TokenizerConfig
-    tokens: list[str]
+    # A token's id is its place; a file may leave places empty.
+    tokens: list[str | None]
     scores: list[float] = field(default_factory=list)
     merges: list[tuple[str, str]] = field(default_factory=list)
     byte_level: bool = False
+    unknown: str | None = "<unk>"
+    fuse_unk: bool = False
+    specials: tuple[str, ...] = SPECIAL_TOKENS
 
     @property
     def kind(self) -> str:
@@ -96,7 +107,7 @@ class TokenizerModel:
 
     @property
     def ids(self) -> dict[str, int]:
-        return {t: i for i, t in enumerate(self.tokens)}
+        return {t: i for i, t in enumerate(self.tokens) if t is not None}
 
     @property
     def unk_id(self) -> int:
@@ -114,7 +125,7 @@ class TokenizerModel:
     def vocabulary(self, spark: SparkSession) -> DataFrame:
         scores = self.scores or [None] * len(self.tokens)
         return spark.createDataFrame(
-            [(t, i, s) for i, (t, s) in enumerate(zip(self.tokens, scores))], "token string, id long, score double"
+            [(t, i, s) for i, (t, s) in enumerate(zip(self.tokens, scores)) if t is not None], "token string, id long, score double"
         )
 
     def merge_table(self, spark: SparkSession) -> DataFrame:
@@ -122,17 +133,7 @@ class TokenizerModel:
 
     def to_json(self) -> dict[str, Any]:
         """The common exchange layout of tokenizer files."""
-        steps: list[dict[str, Any]] = []
-        if self.config.norm == "nfc":
-            steps.append({"type": "NFC"})
-        if self.config.lower:
-            steps.append({"type": "Lowercase"})
-        if self.config.punct_policy != "keep":
-            content = " " if self.config.punct_policy == "space" else ""
-            steps.append({"type": "Replace", "pattern": {"Regex": r"\p{P}+"}, "content": content})
-        if steps:
-            steps.append({"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "})
-            steps.append({"type": "Strip", "strip_left": True, "strip_right": True})
+        steps = normalizer_steps(self.config.norm, self.config.lower, self.config.punct_policy)
         ids = self.special_ids()
         level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
         piece = {"Sequence": {"id": "A", "type_id": 0}}
@@ -140,13 +141,13 @@ class TokenizerModel:
         mark = {t: {"SpecialToken": {"id": t, "type_id": 0}} for t in SPECIAL_TOKENS}
         if self.kind == "BPE":
             model: dict[str, Any] = {
-                "type": "BPE", "dropout": None, "unk_token": "<unk>", "continuing_subword_prefix": None,
-                "end_of_word_suffix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False,
+                "type": "BPE", "dropout": None, "unk_token": self.unknown, "continuing_subword_prefix": None,
+                "end_of_word_suffix": None, "fuse_unk": self.fuse_unk, "byte_fallback": False, "ignore_merges": False,
                 "vocab": self.ids, "merges": [list(m) for m in self.merges],
             }
         else:
             model = {
-                "type": "Unigram", "unk_id": self.unk_id, "byte_fallback": False,
+                "type": "Unigram", "unk_id": self.ids[self.unknown], "byte_fallback": False,
                 "vocab": [[t, s] for t, s in zip(self.tokens, self.scores)],
             }
         return {
@@ -158,7 +159,8 @@ class TokenizerModel:
             },
             "added_tokens": [
                 {"id": i, "content": t, "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True}
-                for t, i in ids.items()
+                for t, i in self.ids.items()
+                if t in self.specials
             ],
             "normalizer": {"type": "Sequence", "normalizers": steps} if steps else None,
             "pre_tokenizer": level if self.byte_level else {"type": "Whitespace"},
@@ -174,66 +176,133 @@ class TokenizerModel:
 
     @classmethod
     def from_json(cls, document: dict[str, Any], seed: int = 13) -> TokenizerModel:
-        """Import a tokenizer file; special tokens it lacks are appended."""
+        """Import a tokenizer file with the ids it has; special tokens it lacks are appended.
+
+        Whatever this engine would encode differently from the file is refused.
+        """
         model = document["model"]
         kind = model.get("type") or ("BPE" if "merges" in model else "Unigram")
         scores: list[float] = []
         merges: list[tuple[str, str]] = []
         if kind == "BPE":
-            tokens = [t for t, _ in sorted(model["vocab"].items(), key=lambda e: e[1])]
+            _refuse(model, "model", dropout=None, continuing_subword_prefix=None, end_of_word_suffix=None, byte_fallback=False, ignore_merges=False)
+            tokens = _by_id(model["vocab"].items())
             merges = [tuple(m.split(" ", 1)) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+            unknown, fuse = model.get("unk_token"), bool(model.get("fuse_unk"))
+            if unknown is not None and unknown not in model["vocab"]:
+                raise DatasetError(f"the unknown token '{unknown}' is not in the vocabulary")
         elif kind == "Unigram":
+            _refuse(model, "model", byte_fallback=False)
             tokens = [t for t, _ in model["vocab"]]
             scores = [float(s) for _, s in model["vocab"]]
+            if model.get("unk_id") is None:
+                raise DatasetError("cannot import a Unigram model without an unknown token")
+            unknown, fuse = tokens[model["unk_id"]], True
         else:
             raise DatasetError(f"cannot import a tokenizer of type '{kind}'")
-        for added in sorted(document.get("added_tokens") or [], key=lambda a: a["id"]):
-            if added["content"] not in tokens and added["id"] == len(tokens):
-                tokens.append(added["content"])
+        added = document.get("added_tokens") or []
+        for token in added:
+            _refuse(token, f"added token '{token['content']}'", single_word=False, lstrip=False, rstrip=False, normalized=False)
+            tokens = _placed(tokens, token["content"], token["id"])
+        specials = tuple(dict.fromkeys([*(t["content"] for t in added), *SPECIAL_TOKENS]))
         tokens = add_missing_specials(tokens)
         scores = scores + [0.0] * (len(tokens) - len(scores)) if scores else scores
         norm, lower, policy = _read_normalizer(document.get("normalizer"))
-        pre = (document.get("pre_tokenizer") or {}).get("type")
-        if pre not in ("Whitespace", "ByteLevel"):
-            raise DatasetError(f"cannot import pre-tokenizer '{pre}'")
-        algo = "bpe" if kind == "BPE" else ("char" if pre == "ByteLevel" else "unigram")
+        pre = document.get("pre_tokenizer") or {}
+        if pre.get("type") not in ("Whitespace", "ByteLevel"):
+            raise DatasetError(f"cannot import pre-tokenizer '{pre.get('type')}'")
+        _refuse(pre, "pre-tokenizer", add_prefix_space=False, use_regex=True)
+        byte_level = pre["type"] == "ByteLevel"
+        algo = "bpe" if kind == "BPE" else ("char" if byte_level else "unigram")
         config = TokenizerConfig(algo, len(tokens), norm, lower, policy, seed)
-        return cls(config, tokens, scores, merges, pre == "ByteLevel")
+        return cls(config, tokens, scores, merges, byte_level, unknown, fuse, specials)
 
-    def parts(self) -> tuple[str, list[str], list[float], list[tuple[str, str]], bool]:
+    def parts(self) -> tuple[Any, ...]:
         """The model as plain values, to be broadcast."""
-        return self.kind, self.tokens, self.scores, self.merges, self.byte_level
+        return self.kind, self.tokens, self.scores, self.merges, self.byte_level, self.unknown, self.fuse_unk, self.specials
 
 
 def segmenter(
-    kind: str, tokens: list[str], scores: list[float], merges: list[tuple[str, str]], byte_level: bool
+    kind: str,
+    tokens: list[str | None],
+    scores: list[float],
+    merges: list[tuple[str, str]],
+    byte_level: bool,
+    unknown: str | None = "<unk>",
+    fuse_unk: bool = False,
+    specials: tuple[str, ...] = SPECIAL_TOKENS,
 ) -> Callable[[str], list[int]]:
-    """Segmentation of one pre-token into ids. Called once per distinct word of a batch."""
-    core = _bpe_segmenter(tokens, merges) if kind == "BPE" else _unigram_segmenter(tokens, scores)
-    if not byte_level:
-        return core
+    """Segmentation of one pre-token into ids. Called once per distinct word of a batch.
+
+    A special token is a word of its own; no pre-token of ordinary text can be spelled like one.
+    """
+    core = _bpe_segmenter(tokens, merges, unknown, fuse_unk) if kind == "BPE" else _unigram_segmenter(tokens, scores, unknown)
+    whole = {t: [i] for i, t in enumerate(tokens) if t in specials}
     table = byte_characters()
-    return lambda piece: core("".join(table[b] for b in piece.encode("utf-8")))
+
+    def segment(word: str) -> list[int]:
+        if word in whole:
+            return whole[word]
+        return core("".join(table[b] for b in word.encode("utf-8"))) if byte_level else core(word)
+
+    return segment
+
+
+def _refuse(node: dict[str, Any], what: str, **expected: Any) -> None:
+    """Raise unless each setting that is given has the value this engine implements."""
+    for name, value in expected.items():
+        if node.get(name, value) not in (value, *((None, "", False) if not value else ())):
+            raise DatasetError(f"cannot import {what} with {name} = {node[name]!r}")
+
+
+def _by_id(entries) -> list[str | None]:
+    """Tokens at the place of their id; a place without a token holds None."""
+    tokens: list[str | None] = []
+    for token, number in sorted(entries, key=lambda e: e[1]):
+        tokens = _placed(tokens, token, number)
+    return tokens
+
+
+def _placed(tokens: list[str | None], token: str, number: int) -> list[str | None]:
+    if number > MOST_ID:
+        raise DatasetError(f"token ids must not exceed {MOST_ID}")
+    tokens += [None] * (number + 1 - len(tokens))
+    if tokens[number] not in (None, token):
+        raise DatasetError(f"id {number} stands for '{tokens[number]}' and for '{token}'")
+    tokens[number] = token
+    return tokens
+
+
+def normalizer_steps(norm: str, lower: bool, punct_policy: str) -> list[dict[str, Any]]:
+    """The encoder's normaliser in the exchange layout."""
+    steps: list[dict[str, Any]] = []
+    if norm == "nfc":
+        steps.append({"type": "NFC"})
+    if lower:
+        steps.append({"type": "Lowercase"})
+    if punct_policy != "keep":
+        content = " " if punct_policy == "space" else ""
+        steps.append({"type": "Replace", "pattern": {"Regex": r"\p{P}+"}, "content": content})
+    if steps:
+        steps.append({"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "})
+        steps.append({"type": "Strip", "strip_left": True, "strip_right": True})
+    return steps
 
 
 def _read_normalizer(node: dict[str, Any] | None) -> tuple[str, bool, str]:
+    """The options that make exactly these steps."""
     steps = [] if node is None else node["normalizers"] if node["type"] == "Sequence" else [node]
-    norm, lower, policy = "none", False, "keep"
-    for step in steps:
-        if step["type"] == "NFC":
-            norm = "nfc"
-        elif step["type"] == "Lowercase":
-            lower = True
-        elif step["type"] == "Replace" and step["pattern"].get("Regex") == r"\p{P}+":
-            policy = "space" if step["content"] == " " else "strip"
-        elif step["type"] not in ("Replace", "Strip"):
-            raise DatasetError(f"cannot import normaliser '{step['type']}'")
-    return norm, lower, policy
-
-
-def _bpe_segmenter(tokens: list[str], merges: list[tuple[str, str]]) -> Callable[[str], list[int]]:
-    ids = {t: i for i, t in enumerate(tokens)}
-    unk = ids["<unk>"]
+    for norm, lower, policy in itertools.product(NORMS, (False, True), PUNCT_POLICIES):
+        if normalizer_steps(norm, lower, policy) == steps:
+            return norm, lower, policy
+    raise DatasetError(f"cannot import normaliser {[step.get('type') for step in steps]}")
+
+
+def _bpe_segmenter(
+    tokens: list[str | None], merges: list[tuple[str, str]], unknown: str | None, fuse_unk: bool
+) -> Callable[[str], list[int]]:
+    ids = {t: i for i, t in enumerate(tokens) if t is not None}
+    unk = None if unknown is None else ids[unknown]
     ranks = {pair: i for i, pair in enumerate(merges)}
 
     def segment(word: str) -> list[int]:
@@ -258,14 +327,16 @@ def _bpe_segmenter(tokens: list[str], merges: list[tuple[str, str]]) -> Callable
             for a, b in ((before[i], i), (i, after[i])):
                 if a >= 0 and b < size and (parts[a], parts[b]) in ranks:
                     heapq.heappush(waiting, (ranks[parts[a], parts[b]], a, (parts[a], parts[b])))
-        return [ids.get(p, unk) for p in parts if p is not None]
+        found = [ids.get(p, unk) for p in parts if p is not None]
+        # Without an unknown token what is unknown leaves nothing.
+        return [t for i, t in enumerate(found) if t is not None and not (fuse_unk and t == unk and i and found[i - 1] == unk)]
 
     return segment
 
 
-def _unigram_segmenter(tokens: list[str], scores: list[float]) -> Callable[[str], list[int]]:
+def _unigram_segmenter(tokens: list[str], scores: list[float], unknown_token: str) -> Callable[[str], list[int]]:
     ids = {t: i for i, t in enumerate(tokens)}
-    unk = ids["<unk>"]
+    unk = ids[unknown_token]
     score = {t: s for t, s in zip(tokens, scores) if t not in SPECIAL_TOKENS}
     longest = max((len(t) for t in score), default=1)
     unknown = min(scores, default=0.0) - UNKNOWN_PENALTY
@@ -332,10 +403,19 @@ def encode_words(words: Column, model: TokenizerModel, spark: SparkSession) -> C
 
 
 def encode(texts: DataFrame, model: TokenizerModel, text: str = "payload", name: str = "input_ids") -> DataFrame:
-    """Add the token ids of a text column; no special tokens are added."""
-    normal = model.config.encoding_text(F.col(text))
-    words = byte_pieces(normal) if model.byte_level else pretokenize(normal)
-    words = F.coalesce(words, F.array().cast("array<string>"))
+    """Add the token ids of a text column; no special tokens are added.
+
+    Special tokens spelled out in a text become their ids. They are cut out before anything is
+    normalised; texts without any take the plain path.
+    """
+    config, raw = model.config, F.col(text)
+    pieces = byte_pieces if model.byte_level else pretokenize
+    special = holds_special(raw, model.specials)
+    parts = cut_specials(F.when(special, raw), model.specials)
+    parts = normalize_parts(parts, config.norm, config.lower, config.punct_policy, model.specials)
+    cut = F.flatten(F.transform(parts, lambda p: F.when(p.isin(*model.specials), F.array(p)).otherwise(pieces(p))))
+    plain = pieces(config.encoding_text(F.when(~special, raw)))
+    words = F.coalesce(plain, cut, F.array().cast("array<string>"))
     return texts.withColumn(name, encode_words(words, model, texts.sparkSession))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusops.contracts import Contract, InvalidDatasetError
 from corpusops.functions.records import TypedRecord, VariantRecord
+from corpusops.sources.readers import is_object, line_problem
 
 Record = VariantRecord | TypedRecord
 
@@ -68,6 +69,12 @@ def check(df: DataFrame, contract: Contract) -> DataFrame:
     return df.withColumn("errors", row_errors(record_of(df), contract))
 
 
+def check_lines(parsed: DataFrame, contract: Contract) -> DataFrame:
+    """``check`` for parsed lines of any kind: one that holds no JSON object has that as its only message."""
+    problem = F.array(line_problem())
+    return parsed.withColumn("errors", F.when(is_object(), row_errors(VariantRecord("v"), contract)).otherwise(problem))
+
+
 def summary(checked: DataFrame) -> DataFrame:
     """Total, valid and invalid rows in one pass."""
     return checked.agg(

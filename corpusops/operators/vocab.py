@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusops.functions.text import SPECIAL_TOKENS, byte_pieces, bytes_of, pretokenize
+from corpusops.session import BROADCAST_BYTES, ROW_BYTES, join_small
 
 
 def word_counts(texts: DataFrame, text: Column, pieces=pretokenize) -> DataFrame:
@@ -67,11 +68,12 @@ def add_missing_specials(vocabulary: list[str]) -> list[str]:
 def lookup_ids(words: DataFrame, vocabulary: DataFrame, vocab_size: int, unk_id: int, word: str = "word") -> DataFrame:
     """Id of each word, ``unk_id`` outside the vocabulary.
 
-    ``vocab_size`` bounds the broadcast side; a vocabulary beyond the bound is joined by shuffle.
+    ``vocab_size`` is what the caller expects; the table is counted before it is broadcast, and a vocabulary
+    beyond the bound is joined by shuffle.
     """
-    from corpusops.session import BROADCAST_ROW_LIMIT
-
     table = vocabulary.select(F.col("token").alias(word), F.col("id"))
-    if vocab_size <= BROADCAST_ROW_LIMIT:
-        table = F.broadcast(table)
-    return words.join(table, word, "left").withColumn("id", F.coalesce("id", F.lit(unk_id).cast("long")))
+    if vocab_size * ROW_BYTES <= BROADCAST_BYTES:
+        joined = join_small(words, table, [word], "left")
+    else:
+        joined = words.join(table, word, "left")
+    return joined.withColumn("id", F.coalesce("id", F.lit(unk_id).cast("long")))

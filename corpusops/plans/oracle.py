@@ -59,6 +59,15 @@ checked AS (
   FROM objects
 )"""
 
+# Lines that hold no object have that as their only message.
+ALL_CHECKED = f"""{CHECKED},
+all_checked AS (
+  SELECT doc_id, errors FROM checked
+  UNION ALL
+  SELECT doc_id, [CASE WHEN is_json THEN 'not a JSON object' ELSE 'malformed JSON' END] FROM lines
+  WHERE kind IS DISTINCT FROM 'OBJECT'
+)"""
+
 RECORDS = """
 records AS (
   SELECT 'doc-' || doc_id AS id, CASE WHEN quality IS NOT NULL THEN 'cls' ELSE 'lm' END AS task, text,
@@ -148,13 +157,13 @@ ORACLE: dict[str, str] = {
         SELECT "row", doc_id, CAST(ord - 1 AS INTEGER) AS ord, message FROM (
           SELECT "row", doc_id, unnest(errors) AS message, unnest(range(1, len(errors) + 1)) AS ord FROM checked
         )""",
-    "p09_quarantine": f"""WITH {CHECKED}
+    "p09_quarantine": f"""WITH {ALL_CHECKED}
         SELECT doc_id, CASE WHEN len(errors) = 0 THEN 'valid' ELSE 'quarantine' END AS side,
-          array_to_string(errors, '; ') AS messages FROM checked""",
+          array_to_string(errors, '; ') AS messages FROM all_checked""",
     "p11_row_number": f'WITH {RAW_LINES} SELECT doc_id, "row" FROM lines',
-    "a01_validation_summary": f"""WITH {CHECKED}
+    "a01_validation_summary": f"""WITH {ALL_CHECKED}
         SELECT count(*) AS rows_total, count(*) FILTER (len(errors) = 0) AS rows_valid,
-          count(*) FILTER (len(errors) > 0) AS rows_invalid FROM checked""",
+          count(*) FILTER (len(errors) > 0) AS rows_invalid FROM all_checked""",
     "k07_row_sha256": "SELECT doc_id, sha256(text) AS sha256 FROM documents",
     "a02_unique_ids": f"""WITH {RECORDS}
         SELECT count(DISTINCT id) + coalesce(max(CASE WHEN id IS NULL THEN 1 ELSE 0 END), 0) AS unique_ids FROM records""",
@@ -423,9 +432,9 @@ ORACLE |= {
         SELECT run, round(loss, 6) AS loss, round(exp(least(20.0, loss)), 3) AS ppl FROM (
           SELECT run, sum(loss * n_tokens) / greatest(1, sum(n_tokens)) AS loss FROM eval_log GROUP BY run)""",
     "a20_throughput": f"""WITH {_LOG}
-        SELECT CAST(ceil(step / 50) AS BIGINT) AS "interval", CAST(sum(n_tokens) AS BIGINT) AS tokens,
+        SELECT run, CAST(ceil(step / 50) AS BIGINT) AS "interval", CAST(sum(n_tokens) AS BIGINT) AS tokens,
           round(sum(n_tokens) / sum(loss), 6) AS tokens_per_s, round(sum(loss) / 50 * 1000, 6) AS step_ms,
-          bool_or(step % 50 = 0) AS complete FROM eval_log GROUP BY 1""",
+          bool_or(step % 50 = 0) AS complete FROM eval_log GROUP BY 1, 2""",
     "w01_best_so_far": f"""WITH {_LOG}
         SELECT run, step, min(loss) OVER (PARTITION BY run ORDER BY step) AS best FROM eval_log""",
     "o06_latest_run": "SELECT event_id AS run_id, event_type AS kind FROM events ORDER BY ts DESC, event_id DESC LIMIT 1",
@@ -440,7 +449,7 @@ ORACLE |= {
         FROM events c JOIN events p ON p.event_id = c.event_id - c.event_id % 5 WHERE c.event_id % 5 <> 0""",
     "st1_metrics_tail": """SELECT event_type AS metric, count(*) AS n, round(sum(value), 6) AS total,
         min(value) AS low, max(value) AS high FROM events GROUP BY event_type""",
-    "st2_stream_validate": f"""WITH {CHECKED}
+    "st2_stream_validate": f"""WITH {ALL_CHECKED}
         SELECT doc_id, CASE WHEN len(errors) = 0 THEN 'valid' ELSE 'quarantine' END AS side,
-          array_to_string(errors, '; ') AS messages FROM checked""",
+          array_to_string(errors, '; ') AS messages FROM all_checked""",
 }

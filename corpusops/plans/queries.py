@@ -106,7 +106,8 @@ def p05_row_errors(spark, sf_dir):
 
 @query("p09_quarantine")
 def p09_quarantine(spark, sf_dir):
-    valid, quarantine = validation.split_valid(validation.check(_objects(spark, sf_dir), CONTRACT))
+    lines = readers.parse_lines(views.raw_lines(spark, sf_dir))
+    valid, quarantine = validation.split_valid(validation.check_lines(lines, CONTRACT))
     return valid.select("doc_id", F.lit("valid").alias("side"), F.lit("").alias("messages")).unionByName(
         quarantine.select("doc_id", F.lit("quarantine").alias("side"), F.array_join("errors", "; ").alias("messages"))
     )
@@ -119,7 +120,8 @@ def p11_row_number(spark, sf_dir):
 
 @query("a01_validation_summary")
 def a01_validation_summary(spark, sf_dir):
-    return validation.summary(validation.check(_objects(spark, sf_dir), CONTRACT))
+    lines = readers.parse_lines(views.raw_lines(spark, sf_dir))
+    return validation.summary(validation.check_lines(lines, CONTRACT))
 
 
 @query("k07_row_sha256")
@@ -356,7 +358,7 @@ def t02_bpe_merges(spark, sf_dir):
 @query("t03_unigram")
 def t03_unigram(spark, sf_dir):
     config = TokenizerConfig("unigram", 4_000)
-    return learn(views.documents(spark, sf_dir), config, "text", seed_size=12_000).vocabulary(spark)
+    return learn(views.documents(spark, sf_dir), config, "text").vocabulary(spark)
 
 
 @query("t05_encode")
@@ -472,26 +474,26 @@ def j05_global_pairs(spark, sf_dir):
     return sequences.context_pairs(views.sequences(spark, sf_dir), window=2, causal=True, n_global=2)
 
 
-def _mean_digest(tokens: DataFrame) -> DataFrame:
+def _mean_digest(means: DataFrame) -> DataFrame:
     """Figures per sequence that pin down the means at all its positions."""
-    return tokens.groupBy("seq_id").agg(
-        F.count(F.lit(1)).alias("positions"),
-        F.min("mean").alias("low"),
-        F.max("mean").alias("high"),
-        F.sum(F.floor(F.col("mean") * 1000).cast("long") * (F.col("pos") % 1000 + 1)).alias("digest"),
+    weighted = F.transform("mean", lambda m, pos: F.floor(m * 1000).cast("long") * (pos % 1000 + 1))
+    return means.filter(F.size("mean") > 0).select(
+        "seq_id",
+        F.size("mean").cast("long").alias("positions"),
+        F.array_min("mean").alias("low"),
+        F.array_max("mean").alias("high"),
+        F.aggregate(weighted, F.lit(0).cast("long"), lambda total, x: total + x).alias("digest"),
     )
 
 
 @query("w02_prefix_mean")
 def w02_prefix_mean(spark, sf_dir):
-    tokens = sequences.positions(views.sequences(spark, sf_dir), ["seq_id"])
-    return _mean_digest(sequences.prefix_mean(tokens, "seq_id"))
+    return _mean_digest(sequences.prefix_mean(views.sequences(spark, sf_dir)))
 
 
 @query("w03_sliding_mean")
 def w03_sliding_mean(spark, sf_dir):
-    tokens = sequences.positions(views.sequences(spark, sf_dir), ["seq_id"])
-    return _mean_digest(sequences.sliding_mean(tokens, "seq_id", window=4, causal=False))
+    return _mean_digest(sequences.sliding_mean(views.sequences(spark, sf_dir), window=4, causal=False))
 
 
 def _numbered_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -550,7 +552,7 @@ def a18_eval_summary(spark, sf_dir):
 @query("a20_throughput")
 def a20_throughput(spark, sf_dir):
     log = views.eval_log(spark, sf_dir).withColumn("elapsed", F.col("loss"))
-    return _rounded(runlog.throughput(log, 50), ["tokens_per_s", "step_ms"])
+    return _rounded(runlog.throughput(log, 50, "run"), ["tokens_per_s", "step_ms"])
 
 
 @query("w01_best_so_far")

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A side is broadcast only when its counted rows stay under this bound; every
-# table checked against it has rows of well under 200 bytes (about 40 MB).
-BROADCAST_ROW_LIMIT = 200_000
+from corpusops.contracts import DatasetError
+
+# A side is broadcast only when its counted rows stay under this many bytes. Unless a caller knows
+# better, a row counts as 200 bytes.
+BROADCAST_BYTES = 40_000_000
+ROW_BYTES = 200
 
 
 def build_session(app: str = "corpusops", master: str | None = None, **conf: str) -> SparkSession:
@@ -32,15 +36,26 @@ def build_session(app: str = "corpusops", master: str | None = None, **conf: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for checkpoints: the one the cluster names, else a local one (tests)."""
+    """Shared folder for checkpoints: the one the cluster names.
+
+    Only a ``local`` master, where driver and executors are one process, may fall back to a local folder.
+    """
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise DatasetError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="corpusops-ckpt-"))
     return spark.sparkContext.getCheckpointDir()
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of a job's own on any Hadoop file system."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the checkpoint folder, so lost executors cannot replay its past."""
     ensure_checkpoint_dir(df.sparkSession)
@@ -66,16 +81,17 @@ class WrittenTable:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove_folder(self.spark, self.base)
 
 
-def join_small(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+def join_small(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", row_bytes: int = ROW_BYTES) -> DataFrame:
     """Join with an already materialised ``small`` side, broadcasting it only if it is small.
 
-    Beyond the bound the join is left to a shuffle join, where AQE splits skewed partitions.
+    ``row_bytes`` bounds a row of ``small``. Beyond the bound the join is left to a shuffle join, where AQE
+    splits skewed partitions.
     """
-    if small.limit(BROADCAST_ROW_LIMIT + 1).count() <= BROADCAST_ROW_LIMIT:
+    most = BROADCAST_BYTES // row_bytes
+    if small.limit(most + 1).count() <= most:
         small = F.broadcast(small)
     return big.join(small, keys, how)
 

@@ -40,11 +40,14 @@ def is_object(line: str = "value") -> Column:
     return F.col("v").isNotNull() & F.col(line).rlike(r"^\s*\{")
 
 
+def line_problem() -> Column:
+    """Why a line is no record; only meant for lines that hold no object."""
+    return F.when(F.col("v").isNull(), "malformed JSON").otherwise("not a JSON object")
+
+
 def bad_lines(parsed: DataFrame) -> DataFrame:
     """Rows a strict reader refuses, with the reason."""
-    return parsed.filter(~is_object()).withColumn(
-        "problem", F.when(F.col("v").isNull(), "malformed JSON").otherwise("not a JSON object")
-    )
+    return parsed.filter(~is_object()).withColumn("problem", line_problem())
 
 
 def scan_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:

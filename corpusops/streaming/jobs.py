@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusops.contracts import Contract
-from corpusops.operators.validation import check, split_valid
+from corpusops.operators.validation import check_lines, split_valid
 from corpusops.session import ensure_checkpoint_dir
-from corpusops.sources.readers import is_object, parse_lines
+from corpusops.sources.readers import parse_lines
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
@@ -58,11 +58,13 @@ def read_metrics_stream(spark: SparkSession, path: str) -> DataFrame:
 def validate_stream(lines: DataFrame, contract: Contract, out: str, keep: tuple[str, ...] = ("value",)) -> tuple[DataFrame, DataFrame]:
     """Drain a stream of raw lines into valid rows and quarantined rows with their messages.
 
+    Lines that are no JSON object are quarantined as well; only blank lines are dropped.
+
     A batch writes into folders of its own number, so a batch that is run again after a failure
     replaces its earlier output instead of adding to it.
     """
     spark = lines.sparkSession
-    checked = check(parse_lines(lines).filter(is_object()), contract).select(*keep, "errors")
+    checked = check_lines(parse_lines(lines), contract).select(*keep, "errors")
 
     def sort_out(batch: DataFrame, number: int) -> None:
         batch.persist()

@@ -14,8 +14,8 @@ from corpusops.sources.readers import parse_lines, read_json_document
 def sample(count=6):
     return [
         {
-            "id": f"row-{i}",
-            "meta": {"grammar_rev": "g.rev", "seed": 0, "split": "train", "template_index": i, "is_noisy": i % 2 == 0},
+            "id": f"rec/{i:03d}",
+            "meta": {"grammar_rev": "2024a", "seed": 7 + i, "split": "all", "template_index": 10 * i, "is_noisy": i % 2 == 0},
             "task": "lm",
         }
         for i in range(count)
@@ -148,12 +148,12 @@ def test_process_job(spark, tmp_path):
     run = lambda out: process_dataset(spark, str(source), DEFAULT_CONTRACT, "jsonl", RATIOS, 5, str(tmp_path / out))
     first, second = run("one"), run("two")
     manifest = read_json_document(spark, str(tmp_path / "one" / "dataset.manifest.json"))
-    assert manifest["dataset_id"] == "corpus" and manifest["grammar_rev"] == "g.rev" and manifest["seed"] == 5
+    assert manifest["dataset_id"] == "corpus" and manifest["grammar_rev"] == "2024a" and manifest["seed"] == 5
     assert {n: s["rows"] for n, s in manifest["splits"].items()} == {"train": 5, "dev": 3, "test": 2}
     assert [s["sha256"] for s in first.manifest["splits"].values()] == [s["sha256"] for s in second.manifest["splits"].values()]
     lines = [spark.read.text(s["path"]) for s in manifest["splits"].values()]
     ids = [json.loads(r[0])["id"] for frame in lines for r in frame.collect()]
-    assert sorted(ids) == [f"row-{i}" for i in range(10)]
+    assert sorted(ids) == [f"rec/{i:03d}" for i in range(10)]
     assert first.metrics()["valid_ratio"] == 1.0
     source.write_text(json.dumps({"id": 1}) + "\n")
     with pytest.raises(InvalidDatasetError):

@@ -47,12 +47,19 @@ def test_context_pairs_golden(spark):
 
 
 def test_means(spark):
-    one = sequences.positions(spark.createDataFrame([(0, [4, 8, 0, 2], [1, 1, 0, 1])], SCHEMA), ["seq_id"])
-    run = lambda frame: [r["mean"] for r in frame.orderBy("pos").collect()]
-    assert run(sequences.prefix_mean(one, "seq_id")) == [4.0, 6.0, 6.0, 14 / 3]
-    assert run(sequences.prefix_mean(one, "seq_id", causal=False)) == [14 / 3] * 4
-    assert run(sequences.sliding_mean(one, "seq_id", 1)) == [4.0, 6.0, 8.0, 2.0]
-    assert run(sequences.sliding_mean(one, "seq_id", 1, causal=False)) == [6.0, 6.0, 5.0, 2.0]
+    one = spark.createDataFrame([(0, [4, 8, 0, 2], [1, 1, 0, 1])], SCHEMA)
+    run = lambda frame: frame.first()["mean"]
+    assert run(sequences.prefix_mean(one)) == [4.0, 6.0, 6.0, 14 / 3]
+    assert run(sequences.prefix_mean(one, causal=False)) == [14 / 3] * 4
+    assert run(sequences.sliding_mean(one, 1)) == [4.0, 6.0, 8.0, 2.0]
+    assert run(sequences.sliding_mean(one, 1, causal=False)) == [6.0, 6.0, 5.0, 2.0]
+
+
+def test_means_of_odd_rows_without_a_shuffle(spark):
+    rows = [(0, [], None), (1, [5], None), (2, None, None), (3, [1, 2, 3], [0, 0, 0]), (4, [2, None, 4], None)]
+    frame = sequences.prefix_mean(spark.createDataFrame(rows, SCHEMA))
+    assert {r["seq_id"]: r["mean"] for r in frame.collect()} == {0: [], 1: [5.0], 2: None, 3: [0.0] * 3, 4: [2.0, 2.0, 3.0]}
+    assert "Exchange" not in frame._jdf.queryExecution().executedPlan().toString()
 
 
 def test_batches(spark, tmp_path):

@@ -84,6 +84,82 @@ def test_bpe_learning_equals_library(spark):
     assert [list(m) for m in model.merges] == [list(m) for m in json.loads(reference.to_str())["model"]["merges"]]
 
 
+@pytest.mark.parametrize(
+    "counts, size",
+    [({"aaa": 10, "cd": 9}, 12), ({"aaa": 10, "cd": 9}, 10), ({"----": 10, "no": 9, "of": 8}, 13), ({"aaaa": 3, "aa": 5, "ab": 4}, 12)],
+)
+def test_bpe_order_after_a_pair_of_equal_symbols(spark, counts, size):
+    library = pytest.importorskip("tokenizers")
+    reference = library.Tokenizer(library.models.BPE(unk_token="<unk>"))
+    reference.pre_tokenizer = library.pre_tokenizers.WhitespaceSplit()
+    trainer = library.trainers.BpeTrainer(vocab_size=size, min_frequency=1, special_tokens=list(SPECIAL_TOKENS), show_progress=False)
+    reference.train_from_iterator([w for w, n in counts.items() for _ in range(n)], trainer)
+    found = bpe.learn_bpe(spark.createDataFrame(list(counts.items()), "word string, n long"), size)
+    assert {t: i for i, t in enumerate(found.tokens)} == reference.get_vocab()
+    assert [list(m) for m in found.merges] == [list(m) for m in json.loads(reference.to_str())["model"]["merges"]]
+
+
+@pytest.mark.parametrize("algo", ["char", "bpe", "unigram"])
+def test_special_tokens_in_text_and_greek_equal_library(spark, algo):
+    library = pytest.importorskip("tokenizers")
+    texts = [
+        "a <unk> b <sep> hello", "<pad>", "x<bos>y<eos>", "<UNK> < unk >", "<<unk>>", "ΟΔΟΣ ΣΑΣ", "  hello <sep>  world <", "e\u0301<unk>e\u0301", None, "",
+    ]
+    learnt = frame(spark, ["a b hello world x y οδοσ σας < > unk é"] * 3)
+    model = learn(learnt, TokenizerConfig(algo, 300, "nfc", True), seed_size=200)
+    reference = library.Tokenizer.from_str(dump(model))
+    reference.no_padding()
+    expected = [reference.encode(t, add_special_tokens=False).ids if t is not None else [] for t in texts]
+    assert coded(model, frame(spark, texts)) == expected
+
+
+def import_case(**model):
+    layout = {"type": "BPE", "dropout": None, "unk_token": "[UNK]", "fuse_unk": True, "vocab": {"a": 0, "b": 10, "ab": 20, "[UNK]": 30}, "merges": [["a", "b"]]}
+    return {
+        "version": "1.0",
+        "added_tokens": [{"id": 30, "content": "[UNK]", "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True}],
+        "normalizer": None,
+        "pre_tokenizer": {"type": "Whitespace"},
+        "model": {**layout, **model},
+    }
+
+
+@pytest.mark.parametrize("fuse", [True, False])
+def test_import_keeps_ids_and_unknown_token(spark, fuse):
+    library = pytest.importorskip("tokenizers")
+    document = import_case(fuse_unk=fuse)
+    texts = ["xy a ab", "b[UNK]a zz", "azzb"]
+    reference = library.Tokenizer.from_str(json.dumps(document))
+    model = TokenizerModel.from_json(document)
+    assert coded(model, frame(spark, texts)) == [reference.encode(t, add_special_tokens=False).ids for t in texts]
+    assert model.ids["ab"] == 20 and set(SPECIAL_TOKENS) <= set(model.ids)
+    # A gap between added tokens keeps their ids as well.
+    document["added_tokens"].append({**document["added_tokens"][0], "id": 40, "content": "<far>"})
+    assert TokenizerModel.from_json(document).ids["<far>"] == 40
+
+
+@pytest.mark.parametrize(
+    "change",
+    [
+        {"model": {"byte_fallback": True}},
+        {"model": {"ignore_merges": True}},
+        {"model": {"continuing_subword_prefix": "##"}},
+        {"model": {"dropout": 0.1}},
+        {"model": {"type": "WordPiece"}},
+        {"normalizer": {"type": "NFKC"}},
+        {"normalizer": {"type": "Replace", "pattern": {"String": "a"}, "content": "b"}},
+        {"pre_tokenizer": {"type": "Metaspace"}},
+        {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}},
+        {"added_tokens": [{"id": 30, "content": "[UNK]", "lstrip": True}]},
+        {"added_tokens": [{"id": 20, "content": "<x>"}]},
+    ],
+)
+def test_import_refuses_what_it_cannot_encode(change):
+    document = import_case(**change.get("model", {})) | {k: v for k, v in change.items() if k != "model"}
+    with pytest.raises(DatasetError):
+        TokenizerModel.from_json(document)
+
+
 def test_leading_run_stops_at_interaction():
     tokens = list("abcdef")
     known = {t: i for i, t in enumerate(tokens)}
@@ -92,6 +168,7 @@ def test_leading_run_stops_at_interaction():
     assert run([(0, 1), (1, 2)]) == [(0, 1)]
     assert run([(0, 1), (2, 0)]) == [(0, 1)]
     assert run([(0, 0), (0, 1)]) == [(0, 0)]
+    assert run([(2, 3), (0, 0), (4, 5)]) == [(2, 3), (0, 0)]
     assert run([(0, 1), (2, 3)], 1) == [(0, 1)]
 
 

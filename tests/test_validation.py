@@ -171,7 +171,7 @@ def test_row_numbers_by_shuffle_join(spark, tmp_path, monkeypatch):
 
     for name in "ab":
         write_lines(tmp_path / f"{name}.jsonl", [{"id": f"{name}{i}"} for i in range(50)])
-    monkeypatch.setattr(session, "BROADCAST_ROW_LIMIT", 0)
+    monkeypatch.setattr(session, "BROADCAST_BYTES", 0)
     rows = with_row_numbers(scan_lines(spark, str(tmp_path))).collect()
     assert {json.loads(r["value"])["id"]: r["row"] for r in rows} == {
         f"{name}{i}": 50 * "ab".index(name) + i + 1 for name in "ab" for i in range(50)
