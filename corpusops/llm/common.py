@@ -6,11 +6,14 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Rows of one Arrow batch are bounded by bytes as well, so that long texts cannot pile up in a worker.
 BATCH_BYTES = 8 << 20
 BATCH_ROWS = 2_000
 WORDS_CACHED = 200_000
+BITMAP_BITS = 1 << 24
 
 # ASCII upper case to lower case; every byte below 0x80 that is no digit or letter becomes a space.
 ALNUM_TABLE = bytes(
@@ -33,6 +36,38 @@ def bound_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+def bitmap(values: DataFrame, column: str) -> np.ndarray:
+    """The low bits of a column of longs as a bitmap, of 2 MB whatever the number of values.
+
+    Used to leave out rows of a scan before a shuffle whose join decides exactly. With very many values
+    the bitmap fills up and leaves out less; results never depend on it.
+    """
+    place = F.pmod(F.col(column), F.lit(BITMAP_BITS)) + 1
+    parts = values.groupBy(F.bitmap_bucket_number(place).alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    found = np.zeros(BITMAP_BITS // 8, np.uint8)
+    for row in parts.collect():
+        bits = np.frombuffer(row["bits"], np.uint8)
+        found[(row["n"] - 1) * len(bits) : row["n"] * len(bits)] = bits
+    return found
+
+
+def in_bitmap(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    low = values & (BITMAP_BITS - 1)
+    return (bits[low >> 3] >> (low & 7).astype(np.uint8)) & 1 == 1
+
+
+def may_be_among(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """``df`` without most rows whose ``key`` is not in ``keys``, for a join that decides exactly."""
+    hashed = keys.select(F.xxhash64(key).alias("h"))
+    shared = df.sparkSession.sparkContext.broadcast(bitmap(hashed, "h"))
+
+    @F.arrow_udf(T.BooleanType())
+    def among(values: pa.Array) -> pa.Array:
+        return pa.array(in_bitmap(shared.value, values.to_numpy(zero_copy_only=False)))
+
+    return df.filter(among(F.xxhash64(key)))
+
+
 def as_bytes(texts: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a column of strings."""
     kind = pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary()

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusops.llm.common import WordHashes, as_bytes, bound_batches, mix, space_words
+from corpusops.llm.common import WordHashes, as_bytes, bound_batches, may_be_among, mix, space_words
 from corpusops.session import cut_lineage
 
 SHINGLE = 5
@@ -156,8 +156,9 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     Texts that occur in no pair are left out of the joins. A document that is in very many pairs is
     a skewed key of a join between two tables, which adaptive execution splits.
     """
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    needed = texts.join(ids, "doc_id", "left_semi")
+    pairs = cut_lineage(pairs)
+    ids = cut_lineage(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct())
+    needed = may_be_among(texts, "doc_id", ids).join(ids, "doc_id", "left_semi")
     left = needed.select(F.col("doc_id").alias("a"), F.col("_text").alias("_a"))
     right = needed.select(F.col("doc_id").alias("b"), F.col("_text").alias("_b"))
     both = pairs.join(right, "b").join(left, "a")

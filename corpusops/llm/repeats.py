@@ -7,7 +7,8 @@ choose the same anchor, so only windows with the same anchor can be equal. Conse
 anchor form a block, a stretch of text of at most ``2 * length - GRAM`` bytes.
 
 1. Every text is cut into blocks, and anchors are counted. Blocks whose anchor occurs once hold no
-   repeat; most of a corpus ends here, having moved a few bytes per block.
+   repeat; most of a corpus ends here, having moved a few bytes per block. The texts are cut again
+   for the blocks that go on, which is cheaper than to keep those of all.
 2. Equal blocks are counted by digest. What occurs twice is repeated as a whole, so a group of
    copies of any size becomes one row with a count.
 3. Anchors with several different blocks are dealt to shards of bounded size. Windows whose rolling
@@ -19,14 +20,13 @@ anchor form a block, a stretch of text of at most ``2 * length - GRAM`` bytes.
 An anchor with very many different blocks (a common line in ever new surroundings) would fill one
 shard. Its windows are counted by digest in a plain distributed aggregation instead.
 
-Texts are identified by MD5, so copies share one result. Texts are shuffled twice, to fetch the blocks
-of step 3 and to cut in step 4; everything else is narrow.
+Texts are identified by MD5, so copies share one result. Only texts are moved from which blocks are
+fetched in step 3 or that lose a part of themselves in step 4; everything else is narrow.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,8 +36,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusops.llm.common import bound_batches, mix
-from corpusops.session import cut_lineage, ensure_checkpoint_dir
+from corpusops.llm.common import bitmap, bound_batches, in_bitmap, may_be_among, mix
+from corpusops.session import cut_lineage
 
 LENGTH = 200
 GRAM = 40
@@ -147,21 +147,36 @@ class SuffixLevels:
         return [place for _, place in keyed]
 
 
-def _anchor_rows(length: int):
+def _anchors_only(length: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = Anchors(length)
+        for batch in batches:
+            found = [anchor for text in batch.column(0).to_pylist() for anchor, _, _ in cutter.blocks(text)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["anchor"])
+
+    return rows
+
+
+def _block_rows(length: int, shared):
+    """Blocks whose anchor may be among the shared ones."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter, bits = Anchors(length), shared.value
         for batch in batches:
             source, anchors, digests, firsts, counts = [], [], [], [], []
             texts = batch.column(1).to_pylist()
             for i, text in enumerate(texts):
                 for anchor, first, count in cutter.blocks(text):
+                    kept = in_bitmap(bits, anchor.view(np.int64))
+                    anchor, first, count = anchor[kept], first[kept], count[kept]
                     ends = (first + count + length - 1).tolist()
                     digests += [xxhash.xxh3_64_intdigest(text[a:b]) for a, b in zip(first.tolist(), ends)]
                     anchors.append(anchor)
                     firsts.append(first)
                     counts.append(count)
                     source.append(np.full(len(first), i))
-            if not source:
+            if not digests:
                 continue
             at = np.concatenate(source)
             yield pa.RecordBatch.from_arrays(
@@ -179,7 +194,7 @@ def _anchor_rows(length: int):
     return rows
 
 
-ANCHOR_ROWS = "key binary, n_bytes long, anchor long, digest long, first long, windows int"
+BLOCK_ROWS = "key binary, n_bytes long, anchor long, digest long, first long, windows int"
 
 
 def _runs(flags: np.ndarray) -> tuple[list[int], list[int]]:
@@ -307,12 +322,12 @@ def find_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", le
     key = F.unhex(F.md5(body))
     bodies = docs.select(key.alias("key"), body.alias("body"))
 
-    # 1: blocks of all texts; only those whose anchor occurs twice go on.
-    path = f"{ensure_checkpoint_dir(spark)}/blocks-{uuid.uuid4().hex}"
+    # 1: anchors of all texts; only blocks whose anchor occurs twice go on.
     long_enough = bodies.filter(F.length("body") >= length)
-    long_enough.mapInArrow(_anchor_rows(length), ANCHOR_ROWS).write.parquet(path)
-    found = spark.read.schema(ANCHOR_ROWS).parquet(path)
-    shared = found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+    anchors = long_enough.select("body").mapInArrow(_anchors_only(length), "anchor long")
+    shared = cut_lineage(anchors.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"))
+    bits = spark.sparkContext.broadcast(bitmap(shared, "anchor"))
+    found = long_enough.mapInArrow(_block_rows(length, bits), BLOCK_ROWS)
     blocks = cut_lineage(found.join(shared, "anchor", "left_semi"))
 
     # 2: equal blocks become one row.
@@ -340,7 +355,8 @@ def find_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", le
         ),
     )
     # Copies have one key: any of them gives the bytes.
-    texts = wanted.join(bodies, "key").select("key", cut.alias("b"))
+    wanted = cut_lineage(wanted)
+    texts = wanted.join(may_be_among(bodies, "key", wanted), "key").select("key", cut.alias("b"))
     stretches = texts.select(F.inline("b")).dropDuplicates(["anchor", "digest"])
     marked = whole
     if sizes.get(False):
@@ -374,7 +390,7 @@ def find_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", le
     spans = cut_lineage(spans)
     partly = spans.filter("n_removed < n_bytes").select("key", "starts", "ends")
     # A text that loses a part of itself only has no copy, so it meets one body.
-    cuts = partly.join(bodies, "key").select("key", kept_sha256(F.col("body"), F.col("starts"), F.col("ends")).alias("sha"))
+    cuts = partly.join(may_be_among(bodies, "key", partly), "key").select("key", kept_sha256(F.col("body"), F.col("starts"), F.col("ends")).alias("sha"))
     removed = spans.join(cuts, "key", "left").select("key", "n_removed", "starts", "ends", F.coalesce("sha", F.lit(EMPTY_SHA)).alias("sha"))
     rows = docs.select(
         F.col(f"`{doc_id}`").alias("doc_id"), key.alias("key"), F.length(body).cast("long").alias("n_bytes"), F.sha2(body, 256).alias("full")
