@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusops.llm import decontamination, language, links, mixture, near_duplicates, neighbours, repeats, sharding, toxicity
+from corpusops.llm import decontamination, language, licenses, links, mixture, near_duplicates, neighbours, repeats, sharding, toxicity
 from corpusops.llm.common import table
 
 N_SHARDS = 16
@@ -55,6 +55,10 @@ def op6_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontamination.find_contamination(docs, table(spark, sf_dir, "benchmark"))
@@ -88,6 +92,7 @@ QUERIES = {
     "op4_suffix_levels": op4_suffix_levels,
     "op5_superminhash": op5_superminhash,
     "op6_stratified_shards": op6_stratified_shards,
+    "op7_license_scan": op7_license_scan,
     "op8_prefix_join": op8_prefix_join,
     "op9_mixture_tree": op9_mixture_tree,
     "op10_link_trust": op10_link_trust,
