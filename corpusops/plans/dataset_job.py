@@ -137,25 +137,24 @@ def process_dataset(
         F.col(f"{POSITION}.seq").alias("place"),
     )
     wanted = profile_view(scan, contract).columns
-    table = WrittenTable(spark, "profile")
-    view = table.write(
-        profile_view(scan, contract, keep=("body_md5", "place", "bad", "errors", POSITION))
-    )
-    gate = view.agg(F.count_if("bad").alias("bad")).first()
-    _refuse_bad_lines(spark, path, gate["bad"])
-    counted = summary(view).first().asDict()
-    if counted["rows_invalid"]:
-        raise InvalidDatasetError(f"{counted['rows_invalid']} rows break the contract")
-
-    stats = profile(view.select(*wanted), contract).first().asDict(recursive=True)
-    place = F.struct(f"{POSITION}.file", f"{POSITION}.start", f"{POSITION}.seq")
-    revision = view.agg(
-        F.min_by("grammar_rev", F.when(F.col("grammar_rev").isNotNull(), place)).alias("rev")
-    ).first()["rev"]
-
-    started = time.perf_counter()
-    rows = _write(spark, scan, view, ratios, seed, out)
-    table.drop()
+    with WrittenTable(spark, "profile") as table:
+        view = table.write(
+            profile_view(scan, contract, keep=("body_md5", "place", "bad", "errors", POSITION))
+        )
+        gate = view.agg(F.count_if("bad").alias("bad")).first()
+        _refuse_bad_lines(spark, path, gate["bad"])
+        counted = summary(view).first().asDict()
+        if counted["rows_invalid"]:
+            raise InvalidDatasetError(f"{counted['rows_invalid']} rows break the contract")
+
+        stats = profile(view.select(*wanted), contract).first().asDict(recursive=True)
+        place = F.struct(f"{POSITION}.file", f"{POSITION}.start", f"{POSITION}.seq")
+        revision = view.agg(
+            F.min_by("grammar_rev", F.when(F.col("grammar_rev").isNotNull(), place)).alias("rev")
+        ).first()["rev"]
+
+        started = time.perf_counter()
+        rows = _write(spark, scan, view, ratios, seed, out)
     digests = _split_digests(spark, out)
     duration = time.perf_counter() - started
     manifest = {

@@ -66,7 +66,8 @@ class WrittenTable:
     """A table of an iterative job, written anew into one of two alternating folders.
 
     Each version is read back from files in the shared folder, so no lineage piles up, losing an
-    executor costs nothing, and at most two versions take up space.
+    executor costs nothing, and at most two versions take up space. Used with ``with``, it is deleted however
+    the job ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -80,6 +81,12 @@ class WrittenTable:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def __enter__(self) -> WrittenTable:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.drop()
+
     def drop(self) -> None:
         remove_folder(self.spark, self.base)
 
