@@ -103,8 +103,13 @@ def text_payloads(parsed: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
 
 
 def task_samples(parsed: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
-    """Lenient text scan with the task of each payload (``unknown`` when there is none)."""
-    tagged = parsed.withColumn("task", F.coalesce(VariantRecord("v").shown("task"), F.lit("unknown")))
+    """Lenient text scan with the task of each payload (``unknown`` when there is none).
+
+    A mapping counts by its type, so tasks stay few however many records there are.
+    """
+    record = VariantRecord("v")
+    name = F.when(record.is_mapping("task"), record.shown("task", "type")).otherwise(record.shown("task"))
+    tagged = parsed.withColumn("task", F.coalesce(name, F.lit("unknown")))
     return text_payloads(tagged, [*keep, "task"])
 
 
