@@ -10,8 +10,10 @@
    smallest member, on the full sets, which takes as many comparisons as members.
 4. Links become components by min-label union with pointer jumping.
 5. A bucket that now lies within one component is settled: no further link could change anything.
-   In the others, members of different components are compared unless their measured distances to
-   the bucket's smallest member rule a link out (Jaccard distance obeys the triangle inequality).
+   While the others hold many pairs between components, another member of each, drawn by hash, is
+   compared with the members of other components, again as many comparisons as members. At last
+   all members of different components are compared unless their distances to the bucket's smallest
+   member rule a link out (Jaccard distance obeys the triangle inequality).
 
 So no link between bucket mates is lost and no bucket is capped. A pair at the threshold shares no
 bucket with probability ``(1 - t ** rows) ** bands``, 5e-6 with the defaults.
@@ -33,6 +35,9 @@ SHINGLE = 5
 BANDS = 40
 ROWS = 6
 PERCENT = 80
+# Buckets in several components are compared in full once the pairs between components are few a member.
+PAIRS_PER_MEMBER = 8
+LEADER_ROUNDS = 6
 
 PROFILE = T.StructType(
     [
@@ -172,21 +177,45 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
 def link_candidates(reps: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Verified links ``a, b`` that span the components of all links between bucket mates."""
     banded = reps.select("doc_id", F.explode("bands").alias("key"))
-    buckets = banded.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("_last")).filter("first != _last")
-    members = cut_lineage(banded.join(buckets.drop("_last"), "key").filter("doc_id != first").distinct())
-    tested = verify(members.select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct(), texts, size)
+    shared = banded.groupBy("key").agg(F.min("doc_id").alias("_x"), F.max("doc_id").alias("_y")).filter("_x != _y")
+    members = cut_lineage(banded.join(shared.select("key"), "key", "left_semi").distinct())
     linked = F.col("common") * 100 >= F.col("total") * percent
-    links = tested.filter(linked).select("a", "b")
 
-    # Buckets that still lie in several components.
+    # Each bucket's smallest member against all others.
+    smallest = members.groupBy("key").agg(F.min("doc_id").alias("a"))
+    pairs = members.join(smallest, "key").filter("doc_id != a").select("a", F.col("doc_id").alias("b")).distinct()
+    first = tested = verify(pairs, texts, size)
+    links = tested.filter(linked).select("a", "b")
     labels = components(links)
-    placed = (
-        members.join(labels, F.col("doc_id") == F.col("node"), "left")
-        .select("key", "first", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    )
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("_x"), F.max("component").alias("_y")).filter("_x != _y")
-    distance = tested.select(F.col("a").alias("first"), F.col("b").alias("doc_id"), (1 - F.col("common") / F.col("total")).alias("d"))
-    left = placed.join(open_keys.select("key"), "key", "left_semi").join(distance, ["first", "doc_id"]).drop("first")
+
+    for number in range(1, LEADER_ROUNDS + 1):
+        placed = members.join(labels, F.col("doc_id") == F.col("node"), "left").select(
+            "key", "doc_id", F.coalesce("component", "doc_id").alias("component")
+        )
+        # Buckets that lie in several components, with the number of pairs between these.
+        parts = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
+        spread = parts.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same")).filter("n * n > same")
+        placed = cut_lineage(placed.join(spread.select("key"), "key", "left_semi"))
+        rows = placed.count()
+        if not rows:
+            return links
+        across = spread.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2).alias("s")).collect()[0]["s"]
+        if across <= PAIRS_PER_MEMBER * rows:
+            break
+        # Too many to compare: another member of each bucket joins what it is linked to first.
+        drawn = F.min_by(F.struct("doc_id", "component"), F.xxhash64("doc_id", "key", F.lit(number))).alias("l")
+        leaders = placed.groupBy("key").agg(drawn).select("key", F.col("l.doc_id").alias("_l"), F.col("l.component").alias("_c"))
+        pairs = placed.join(leaders, "key").filter(F.col("component") != F.col("_c"))
+        pairs = pairs.select(F.least("doc_id", "_l").alias("a"), F.greatest("doc_id", "_l").alias("b")).distinct()
+        more = verify(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), texts, size)
+        tested = cut_lineage(tested.unionByName(more))
+        new = more.filter(linked).select("a", "b")
+        links = links.union(new)
+        labels = merged_labels(labels, new)
+
+    # All pairs between components that the distances to the smallest member leave open.
+    distance = first.select("a", F.col("b").alias("doc_id"), (1 - F.col("common") / F.col("total")).alias("d"))
+    left = placed.join(smallest, "key").join(distance, ["a", "doc_id"]).select("key", "doc_id", "component", "d")
     left = cut_lineage(left)
     right = left.select("key", F.col("doc_id").alias("b"), F.col("component").alias("_component"), F.col("d").alias("_d"))
     near = F.abs(F.col("d") - F.col("_d")) <= 1 - percent / 100 + 1e-9
@@ -203,6 +232,17 @@ def link_candidates(reps: DataFrame, texts: DataFrame, size: int, percent: int)
     return links.union(verify(rest, texts, size).filter(linked).select("a", "b"))
 
 
+def merged_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after more links: components of the graph whose nodes are the components so far."""
+    of_a = labels.select(F.col("node").alias("a"), F.col("component").alias("_a"))
+    of_b = labels.select(F.col("node").alias("b"), F.col("component").alias("_b"))
+    between = links.join(of_a, "a", "left").join(of_b, "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+    joined = components(between.filter("a != b").distinct()).select(F.col("node").alias("component"), F.col("component").alias("_low"))
+    known = labels.join(joined, "component", "left").select("node", F.coalesce("_low", "component").alias("component"))
+    fresh = joined.select(F.col("component").alias("node"), F.col("_low").alias("component")).join(labels.select("node"), "node", "left_anti")
+    return cut_lineage(known.unionByName(fresh))
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node, component``: the smallest node reachable over ``links(a, b)``."""
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()

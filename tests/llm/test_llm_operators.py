@@ -102,8 +102,10 @@ def test_near_duplicates_equal_brute_force(docs, texts, size):
         assert r["kept"] == (r["doc_id"] == r["component_id"])
 
 
-def test_bucket_mates_of_other_components_are_compared(spark):
+@pytest.mark.parametrize("per_member", [8, 0])
+def test_bucket_mates_of_other_components_are_compared(spark, monkeypatch, per_member):
     """A chain whose links the smallest member of a bucket does not see."""
+    monkeypatch.setattr(near_duplicates, "PAIRS_PER_MEMBER", per_member)
     words = [f"x{i}" for i in range(120)]
     rows = [(i, " ".join(words[3 * i : 3 * i + 80])) for i in range(10)]
     found = {r["doc_id"]: r["component_id"] for r in near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=4).collect()}
@@ -131,6 +133,13 @@ def test_components_of_a_long_chain(spark):
     assert found == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
 
 
+def test_labels_are_merged(spark):
+    labels = spark.createDataFrame([(1, 1), (2, 1), (5, 5), (6, 5)], "node long, component long")
+    links_ = spark.createDataFrame([(2, 6), (8, 9), (6, 7)], "a long, b long")
+    found = {r["node"]: r["component"] for r in near_duplicates.merged_labels(labels, links_).collect()}
+    assert found == {1: 1, 2: 1, 5: 1, 6: 1, 7: 1, 8: 8, 9: 8}
+
+
 def test_near_duplicates_of_nothing(none):
     assert near_duplicates.near_duplicates(none).count() == 0
 
