@@ -16,10 +16,11 @@ from corpusops.operators.profile import profile, profile_view
 from corpusops.operators.ranking import OrderKey, below, cut_points
 from corpusops.operators.splits import allocate, normalise_ratios
 from corpusops.operators.validation import check, error_rows, record_of, summary
+from corpusops.plans.run_tables import RunLog
 from corpusops.session import WrittenTable
 from corpusops.sources.positions import POSITION, block_offsets, number_rows
 from corpusops.sources.readers import JSONL, is_object, normalise_format, read_jsonl, read_parquet, scan_lines
-from corpusops.sources.writers import file_digests, folder_digest, write_json_document, write_splits
+from corpusops.sources.writers import append_metrics, file_digests, folder_digest, write_json_document, write_splits
 
 
 def utc_now() -> str:
@@ -40,12 +41,18 @@ def _refuse_bad_lines(spark: SparkSession, path: str, bad: int) -> None:
 
 
 def validate_dataset(
-    spark: SparkSession, path: str, contract: Contract, fmt: str = JSONL, out: str | None = None
+    spark: SparkSession,
+    path: str,
+    contract: Contract,
+    fmt: str = JSONL,
+    out: str | None = None,
+    metrics_path: str | None = None,
+    run: RunLog | None = None,
 ) -> dict[str, Any]:
     """Validation report of a dataset. One pass counts; rows are numbered only if any is wrong.
 
     With ``out`` the errors, which can be as many as the rows, are written as a Parquet table
-    beside the summary document.
+    beside the summary document. ``metrics_path`` and ``run`` also get the figures.
     """
     fmt = normalise_format(fmt)
     started = time.perf_counter()
@@ -65,6 +72,10 @@ def validate_dataset(
         if report["rows_invalid"]:
             errors_of(checked).write.mode("overwrite").parquet(f"{out}/errors")
         write_json_document(spark, f"{out}/report_validation.json", report)
+    if metrics_path is not None:
+        append_metrics(spark, metrics_path, report)
+    if run is not None:
+        run.log_job({"dataset": path, "format": fmt}, report, {"report_validation.json": report})
     return report
 
 
@@ -109,6 +120,8 @@ def process_dataset(
     seed: int,
     out: str,
     schema_path: str | None = None,
+    metrics_path: str | None = None,
+    run: RunLog | None = None,
 ) -> ProcessResult:
     """Gate, profile and split a dataset, and write splits, checksums, statistics and manifest.
 
@@ -171,7 +184,13 @@ def process_dataset(
     }
     write_json_document(spark, f"{out}/dataset.manifest.json", manifest)
     write_json_document(spark, f"{out}/dataset_stats.json", stats)
-    return ProcessResult(manifest, stats, counted, duration)
+    result = ProcessResult(manifest, stats, counted, duration)
+    if metrics_path is not None:
+        append_metrics(spark, metrics_path, result.metrics())
+    if run is not None:
+        settings = {"dataset": path, "format": fmt, "seed": seed, "splits": dict(ratios)}
+        run.log_job(settings, result.metrics(), {"dataset.manifest.json": manifest, "dataset_stats.json": stats})
+    return result
 
 
 def _write(

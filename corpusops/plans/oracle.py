@@ -131,6 +131,7 @@ _COVERED_META = {
     "template_index": "count(template_index)",
 }
 
+
 ORACLE: dict[str, str] = {
     "s01_strict_scan": f"""WITH {RAW_LINES}
         SELECT doc_id, value, CASE WHEN is_json THEN 'not a JSON object' ELSE 'malformed JSON' END AS problem
@@ -240,6 +241,56 @@ top_words AS (
   FROM words QUALIFY row_number() OVER (ORDER BY n DESC, word) <= 1995
 )"""
 
+def _merges(size: int) -> str:
+    """BPE one merge at a time. A symbol is one character, 19968 plus its id; a step keeps the
+    token table, the words as symbols, and the merge it made."""
+    return f"""WITH RECURSIVE {WORDS.strip().rstrip(",")},
+letters AS (
+  SELECT c, 4 + row_number() OVER (ORDER BY c) AS id FROM (SELECT DISTINCT unnest(string_split(word, '')) AS c FROM words)
+),
+spelling AS (SELECT map_from_entries(list((c, chr((19968 + id)::INTEGER)))) AS ids FROM letters),
+learned AS (
+  SELECT 0 AS step, 'token' AS kind, id, c AS "left", NULL::VARCHAR AS "right", 0::BIGINT AS n FROM letters
+  UNION ALL
+  SELECT 0, 'word', NULL, array_to_string(list_transform(string_split(word, ''), lambda c: ids[c]), ''), word, n
+  FROM words, spelling
+  UNION ALL (
+    WITH pairs AS (
+      SELECT substr("left", i, 2) AS pair, sum(n) AS uses FROM (
+        SELECT "left", n, unnest(range(1, length("left"))) AS i FROM learned WHERE kind = 'word'
+      ) GROUP BY 1
+    ),
+    best AS (SELECT pair FROM pairs ORDER BY uses DESC, pair LIMIT 1),
+    merged AS (
+      SELECT pair, l."left" AS l, r."left" AS r, k.id IS NULL AS is_new,
+        coalesce(k.id, (SELECT max(id) + 1 FROM learned WHERE kind = 'token')) AS id
+      FROM best JOIN learned l ON l.kind = 'token' AND l.id = ord(pair[1]) - 19968
+      JOIN learned r ON r.kind = 'token' AND r.id = ord(pair[2]) - 19968
+      LEFT JOIN learned k ON k.kind = 'token' AND k."left" = l."left" || r."left"
+      WHERE (SELECT count(*) + 5 FROM learned WHERE kind = 'token') < {size}
+    )
+    SELECT t.step + 1, t.kind, t.id, CASE WHEN t.kind = 'word' THEN replace(t."left", m.pair, chr((19968 + m.id)::INTEGER))
+      ELSE t."left" END, t."right", t.n
+    FROM learned t, merged m WHERE t.kind <> 'merge'
+    UNION ALL
+    SELECT (SELECT max(step) + 1 FROM learned), 'token', id, l || r, NULL, 0 FROM merged WHERE is_new
+    UNION ALL
+    SELECT (SELECT max(step) + 1 FROM learned), 'merge', id, l, r, 0 FROM merged
+  )
+)"""
+
+
+_BPE_ENCODED = f"""{_merges(128)},
+final AS (
+  SELECT "right" AS word, list_transform(string_split("left", ''), lambda c: ord(c) - 19968) AS ids FROM learned
+  WHERE kind = 'word' AND step = (SELECT max(step) FROM learned)
+),
+pieces AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos
+  FROM (SELECT doc_id, regexp_extract_all({_normal("text")}, '{_WORD}') AS w FROM documents)
+)"""
+
+
 BYTES = f"""
 byte_counts AS (
   SELECT token, count(*) AS n FROM (
@@ -361,6 +412,12 @@ ORACLE |= {
     "u03_missing_specials": f"""WITH {WORDS}
         SELECT token FROM (SELECT unnest(['<pad>', '<bos>', '<eos>', '<unk>', '<sep>']) AS token)
         EXCEPT SELECT token FROM top_words""",
+    "t02_bpe_merges": f"""{_merges(256)}
+        SELECT CAST(step - 1 AS BIGINT) AS rank, "left", "right" FROM learned WHERE kind = 'merge'""",
+    "t05_encode": f"""{_BPE_ENCODED}
+        SELECT doc_id, CAST(coalesce(sum(len(ids)), 0) AS INTEGER) AS n_tokens,
+          md5(coalesce(string_agg(array_to_string(ids, ' '), ' ' ORDER BY pos), '')) AS ids_md5
+        FROM documents LEFT JOIN (SELECT doc_id, pos, ids FROM pieces JOIN final USING (word)) USING (doc_id) GROUP BY doc_id""",
     "t04_char_vocab": f"""WITH {BYTES}
         SELECT token, n, id, round(score, 6) AS score FROM byte_vocab WHERE id < 64""",
     "t05_encode_char": f"""WITH {_encoded("documents", "doc_id", "text")}

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from corpusops.operators.runlog import flatten
 from corpusops.sources.writers import file_digests
 
+METRICS_PER_WRITE = 10_000
+
 SCHEMAS = {
     "runs": "run_id string, parent_run_id string, experiment string, run_name string, start_time timestamp, tags map<string,string>",
     "params": "run_id string, param string, value string",
@@ -22,7 +24,8 @@ SCHEMAS = {
 
 
 class RunLog:
-    """One run. With ``enabled=False`` every call does nothing."""
+    """One run. With ``enabled=False`` every call does nothing. Metrics are written by ``flush`` or at the
+    end of a ``with`` block."""
 
     def __init__(
         self,
@@ -36,6 +39,7 @@ class RunLog:
     ):
         self.spark, self.path, self.enabled = spark, path, enabled
         self.run_id = uuid.uuid4().hex if enabled else None
+        self.waiting: list[tuple] = []
         if enabled:
             row = spark.createDataFrame(
                 [(self.run_id, parent_run_id, experiment, run_name, dict(tags or {}))],
@@ -56,7 +60,21 @@ class RunLog:
         self._rows("params", [(self.run_id, k, str(v)) for k, v in flatten(params).items()])
 
     def log_metrics(self, metrics: Mapping[str, float], step: int | None = None) -> None:
-        self._rows("metrics", [(self.run_id, k, float(v), step) for k, v in metrics.items()])
+        """Keep metrics until ``flush``, so that a step does not cost a job and a file."""
+        if self.enabled:
+            self.waiting += [(self.run_id, k, float(v), step) for k, v in metrics.items()]
+            if len(self.waiting) >= METRICS_PER_WRITE:
+                self.flush()
+
+    def flush(self) -> None:
+        rows, self.waiting = self.waiting, []
+        self._rows("metrics", rows)
+
+    def __enter__(self) -> RunLog:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.flush()
 
     def log_artifact(self, path: str) -> None:
         """List the files under a path with their digests, hashed where they are read."""
@@ -67,6 +85,15 @@ class RunLog:
                 listed.withColumn("run_id", F.lit(self.run_id)).withColumn("content", F.lit(None).cast("string")),
             )
 
+    def log_job(self, params: Mapping[str, Any], metrics: Mapping[str, Any], artifacts: Mapping[str, Mapping[str, Any]]) -> None:
+        """What a whole job leaves: parameters, its numeric metrics by dotted name, small documents."""
+        self.log_params(params)
+        numbers = {k: v for k, v in flatten(metrics).items() if isinstance(v, (int, float)) and not isinstance(v, bool)}
+        self.log_metrics(numbers)
+        for name, document in artifacts.items():
+            self.log_json(document, name)
+        self.flush()
+
     def log_json(self, document: Mapping[str, Any], name: str) -> None:
         body = json.dumps(document, sort_keys=True)
         self._rows("artifacts", [(self.run_id, name, len(body), None, body)])

@@ -9,15 +9,19 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusops.functions.arrays import template
+from corpusops.functions.records import VariantRecord
 from corpusops.functions.text import SPECIAL_TOKENS
 from corpusops.operators import bpe, unigram, vocab
 from corpusops.operators.report import length_histogram, macro_coverage, report_document, token_report, token_samples
 from corpusops.operators.runlog import newest_first, upsert
 from corpusops.operators.tokenizer import TokenizerConfig, TokenizerModel, byte_characters, encode
 from corpusops.plans.dataset_job import utc_now
+from corpusops.plans.run_tables import RunLog
 from corpusops.session import cut_lineage
 from corpusops.sources.readers import (
     _exists,
+    is_object,
     parse_lines,
     read_json_document,
     read_splits,
@@ -75,6 +79,7 @@ def train_tokenizer(
     registry: str | None = None,
     external: str | None = None,
     source_revision: str = "unknown",
+    run: RunLog | None = None,
 ) -> dict[str, Any]:
     """Train (or import) a tokenizer, save it, report on all splits, and register it."""
     dataset = read_json_document(spark, manifest_path)
@@ -103,6 +108,8 @@ def train_tokenizer(
     write_json_document(spark, f"{out}/tokenizer.report.json", report)
     if registry is not None:
         register(spark, registry, manifest, own_path)
+    if run is not None:
+        run.log_job(config.manifest_fragment() | {"manifest": manifest_path}, report["summary"], {"tokenizer.report.json": report})
     return {"tokenizer_path": tokenizer_path, "manifest_path": own_path, "manifest": manifest, "report": report}
 
 
@@ -110,6 +117,30 @@ def load_tokenizer(spark: SparkSession, path: str) -> TokenizerModel:
     return TokenizerModel.from_json(read_json_document(spark, path))
 
 
+def encode_sequences(spark: SparkSession, tokenizer_path: str, manifest_path: str, out: str) -> dict[str, str]:
+    """Encode all splits into token sequences as ``read_sequences`` takes them: a folder per split.
+
+    A text becomes ``<bos> A <eos>``, a source with its target ``<bos> A <sep> B <eos>``; every token counts
+    in the mask. Nothing is shuffled.
+    """
+    model = load_tokenizer(spark, tokenizer_path)
+    manifest = read_json_document(spark, manifest_path)
+    special = model.special_ids()
+    record = VariantRecord("v")
+    parsed = parse_lines(read_splits(spark, manifest)).filter(is_object())
+    texts = parsed.select("split", record.shown("text").alias("text"), record.shown("src").alias("src"), record.shown("tgt").alias("tgt"))
+    single = F.coalesce("text", "src", "tgt")
+    pair = F.col("text").isNull() & F.col("src").isNotNull() & F.col("tgt").isNotNull()
+    texts = texts.filter(single.isNotNull()).select("split", single.alias("first"), F.when(pair, F.col("tgt")).alias("second"))
+    coded = encode(encode(texts, model, "first", "a"), model, "second", "b")
+    marks = (special["<bos>"], special["<eos>"], special["<sep>"])
+    ids = F.when(F.col("second").isNull(), template(F.col("a"), *marks)).otherwise(template(F.col("a"), *marks, F.col("b")))
+    rows = coded.select("split", ids.alias("input_ids"))
+    rows = rows.withColumn("attention_mask", F.transform("input_ids", lambda _: F.lit(1)))
+    rows.write.mode("overwrite").partitionBy("split").json(out)
+    return {name: f"{out}/split={name}" for name in manifest["splits"]}
+
+
 def inspect_tokenizer(spark: SparkSession, tokenizer_path: str, manifest_path: str, out: str) -> dict[str, Any]:
     """Report of an existing tokenizer on a dataset."""
     model = load_tokenizer(spark, tokenizer_path)

@@ -137,7 +137,9 @@ def test_run_tables(spark, tmp_path):
     parent = RunLog(spark, path, "e", "parent", tags={"k": "v"})
     child = RunLog(spark, path, "e", "child", parent_run_id=parent.run_id)
     child.log_params({"a": 1, "b": {"c": True}})
-    child.log_metrics({"loss": 1}, step=3)
+    with child:
+        child.log_metrics({"loss": 1}, step=3)
+        assert not (tmp_path / "runs" / "metrics").exists()
     child.log_json({"x": 1}, "x.json")
     assert {(r["param"], r["value"]) for r in read_table(spark, path, "params").collect()} == {("a", "1"), ("b.c", "True")}
     assert read_table(spark, path, "metrics").first()["value"] == 1.0

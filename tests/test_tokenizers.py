@@ -9,7 +9,9 @@ from corpusops.functions.text import SPECIAL_TOKENS, normalize_encoding, normali
 from corpusops.operators import bpe, unigram, vocab
 from corpusops.operators.chars import decode_bytes
 from corpusops.operators.tokenizer import TokenizerConfig, TokenizerModel, dump, encode
-from corpusops.plans.tokenizer_job import inspect_tokenizer, learn, load_tokenizer, read_registry, train_tokenizer
+from corpusops.plans.run_tables import RunLog, read_table
+from corpusops.plans.tokenizer_job import encode_sequences, inspect_tokenizer, learn, load_tokenizer, read_registry, train_tokenizer
+from corpusops.sources.readers import read_sequences
 
 TEXTS = ["hello world", "tokenizer"]
 
@@ -278,11 +280,19 @@ def test_train_and_inspect_jobs(spark, tmp_path):
         assert set(trained[algo]["report"]["per_split"]) == {"train", "dev", "test"}
         assert trained[algo]["manifest"]["source_dataset_id"] == "toy"
         assert len(trained[algo]["manifest"]["tokenizer_json_sha256"]) == 64
-    train_tokenizer(spark, str(manifest), TokenizerConfig("bpe", 64), str(tmp_path / "again"), registry)
+    runs = str(tmp_path / "runs")
+    log = RunLog(spark, runs, "e", "again")
+    train_tokenizer(spark, str(manifest), TokenizerConfig("bpe", 64), str(tmp_path / "again"), registry, run=log)
+    assert {("algo", "bpe"), ("vocab_size", "64")} <= {(r["param"], r["value"]) for r in read_table(spark, runs, "params").collect()}
+    assert "num_samples" in {r["metric"] for r in read_table(spark, runs, "metrics").collect()}
     names = [r["tokenizer_id"] for r in read_registry(spark, registry).collect()]
     assert sorted(names) == sorted({t["manifest"]["tokenizer_id"] for t in trained.values()})
     path = trained["bpe"]["tokenizer_path"]
     assert load_tokenizer(spark, path).tokens[:5] == list(SPECIAL_TOKENS)
+    folders = encode_sequences(spark, path, str(manifest), str(tmp_path / "sequences"))
+    coded_ids = read_sequences(spark, folders["dev"]).first()
+    assert coded_ids["input_ids"][0] == 1 and coded_ids["input_ids"][-1] == 2
+    assert coded_ids["attention_mask"] == [1] * len(coded_ids["input_ids"])
     report = inspect_tokenizer(spark, path, str(manifest), str(tmp_path / "inspect"))
     assert report["summary"]["num_samples"] == 3
     imported = train_tokenizer(spark, str(manifest), TokenizerConfig("bpe", 64), str(tmp_path / "ext"), external=path)
