@@ -8,10 +8,11 @@ anchor form a block, a stretch of text of at most ``2 * length - GRAM`` bytes.
 
 1. Every text is cut into blocks, and anchors are counted. Blocks whose anchor occurs once hold no
    repeat; most of a corpus ends here, having moved a few bytes per block. The texts are cut again
-   for the blocks that go on, which is cheaper than to keep those of all.
+   for the blocks that go on, and once more for the bytes of step 3, which is cheaper than to keep
+   or move them.
 2. Equal blocks are counted by digest. What occurs twice is repeated as a whole, so a group of
    copies of any size becomes one row with a count.
-3. Anchors with several different blocks are dealt to shards of bounded size. Windows whose rolling
+3. The bytes of one block of each kind are read from its text. Anchors with several kinds are dealt to shards of bounded size. Windows whose rolling
    hash occurs once in the shard are passed over. A shard takes its blocks in batches: each batch gets
    a suffix array of its windows, is merge-scanned against the existing levels, where equal neighbours are repeats, and levels of equal size are merged, so each
    suffix is merged a logarithmic number of times.
@@ -20,8 +21,8 @@ anchor form a block, a stretch of text of at most ``2 * length - GRAM`` bytes.
 An anchor with very many different blocks (a common line in ever new surroundings) would fill one
 shard. Its windows are counted by digest in a plain distributed aggregation instead.
 
-Texts are identified by MD5, so copies share one result. Only texts are moved from which blocks are
-fetched in step 3 or that lose a part of themselves in step 4; everything else is narrow.
+Texts are identified by MD5, so copies share one result. Only texts that lose a part of themselves
+are moved, in step 4; everything else is narrow.
 """
 
 from __future__ import annotations
@@ -43,6 +44,7 @@ LENGTH = 200
 GRAM = 40
 CHUNK = 1 << 19  # windows looked at together; a block may be cut there, which step 3 makes good
 POSITION_BITS = 20
+KEY_BYTES = 7
 BATCH_SUFFIXES = 50_000
 SHARD_SUFFIXES = 150_000
 MOST_BLOCKS = 4_000  # different blocks of one anchor in a shard
@@ -158,35 +160,36 @@ def _anchors_only(length: int):
     return rows
 
 
-def _block_rows(length: int, shared):
-    """Blocks whose anchor may be among the shared ones."""
+def _blocks_of(batch: pa.RecordBatch, cutter: Anchors, bits: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Row, anchors, digests, first windows and sizes of the blocks whose anchor may be shared."""
+    for i, text in enumerate(batch.column(1).to_pylist()):
+        for anchor, first, count in cutter.blocks(text):
+            kept = in_bitmap(bits, anchor.view(np.int64))
+            anchor, first, count = anchor[kept].view(np.int64), first[kept], count[kept]
+            ends = (first + count + cutter.length - 1).tolist()
+            digest = [xxhash.xxh3_64_intdigest(text[a:b]) for a, b in zip(first.tolist(), ends)]
+            if digest:
+                yield i, anchor, np.array(digest, np.uint64).view(np.int64), first, count
+
 
+def _block_rows(length: int, shared):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter, bits = Anchors(length), shared.value
+        cutter = Anchors(length)
         for batch in batches:
-            source, anchors, digests, firsts, counts = [], [], [], [], []
-            texts = batch.column(1).to_pylist()
-            for i, text in enumerate(texts):
-                for anchor, first, count in cutter.blocks(text):
-                    kept = in_bitmap(bits, anchor.view(np.int64))
-                    anchor, first, count = anchor[kept], first[kept], count[kept]
-                    ends = (first + count + length - 1).tolist()
-                    digests += [xxhash.xxh3_64_intdigest(text[a:b]) for a, b in zip(first.tolist(), ends)]
-                    anchors.append(anchor)
-                    firsts.append(first)
-                    counts.append(count)
-                    source.append(np.full(len(first), i))
-            if not digests:
+            found = list(_blocks_of(batch, cutter, shared.value))
+            if not found:
                 continue
-            at = np.concatenate(source)
+            row, anchor, digest, first, count = zip(*found)
+            at = np.repeat(row, [len(a) for a in anchor])
+            sizes = np.array([len(t) for t in batch.column(1).to_pylist()], np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(pa.array(at)),
-                    pa.array(np.array([len(t) for t in texts], np.int64)[at]),
-                    pa.array(np.concatenate(anchors).view(np.int64)),
-                    pa.array(np.array(digests, np.uint64).view(np.int64)),
-                    pa.array(np.concatenate(firsts).astype(np.int64)),
-                    pa.array(np.concatenate(counts).astype(np.int32)),
+                    pa.array(sizes[at]),
+                    pa.array(np.concatenate(anchor)),
+                    pa.array(np.concatenate(digest)),
+                    pa.array(np.concatenate(first).astype(np.int64)),
+                    pa.array(np.concatenate(count).astype(np.int32)),
                 ],
                 ["key", "n_bytes", "anchor", "digest", "first", "windows"],
             )
@@ -194,6 +197,28 @@ def _block_rows(length: int, shared):
     return rows
 
 
+def _stretch_rows(length: int, shared, chosen):
+    """Bytes of the blocks that may have been chosen to stand for their equals."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter = Anchors(length)
+        for batch in batches:
+            texts, keys = batch.column(1).to_pylist(), batch.column(0).to_pylist()
+            anchors, digests, stretches = [], [], []
+            for i, anchor, digest, first, count in _blocks_of(batch, cutter, shared.value):
+                place = anchor ^ digest ^ first ^ int.from_bytes(keys[i][:KEY_BYTES], "big")
+                for j in np.flatnonzero(in_bitmap(chosen.value, place)):
+                    anchors.append(anchor[j])
+                    digests.append(digest[j])
+                    stretches.append(texts[i][first[j] : first[j] + count[j] + length - 1])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(anchors, pa.int64()), pa.array(digests, pa.int64()), pa.array(stretches, pa.binary())], ["anchor", "digest", "block"]
+            )
+
+    return rows
+
+
+STRETCH_ROWS = "anchor long, digest long, block binary"
 BLOCK_ROWS = "key binary, n_bytes long, anchor long, digest long, first long, windows int"
 
 
@@ -343,21 +368,11 @@ def find_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", le
 
     # 3: bytes of the different blocks, then suffix arrays.
     sizes = {r["many"]: r["s"] for r in several.groupBy("many").agg(F.sum("windows").alias("s")).collect()}
-    wanted = several.groupBy("key").agg(F.collect_list(F.struct("anchor", "digest", "n", "first", "windows", "many")).alias("b"))
-    cut = F.transform(
-        "b",
-        lambda b: F.struct(
-            b["anchor"].alias("anchor"),
-            b["digest"].alias("digest"),
-            F.substring(F.col("body"), (b["first"] + 1).cast("int"), b["windows"] + length - 1).alias("block"),
-            b["n"].alias("n"),
-            b["many"].alias("many"),
-        ),
-    )
-    # Copies have one key: any of them gives the bytes.
-    wanted = cut_lineage(wanted)
-    texts = wanted.join(may_be_among(bodies, "key", wanted), "key").select("key", cut.alias("b"))
-    stretches = texts.select(F.inline("b")).dropDuplicates(["anchor", "digest"])
+    place = F.col("anchor").bitwiseXOR(F.col("digest")).bitwiseXOR(F.col("first"))
+    place = place.bitwiseXOR(F.conv(F.hex(F.substring("key", 1, KEY_BYTES)), 16, 10).cast("long"))
+    chosen = spark.sparkContext.broadcast(bitmap(several.select(place.alias("place")), "place"))
+    stretches = long_enough.mapInArrow(_stretch_rows(length, bits, chosen), STRETCH_ROWS).dropDuplicates(["anchor", "digest"])
+    stretches = stretches.join(several.select("anchor", "digest", "n", "many"), ["anchor", "digest"])
     marked = whole
     if sizes.get(False):
         shards = 1 + sizes[False] // SHARD_SUFFIXES
