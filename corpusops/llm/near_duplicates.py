@@ -7,8 +7,8 @@
    for texts with many shingles, a few for short ones.
 2. Equal sets are one class, represented by their smallest id, so copies never meet in pairs.
 3. Signatures are cut into bands. All members of a bucket (equal band) are compared with its
-   smallest member, on the full sets, which takes as many comparisons as members.
-4. Links become components by min-label union with pointer jumping.
+   smallest member and three others drawn by hash, on the full sets: four comparisons a member.
+4. Links become components by contracting the graph, a distributed union-find.
 5. A bucket that now lies within one component is settled: no further link could change anything.
    While the others hold many pairs between components, another member of each, drawn by hash, is
    compared with the members of other components, again as many comparisons as members. At last
@@ -36,8 +36,9 @@ BANDS = 40
 ROWS = 6
 PERCENT = 80
 # Buckets in several components are compared in full once the pairs between components are few a member.
-PAIRS_PER_MEMBER = 8
+PAIRS_PER_MEMBER = 2
 LEADER_ROUNDS = 6
+FIRST_LEADERS = 4
 
 PROFILE = T.StructType(
     [
@@ -181,10 +182,11 @@ def link_candidates(reps: DataFrame, texts: DataFrame, size: int, percent: int)
     members = cut_lineage(banded.join(shared.select("key"), "key", "left_semi").distinct())
     linked = F.col("common") * 100 >= F.col("total") * percent
 
-    # Each bucket's smallest member against all others.
-    smallest = members.groupBy("key").agg(F.min("doc_id").alias("a"))
-    pairs = members.join(smallest, "key").filter("doc_id != a").select("a", F.col("doc_id").alias("b")).distinct()
-    first = tested = verify(pairs, texts, size)
+    # A few members of each bucket, the smallest among them, against all others.
+    drawn = [F.min_by("doc_id", F.xxhash64("doc_id", F.lit(-i))) for i in range(1, FIRST_LEADERS)]
+    chosen = cut_lineage(members.groupBy("key").agg(F.min("doc_id").alias("first"), F.array_distinct(F.array(F.min("doc_id"), *drawn)).alias("l")))
+    pairs = members.join(chosen.select("key", F.explode("l").alias("l")), "key").filter("doc_id != l")
+    tested = verify(pairs.select(F.least("doc_id", "l").alias("a"), F.greatest("doc_id", "l").alias("b")).distinct(), texts, size)
     links = tested.filter(linked).select("a", "b")
     labels = components(links)
 
@@ -214,8 +216,8 @@ def link_candidates(reps: DataFrame, texts: DataFrame, size: int, percent: int)
         labels = merged_labels(labels, new)
 
     # All pairs between components that the distances to the smallest member leave open.
-    distance = first.select("a", F.col("b").alias("doc_id"), (1 - F.col("common") / F.col("total")).alias("d"))
-    left = placed.join(smallest, "key").join(distance, ["a", "doc_id"]).select("key", "doc_id", "component", "d")
+    distance = tested.select(F.col("a").alias("first"), F.col("b").alias("doc_id"), (1 - F.col("common") / F.col("total")).alias("d"))
+    left = placed.join(chosen.select("key", "first"), "key").join(distance, ["first", "doc_id"]).select("key", "doc_id", "component", "d")
     left = cut_lineage(left)
     right = left.select("key", F.col("doc_id").alias("b"), F.col("component").alias("_component"), F.col("d").alias("_d"))
     near = F.abs(F.col("d") - F.col("_d")) <= 1 - percent / 100 + 1e-9
@@ -244,21 +246,40 @@ def merged_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``node, component``: the smallest node reachable over ``links(a, b)``."""
-    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = cut_lineage(both)
-    labels = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("component")))
-    while True:
-        of_neighbour = labels.select(F.col("node").alias("b"), F.col("component").alias("_c"))
-        near = both.join(of_neighbour, "b").groupBy(F.col("a").alias("node")).agg(F.min("_c").alias("_near"))
-        lower = labels.join(near, "node").select("node", "component", F.least("component", "_near").alias("_low"))
-        target = labels.select(F.col("node").alias("_low"), F.col("component").alias("_jump"))
-        jumped = lower.join(target, "_low").select("node", F.col("component").alias("_old"), F.least("_low", "_jump").alias("component"))
-        jumped = cut_lineage(jumped)
-        changed = jumped.filter(F.col("_old") != F.col("component")).limit(1).count()
-        labels = jumped.select("node", "component")
-        if not changed:
-            return labels
+    """``node, component``: the smallest node reachable over ``links(a, b)``.
+
+    In each round every node joins its first neighbour, or stays if it comes first itself, and the graph
+    is contracted to the nodes joined. The first round goes by id, which settles stars around their
+    smallest node at once; later ones by a hash, which halves long chains. Ends when no edge is left.
+    """
+    edges = _edges(links.select("a", "b"))
+    joins: list[DataFrame] = []
+    while edges.limit(1).count():
+        both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        rank = (lambda c: F.col(c)) if not joins else (lambda c: F.xxhash64(c, F.lit(len(joins))))
+        first = F.min(F.struct(rank("b").alias("r"), F.col("b").alias("id"))).alias("n")
+        near = both.groupBy(F.col("a").alias("node")).agg(first)
+        own = F.struct(rank("node").alias("r"), F.col("node").alias("id"))
+        step = cut_lineage(near.select("node", F.least(own, F.col("n"))["id"].alias("to")))
+        joins.append(step)
+        of_a, of_b = (step.select(F.col("node").alias(c), F.col("to").alias(f"_{c}")) for c in "ab")
+        edges = _edges(edges.join(of_a, "a").join(of_b, "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")))
+    if not joins:
+        return links.select(F.col("a").alias("node"), F.col("a").alias("component")).limit(0)
+    found = joins[-1]
+    for step in reversed(joins[:-1]):
+        later = found.select(F.col("node").alias("to"), F.col("to").alias("_to"))
+        found = step.join(later, "to", "left").select("node", F.coalesce("_to", "to").alias("to"))
+    if len(joins) == 1:
+        return found.select("node", F.col("to").alias("component"))
+    found = cut_lineage(found)
+    lowest = found.groupBy("to").agg(F.min("node").alias("component"))
+    return cut_lineage(found.join(lowest, "to").select("node", "component"))
+
+
+def _edges(links: DataFrame) -> DataFrame:
+    """Distinct links between different nodes, the smaller first."""
+    return cut_lineage(links.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
 def near_duplicates(
