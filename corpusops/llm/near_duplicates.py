@@ -36,7 +36,7 @@ BANDS = 40
 ROWS = 6
 PERCENT = 80
 # Buckets in several components are compared in full once the pairs between components are few a member.
-PAIRS_PER_MEMBER = 2
+PAIRS_PER_MEMBER = 8
 LEADER_ROUNDS = 6
 FIRST_LEADERS = 4
 
@@ -159,12 +159,11 @@ def overlap(left: Column, right: Column, size: int) -> Column:
 def verify(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """``a, b, common, total`` of each pair of ids, measured on the full sets.
 
-    Texts that occur in no pair are left out of the joins. A document that is in very many pairs is
-    a skewed key of a join between two tables, which adaptive execution splits.
+    Most texts that occur in no pair are left out before the joins. A document that is in very many
+    pairs is a skewed key of a join between two tables, which adaptive execution splits.
     """
     pairs = cut_lineage(pairs)
-    ids = cut_lineage(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct())
-    needed = may_be_among(texts, "doc_id", ids).join(ids, "doc_id", "left_semi")
+    needed = may_be_among(texts, "doc_id", pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
     left = needed.select(F.col("doc_id").alias("a"), F.col("_text").alias("_a"))
     right = needed.select(F.col("doc_id").alias("b"), F.col("_text").alias("_b"))
     both = pairs.join(right, "b").join(left, "a")
@@ -197,12 +196,12 @@ def link_candidates(reps: DataFrame, texts: DataFrame, size: int, percent: int)
         # Buckets that lie in several components, with the number of pairs between these.
         parts = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
         spread = parts.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same")).filter("n * n > same")
-        placed = cut_lineage(placed.join(spread.select("key"), "key", "left_semi"))
-        rows = placed.count()
-        if not rows:
+        spread = cut_lineage(spread)
+        seen = spread.agg(F.sum("n").alias("rows"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2).alias("across")).collect()[0]
+        if not seen["rows"]:
             return links
-        across = spread.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2).alias("s")).collect()[0]["s"]
-        if across <= PAIRS_PER_MEMBER * rows:
+        placed = cut_lineage(placed.join(spread.select("key"), "key", "left_semi"))
+        if seen["across"] <= PAIRS_PER_MEMBER * seen["rows"]:
             break
         # Too many to compare: another member of each bucket joins what it is linked to first.
         drawn = F.min_by(F.struct("doc_id", "component"), F.xxhash64("doc_id", "key", F.lit(number))).alias("l")
