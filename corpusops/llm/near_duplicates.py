@@ -7,10 +7,10 @@
    for texts with many shingles, a few for short ones.
 2. Equal sets are one class, represented by their smallest id, so copies never meet in pairs.
 3. Signatures are cut into bands. All members of a bucket (equal band) are compared with its
-   smallest member and three others drawn by hash, on the full sets: four comparisons a member.
+   smallest member and another drawn by hash, on the full sets: two comparisons a member.
 4. Links become components by contracting the graph, a distributed union-find.
 5. A bucket that now lies within one component is settled: no further link could change anything.
-   While the others hold many pairs between components, another member of each, drawn by hash, is
+   If the others hold many pairs between components, another member of each, drawn by hash, is
    compared with the members of other components, again as many comparisons as members. At last
    all members of different components are compared unless their distances to the bucket's smallest
    member rule a link out (Jaccard distance obeys the triangle inequality).
@@ -37,8 +37,8 @@ ROWS = 6
 PERCENT = 80
 # Buckets in several components are compared in full once the pairs between components are few a member.
 PAIRS_PER_MEMBER = 8
-LEADER_ROUNDS = 6
-FIRST_LEADERS = 4
+LEADER_ROUNDS = 1
+FIRST_LEADERS = 2
 
 PROFILE = T.StructType(
     [
@@ -163,7 +163,7 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     pairs is a skewed key of a join between two tables, which adaptive execution splits.
     """
     pairs = cut_lineage(pairs)
-    needed = may_be_among(texts, "doc_id", pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
+    needed = may_be_among(texts, "doc_id", pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))))
     left = needed.select(F.col("doc_id").alias("a"), F.col("_text").alias("_a"))
     right = needed.select(F.col("doc_id").alias("b"), F.col("_text").alias("_b"))
     both = pairs.join(right, "b").join(left, "a")
