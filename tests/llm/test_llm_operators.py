@@ -460,7 +460,7 @@ def test_url_rules_and_odd_urls(spark):
     urls = {
         1: "http://A.Example.ORG/es/1?x",
         2: "https://example.org/en",
-        3: "https://example.org",
+        3: "https://lonely.org",
         4: "http://badexample.org/es/",
         5: "ftp://x.com/fr/#y/de/",
         6: "http://x.com?/de/",
@@ -475,7 +475,7 @@ def test_url_rules_and_odd_urls(spark):
     assert found == {
         1: ("a.example.org", "/es/1", "example.org/es/", "block"),
         2: ("example.org", "/en", "org/", "allow"),
-        3: ("example.org", "", None, "allow"),
+        3: ("lonely.org", "", None, "allow"),
         4: ("badexample.org", "/es/", "org/", "allow"),
         5: ("x.com", "/fr/", "com/fr/", "allow"),
         6: ("x.com", "", None, "allow"),
