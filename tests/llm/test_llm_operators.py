@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -539,6 +540,28 @@ def test_license_scan(spark, docs, none):
     assert not re.search("Python|Arrow|Pandas", licenses.scan(table)._jdf.queryExecution().executedPlan().toString())
 
 
+def test_license_notices_wrapped_and_within_long_lines(spark):
+    mit, gpl, lgpl = licenses.TEMPLATES["MIT"][2], licenses.TEMPLATES["GPL-3.0"][1], licenses.TEMPLATES["LGPL"][0]
+    rng = random.Random(7)
+    rows = [
+        (1, "\n".join(textwrap.wrap(mit, 72))),
+        (2, f"{prose(rng, 30)}\n#\n" + "\n".join(f"#  {x}" for x in textwrap.wrap(gpl, 60)) + f"\n#\n{prose(rng, 30)}"),
+        (3, f"{prose(rng, 300)} {mit} {prose(rng, 300)}"),
+        (4, f"/*\r\n * {prose(rng, 9)}\r\n *\r\n" + "\r\n".join(f" * {x}" for x in textwrap.wrap(lgpl, 40)) + "\r\n */"),
+        (5, f"{prose(rng, 50)}\n" + "\n".join(f"dnl {x}" for x in textwrap.wrap(gpl, 30))),
+        (6, f"{prose(rng, 61)} {mit} {prose(rng, 5)} {gpl} {prose(rng, 99)}"),
+    ]
+    # Half a notice is none, nor are two halves with a blank line between them.
+    halves = mit.split()
+    rows.append((7, " ".join(halves[:14]) + "\n\n" + " ".join(halves[14:])))
+    rows += [(100 + i, prose(rng, 80)) for i in range(40)]
+    found = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).filter("family != 'unknown'").collect()
+    assert sorted((r["doc_id"], r["paragraph_no"], r["family"]) for r in found) == [
+        (1, 0, "MIT"), (2, 2, "GPL-3.0"), (3, 0, "MIT"), (4, 3, "LGPL"), (5, 1, "GPL-3.0"), (6, 0, "GPL-3.0"), (6, 0, "MIT"),
+    ]
+    assert min(r["overlap"] for r in found) > 0.99
+
+
 def test_batches_stay_bounded(spark, docs):
     language.predict(docs, F.col("text"), language.Model([], np.zeros((language.BUCKETS, 0)), np.zeros(0)))
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 2_000
