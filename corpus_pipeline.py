@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusops.llm import decontamination, language, mixture, near_duplicates, sharding
-from corpusops.llm.common import may_be_among, table
-from corpusops.session import cut_lineage, ensure_checkpoint_dir
+from corpusops.llm.common import table
+from corpusops.session import ensure_checkpoint_dir
 
 N_SHARDS = 16
 ROWS_PER_TASK = 20_000
@@ -30,20 +30,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, that with the smallest id, in one row if that id is repeated.
-
-    Rows with a null id all stay.
-    """
-    judged = near_duplicates.near_duplicates(docs)
-    gone = judged.filter(~F.col("kept")).select("doc_id").distinct()
-    repeated = judged.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    repeated = cut_lineage(repeated)
-    apart = cut_lineage(gone.union(repeated).distinct())
-    kept = docs.join(apart, "doc_id", "left_anti").select(*_columns(docs))
-    if repeated.limit(1).count():
-        again = may_be_among(docs, "doc_id", repeated).join(repeated, "doc_id", "left_semi").join(gone, "doc_id", "left_anti")
-        kept = kept.unionAll(again.dropDuplicates(["doc_id"]).select(*_columns(docs)))
-    return kept
+    """One row of each group of near copies stays, that with the smallest id; texts that share an id are told apart."""
+    return near_duplicates.single_rows(docs).select(*_columns(docs))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@
    step ``j`` with a value in ``[j, j + 1)``. A register's minimum is thus drawn without replacement,
    which lowers the variance, and the walk stops as soon as ``j`` exceeds every register: one step
    for texts with many shingles, a few for short ones.
-2. Equal sets are one class, represented by their smallest id, so copies never meet in pairs.
+2. Each distinct pair of id and text is a node. Equal sets are one class, represented by one of its
+   nodes, so copies never meet in pairs.
 3. Signatures are cut into bands. All members of a bucket (equal band) are compared with its
    smallest member and another drawn by hash, on the full sets: two comparisons a member.
 4. Links become components by contracting the graph, a distributed union-find.
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusops.llm.common import WordHashes, as_bytes, bound_batches, may_be_among, mix, space_words
-from corpusops.session import cut_lineage
+from corpusops.session import cut_lineage, join_small
 
 SHINGLE = 5
 BANDS = 40
@@ -281,6 +282,85 @@ def _edges(links: DataFrame) -> DataFrame:
     return cut_lineage(links.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
+def node_key(doc_id: str, text: str, seed: int) -> Column:
+    """The node of a row in the graph: rows of the same id and text are one."""
+    return F.xxhash64(F.lit(seed), F.col(f"`{doc_id}`").isNull(), F.col(f"`{doc_id}`"), F.col(f"`{text}`").isNull(), F.col(f"`{text}`"))
+
+
+def profiled_nodes(docs: DataFrame, text: str, doc_id: str, size: int, bands: int, rows: int) -> tuple[DataFrame, int]:
+    """``doc_id, node, n_shingles, digest, bands`` of each row, and the seed with which no two nodes share a key."""
+    bound_batches(docs.sparkSession)
+    named = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("_text"))
+    seed = 0
+    while True:
+        keyed = named.withColumn("node", node_key("doc_id", "_text", seed))
+        profiles = cut_lineage(keyed.withColumn("p", profile(F.col("_text"), size, bands, rows)).select("doc_id", "node", "p.*"))
+        content = F.xxhash64(F.lit(-1), "digest", "doc_id", F.col("doc_id").isNull())
+        if not profiles.groupBy("node").agg(F.min(content).alias("x"), F.max(content).alias("y")).filter("x != y").limit(1).count():
+            return profiles, seed
+        seed += 1
+
+
+def node_links(profiles: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links ``a, b`` between nodes of ``profiles``; ``texts`` are ``node, _text`` of all rows."""
+    full = profiles.filter("n_shingles > 0")
+    # One representative a set; equal sets need no comparison.
+    nodes = cut_lineage(full.groupBy("node").agg(F.first("digest").alias("digest"), (F.count("*") > 1).alias("again")))
+    classes = nodes.groupBy("digest").agg(F.min_by(F.struct("node", "again"), F.struct("again", "node")).alias("r"))
+    classes = cut_lineage(classes.select("digest", F.col("r.node").alias("rep"), "r.again"))
+    copies = nodes.join(classes, "digest").filter("node != rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    reps = full.select(F.col("node").alias("doc_id"), "bands").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    texts = texts.select(F.col("node").alias("doc_id"), "_text")
+    again = classes.filter("again").select(F.col("rep").alias("doc_id"))
+    if again.limit(1).count():
+        # Rows of one node hold one text, which is compared once.
+        reps = reps.groupBy("doc_id").agg(F.first("bands").alias("bands"))
+        once = may_be_among(texts, "doc_id", again).join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.first("_text").alias("_text"))
+        once = cut_lineage(once.select("doc_id", "_text"))
+        texts = join_small(texts, again, ["doc_id"], "left_anti", row_bytes=32).unionByName(once)
+    return link_candidates(reps, texts, size, percent).union(copies)
+
+
+def single_rows(
+    docs: DataFrame,
+    text: str = "text",
+    doc_id: str = "doc_id",
+    size: int = SHINGLE,
+    percent: int = PERCENT,
+    bands: int = BANDS,
+    rows: int = ROWS,
+) -> DataFrame:
+    """One row of each group of near copies, with the columns of ``docs``.
+
+    Every distinct pair of id and text is a document of its own, so unrelated texts under one id all stay.
+    The row with the smallest id stays, null being the largest; of equal ids and texts the row that comes
+    first by a hash of all its columns. Rows with a null id go only as copies: if a row that stays has the same
+    shingle set. Rows without words stay, once a non-null id and text.
+    """
+    profiles, seed = profiled_nodes(docs, text, doc_id, size, bands, rows)
+    keyed = docs.withColumn("_node", node_key(doc_id, text, seed))
+    texts = keyed.select(F.col("_node").alias("node"), F.col(f"`{text}`").alias("_text"))
+    links = node_links(profiles.filter(F.col("doc_id").isNotNull()), texts, size, percent)
+    full = profiles.filter("n_shingles > 0")
+    lead = full.groupBy("digest").agg(F.min_by("node", F.struct(F.col("doc_id").isNull(), "node")).alias("a"))
+    unnamed = full.filter(F.col("doc_id").isNull()).select("digest", F.col("node").alias("b")).distinct()
+    found = components(links.union(lead.join(unnamed, "digest").filter("a != b").select("a", "b")))
+    ids = profiles.select("node", "doc_id").distinct().join(found, "node")
+    first = ids.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("f"))
+    gone = ids.join(first, "component").filter("node != f.node").select(F.col("node").alias("_node"))
+    same = profiles.filter((F.col("n_shingles") > 0) | F.col("doc_id").isNotNull())
+    repeated = cut_lineage(same.groupBy("node").count().filter("count > 1").select(F.col("node").alias("_node")))
+    apart = cut_lineage(gone.unionAll(repeated).distinct())
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    kept = keyed.join(apart, "_node", "left_anti").select(*columns)
+    if repeated.limit(1).count():
+        again = may_be_among(keyed, "_node", repeated).join(repeated, "_node", "left_semi").join(gone, "_node", "left_anti")
+        row = F.struct(*columns)
+        one = again.groupBy("_node").agg(F.min_by(row, F.struct(F.xxhash64(F.to_json(row)), F.to_json(row))).alias("_row"))
+        kept = kept.unionByName(one.select("_row.*"))
+    return kept
+
+
 def near_duplicates(
     docs: DataFrame,
     text: str = "text",
@@ -300,24 +380,18 @@ def near_duplicates(
     node: its component is null and it is kept. Other columns are not read. An empty table
     gives no rows.
     """
-    bound_batches(docs.sparkSession)
-    texts = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("_text"))
-    profiles = cut_lineage(
-        texts.withColumn("p", profile(F.col("_text"), size, bands, rows)).select("doc_id", "p.*")
-    )
+    profiles, seed = profiled_nodes(docs, text, doc_id, size, bands, rows)
+    texts = docs.select(node_key(doc_id, text, seed).alias("node"), F.col(f"`{text}`").alias("_text"))
     named = profiles.filter(F.col("doc_id").isNotNull())
-
-    # One representative a set; equal sets need no comparison.
-    classes = named.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    classes = cut_lineage(classes)
-    members = named.filter("n_shingles > 0").select("doc_id", "digest").join(classes, "digest").select("doc_id", "rep")
-    copies = members.filter("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
-    with_rep = classes.select(F.col("digest").alias("_digest"), "rep")
-    reps = named.join(with_rep, (F.col("digest") == F.col("_digest")) & (F.col("doc_id") == F.col("rep")), "left_semi")
-    links = link_candidates(reps.select("doc_id", "bands"), texts, size, percent).union(copies)
-    found = components(links)
-    keyed = profiles.select("doc_id", "n_shingles").join(found, F.col("doc_id") == F.col("node"), "left")
-    component = F.coalesce(F.col("component"), F.col("doc_id"))
+    links = node_links(named, texts, size, percent)
+    nodes = named.select("doc_id", "node").distinct()
+    shared = nodes.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("_last")).filter("a != _last")
+    links = links.union(shared.join(nodes, "doc_id").filter("a != node").select("a", F.col("node").alias("b")))
+    found = nodes.join(components(links), "node")
+    lowest = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    of_node = found.join(lowest, "component").select("node", "component_id")
+    keyed = profiles.select("doc_id", "n_shingles", "node").join(of_node, "node", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.col("component_id"), F.col("doc_id")))
     return keyed.select(
         "doc_id",
         "n_shingles",

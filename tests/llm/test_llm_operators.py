@@ -141,6 +141,16 @@ def test_labels_are_merged(spark):
     assert found == {1: 1, 2: 1, 5: 1, 6: 1, 7: 1, 8: 8, 9: 8}
 
 
+def test_links_of_every_text_of_an_id_count(spark):
+    rng = random.Random(5)
+    one, two = prose(rng, 80), prose(rng, 80)
+    rows = [(1, one), (2, one), (2, two), (3, two + " end"), (4, prose(rng, 80)), (None, two)] + [(5, one + " more")] * 3
+    found = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in found) == [
+        (0, 0, True), (1, 1, True), (2, 1, False), (2, 1, False), (3, 1, False), (4, 4, True), *[(5, 1, False)] * 3,
+    ]
+
+
 def test_near_duplicates_of_nothing(none):
     assert near_duplicates.near_duplicates(none).count() == 0
 

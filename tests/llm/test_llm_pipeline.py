@@ -72,3 +72,18 @@ def test_run_of_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_texts_that_share_an_id_are_told_apart(spark):
+    def words(tag, n=60):
+        return " ".join(f"{tag}{i}" for i in range(n))
+
+    rows = [
+        (1, words("a")), (2, words("a")), (2, words("b")), (3, words("c")), (3, words("d")), (3, words("d") + " end"), (4, words("e")),
+        (4, words("e")), (None, words("f")), (None, words("f")), (None, words("g")), (None, words("a")), (5, words("g")), (None, None),
+    ]
+    docs = spark.createDataFrame([(*r, i % 2) for i, r in enumerate(rows)], "doc_id long, text string, other int")
+    kept = corpus_pipeline.near_duplicate(spark, docs.repartition(3), "")
+    assert kept.columns == docs.columns
+    found = sorted((r["doc_id"] or 0, (r["text"] or "-").split("0")[0]) for r in kept.collect())
+    assert found == [(0, "-"), (0, "f"), (1, "a"), (2, "b"), (3, "c"), (3, "d"), (4, "e"), (5, "g")]
