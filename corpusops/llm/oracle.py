@@ -117,4 +117,89 @@ SELECT p.doc_id, p.source, p.size, p.words AS source_size, p.target,
 FROM placed p JOIN drawn d ON d.number = p.number AND d.block = p.block LEFT JOIN last_one l ON l.number = p.number AND l.block = p.block
 """
 
-ORACLE = {"op5_superminhash": OP5, "op6_stratified_shards": OP6, "op8_prefix_join": OP8, "op9_mixture_tree": OP9}
+OP11 = r"""
+WITH base AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), marks AS (
+  SELECT doc_id, max((quality = 1)::INTEGER) AS good, max((toxic = 1)::INTEGER) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+), masked AS (
+  SELECT b.part, coalesce(m.good, 0) AS good, coalesce(m.toxic, 0) AS toxic,
+    (len(w) < 200)::INTEGER + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INTEGER
+      + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t))::INTEGER + 8 * regexp_matches(t, '[#$%&*|]')::INTEGER
+      + 16 * coalesce((b.doc_id > min(b.doc_id) OVER (PARTITION BY t))::INTEGER, 0) AS mask
+  FROM base b LEFT JOIN marks m ON m.doc_id = b.doc_id
+), counted AS (
+  SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM masked GROUP BY part, mask
+), letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+orders AS (
+  SELECT a.c || b.c || d.c || e.c || f.c AS filter_order
+  FROM letters a JOIN letters b ON b.c <> a.c JOIN letters d ON d.c <> a.c AND d.c <> b.c
+  JOIN letters e ON e.c <> a.c AND e.c <> b.c AND e.c <> d.c JOIN letters f ON f.c <> a.c AND f.c <> b.c AND f.c <> d.c AND f.c <> e.c
+), steps AS (
+  SELECT filter_order, step, substr(filter_order, step, 1) AS letter, (1 << (ascii(substr(filter_order, step, 1)) - 65))::INTEGER AS bit,
+    list_sum(list_transform(range(1, step), lambda k: 1 << (ascii(substr(filter_order, k, 1)) - 65))) AS before
+  FROM (SELECT filter_order, unnest(range(1, 6))::INTEGER AS step FROM orders)
+), flagged AS (
+  SELECT filter_order, step, letter, bit, coalesce(before, 0)::INTEGER AS before FROM steps
+), summed AS (
+  SELECT c.part, s.filter_order, s.step, any_value(s.letter) AS letter,
+    coalesce(sum(n) FILTER (mask & (bit | before) = 0), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & before = 0), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & before <> 0), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (mask & bit <> 0 AND mask & before = 0), 0)::BIGINT AS good_lost,
+    coalesce(sum(toxic) FILTER (mask & bit <> 0 AND mask & before = 0), 0)::BIGINT AS toxic_lost
+  FROM counted c CROSS JOIN flagged s GROUP BY c.part, s.filter_order, s.step
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley
+FROM summed
+"""
+
+OP13 = r"""
+WITH crc_table AS (
+  SELECT list(c ORDER BY n) AS crc_of FROM (
+    SELECT n, list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n) AS c
+    FROM (SELECT unnest(range(256)) AS n))
+), split_ AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    xor(list_reduce(list_transform(regexp_extract_all(hex(encode(doc_id::VARCHAR)), '..'), lambda x: ('0x' || x)::BIGINT),
+      lambda c, b: xor(c >> 8, crc_of[xor(c & 255, b) + 1]), 4294967295), 4294967295) AS h
+  FROM documents CROSS JOIN crc_table
+), chosen AS (
+  SELECT doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS planted, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) ELSE 0 END AS a, 3 + (h // 10) % 8 AS d FROM split_
+), words AS (
+  SELECT doc_id, n, CASE WHEN planted THEN list_transform(range(0, n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // d) END]) ELSE w END AS w
+  FROM chosen
+), each AS (
+  SELECT doc_id, n, unnest(w) AS x, unnest(range(0, n)) AS i FROM words
+), equal_ AS (
+  SELECT a.doc_id, a.i, b.i - a.i AS q FROM each a JOIN each b ON b.doc_id = a.doc_id AND b.x = a.x AND b.i > a.i WHERE 4 * (b.i - a.i) <= a.n
+), stretches AS (
+  SELECT doc_id, q, min(i) AS start, count(*) + q AS length
+  FROM (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS g FROM equal_) GROUP BY doc_id, q, g
+), runs AS (
+  SELECT doc_id, start, length, min(q) AS period FROM stretches WHERE length >= greatest(6, 4 * q) GROUP BY doc_id, start, length
+), lines AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS t FROM runs GROUP BY doc_id
+), best AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length / period DESC, start, period) AS place FROM runs) WHERE place = 1
+), dropped AS (
+  SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs
+), kept AS (
+  SELECT e.doc_id, string_agg(e.x, ' ' ORDER BY e.i) AS t FROM each e LEFT JOIN dropped d ON d.doc_id = e.doc_id AND d.i = e.i WHERE d.i IS NULL GROUP BY e.doc_id
+)
+SELECT w.doc_id, coalesce(l.n_runs, 0) AS n_runs, b.start::BIGINT AS start, b.length::BIGINT AS length, b.period::BIGINT AS period,
+  ((1000 * b.length) // b.period)::BIGINT AS exponent_milli, sha256(coalesce(l.t, '')) AS runs_sha256, sha256(coalesce(k.t, '')) AS collapsed_sha256
+FROM words w LEFT JOIN lines l ON l.doc_id = w.doc_id LEFT JOIN best b ON b.doc_id = w.doc_id LEFT JOIN kept k ON k.doc_id = w.doc_id
+"""
+
+ORACLE = {
+    "op5_superminhash": OP5,
+    "op6_stratified_shards": OP6,
+    "op8_prefix_join": OP8,
+    "op9_mixture_tree": OP9,
+    "op11_text_tries": OP11,
+    "op13_cover_runs": OP13,
+}

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import zlib
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from corpusops.llm import decontamination, language, licenses, links, mixture, near_duplicates, neighbours, repeats, sharding, toxicity
-from corpusops.llm.common import table
+from corpusops.llm import decontamination, filter_audit, language, licenses, links, mixture, near_duplicates, neighbours, repeats, runs, sharding, toxicity
+from corpusops.llm.common import as_bytes, table
 
 N_SHARDS = 16
 RULES = [
@@ -85,6 +89,47 @@ def op10_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_text_tries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_cover_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = runs.find_runs(docs, planted_repeats(F.col("doc_id"), F.col("text")))
+    each = F.col("periodic.runs")
+    best = runs.strongest(each)
+    lines = F.transform(each, lambda r: F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period"))))
+    return found.select("doc_id", F.size(each).cast("long").alias("n_runs"), best.alias("best"), "periodic.collapsed", lines.alias("lines")).select(
+        "doc_id",
+        "n_runs",
+        "best.start",
+        "best.length",
+        "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("lines", lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def planted_repeats(doc_id: Column, text: Column) -> Column:
+    """The text, with the words from some place on repeated in every tenth document, as the query's definition asks."""
+
+    @F.arrow_udf(T.StringType())
+    def planted(ids: pa.Array, texts: pa.Array) -> pa.Array:
+        out = as_bytes(texts)
+        for row, (doc_id, text) in enumerate(zip(ids.to_pylist(), out)):
+            h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+            words = text.split() if text and h % 10 == 0 else []
+            if words:
+                n, g = len(words), h // 10
+                a = g % n
+                p = 1 + (n - a) // (3 + g % 8)
+                out[row] = b" ".join(words[:a] + [words[a + k % p] for k in range(n - a)])
+        return pa.array(out, pa.binary()).cast(pa.string())
+
+    return planted(doc_id, text)
+
+
 QUERIES = {
     "op1_learned_partitions": op1_learned_partitions,
     "op2_language_id": op2_language_id,
@@ -96,4 +141,6 @@ QUERIES = {
     "op8_prefix_join": op8_prefix_join,
     "op9_mixture_tree": op9_mixture_tree,
     "op10_link_trust": op10_link_trust,
+    "op11_text_tries": op11_text_tries,
+    "op13_cover_runs": op13_cover_runs,
 }
