@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusops.llm import decontamination, filter_audit, language, licenses, links, mixture, near_duplicates, neighbours, repeats, runs, sharding, toxicity
+from corpusops.llm import decontamination, filter_audit, language, licenses, links, mixture, near_duplicates, neighbours, repeats, runs, secrets, sharding, toxicity
 from corpusops.llm.common import as_bytes, table
 
 N_SHARDS = 16
@@ -93,6 +93,17 @@ def op11_text_tries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_secret_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.find_secrets(docs, secrets.fit(docs))
+    count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    base = F.filter("secrets", lambda s: s["kind"] != "crf")
+    return found.select(
+        "doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined("secrets").alias("spans")
+    )
+
+
 def op13_cover_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = runs.find_runs(docs, planted_repeats(F.col("doc_id"), F.col("text")))
@@ -142,5 +153,6 @@ QUERIES = {
     "op9_mixture_tree": op9_mixture_tree,
     "op10_link_trust": op10_link_trust,
     "op11_text_tries": op11_text_tries,
+    "op12_secret_chain": op12_secret_chain,
     "op13_cover_runs": op13_cover_runs,
 }
