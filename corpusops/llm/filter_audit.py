@@ -19,7 +19,7 @@ from itertools import permutations
 from math import factorial
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -254,7 +254,8 @@ def interactions(masks: DataFrame) -> DataFrame:
     # So many orders begin with the filters of a set, then the filter.
     weights = F.array(*(F.lit(factorial(k) * factorial(size - 1 - k)) for k in range(size)))
     weighted = F.col("removed") * F.get(weights, F.bit_count("before"))
-    shares = cases.groupBy("part", "bit").agg(F.sum(weighted).alias("shapley"))
+    # 80 rows a part, so the window is cheap and the tries are walked once.
+    cases = cases.withColumn("shapley", F.sum(weighted).over(Window.partitionBy("part", "bit")))
     orders = ["".join(p) for p in permutations(FILTERS)]
     spark = masks.sparkSession
     order_rows = spark.range(len(orders)).select(F.get(F.array(*map(F.lit, orders)), F.col("id").cast("int")).alias("filter_order"))
@@ -264,7 +265,7 @@ def interactions(masks: DataFrame) -> DataFrame:
     earlier_bits = F.aggregate(F.filter(letters, lambda c: c != ""), F.lit(0), lambda s, c: s + bits[c])
     placed = placed.select("filter_order", "step", bits[F.expr("substring(filter_order, step, 1)")].alias("bit"), earlier_bits.alias("before"))
     # 600 rows, whatever the tables.
-    return cases.join(shares, ["part", "bit"]).join(F.broadcast(placed), ["bit", "before"]).select(
+    return cases.join(F.broadcast(placed), ["bit", "before"]).select(
         "part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"
     )
 
