@@ -8,7 +8,7 @@ seeds. A host is blocked if its distrust exceeds its trust by the threshold.
 
 Edges are the distinct links of each page to other hosts, counted per pair of hosts, and a pair of
 edges between a host and its parent domain if both have pages. Both walks are one table and one
-join per round. Only two sums per round reach the driver.
+join per round, until nothing noticeable moves; only a sum every few rounds reaches the driver.
 """
 
 from __future__ import annotations
@@ -16,10 +16,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusops.contracts import DatasetError
 from corpusops.session import cut_lineage
 
 DAMPING = 0.85
-ROUNDS = 20
+MOST_ROUNDS = 2_000
+ROUNDS_PER_LOOK = 5
+SMALL_EDGES = 100_000
 TOLERANCE = 1e-6
 THRESHOLD = 1.0
 
@@ -74,43 +77,43 @@ def site_links(hosts: DataFrame) -> DataFrame:
     )
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, rounds: int, damping: float, tolerance: float) -> DataFrame:
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float, tolerance: float, most_rounds: int = MOST_ROUNDS) -> DataFrame:
     """``host, kind, score``: both walks, each normalised to the number of its seed pages.
 
     ``seeds(host, kind, mass)``; ``edges(source, target, weight)``. Kind 0 follows the edges, kind 1
-    goes against them.
+    goes against them. A round moves what arrived in the last one, damped, one link further, so a host at
+    any distance is reached. It ends when less than ``tolerance`` of all mass still moves, after some 85 rounds if
+    everything lies in cycles; ``most_rounds`` without that is an error.
     """
     both = edges.select(F.lit(0).alias("kind"), "source", "target", "weight").unionAll(
         edges.select(F.lit(1).alias("kind"), F.col("target").alias("source"), F.col("source").alias("target"), "weight")
     )
     both = both.groupBy("kind", "source", "target").agg(F.sum("weight").alias("weight"))
     out = both.groupBy("kind", "source").agg(F.sum("weight").alias("_all"))
-    walk = cut_lineage(both.join(out, ["kind", "source"]).select("kind", "source", "target", (F.col("weight") / F.col("_all")).alias("part")))
-    start = cut_lineage(seeds.filter("mass > 0").select("host", "kind", F.col("mass").cast("double").alias("mass")))
-    total = {r["kind"]: r["s"] for r in start.groupBy("kind").agg(F.sum("mass").alias("s")).collect()}
-    score = start.select("host", "kind", F.col("mass").alias("score"))
-    if not walk.limit(1).count():
-        return score
-    for _ in range(rounds):
-        carried = (
-            score.join(walk, (score["host"] == walk["source"]) & (score["kind"] == walk["kind"]))
-            .groupBy(F.col("target").alias("host"), walk["kind"].alias("kind"))
-            .agg((F.sum(F.col("score") * F.col("part")) * damping).alias("score"))
-        )
-        carried = cut_lineage(carried)
-        moved = {r["kind"]: r["s"] for r in carried.groupBy("kind").agg(F.sum("score").alias("s")).collect()}
-        # What did not move on goes back to the seeds.
-        back = F.create_map(*[F.lit(x) for kind, all_mass in total.items() for x in (kind, 1 - moved.get(kind, 0.0) / all_mass)])
-        returned = start.select("host", "kind", (F.col("mass") * F.element_at(back, F.col("kind"))).alias("score"))
-        new = cut_lineage(carried.unionByName(returned).groupBy("host", "kind").agg(F.sum("score").alias("score")))
-        old = score.select("host", "kind", F.col("score").alias("_old"))
-        change = new.join(old, ["host", "kind"], "full").agg(
-            F.sum(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("_old", F.lit(0.0)))).alias("c")
-        ).collect()[0]["c"]
-        score = new
-        if (change or 0.0) <= tolerance * sum(total.values()):
-            break
-    return score
+    walk = cut_lineage(both.join(out, ["kind", "source"]).select("kind", "source", "target", (F.col("weight") / F.col("_all") * damping).alias("part")))
+    # Counted once: a small graph is sent to the scores of each round, a large one meets them by shuffle.
+    if walk.limit(SMALL_EDGES + 1).count() <= SMALL_EDGES:
+        walk = F.broadcast(walk)
+    start = seeds.filter("mass > 0").select("host", "kind", F.col("mass").cast("double").alias("moving"), F.lit(0.0).alias("settled"))
+    state = cut_lineage(start)
+    totals = {r["kind"]: r["s"] for r in state.groupBy("kind").agg(F.sum("moving").alias("s")).collect()}
+    left, done = sum(totals.values()), 0
+    while left > tolerance * sum(totals.values()):
+        if done >= most_rounds:
+            raise DatasetError(f"scores still move by {left:g} after {done} rounds")
+        for _ in range(ROUNDS_PER_LOOK):
+            moving = state.filter("moving > 0").select(F.col("host").alias("source"), "kind", "moving")
+            moved = moving.join(walk, ["source", "kind"]).select(F.col("target").alias("host"), "kind", (F.col("moving") * F.col("part")).alias("moving"), F.lit(0.0).alias("settled"))
+            stays = state.select("host", "kind", F.lit(0.0).alias("moving"), (F.col("settled") + F.col("moving")).alias("settled"))
+            summed = moved.unionByName(stays).groupBy("host", "kind").agg(F.sum("moving").alias("moving"), F.sum("settled").alias("settled"))
+            state, done = cut_lineage(summed), done + 1
+        left = state.agg(F.sum("moving")).collect()[0][0] or 0.0
+    # The mass that left at the ends is returned to the seeds: a factor a walk.
+    reached = {r["kind"]: r["s"] for r in state.groupBy("kind").agg(F.sum("settled").alias("s")).collect()}
+    factors = [F.lit(x) for kind, mass in reached.items() for x in (kind, totals[kind] / mass)]
+    if not factors:
+        return state.select("host", "kind", F.col("settled").alias("score"))
+    return state.select("host", "kind", (F.col("settled") * F.element_at(F.create_map(*factors), F.col("kind"))).alias("score"))
 
 
 def judge_urls(
@@ -120,7 +123,6 @@ def judge_urls(
     html: str = "html",
     page_id: str = "page_id",
     threshold: float = THRESHOLD,
-    rounds: int = ROUNDS,
     damping: float = DAMPING,
     tolerance: float = TOLERANCE,
 ) -> DataFrame:
@@ -146,7 +148,7 @@ def judge_urls(
         per_host.select("host", F.lit(1).alias("kind"), F.col("bad").alias("mass"))
     )
     edges = host_links(judged, "html").unionAll(site_links(per_host.select("host")))
-    score = propagate(seeds, edges, rounds, damping, tolerance)
+    score = propagate(seeds, edges, damping, tolerance)
     hosts = score.groupBy("host").agg(
         F.sum(F.when(F.col("kind") == 0, F.col("score")).otherwise(0.0)).alias("trust"),
         F.sum(F.when(F.col("kind") == 1, F.col("score")).otherwise(0.0)).alias("distrust"),

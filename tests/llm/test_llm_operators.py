@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corpusops.contracts import DatasetError
 from corpusops.llm import (
     decontamination,
     language,
@@ -494,7 +495,7 @@ def test_url_rules_and_odd_urls(spark):
         8: ("", "", None, "allow"),
         9: ("", "", None, "allow"),
         10: ("org", "/", "org/", "allow"),
-        11: ("y.org", "/a", "org/", "allow"),
+        11: ("y.org", "/a://b", "org/", "allow"),
     }
     assert links.judge_urls(table.limit(0), RULES).count() == 0
 
@@ -531,6 +532,18 @@ def test_trust_follows_links_and_distrust_goes_against_them(spark):
         assert np.allclose(x, [found[n][kind] for n in names], atol=1e-4)
 
 
+def test_distrust_reaches_the_end_of_a_long_chain(spark):
+    rows = [(i, f"http://h{i}.net/a", f'<a href="http://h{i + 1}.net/">n</a>') for i in range(30)] + [(30, "http://h30.net/x", '<a href="http://bad.com/de/">b</a>')]
+    rows += [(31, "http://bad.com/de/1", ""), (32, "http://aside.net/", "")]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r["host"]: r for r in links.judge_urls(table, RULES).collect()}
+    assert {h for h, r in found.items() if r["verdict"] == "allow"} == {"aside.net"}
+    assert found["h0.net"]["distrust"] / found["h1.net"]["distrust"] == pytest.approx(0.85)
+    with pytest.raises(DatasetError):
+        edges = spark.createDataFrame([("a", "b", 1), ("b", "a", 1)], "source string, target string, weight long")
+        links.propagate(spark.createDataFrame([("a", 0, 1)], "host string, kind int, mass long"), edges, 0.85, 1e-6, 10)
+
+
 def test_license_scan(spark, docs, none):
     lines = {
         "Released under the MIT License.": "MIT",
