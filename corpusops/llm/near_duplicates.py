@@ -7,14 +7,14 @@
    for texts with many shingles, a few for short ones.
 2. Each distinct pair of id and text is a node. Equal sets are one class, represented by one of its
    nodes, so copies never meet in pairs.
-3. Signatures are cut into bands. All members of a bucket (equal band) are compared with its
-   smallest member and another drawn by hash, on the full sets: two comparisons a member.
+3. Signatures are cut into bands. All members of a bucket (equal band) are compared on the full sets with its
+   smallest member and with its hub, the one with most mates in all buckets: two comparisons a member.
 4. Links become components by contracting the graph, a distributed union-find.
 5. A bucket that now lies within one component is settled: no further link could change anything.
-   If the others hold many pairs between components, another member of each, drawn by hash, is
-   compared with the members of other components, again as many comparisons as members. At last
-   all members of different components are compared unless their distances to the bucket's smallest
-   member rule a link out (Jaccard distance obeys the triangle inequality).
+   In open buckets of up to 32 members, members of different components are compared unless their
+   distances to the smallest member rule a link out (Jaccard distance obeys the triangle inequality). Larger
+   ones are compared in pairs of bounded blocks, which return links only, never their pairs; sets with too many
+   shingles that nothing else has are left out before.
 
 So no link between bucket mates is lost and no bucket is capped. A pair at the threshold shares no
 bucket with probability ``(1 - t ** rows) ** bands``, 5e-6 with the defaults.
@@ -22,6 +22,8 @@ bucket with probability ``(1 - t ** rows) ** bands``, 5e-6 with the defaults.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -36,10 +38,13 @@ SHINGLE = 5
 BANDS = 40
 ROWS = 6
 PERCENT = 80
-# Buckets in several components are compared in full once the pairs between components are few a member.
-PAIRS_PER_MEMBER = 8
-LEADER_ROUNDS = 1
-FIRST_LEADERS = 2
+# Up to so many members the pairs of an open bucket are compared one by one, beyond it in blocks of sets.
+LARGE_BUCKET = 32
+BLOCK_SETS = 256
+BLOCK_SHINGLES = 1 << 17
+# Classes of sets by the share of shingles that no other set has.
+CLASSES = 16
+SLICE = 1 << 13
 
 PROFILE = T.StructType(
     [
@@ -178,44 +183,38 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
 def link_candidates(reps: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Verified links ``a, b`` that span the components of all links between bucket mates."""
     banded = reps.select("doc_id", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.min("doc_id").alias("_x"), F.max("doc_id").alias("_y")).filter("_x != _y")
-    members = cut_lineage(banded.join(shared.select("key"), "key", "left_semi").distinct())
+    sizes = banded.groupBy("key").agg(F.min("doc_id").alias("_x"), F.max("doc_id").alias("_y"), F.count("*").alias("n")).filter("_x != _y")
+    members = cut_lineage(banded.join(sizes.select("key", "n"), "key").distinct())
     linked = F.col("common") * 100 >= F.col("total") * percent
 
-    # A few members of each bucket, the smallest among them, against all others.
-    drawn = [F.min_by("doc_id", F.xxhash64("doc_id", F.lit(-i))) for i in range(1, FIRST_LEADERS)]
-    chosen = cut_lineage(members.groupBy("key").agg(F.min("doc_id").alias("first"), F.array_distinct(F.array(F.min("doc_id"), *drawn)).alias("l")))
+    # The smallest member of each bucket and its hub, the one with most mates in all buckets, against the others.
+    mates = members.groupBy("doc_id").agg(F.sum("n").alias("mates"))
+    hub = F.max_by("doc_id", F.struct("mates", F.xxhash64("doc_id")))
+    chosen = cut_lineage(members.join(mates, "doc_id").groupBy("key").agg(F.min("doc_id").alias("first"), F.array_distinct(F.array(F.min("doc_id"), hub)).alias("l")))
     pairs = members.join(chosen.select("key", F.explode("l").alias("l")), "key").filter("doc_id != l")
     tested = verify(pairs.select(F.least("doc_id", "l").alias("a"), F.greatest("doc_id", "l").alias("b")).distinct(), texts, size)
     links = tested.filter(linked).select("a", "b")
     labels = components(links)
 
-    for number in range(1, LEADER_ROUNDS + 1):
-        placed = members.join(labels, F.col("doc_id") == F.col("node"), "left").select(
-            "key", "doc_id", F.coalesce("component", "doc_id").alias("component")
-        )
-        # Buckets that lie in several components, with the number of pairs between these.
-        parts = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
-        spread = parts.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same")).filter("n * n > same")
-        spread = cut_lineage(spread)
-        seen = spread.agg(F.sum("n").alias("rows"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2).alias("across")).collect()[0]
-        if not seen["rows"]:
-            return links
-        placed = cut_lineage(placed.join(spread.select("key"), "key", "left_semi"))
-        if seen["across"] <= PAIRS_PER_MEMBER * seen["rows"]:
-            break
-        # Too many to compare: another member of each bucket joins what it is linked to first.
-        drawn = F.min_by(F.struct("doc_id", "component"), F.xxhash64("doc_id", "key", F.lit(number))).alias("l")
-        leaders = placed.groupBy("key").agg(drawn).select("key", F.col("l.doc_id").alias("_l"), F.col("l.component").alias("_c"))
-        pairs = placed.join(leaders, "key").filter(F.col("component") != F.col("_c"))
-        pairs = pairs.select(F.least("doc_id", "_l").alias("a"), F.greatest("doc_id", "_l").alias("b")).distinct()
-        more = verify(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), texts, size)
-        tested = cut_lineage(tested.unionByName(more))
-        new = more.filter(linked).select("a", "b")
-        links = links.union(new)
-        labels = merged_labels(labels, new)
-
-    # All pairs between components that the distances to the smallest member leave open.
+    # Buckets that lie in several components are open: further links could join these.
+    placed = members.join(labels, F.col("doc_id") == F.col("node"), "left").select(
+        "key", "n", "doc_id", F.coalesce("component", "doc_id").alias("component")
+    )
+    spread = placed.groupBy("key").agg(F.min("component").alias("_x"), F.max("component").alias("_y")).filter("_x != _y").select("key")
+    placed = cut_lineage(placed.join(spread, "key", "left_semi"))
+    links = links.union(links_in_small_buckets(placed.filter(F.col("n") <= LARGE_BUCKET), chosen, tested, texts, size, percent))
+    large = placed.filter(F.col("n") > LARGE_BUCKET)
+    if large.limit(1).count():
+        links = links.union(links_in_large_buckets(large, texts, size, percent))
+    return links
+
+
+def links_in_small_buckets(placed: DataFrame, chosen: DataFrame, tested: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between mates of different components: at most ``LARGE_BUCKET / 2`` pairs a member.
+
+    Left out are pairs that the distances to the bucket's smallest member rule out, as Jaccard distance obeys the
+    triangle inequality.
+    """
     distance = tested.select(F.col("a").alias("first"), F.col("b").alias("doc_id"), (1 - F.col("common") / F.col("total")).alias("d"))
     left = placed.join(chosen.select("key", "first"), "key").join(distance, ["first", "doc_id"]).select("key", "doc_id", "component", "d")
     left = cut_lineage(left)
@@ -228,21 +227,111 @@ def link_candidates(reps: DataFrame, texts: DataFrame, size: int, percent: int)
         .distinct()
         .join(tested.select("a", "b"), ["a", "b"], "left_anti")
     )
-    rest = cut_lineage(rest)
-    if not rest.limit(1).count():
-        return links
-    return links.union(verify(rest, texts, size).filter(linked).select("a", "b"))
-
-
-def merged_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Labels after more links: components of the graph whose nodes are the components so far."""
-    of_a = labels.select(F.col("node").alias("a"), F.col("component").alias("_a"))
-    of_b = labels.select(F.col("node").alias("b"), F.col("component").alias("_b"))
-    between = links.join(of_a, "a", "left").join(of_b, "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
-    joined = components(between.filter("a != b").distinct()).select(F.col("node").alias("component"), F.col("component").alias("_low"))
-    known = labels.join(joined, "component", "left").select("node", F.coalesce("_low", "component").alias("component"))
-    fresh = joined.select(F.col("component").alias("node"), F.col("_low").alias("component")).join(labels.select("node"), "node", "left_anti")
-    return cut_lineage(known.unionByName(fresh))
+    measured = verify(rest, texts, size)
+    return measured.filter(F.col("common") * 100 >= F.col("total") * percent).select("a", "b")
+
+
+def links_in_large_buckets(placed: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between components of large open buckets, found block by block; pairs are never rows.
+
+    A shingle that no other set here has can be in no intersection. With ``r`` such shingles for each other one, two
+    sets are at most ``1 / (1 + r + r')`` alike, so sets and pairs of blocks beyond the threshold are left out. What
+    stays is compared in pairs of blocks of bounded size, by products of their incidence matrices; each gives
+    at most as many links as it has sets.
+    """
+    nodes = cut_lineage(placed.groupBy("doc_id").agg(F.min("component").alias("component")))
+    star = placed.groupBy("key").agg(F.min("doc_id").alias("a")).join(placed.select("key", F.col("doc_id").alias("b")), "key")
+    cluster = components(star.filter("a != b").select("a", "b")).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
+    needed = may_be_among(texts, "doc_id", nodes.select("doc_id"))
+    elements = needed.join(nodes, "doc_id").select("doc_id", "component", shingle_sets(F.col("_text"), size).alias("elements"))
+    sets = cut_lineage(elements.join(cluster, "doc_id").withColumn("n", F.size("elements")))
+    lone = sets.select("doc_id", F.explode("elements").alias("e")).groupBy("e").agg(F.count("*").alias("c"), F.first("doc_id").alias("doc_id"))
+    lone = lone.filter("c = 1").groupBy("doc_id").agg(F.count("*").alias("lone"))
+    ratio = F.coalesce(F.col("lone") / (F.col("n") - F.col("lone")), F.lit(0.0))
+    most = 100 / percent - 1
+    able = sets.join(lone, "doc_id", "left").withColumn("r", ratio).filter(F.col("r") <= most + 1e-9)
+    able = cut_lineage(able.withColumn("class", F.floor(F.col("r") / (most / CLASSES) + 1e-9).cast("int")).drop("lone", "r"))
+    # Sets of one large component need no comparison with each other; those of small ones are dealt together.
+    counts = able.groupBy("cluster", "component").agg(F.count("*").alias("k"))
+    whole = counts.select("cluster", "component", F.when(F.col("k") >= BLOCK_SETS, F.col("component")).alias("whole"))
+    able = able.join(whole, ["cluster", "component"])
+    cell = ["cluster", "whole", "class"]
+    room = able.groupBy(cell).agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("parts"))
+    same = [F.col(f"_r.{c}").eqNullSafe(F.col(f"_l.{c}")) for c in cell]
+    dealt = able.alias("_l").join(room.alias("_r"), same).select("_l.*", "_r.parts")
+    dealt = dealt.withColumn("block", F.xxhash64(*cell, F.col("whole").isNull(), F.pmod(F.xxhash64("doc_id", F.lit(7)), "parts")))
+    block = F.collect_list(F.struct("doc_id", "component", "elements")).alias("sets")
+    blocks = cut_lineage(dealt.groupBy("block", *cell).agg(block))
+    heads = blocks.select("cluster", "block", "whole", "class")
+    other = heads.select("cluster", F.col("block").alias("_block"), F.col("whole").alias("_whole"), F.col("class").alias("_class"))
+    met = heads.join(other, "cluster").filter((F.col("block") <= F.col("_block")) & (F.col("class") + F.col("_class") <= CLASSES))
+    met = cut_lineage(met.filter(F.coalesce(F.col("whole") != F.col("_whole"), F.lit(True))).select("block", "_block"))
+    right = blocks.select(F.col("block").alias("_block"), F.col("sets").alias("_sets"))
+    spread = met.repartition("block", "_block").join(blocks.select("block", "sets"), "block").join(right, "_block")
+    return cut_lineage(spread.select("sets", "_sets", F.lit(percent).alias("percent")).mapInArrow(block_links, "a long, b long"))
+
+
+def block_links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between the components of two blocks of sets, a spanning forest of them."""
+    for batch in batches:
+        links: list[tuple[int, int]] = []
+        for row in range(batch.num_rows):
+            one, two = (batch.column(c)[row].values for c in range(2))
+            links += spanning_links(*(_block(x) for x in (one, two)), batch.column(2)[row].as_py())
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in range(2)], ["a", "b"])
+
+
+def _block(sets: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    ids, components_, elements = (sets.field(k) for k in range(3))
+    sizes = np.diff(elements.offsets.to_numpy())
+    return ids.to_numpy(), components_.to_numpy(), elements.flatten().to_numpy(), sizes
+
+
+def spanning_links(one: tuple, two: tuple, percent: int) -> list[tuple[int, int]]:
+    (ids, labels, values, sizes), (_ids, _labels, _values, _sizes) = one, two
+    kinds, column = np.unique(np.concatenate([values, _values]), return_inverse=True)
+    row, _row = np.repeat(np.arange(len(ids)), sizes), np.repeat(np.arange(len(_ids)), _sizes)
+    column, _column = column[: len(values)], column[len(values) :]
+    both = np.zeros(len(kinds), bool)
+    both[np.intersect1d(column, _column)] = True
+    # Only shingles of both blocks matter; they are numbered anew and taken in slices.
+    number = np.cumsum(both) - 1
+    row, column = row[both[column]], number[column[both[column]]]
+    _row, _column = _row[both[_column]], number[_column[both[_column]]]
+    common = np.zeros((len(ids), len(_ids)), np.float32)
+    for start in range(0, int(both.sum()), SLICE):
+        left, right = np.zeros((len(ids), SLICE), np.float32), np.zeros((len(_ids), SLICE), np.float32)
+        for matrix, r, c in ((left, row, column), (right, _row, _column)):
+            here = (c >= start) & (c < start + SLICE)
+            matrix[r[here], c[here] - start] = 1
+        common += left @ right.T
+    near = 100 * common >= percent * (sizes[:, None] + _sizes[None, :] - common)
+    near &= labels[:, None] != _labels[None, :]
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    links = []
+    for i, j in np.argwhere(near).tolist():
+        x, y = root(int(labels[i])), root(int(_labels[j]))
+        if x != y:
+            parent[x] = y
+            links.append((int(ids[i]), int(_ids[j])))
+    return links
+
+
+def shingle_sets(text: Column, size: int) -> Column:
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def sets(texts: pa.Array) -> pa.Array:
+        hashes = WordHashes()
+        found = [shingle_set(t, size, hashes).view(np.int64) for t in as_bytes(texts)]
+        offsets = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
+        return pa.ListArray.from_arrays(offsets, np.concatenate(found) if found else np.zeros(0, np.int64))
+
+    return sets.asNondeterministic()(text)
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -104,10 +104,10 @@ def test_near_duplicates_equal_brute_force(docs, texts, size):
         assert r["kept"] == (r["doc_id"] == r["component_id"])
 
 
-@pytest.mark.parametrize("per_member", [8, 0])
-def test_bucket_mates_of_other_components_are_compared(spark, monkeypatch, per_member):
+@pytest.mark.parametrize("large", [32, 1])
+def test_bucket_mates_of_other_components_are_compared(spark, monkeypatch, large):
     """A chain whose links the smallest member of a bucket does not see."""
-    monkeypatch.setattr(near_duplicates, "PAIRS_PER_MEMBER", per_member)
+    monkeypatch.setattr(near_duplicates, "LARGE_BUCKET", large)
     words = [f"x{i}" for i in range(120)]
     rows = [(i, " ".join(words[3 * i : 3 * i + 80])) for i in range(10)]
     found = {r["doc_id"]: r["component_id"] for r in near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=4).collect()}
@@ -115,6 +115,26 @@ def test_bucket_mates_of_other_components_are_compared(spark, monkeypatch, per_m
     assert set(found.values()) == {0}
 
 
+@pytest.mark.parametrize("block", [16])
+def test_large_group_around_the_threshold(spark, monkeypatch, block):
+    """Hundreds of copies of one text with few to many changes: links between outliers are found, in blocks."""
+    monkeypatch.setattr(near_duplicates, "BLOCK_SETS", block)
+    monkeypatch.setattr(near_duplicates, "SLICE", 64)
+    rng = random.Random(12)
+    base, rows = prose(rng, 140).split(), []
+    for i in range(300):
+        words = base[:]
+        for _ in range(rng.randint(1, 14)):
+            words[rng.randrange(len(words))] = f"new{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    # Twins of outliers, with a link to each other only.
+    rows += [(1_000 + i, t + " tail") for i, t in rows[::10]]
+    found = {r["doc_id"]: r["component_id"] for r in near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), size=4).collect()}
+    expected = groups({i: shingles(t, 4) for i, t in rows})
+    assert found == expected
+    assert 10 < len(set(expected.values())) < 250
+
+
 def test_super_minhash_estimates_and_stops():
     rng = np.random.default_rng(1)
     errors = []
