@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusops.llm.common import WordHashes, as_bytes, bound_batches, may_be_among, mix, space_words
-from corpusops.session import cut_lineage, join_small
+from corpusops.session import BROADCAST_BYTES, cut_lineage, join_small
 
 SHINGLE = 5
 BANDS = 40
@@ -184,7 +184,7 @@ def link_candidates(reps: DataFrame, texts: DataFrame, size: int, percent: int)
     """Verified links ``a, b`` that span the components of all links between bucket mates."""
     banded = reps.select("doc_id", F.explode("bands").alias("key"))
     sizes = banded.groupBy("key").agg(F.min("doc_id").alias("_x"), F.max("doc_id").alias("_y"), F.count("*").alias("n")).filter("_x != _y")
-    members = cut_lineage(banded.join(sizes.select("key", "n"), "key").distinct())
+    members = cut_lineage(banded.join(sizes.select("key", "n"), "key"))
     linked = F.col("common") * 100 >= F.col("total") * percent
 
     # The smallest member of each bucket and its hub, the one with most mates in all buckets, against the others.
@@ -197,11 +197,10 @@ def link_candidates(reps: DataFrame, texts: DataFrame, size: int, percent: int)
     labels = components(links)
 
     # Buckets that lie in several components are open: further links could join these.
-    placed = members.join(labels, F.col("doc_id") == F.col("node"), "left").select(
-        "key", "n", "doc_id", F.coalesce("component", "doc_id").alias("component")
-    )
+    known = labels.select(F.col("node").alias("doc_id"), "component")
+    placed = join_small(members, known, ["doc_id"], "left", row_bytes=32).select("key", "n", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     spread = placed.groupBy("key").agg(F.min("component").alias("_x"), F.max("component").alias("_y")).filter("_x != _y").select("key")
-    placed = cut_lineage(placed.join(spread, "key", "left_semi"))
+    placed = cut_lineage(join_small(placed, cut_lineage(spread), ["key"], "left_semi", row_bytes=32))
     links = links.union(links_in_small_buckets(placed.filter(F.col("n") <= LARGE_BUCKET), chosen, tested, texts, size, percent))
     large = placed.filter(F.col("n") > LARGE_BUCKET)
     if large.limit(1).count():
@@ -343,7 +342,10 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = _edges(links.select("a", "b"))
     joins: list[DataFrame] = []
-    while edges.limit(1).count():
+    most = BROADCAST_BYTES // 64
+    while n := edges.count():
+        # A graph counted to be small is sent to its edges; a large one meets them by shuffle.
+        held = F.broadcast if n <= most else (lambda df: df)
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         rank = (lambda c: F.col(c)) if not joins else (lambda c: F.xxhash64(c, F.lit(len(joins))))
         first = F.min(F.struct(rank("b").alias("r"), F.col("b").alias("id"))).alias("n")
@@ -351,19 +353,19 @@ def components(links: DataFrame) -> DataFrame:
         own = F.struct(rank("node").alias("r"), F.col("node").alias("id"))
         step = cut_lineage(near.select("node", F.least(own, F.col("n"))["id"].alias("to")))
         joins.append(step)
-        of_a, of_b = (step.select(F.col("node").alias(c), F.col("to").alias(f"_{c}")) for c in "ab")
+        of_a, of_b = (held(step.select(F.col("node").alias(c), F.col("to").alias(f"_{c}"))) for c in "ab")
         edges = _edges(edges.join(of_a, "a").join(of_b, "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")))
     if not joins:
         return links.select(F.col("a").alias("node"), F.col("a").alias("component")).limit(0)
     found = joins[-1]
     for step in reversed(joins[:-1]):
         later = found.select(F.col("node").alias("to"), F.col("to").alias("_to"))
-        found = step.join(later, "to", "left").select("node", F.coalesce("_to", "to").alias("to"))
+        found = join_small(step, later, ["to"], "left", row_bytes=32).select("node", F.coalesce("_to", "to").alias("to"))
     if len(joins) == 1:
         return found.select("node", F.col("to").alias("component"))
     found = cut_lineage(found)
-    lowest = found.groupBy("to").agg(F.min("node").alias("component"))
-    return cut_lineage(found.join(lowest, "to").select("node", "component"))
+    lowest = cut_lineage(found.groupBy("to").agg(F.min("node").alias("component")))
+    return cut_lineage(join_small(found, lowest, ["to"], row_bytes=32).select("node", "component"))
 
 
 def _edges(links: DataFrame) -> DataFrame:
@@ -476,10 +478,10 @@ def near_duplicates(
     nodes = named.select("doc_id", "node").distinct()
     shared = nodes.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("_last")).filter("a != _last")
     links = links.union(shared.join(nodes, "doc_id").filter("a != node").select("a", F.col("node").alias("b")))
-    found = nodes.join(components(links), "node")
-    lowest = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of_node = found.join(lowest, "component").select("node", "component_id")
-    keyed = profiles.select("doc_id", "n_shingles", "node").join(of_node, "node", "left")
+    found = cut_lineage(join_small(nodes, components(links), ["node"], row_bytes=32))
+    lowest = cut_lineage(found.groupBy("component").agg(F.min("doc_id").alias("component_id")))
+    of_node = join_small(found, lowest, ["component"], row_bytes=32).select("node", "component_id")
+    keyed = join_small(profiles.select("doc_id", "n_shingles", "node"), of_node, ["node"], "left", row_bytes=32)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.col("component_id"), F.col("doc_id")))
     return keyed.select(
         "doc_id",
