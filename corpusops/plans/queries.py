@@ -350,6 +350,12 @@ def t11_decode_char(spark, sf_dir):
     return coded.select("doc_id", F.md5(chars.decode_bytes(F.col("ids"), model.byte_ids())).alias("text_md5"))
 
 
+@query("t02_bpe_8000")
+def t02_bpe_8000(spark, sf_dir):
+    """The default vocabulary size; one merge at a time, as SQL has it, would take thousands of rounds."""
+    return learn(views.documents(spark, sf_dir), TokenizerConfig("bpe", 8_000), "text").merge_table(spark)
+
+
 @query("t02_bpe_merges")
 def t02_bpe_merges(spark, sf_dir):
     return learn(views.documents(spark, sf_dir), TokenizerConfig("bpe", 256), "text").merge_table(spark)

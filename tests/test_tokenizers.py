@@ -1,5 +1,7 @@
+import collections
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -69,17 +71,17 @@ def test_encoding_equals_library(spark, algo, size, policy):
 
 
 def test_bpe_learning_equals_library(spark):
-    """Merging several pairs per round gives the merges of one at a time, ties included."""
+    """Rounds of many merges give the merges of one at a time, ties included."""
     library = pytest.importorskip("tokenizers")
     path = "/root/testdata/sf0.001/documents.parquet"
     if not os.path.exists(path):
         pytest.skip("no test tables")
     texts = spark.read.parquet(path).select(F.col("doc_id").alias("n"), F.col("text").alias("payload"))
-    model = learn(texts, TokenizerConfig("bpe", 220, "none", False))
+    model = learn(texts, TokenizerConfig("bpe", 2_000, "none", False))
     reference = library.Tokenizer(library.models.BPE(unk_token="<unk>"))
     reference.pre_tokenizer = library.pre_tokenizers.Whitespace()
     trainer = library.trainers.BpeTrainer(
-        vocab_size=220, min_frequency=1, special_tokens=list(SPECIAL_TOKENS), show_progress=False
+        vocab_size=2_000, min_frequency=1, special_tokens=list(SPECIAL_TOKENS), show_progress=False
     )
     reference.train_from_iterator([r["payload"] for r in texts.collect()], trainer)
     assert model.ids == reference.get_vocab()
@@ -162,16 +164,52 @@ def test_import_refuses_what_it_cannot_encode(change):
         TokenizerModel.from_json(document)
 
 
-def test_leading_run_stops_at_interaction():
-    tokens = list("abcdef")
-    known = {t: i for i, t in enumerate(tokens)}
-    run = lambda pairs, room=9: bpe.leading_run(pairs, tokens, known, room)
-    assert run([(0, 1), (2, 3), (0, 3)]) == [(0, 1), (2, 3), (0, 3)]
-    assert run([(0, 1), (1, 2)]) == [(0, 1)]
-    assert run([(0, 1), (2, 0)]) == [(0, 1)]
-    assert run([(0, 0), (0, 1)]) == [(0, 0)]
-    assert run([(2, 3), (0, 0), (4, 5)]) == [(2, 3), (0, 0)]
-    assert run([(0, 1), (2, 3)], 1) == [(0, 1)]
+def random_words():
+    rng = random.Random(5)
+    letters = "aaabbcdé"
+    return {"".join(rng.choice(letters) for _ in range(rng.randint(1, 9))): rng.randint(1, 40) for _ in range(400)} | {"a" * 300: 2, "ab" * 50: 3}
+
+
+def one_merge_at_a_time(counts, size):
+    words = {w: list(w) for w in counts}
+    ids = {t: i for i, t in enumerate([*SPECIAL_TOKENS, *sorted({c for w in counts for c in w})])}
+    merges = []
+    while len(ids) < size:
+        pairs = collections.Counter()
+        for w, n in counts.items():
+            for pair in zip(words[w], words[w][1:]):
+                pairs[pair] += n
+        if not pairs:
+            break
+        left, right = min(pairs, key=lambda p: (-pairs[p], ids[p[0]], ids[p[1]]))
+        ids.setdefault(left + right, len(ids))
+        merges.append((left, right))
+        for w, parts in words.items():
+            out = []
+            while parts:
+                step = 2 if parts[:2] == [left, right] else 1
+                out.append("".join(parts[:step]))
+                parts = parts[step:]
+            words[w] = out
+    return merges
+
+
+@pytest.mark.parametrize("proposed, guess_words, per_write", [(512, 200_000, 1_024), (40, 8, 30), (7, 1, 5), (5, 0, 1_024)])
+def test_wrong_proposals_change_no_merge(spark, monkeypatch, proposed, guess_words, per_write):
+    monkeypatch.setattr(bpe, "PROPOSED", proposed)
+    monkeypatch.setattr(bpe, "GUESS_WORDS", guess_words)
+    monkeypatch.setattr(bpe, "MERGES_PER_WRITE", per_write)
+    counts = random_words()
+    size = 500 if guess_words > 100 else 60
+    found = bpe.learn_bpe(spark.createDataFrame(list(counts.items()), "word string, n long").repartition(3), size)
+    assert found.merges == one_merge_at_a_time(counts, size)
+    assert found.rounds <= (4 if guess_words > 100 else 60)
+
+
+def test_bpe_min_frequency(spark):
+    words = spark.createDataFrame([("abab", 3), ("cd", 2), ("ef", 1)], "word string, n long")
+    assert bpe.learn_bpe(words, 100, 2).merges == [("a", "b"), ("ab", "ab"), ("c", "d")]
+    assert bpe.learn_bpe(words.limit(0), 100).merges == []
 
 
 def test_symbols_sort_like_ids():
