@@ -9,12 +9,12 @@
    nodes, so copies never meet in pairs.
 3. Signatures are cut into bands. All members of a bucket (equal band) are compared on the full sets with its
    smallest member and with its hub, the one with most mates in all buckets: two comparisons a member.
-4. Links become components by contracting the graph, a distributed union-find.
-5. A bucket that now lies within one component is settled: no further link could change anything.
-   In open buckets of up to 32 members, members of different components are compared unless their
+4. A bucket whose members are all linked with its leaders is settled: no further link could change anything.
+   In open buckets of up to 32 members, members of different leaders are compared unless their
    distances to the smallest member rule a link out (Jaccard distance obeys the triangle inequality). Larger
    ones are compared in pairs of bounded blocks, which return links only, never their pairs; sets with too many
    shingles that nothing else has are left out before.
+5. Links become components by contracting the graph, a distributed union-find.
 
 So no link between bucket mates is lost and no bucket is capped. A pair at the threshold shares no
 bucket with probability ``(1 - t ** rows) ** bands``, 5e-6 with the defaults.
@@ -42,6 +42,8 @@ PERCENT = 80
 LARGE_BUCKET = 32
 BLOCK_SETS = 256
 BLOCK_SHINGLES = 1 << 17
+# Links sent to a join instead of shuffled.
+SMALL_GRAPH = 20_000
 # Classes of sets by the share of shingles that no other set has.
 CLASSES = 16
 SLICE = 1 << 13
@@ -194,13 +196,17 @@ def link_candidates(reps: DataFrame, texts: DataFrame, size: int, percent: int)
     pairs = members.join(chosen.select("key", F.explode("l").alias("l")), "key").filter("doc_id != l")
     tested = verify(pairs.select(F.least("doc_id", "l").alias("a"), F.greatest("doc_id", "l").alias("b")).distinct(), texts, size)
     links = tested.filter(linked).select("a", "b")
-    labels = components(links)
 
-    # Buckets that lie in several components are open: further links could join these.
-    known = labels.select(F.col("node").alias("doc_id"), "component")
-    placed = join_small(members, known, ["doc_id"], "left", row_bytes=32).select("key", "n", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    # A member is labelled by the leader it is linked with, the hub first; a bucket with one label is settled.
+    known = links.withColumn("linked", F.lit(True))
+    least, greatest = F.least("doc_id", "l"), F.greatest("doc_id", "l")
+    judged = members.join(chosen, "key").select("key", "n", "doc_id", "first", F.explode("l").alias("l"))
+    judged = judged.withColumns({"a": least, "b": greatest}).join(known, ["a", "b"], "left")
+    mine = F.coalesce("linked", F.lit(False)) | (F.col("doc_id") == F.col("l"))
+    leader = F.min(F.when(mine, F.struct(F.col("l") == F.col("first"), "l")))["l"]
+    placed = cut_lineage(judged.groupBy("key", "n", "doc_id").agg(F.coalesce(leader, "doc_id").alias("component")))
     spread = placed.groupBy("key").agg(F.min("component").alias("_x"), F.max("component").alias("_y")).filter("_x != _y").select("key")
-    placed = cut_lineage(join_small(placed, cut_lineage(spread), ["key"], "left_semi", row_bytes=32))
+    placed = cut_lineage(placed.join(spread, "key", "left_semi"))
     links = links.union(links_in_small_buckets(placed.filter(F.col("n") <= LARGE_BUCKET), chosen, tested, texts, size, percent))
     large = placed.filter(F.col("n") > LARGE_BUCKET)
     if large.limit(1).count():
@@ -238,7 +244,8 @@ def links_in_large_buckets(placed: DataFrame, texts: DataFrame, size: int, perce
     stays is compared in pairs of blocks of bounded size, by products of their incidence matrices; each gives
     at most as many links as it has sets.
     """
-    nodes = cut_lineage(placed.groupBy("doc_id").agg(F.min("component").alias("component")))
+    other = F.min(F.when(F.col("component") != F.col("doc_id"), F.col("component")))
+    nodes = cut_lineage(placed.groupBy("doc_id").agg(F.coalesce(other, "doc_id").alias("component")))
     star = placed.groupBy("key").agg(F.min("doc_id").alias("a")).join(placed.select("key", F.col("doc_id").alias("b")), "key")
     cluster = components(star.filter("a != b").select("a", "b")).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
     needed = may_be_among(texts, "doc_id", nodes.select("doc_id"))
@@ -342,10 +349,9 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = _edges(links.select("a", "b"))
     joins: list[DataFrame] = []
-    most = BROADCAST_BYTES // 64
     while n := edges.count():
         # A graph counted to be small is sent to its edges; a large one meets them by shuffle.
-        held = F.broadcast if n <= most else (lambda df: df)
+        held = F.broadcast if n <= SMALL_GRAPH else (lambda df: df)
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         rank = (lambda c: F.col(c)) if not joins else (lambda c: F.xxhash64(c, F.lit(len(joins))))
         first = F.min(F.struct(rank("b").alias("r"), F.col("b").alias("id"))).alias("n")
@@ -360,12 +366,12 @@ def components(links: DataFrame) -> DataFrame:
     found = joins[-1]
     for step in reversed(joins[:-1]):
         later = found.select(F.col("node").alias("to"), F.col("to").alias("_to"))
-        found = join_small(step, later, ["to"], "left", row_bytes=32).select("node", F.coalesce("_to", "to").alias("to"))
+        found = join_small(step, later, ["to"], "left", row_bytes=BROADCAST_BYTES // SMALL_GRAPH).select("node", F.coalesce("_to", "to").alias("to"))
     if len(joins) == 1:
         return found.select("node", F.col("to").alias("component"))
     found = cut_lineage(found)
     lowest = cut_lineage(found.groupBy("to").agg(F.min("node").alias("component")))
-    return cut_lineage(join_small(found, lowest, ["to"], row_bytes=32).select("node", "component"))
+    return cut_lineage(join_small(found, lowest, ["to"], row_bytes=BROADCAST_BYTES // SMALL_GRAPH).select("node", "component"))
 
 
 def _edges(links: DataFrame) -> DataFrame:
@@ -478,10 +484,10 @@ def near_duplicates(
     nodes = named.select("doc_id", "node").distinct()
     shared = nodes.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("_last")).filter("a != _last")
     links = links.union(shared.join(nodes, "doc_id").filter("a != node").select("a", F.col("node").alias("b")))
-    found = cut_lineage(join_small(nodes, components(links), ["node"], row_bytes=32))
+    found = cut_lineage(join_small(nodes, components(links), ["node"], row_bytes=BROADCAST_BYTES // SMALL_GRAPH))
     lowest = cut_lineage(found.groupBy("component").agg(F.min("doc_id").alias("component_id")))
-    of_node = join_small(found, lowest, ["component"], row_bytes=32).select("node", "component_id")
-    keyed = join_small(profiles.select("doc_id", "n_shingles", "node"), of_node, ["node"], "left", row_bytes=32)
+    of_node = join_small(found, lowest, ["component"], row_bytes=BROADCAST_BYTES // SMALL_GRAPH).select("node", "component_id")
+    keyed = join_small(profiles.select("doc_id", "n_shingles", "node"), of_node, ["node"], "left", row_bytes=BROADCAST_BYTES // SMALL_GRAPH)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.col("component_id"), F.col("doc_id")))
     return keyed.select(
         "doc_id",
