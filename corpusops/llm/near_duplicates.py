@@ -22,6 +22,7 @@ bucket with probability ``(1 - t ** rows) ** bands``, 5e-6 with the defaults.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusops.llm.common import WordHashes, as_bytes, bound_batches, may_be_among, mix, space_words
-from corpusops.session import BROADCAST_BYTES, cut_lineage, join_small
+from corpusops.session import ensure_checkpoint_dir, join_small, remove_folder
 
 SHINGLE = 5
 BANDS = 40
@@ -42,8 +43,6 @@ PERCENT = 80
 LARGE_BUCKET = 32
 BLOCK_SETS = 256
 BLOCK_SHINGLES = 1 << 17
-# Links sent to a join instead of shuffled.
-SMALL_GRAPH = 20_000
 # Classes of sets by the share of shingles that no other set has.
 CLASSES = 16
 SLICE = 1 << 13
@@ -59,6 +58,28 @@ PROFILE_ARROW = pa.struct([("n_shingles", pa.int64()), ("digest", pa.binary()),
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+# Folders of tables written on the way to a result, deleted once it no longer rests on them.
+_folders: list[str] = []
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again: no lineage, few partitions if it is small, and a known size."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/near-{uuid.uuid4().hex}"
+    _folders.append(path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def forget(*kept: DataFrame) -> None:
+    """Delete the written tables but those that ``kept`` reads; these stay for the caller's result."""
+    files = {f.rsplit("/", 1)[0] for df in kept for f in df.inputFiles()}
+    for path in _folders:
+        if not any(f.endswith(path.rsplit("/", 1)[1]) for f in files):
+            remove_folder(kept[0].sparkSession, path)
+    _folders.clear()
+
+
 def shingle_set(text: bytes | None, size: int, hashes: WordHashes) -> np.ndarray:
     """Sorted distinct hashes of the word shingles; fewer words than ``size`` form one shingle."""
     words = hashes.of(space_words(text))
@@ -170,14 +191,14 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     Most texts that occur in no pair are left out before the joins. A document that is in very many
     pairs is a skewed key of a join between two tables, which adaptive execution splits.
     """
-    pairs = cut_lineage(pairs)
+    pairs = written(pairs)
     needed = may_be_among(texts, "doc_id", pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))))
     left = needed.select(F.col("doc_id").alias("a"), F.col("_text").alias("_a"))
     right = needed.select(F.col("doc_id").alias("b"), F.col("_text").alias("_b"))
     both = pairs.join(right, "b").join(left, "a")
     counted = both.select("a", "b", overlap(F.col("_a"), F.col("_b"), size).alias("o"))
     # Rows that share an id are measured one by one; the best pair speaks for the id.
-    return cut_lineage(
+    return written(
         counted.groupBy("a", "b").agg(F.max_by("o", F.col("o.common") / F.col("o.total")).alias("o")).select("a", "b", "o.*")
     )
 
@@ -186,13 +207,13 @@ def link_candidates(reps: DataFrame, texts: DataFrame, size: int, percent: int)
     """Verified links ``a, b`` that span the components of all links between bucket mates."""
     banded = reps.select("doc_id", F.explode("bands").alias("key"))
     sizes = banded.groupBy("key").agg(F.min("doc_id").alias("_x"), F.max("doc_id").alias("_y"), F.count("*").alias("n")).filter("_x != _y")
-    members = cut_lineage(banded.join(sizes.select("key", "n"), "key"))
+    members = written(banded.join(sizes.select("key", "n"), "key"))
     linked = F.col("common") * 100 >= F.col("total") * percent
 
     # The smallest member of each bucket and its hub, the one with most mates in all buckets, against the others.
     mates = members.groupBy("doc_id").agg(F.sum("n").alias("mates"))
     hub = F.max_by("doc_id", F.struct("mates", F.xxhash64("doc_id")))
-    chosen = cut_lineage(members.join(mates, "doc_id").groupBy("key").agg(F.min("doc_id").alias("first"), F.array_distinct(F.array(F.min("doc_id"), hub)).alias("l")))
+    chosen = written(members.join(mates, "doc_id").groupBy("key").agg(F.min("doc_id").alias("first"), F.array_distinct(F.array(F.min("doc_id"), hub)).alias("l")))
     pairs = members.join(chosen.select("key", F.explode("l").alias("l")), "key").filter("doc_id != l")
     tested = verify(pairs.select(F.least("doc_id", "l").alias("a"), F.greatest("doc_id", "l").alias("b")).distinct(), texts, size)
     links = tested.filter(linked).select("a", "b")
@@ -204,9 +225,9 @@ def link_candidates(reps: DataFrame, texts: DataFrame, size: int, percent: int)
     judged = judged.withColumns({"a": least, "b": greatest}).join(known, ["a", "b"], "left")
     mine = F.coalesce("linked", F.lit(False)) | (F.col("doc_id") == F.col("l"))
     leader = F.min(F.when(mine, F.struct(F.col("l") == F.col("first"), "l")))["l"]
-    placed = cut_lineage(judged.groupBy("key", "n", "doc_id").agg(F.coalesce(leader, "doc_id").alias("component")))
+    placed = written(judged.groupBy("key", "n", "doc_id").agg(F.coalesce(leader, "doc_id").alias("component")))
     spread = placed.groupBy("key").agg(F.min("component").alias("_x"), F.max("component").alias("_y")).filter("_x != _y").select("key")
-    placed = cut_lineage(placed.join(spread, "key", "left_semi"))
+    placed = written(placed.join(spread, "key", "left_semi"))
     links = links.union(links_in_small_buckets(placed.filter(F.col("n") <= LARGE_BUCKET), chosen, tested, texts, size, percent))
     large = placed.filter(F.col("n") > LARGE_BUCKET)
     if large.limit(1).count():
@@ -222,7 +243,7 @@ def links_in_small_buckets(placed: DataFrame, chosen: DataFrame, tested: DataFra
     """
     distance = tested.select(F.col("a").alias("first"), F.col("b").alias("doc_id"), (1 - F.col("common") / F.col("total")).alias("d"))
     left = placed.join(chosen.select("key", "first"), "key").join(distance, ["first", "doc_id"]).select("key", "doc_id", "component", "d")
-    left = cut_lineage(left)
+    left = written(left)
     right = left.select("key", F.col("doc_id").alias("b"), F.col("component").alias("_component"), F.col("d").alias("_d"))
     near = F.abs(F.col("d") - F.col("_d")) <= 1 - percent / 100 + 1e-9
     rest = (
@@ -245,18 +266,18 @@ def links_in_large_buckets(placed: DataFrame, texts: DataFrame, size: int, perce
     at most as many links as it has sets.
     """
     other = F.min(F.when(F.col("component") != F.col("doc_id"), F.col("component")))
-    nodes = cut_lineage(placed.groupBy("doc_id").agg(F.coalesce(other, "doc_id").alias("component")))
+    nodes = written(placed.groupBy("doc_id").agg(F.coalesce(other, "doc_id").alias("component")))
     star = placed.groupBy("key").agg(F.min("doc_id").alias("a")).join(placed.select("key", F.col("doc_id").alias("b")), "key")
     cluster = components(star.filter("a != b").select("a", "b")).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
     needed = may_be_among(texts, "doc_id", nodes.select("doc_id"))
     elements = needed.join(nodes, "doc_id").select("doc_id", "component", shingle_sets(F.col("_text"), size).alias("elements"))
-    sets = cut_lineage(elements.join(cluster, "doc_id").withColumn("n", F.size("elements")))
+    sets = written(elements.join(cluster, "doc_id").withColumn("n", F.size("elements")))
     lone = sets.select("doc_id", F.explode("elements").alias("e")).groupBy("e").agg(F.count("*").alias("c"), F.first("doc_id").alias("doc_id"))
     lone = lone.filter("c = 1").groupBy("doc_id").agg(F.count("*").alias("lone"))
     ratio = F.coalesce(F.col("lone") / (F.col("n") - F.col("lone")), F.lit(0.0))
     most = 100 / percent - 1
     able = sets.join(lone, "doc_id", "left").withColumn("r", ratio).filter(F.col("r") <= most + 1e-9)
-    able = cut_lineage(able.withColumn("class", F.floor(F.col("r") / (most / CLASSES) + 1e-9).cast("int")).drop("lone", "r"))
+    able = written(able.withColumn("class", F.floor(F.col("r") / (most / CLASSES) + 1e-9).cast("int")).drop("lone", "r"))
     # Sets of one large component need no comparison with each other; those of small ones are dealt together.
     counts = able.groupBy("cluster", "component").agg(F.count("*").alias("k"))
     whole = counts.select("cluster", "component", F.when(F.col("k") >= BLOCK_SETS, F.col("component")).alias("whole"))
@@ -267,14 +288,14 @@ def links_in_large_buckets(placed: DataFrame, texts: DataFrame, size: int, perce
     dealt = able.alias("_l").join(room.alias("_r"), same).select("_l.*", "_r.parts")
     dealt = dealt.withColumn("block", F.xxhash64(*cell, F.col("whole").isNull(), F.pmod(F.xxhash64("doc_id", F.lit(7)), "parts")))
     block = F.collect_list(F.struct("doc_id", "component", "elements")).alias("sets")
-    blocks = cut_lineage(dealt.groupBy("block", *cell).agg(block))
+    blocks = written(dealt.groupBy("block", *cell).agg(block))
     heads = blocks.select("cluster", "block", "whole", "class")
     other = heads.select("cluster", F.col("block").alias("_block"), F.col("whole").alias("_whole"), F.col("class").alias("_class"))
     met = heads.join(other, "cluster").filter((F.col("block") <= F.col("_block")) & (F.col("class") + F.col("_class") <= CLASSES))
-    met = cut_lineage(met.filter(F.coalesce(F.col("whole") != F.col("_whole"), F.lit(True))).select("block", "_block"))
+    met = written(met.filter(F.coalesce(F.col("whole") != F.col("_whole"), F.lit(True))).select("block", "_block"))
     right = blocks.select(F.col("block").alias("_block"), F.col("sets").alias("_sets"))
     spread = met.repartition("block", "_block").join(blocks.select("block", "sets"), "block").join(right, "_block")
-    return cut_lineage(spread.select("sets", "_sets", F.lit(percent).alias("percent")).mapInArrow(block_links, "a long, b long"))
+    return written(spread.select("sets", "_sets", F.lit(percent).alias("percent")).mapInArrow(block_links, "a long, b long"))
 
 
 def block_links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,34 +370,32 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = _edges(links.select("a", "b"))
     joins: list[DataFrame] = []
-    while n := edges.count():
-        # A graph counted to be small is sent to its edges; a large one meets them by shuffle.
-        held = F.broadcast if n <= SMALL_GRAPH else (lambda df: df)
+    while edges.limit(1).count():
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         rank = (lambda c: F.col(c)) if not joins else (lambda c: F.xxhash64(c, F.lit(len(joins))))
         first = F.min(F.struct(rank("b").alias("r"), F.col("b").alias("id"))).alias("n")
         near = both.groupBy(F.col("a").alias("node")).agg(first)
         own = F.struct(rank("node").alias("r"), F.col("node").alias("id"))
-        step = cut_lineage(near.select("node", F.least(own, F.col("n"))["id"].alias("to")))
+        step = written(near.select("node", F.least(own, F.col("n"))["id"].alias("to")))
         joins.append(step)
-        of_a, of_b = (held(step.select(F.col("node").alias(c), F.col("to").alias(f"_{c}"))) for c in "ab")
+        of_a, of_b = (step.select(F.col("node").alias(c), F.col("to").alias(f"_{c}")) for c in "ab")
         edges = _edges(edges.join(of_a, "a").join(of_b, "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")))
     if not joins:
         return links.select(F.col("a").alias("node"), F.col("a").alias("component")).limit(0)
     found = joins[-1]
     for step in reversed(joins[:-1]):
         later = found.select(F.col("node").alias("to"), F.col("to").alias("_to"))
-        found = join_small(step, later, ["to"], "left", row_bytes=BROADCAST_BYTES // SMALL_GRAPH).select("node", F.coalesce("_to", "to").alias("to"))
+        found = step.join(later, "to", "left").select("node", F.coalesce("_to", "to").alias("to"))
     if len(joins) == 1:
         return found.select("node", F.col("to").alias("component"))
-    found = cut_lineage(found)
-    lowest = cut_lineage(found.groupBy("to").agg(F.min("node").alias("component")))
-    return cut_lineage(join_small(found, lowest, ["to"], row_bytes=BROADCAST_BYTES // SMALL_GRAPH).select("node", "component"))
+    found = written(found)
+    lowest = written(found.groupBy("to").agg(F.min("node").alias("component")))
+    return written(found.join(lowest, "to").select("node", "component"))
 
 
 def _edges(links: DataFrame) -> DataFrame:
     """Distinct links between different nodes, the smaller first."""
-    return cut_lineage(links.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    return written(links.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
 def node_key(doc_id: str, text: str, seed: int) -> Column:
@@ -391,7 +410,7 @@ def profiled_nodes(docs: DataFrame, text: str, doc_id: str, size: int, bands: in
     seed = 0
     while True:
         keyed = named.withColumn("node", node_key("doc_id", "_text", seed))
-        profiles = cut_lineage(keyed.withColumn("p", profile(F.col("_text"), size, bands, rows)).select("doc_id", "node", "p.*"))
+        profiles = written(keyed.withColumn("p", profile(F.col("_text"), size, bands, rows)).select("doc_id", "node", "p.*"))
         content = F.xxhash64(F.lit(-1), "digest", "doc_id", F.col("doc_id").isNull())
         if not profiles.groupBy("node").agg(F.min(content).alias("x"), F.max(content).alias("y")).filter("x != y").limit(1).count():
             return profiles, seed
@@ -402,9 +421,9 @@ def node_links(profiles: DataFrame, texts: DataFrame, size: int, percent: int) -
     """Links ``a, b`` between nodes of ``profiles``; ``texts`` are ``node, _text`` of all rows."""
     full = profiles.filter("n_shingles > 0")
     # One representative a set; equal sets need no comparison.
-    nodes = cut_lineage(full.groupBy("node").agg(F.first("digest").alias("digest"), (F.count("*") > 1).alias("again")))
+    nodes = written(full.groupBy("node").agg(F.first("digest").alias("digest"), (F.count("*") > 1).alias("again")))
     classes = nodes.groupBy("digest").agg(F.min_by(F.struct("node", "again"), F.struct("again", "node")).alias("r"))
-    classes = cut_lineage(classes.select("digest", F.col("r.node").alias("rep"), "r.again"))
+    classes = written(classes.select("digest", F.col("r.node").alias("rep"), "r.again"))
     copies = nodes.join(classes, "digest").filter("node != rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
     reps = full.select(F.col("node").alias("doc_id"), "bands").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     texts = texts.select(F.col("node").alias("doc_id"), "_text")
@@ -413,7 +432,7 @@ def node_links(profiles: DataFrame, texts: DataFrame, size: int, percent: int) -
         # Rows of one node hold one text, which is compared once.
         reps = reps.groupBy("doc_id").agg(F.first("bands").alias("bands"))
         once = may_be_among(texts, "doc_id", again).join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.first("_text").alias("_text"))
-        once = cut_lineage(once.select("doc_id", "_text"))
+        once = written(once.select("doc_id", "_text"))
         texts = join_small(texts, again, ["doc_id"], "left_anti", row_bytes=32).unionByName(once)
     return link_candidates(reps, texts, size, percent).union(copies)
 
@@ -446,8 +465,10 @@ def single_rows(
     first = ids.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("f"))
     gone = ids.join(first, "component").filter("node != f.node").select(F.col("node").alias("_node"))
     same = profiles.filter((F.col("n_shingles") > 0) | F.col("doc_id").isNotNull())
-    repeated = cut_lineage(same.groupBy("node").count().filter("count > 1").select(F.col("node").alias("_node")))
-    apart = cut_lineage(gone.unionAll(repeated).distinct())
+    repeated = written(same.groupBy("node").count().filter("count > 1").select(F.col("node").alias("_node")))
+    apart = written(gone.unionAll(repeated).distinct())
+    gone = written(gone)
+    forget(apart, gone, repeated)
     columns = [F.col(f"`{c}`") for c in docs.columns]
     kept = keyed.join(apart, "_node", "left_anti").select(*columns)
     if repeated.limit(1).count():
@@ -484,10 +505,11 @@ def near_duplicates(
     nodes = named.select("doc_id", "node").distinct()
     shared = nodes.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("_last")).filter("a != _last")
     links = links.union(shared.join(nodes, "doc_id").filter("a != node").select("a", F.col("node").alias("b")))
-    found = cut_lineage(join_small(nodes, components(links), ["node"], row_bytes=BROADCAST_BYTES // SMALL_GRAPH))
-    lowest = cut_lineage(found.groupBy("component").agg(F.min("doc_id").alias("component_id")))
-    of_node = join_small(found, lowest, ["component"], row_bytes=BROADCAST_BYTES // SMALL_GRAPH).select("node", "component_id")
-    keyed = join_small(profiles.select("doc_id", "n_shingles", "node"), of_node, ["node"], "left", row_bytes=BROADCAST_BYTES // SMALL_GRAPH)
+    found = written(nodes.join(components(links), "node"))
+    lowest = written(found.groupBy("component").agg(F.min("doc_id").alias("component_id")))
+    of_node = written(found.join(lowest, "component").select("node", "component_id"))
+    forget(profiles, of_node)
+    keyed = profiles.select("doc_id", "n_shingles", "node").join(of_node, "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.col("component_id"), F.col("doc_id")))
     return keyed.select(
         "doc_id",
