@@ -13,6 +13,7 @@ rejected if its calibrated score lies below nearly all correct scores of the cal
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,7 +33,9 @@ EPOCHS = 8
 REJECT_SHARE = 0.001
 MOST_REJECTING_SCORE = 0.5
 UNKNOWN = "und"
-NOT_LETTERS = re.compile(r"[\W\d_]+")
+# Word characters that are neither letters nor decimal digits: fractions, superscripts, Roman numerals.
+NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+NOT_LETTERS = re.compile(rf"[\W\d_{re.escape(NUMBERS)}]+")
 PIECE = 1 << 20  # characters handled at once; only memory depends on it
 
 PREDICTION = T.StructType(

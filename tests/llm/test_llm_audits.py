@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusops.llm import filter_audit, runs, secrets
+from corpusops.llm import filter_audit, language, runs, secrets
 from corpusops.llm.queries import planted_repeats
 
 CLASHING = "part string, mask int, n long, step int, secrets string, periodic string, _text string, h long"
@@ -290,3 +290,10 @@ def test_planted_repeats(spark):
             words = [words[i] if i < a else words[a + (i - a) % p] for i in range(n)]
         assert (r["out"] or "").split() == words
     assert planted > 5
+
+
+def test_only_letters_have_a_language():
+    for text in ("½ ²", "Ⅷ", "12 _ ٣", "①", "́"):
+        assert not language.NOT_LETTERS.sub("", text)
+    for text in ("é", "ß", "字", "一", "ʰ", "ۀ"):
+        assert language.NOT_LETTERS.sub("", text) == text
