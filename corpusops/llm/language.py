@@ -34,8 +34,9 @@ REJECT_SHARE = 0.001
 MOST_REJECTING_SCORE = 0.5
 UNKNOWN = "und"
 # Word characters that are neither letters nor decimal digits: fractions, superscripts, Roman numerals.
-NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
-NOT_LETTERS = re.compile(rf"[\W\d_{re.escape(NUMBERS)}]+")
+NUMBERS = frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+ANY_NUMBER = re.compile(f"[{re.escape(''.join(sorted(NUMBERS)))}]")
+NOT_LETTERS = re.compile(r"[\W\d_]+")
 PIECE = 1 << 20  # characters handled at once; only memory depends on it
 
 PREDICTION = T.StructType(
@@ -58,6 +59,13 @@ class Model:
     threshold: float = 0.0
 
 
+def only_letters(text: str) -> str:
+    """The text with each stretch of other characters as one space."""
+    if not text.isascii() and not NUMBERS.isdisjoint(text):
+        text = ANY_NUMBER.sub(" ", text)
+    return NOT_LETTERS.sub(" ", text)
+
+
 def grams_at(letters: bytes, start: int, stop: int) -> Iterator[np.ndarray]:
     """Buckets of the subwords that begin in ``start..stop``; a space is only their first or last byte."""
     for n in GRAMS:
@@ -77,7 +85,7 @@ def grams_at(letters: bytes, start: int, stop: int) -> Iterator[np.ndarray]:
 
 def subwords(text: str | None) -> Iterator[np.ndarray]:
     """Buckets of all subwords of the whole text; nothing if it has no letter."""
-    letters = NOT_LETTERS.sub(" ", f" {text.lower()} ").encode("utf-8", "ignore") if text else b""
+    letters = only_letters(f" {text.lower()} ").encode("utf-8", "ignore") if text else b""
     if not letters.isspace():
         for start in range(0, len(letters), PIECE):
             yield from grams_at(letters, start, start + PIECE)
