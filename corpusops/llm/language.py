@@ -109,7 +109,9 @@ def training_sample(rows: DataFrame, text: str, lang: str, most: int) -> list[tu
     """At most about ``most`` texts as (language, buckets, counts), spread evenly over the languages.
 
     A row is taken if the hash of its text lies below its language's share, so no sort is needed and
-    the same texts are taken however the table is split. Only bucket counts reach the driver.
+    the same texts are taken however the table is split. Copies of a text under one language are one
+    text, folded in each task before they are shuffled, so a text on a third of all rows weighs no more than
+    any other. Only bucket counts reach the driver.
     """
     known = rows.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
     sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
@@ -118,7 +120,7 @@ def training_sample(rows: DataFrame, text: str, lang: str, most: int) -> list[tu
     each = most / len(sizes)
     share = F.create_map(*[F.lit(x) for k, n in sorted(sizes.items()) for x in (k, min(1.0, each / n))])
     place = F.pmod(F.xxhash64(F.col("text")), F.lit(1 << 30)) / (1 << 30)
-    picked = known.filter(place < F.element_at(share, F.col("lang")))
+    picked = known.filter(place < F.element_at(share, F.col("lang"))).distinct()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

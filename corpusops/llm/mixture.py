@@ -96,6 +96,31 @@ def source_targets(rows: DataFrame, share: tuple[int, int], most: int) -> list[t
     return [(r["source"], r["rows"], t) for r, t in zip(listed, targets)]
 
 
+def further_copies(rows: DataFrame) -> DataFrame:
+    """``_at, _copy``: a hash of its own for each further row of equal source, id and text.
+
+    Copies are counted per part of the scan, and the counts give each part's offset, so rows are numbered
+    within parts only and a third of all rows may be copies of one. The hashes of a class of copies
+    follow from their number alone.
+    """
+    part = F.shiftright("_at", 33)
+    name = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("-"))
+    placed = rows.select("_at", "_hash", name.alias("_name"), part.alias("_part"))
+    counts = placed.groupBy("_hash", "_name", "_part").agg(F.count("*").alias("_n"))
+    same = W.partitionBy("_hash", "_name")
+    before = F.sum("_n").over(same.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    offsets = (
+        counts.withColumn("_before", F.coalesce(before, F.lit(0)))
+        .withColumn("_all", F.sum("_n").over(same))
+        .filter("_all > 1")
+        .drop("_n", "_all")
+    )
+    inside = W.partitionBy("_hash", "_name", "_part").orderBy("_at")
+    numbered = placed.join(offsets, ["_hash", "_name", "_part"]).withColumn("_number", F.col("_before") + F.row_number().over(inside) - 1)
+    copy = F.md5(F.concat_ws("+", "_hash", F.col("_number").cast("string")))
+    return numbered.filter("_number > 0").select("_at", copy.alias("_copy"))
+
+
 def mix_sources(
     docs: DataFrame,
     share: tuple[int, int] = (3, 2),
@@ -115,7 +140,8 @@ def mix_sources(
     fraction) of all words by their weights, each at most ``most`` times its own size.
 
     A null source is one of its own and comes last. Documents without words cost nothing and are
-    taken with their block. Rows equal in id and text share their fate, whatever they number. A table
+    taken with their block. Rows equal in source, id and text are numbered, and the number enters their
+    hash, so they are drawn one by one like any others; which of them is which is open. A table
     without rows gives none; one without words has targets of 0. Reruns agree: every choice follows
     from ids, texts and ``seed``.
     """
@@ -128,9 +154,19 @@ def mix_sources(
         F.col(f"`{source}`").cast("string").alias("source"),
         word_count(content).alias("size"),
         F.md5(key).alias("_hash"),
+        F.monotonically_increasing_id().alias("_at"),
         *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if keep else []),
     )
     narrow = cut_lineage(rows.drop("row"))
+    copies = cut_lineage(further_copies(narrow))
+    if not copies.isEmpty():
+        hashed = F.coalesce(F.col("_copy"), F.col("_hash"))
+        narrow = cut_lineage(narrow.join(copies, "_at", "left").withColumn("_hash", hashed).drop("_copy"))
+        # The table may not be read in the same order twice, so the rows themselves are numbered once.
+        rows = cut_lineage(rows) if keep else narrow
+        if keep:
+            renamed = cut_lineage(further_copies(rows.drop("row")))
+            rows = rows.join(renamed, "_at", "left").withColumn("_hash", hashed).drop("_copy")
     sources = source_targets(narrow, share, most)
     plan = []
     for number, (name, n_rows, t) in enumerate(sources):

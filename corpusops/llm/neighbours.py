@@ -2,13 +2,16 @@
 
 Fitting uses a bounded sample, on the driver: the exact neighbour graph of the sample is cut into
 balanced parts by recursive spectral bisection with swap refinement, and a softmax classifier learns
-to predict in which parts the neighbours of a vector lie. The number of parts probed is the
-smallest that finds ``RECALL`` of the sample's own neighbours.
+to predict in which parts the neighbours of a vector lie. The number of parts grows with the square
+root of the table, and the number of parts probed is the smallest that finds ``RECALL`` of the
+neighbours of sampled queries.
 
-Every vector, sampled or not, is stored in its most probable part. Parts are cut into blocks of
-bounded size; queries go to all blocks of their most probable parts, where Spark brings both
-together, and each block reranks its vectors exactly in double precision. The best of all blocks
-are merged by a window with a group limit, so partial results stay small before the shuffle.
+Every vector, sampled or not, is stored in its most probable part. Vectors of a part are cut into
+blocks of bounded size, and so are the queries sent to it; Spark brings each pair of blocks
+together, and each reranks its vectors exactly in double precision. The search has two rounds: the
+few most probable parts first, then the others, whose queries carry the last score of the first
+round, so that a block returns only what can still win. Rows per query then do not grow with the
+number of parts probed. What remains is merged by a window with a group limit.
 
 Equal vectors are one class. Ties go to the smaller id, so no query can use more than the ``k + 1``
 smallest ids of a class, and equal queries share one search; a vector that makes up a third of
@@ -32,10 +35,11 @@ from corpusops.session import cut_lineage
 
 SAMPLE = 8_192
 GRAPH_DEGREE = 10
-ROWS_PER_PART = 1_000
-MOST_PARTS = 256
+PARTS_PER_ROOT = 0.25  # parts for each unit of the square root of the rows
 ROWS_PER_BLOCK = 4_096
-RECALL = 0.98
+QUERIES_PER_BLOCK = 4_096
+FIRST_SHARE = 8  # the first round takes one in so many of the parts probed
+RECALL = 0.95
 PROBE_QUERIES = 512
 EPOCHS = 40
 TIE = 1e-9  # scores this near to the last one kept are summed again before they are ranked
@@ -150,15 +154,15 @@ def train_router(unit: np.ndarray, target: np.ndarray, rng: np.random.Generator)
     return Router(weights, bias, 1)
 
 
-def fit_router(vectors: np.ndarray, rows: int, k: int, seed: int = 3) -> Router:
+def fit_router(vectors: np.ndarray, rows: int, k: int, recall: float = RECALL, seed: int = 3) -> Router:
     """Router for a table of ``rows`` vectors from a sample of them."""
-    levels = int(np.ceil(np.log2(min(MOST_PARTS, max(1, rows / ROWS_PER_PART)))))
+    levels = int(np.ceil(np.log2(max(1, PARTS_PER_ROOT * np.sqrt(rows)))))
     levels = min(levels, max(0, int(np.log2(max(1, len(vectors) // 16)))))
     if not levels:
         return Router(np.zeros((vectors.shape[1], 1)), np.zeros(1), 1)
     rng = np.random.default_rng(seed)
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-    near = neighbour_graph(unit.astype(np.float32), GRAPH_DEGREE)
+    near = neighbour_graph(vectors.astype(np.float32), GRAPH_DEGREE)
     part = balanced_parts(near, levels, rng)
     parts = 1 << levels
     own = np.eye(parts)[part]
@@ -176,7 +180,7 @@ def fit_router(vectors: np.ndarray, rows: int, k: int, seed: int = 3) -> Router:
     np.put_along_axis(place, order, np.arange(parts, dtype=np.int32)[None, :].repeat(len(order), 0), axis=1)
     needed = np.take_along_axis(place, home[true], axis=1)
     found = np.array([(needed < m).mean() for m in range(1, parts + 1)])
-    router.probes = int(np.argmax(found >= RECALL)) + 1
+    router.probes = int(np.argmax(found >= recall)) + 1 if recall < 1 else parts
     return router
 
 
@@ -206,28 +210,56 @@ def usable(vectors: DataFrame, vec_id: str, vector: str) -> DataFrame:
 
 
 def _rerank(k: int):
+    """The ``k`` best of a block for each query whose score is not below the query's ``least``."""
+
     def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
         empty = pa.table({"key": pa.array([], pa.string()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         if not len(queries) or not len(rows):
             return empty
         q, v = matrix(queries["q"].combine_chunks()), matrix(rows["v"].combine_chunks())
+        floor = queries["least"].to_numpy()
         ids, keys = rows["vec_id"].to_numpy(), queries["key"].to_pylist()
-        found_keys, found_ids, found_scores = [], [], []
+        found_keys, found_ids, found_scores = [], [np.zeros(0, np.int64)], [np.zeros(0)]
         for start in range(0, len(q), 256):
             scores = q[start : start + 256] @ v.T
             for i, row in enumerate(scores):
                 least = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -np.inf
+                least = max(least, floor[start + i])
                 pick = np.flatnonzero(row >= least - TIE * max(1.0, abs(least)) if np.isfinite(least) else row == row)
                 exact = (q[start + i] * v[pick]).sum(axis=1)
                 order = np.lexsort((ids[pick], -exact))[:k]
                 found_keys += [keys[start + i]] * len(order)
                 found_ids.append(ids[pick][order])
                 found_scores.append(exact[order])
-        return pa.table({"key": found_keys, "vec_id": np.concatenate(found_ids), "score": np.concatenate(found_scores)})
+        return pa.table({"key": pa.array(found_keys, pa.string()), "vec_id": np.concatenate(found_ids), "score": np.concatenate(found_scores)})
 
     return run
 
 
+def _search(sent: DataFrame, stored: DataFrame, k: int) -> DataFrame:
+    """``key, vec_id, score``: the best of each block of ``stored`` for the queries ``part, key, q, least``.
+
+    Both sides of a part are cut into blocks, so no group grows with the table; a vector travels once for
+    each block of queries its part has.
+    """
+    # One row a part on both sides, of the order of the square root of the table.
+    blocks = F.broadcast(stored.groupBy("part").agg(F.ceil(F.count("*") / ROWS_PER_BLOCK).cast("int").alias("blocks")))
+    turns = F.broadcast(sent.groupBy("part").agg(F.ceil(F.count("*") / QUERIES_PER_BLOCK).cast("int").alias("turns")))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    block = F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block")
+    rows = stored.join(blocks, "part").join(turns, "part").select("part", block, each("turns").alias("turn"), "vec_id", "v")
+    turn = F.pmod(F.xxhash64("key"), F.col("turns")).cast("int").alias("turn")
+    asked = sent.join(blocks, "part").join(turns, "part").select("part", each("blocks").alias("block"), turn, "key", "q", "least")
+    place = ["part", "block", "turn"]
+    found = asked.groupBy(*place).cogroup(rows.groupBy(*place)).applyInArrow(_rerank(k), "key string, vec_id long, score double")
+    return _best(found, k)
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    best = W.partitionBy("key").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("_rank", F.row_number().over(best)).filter(F.col("_rank") <= k)
+
+
 def nearest(
     vectors: DataFrame,
     is_query: Column,
@@ -235,6 +267,7 @@ def nearest(
     vec_id: str = "vec_id",
     vector: str = "embedding",
     sample: int = SAMPLE,
+    recall: float = RECALL,
 ) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the ``k`` nearest found of every row with ``is_query``.
 
@@ -243,7 +276,8 @@ def nearest(
     Vectors that are null, zero or hold null or non-finite components take no part, nor do rows
     without an id and vectors of another length than the most frequent one. Rows that share an id
     are one candidate for every vector they hold. The router is fitted on about ``sample`` vectors,
-    chosen by hash; every row is indexed. Fewer candidates than ``k`` give all; an empty table
+    chosen by hash, and probes as many parts as give its queries ``recall`` (1: all parts, which is
+    exact); every row is indexed. Fewer candidates than ``k`` give all; an empty table
     gives no rows. Other columns are not read.
     """
     spark = vectors.sparkSession
@@ -258,28 +292,30 @@ def nearest(
     place = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) / (1 << 30)
     picked = classes.filter(place < share).select("v").orderBy("v").limit(2 * sample).toArrow() if n else None
     fitted = picked is not None and len(picked) > 1
-    router = fit_router(matrix(picked["v"].combine_chunks()), n, k) if fitted else None
+    router = fit_router(matrix(picked["v"].combine_chunks()), n, k, recall) if fitted else None
     dimension = 1 if router is None else len(router.weights)
     shared = spark.sparkContext.broadcast(router or Router(np.zeros((dimension, 1)), np.zeros(1), 1))
     probes = shared.value.probes
 
     stored = classes.withColumn("part", F.element_at(routed(F.col("v"), shared, 1), 1) if fitted else F.lit(0))
     stored = cut_lineage(stored)
-    # One row a part, at most MOST_PARTS.
-    blocks = F.broadcast(stored.groupBy("part").agg(F.ceil(F.count("*") / ROWS_PER_BLOCK).cast("int").alias("blocks")))
-    block = F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")
-    rows = stored.join(blocks, "part").select("part", block.alias("block"), "vec_id", "v")
+    cells = stored.select("part", "vec_id", "v")
 
     asked = named.filter(is_query).select("vec_id", "key")
     searched = stored.filter("turn = 1").join(asked.select("key").distinct(), "key", "left_semi").select("key", "v")
     parts = routed(F.col("v"), shared, probes) if fitted else F.array(F.lit(0))
-    sent = searched.withColumn("part", F.explode(parts)).join(blocks, "part")
-    sent = sent.select("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "key", F.col("v").alias("q"))
-    found = sent.groupBy("part", "block").cogroup(rows.groupBy("part", "block")).applyInArrow(
-        _rerank(k + 1), "key string, vec_id long, score double"
-    )
-    best = W.partitionBy("key").orderBy(F.desc("score"), "vec_id")
-    merged = found.withColumn("_rank", F.row_number().over(best)).filter(F.col("_rank") <= k + 1)
+    queries = cut_lineage(searched.select("key", F.col("v").alias("q"), parts.alias("parts")))
+    first = -(-probes // FIRST_SHARE)
+    sent = queries.select(F.explode(F.slice("parts", 1, first)).alias("part"), "key", "q", F.lit(float("-inf")).alias("least"))
+    merged = cut_lineage(_search(sent, cells, k + 1))
+    if probes > first:
+        last = merged.filter(F.col("_rank") == k + 1).select("key", F.col("score").alias("least"))
+        rest = queries.join(last, "key", "left").select(
+            F.explode(F.slice("parts", first + 1, probes)).alias("part"), "key", "q",
+            F.coalesce("least", F.lit(float("-inf"))).alias("least"),
+        )
+        both = merged.drop("_rank").unionByName(_search(rest, cells, k + 1).drop("_rank"))
+        merged = _best(both, k + 1)
     lists = merged.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("_rank", "vec_id", "score"))).alias("near"))
 
     answers = asked.select(F.col("vec_id").alias("query_id"), "key").distinct().join(lists, "key")

@@ -375,6 +375,32 @@ def test_mixture_meets_targets_and_reruns_agree(spark, docs, none, texts):
     assert kept.select("row.*").columns == docs.columns
 
 
+def test_mixture_of_equal_rows_meets_targets(spark):
+    """A third of all rows are copies of one; another class has a copy under a second source."""
+    rng = random.Random(4)
+    hot = " ".join(["word"] * 100)
+    rows = [(7, hot, "a")] * 600 + [(i, prose(rng, rng.randint(5, 150)), "ab"[i % 2]) for i in range(1_000, 2_200)]
+    rows += [(8, hot, "a"), (8, hot, "b"), (8, hot, "b"), (9, hot, None), (9, hot, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for seed in (29, 31):
+        mixed = mixture.mix_sources(docs, n_shards=4, seed=seed).collect()
+        assert len(mixed) == len(rows)
+        for source in ("a", "b", None):
+            own = [r for r in mixed if r["source"] == source]
+            assert abs(sum(r["size"] * len(r["draws"]) for r in own) - own[0]["target"]) <= 75
+        again = mixture.mix_sources(docs.repartition(5), n_shards=4, seed=seed).collect()
+        assert sorted(map(repr, mixed)) == sorted(map(repr, again))
+    kept = mixture.mix_sources(docs, n_shards=4, keep=True).collect()
+    words = sum(r["size"] * len(r["draws"]) for r in kept if r["source"] == "a")
+    assert abs(words - next(r["target"] for r in kept if r["source"] == "a")) <= 75
+
+
+def test_language_sample_holds_a_copied_text_once(spark):
+    rows = [("ka to mi " * 5, "xx")] * 3_000 + [(f"schung ber {i}", "yy") for i in range(50)]
+    sample = language.training_sample(spark.createDataFrame(rows, "text string, lang string"), "text", "lang", 10_000)
+    assert sorted(lang for lang, _, _ in sample) == ["xx"] + ["yy"] * 50
+
+
 def test_language_is_learned_and_rejects(spark, none):
     rng = random.Random(2)
     sounds = {"xx": ["ka", "to", "mi"], "yy": ["sch", "ung", "ber"], "zz": ["é", "eau", "ou"]}
@@ -447,7 +473,7 @@ def test_neighbours_of_a_small_table_are_exact(spark):
     rows += [(i, same) for i in range(300, 400)]
     odd = [(500, None), (520, [0.0] * 8), (540, [float("nan")] * 8), (560, [None] + [1.0] * 7), (580, [1.0, 2.0]), (600, [float("inf")] * 8), (None, same)]
     table = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>").withColumn("v", F.lit(1)).withColumn("part", F.lit("x"))
-    found = neighbours.nearest(table, F.col("vec_id") % 20 == 0, k=20).collect()
+    found = neighbours.nearest(table, F.col("vec_id") % 20 == 0, k=20, recall=1.0).collect()
     expected = brute_nearest(rows, {i for i, _ in rows if i % 20 == 0}, 20)
     got = {}
     for r in sorted(found, key=lambda r: (r["query_id"], r["rank"])):
@@ -476,13 +502,41 @@ def test_neighbours_recall_over_learned_parts(spark):
     assert hits / (20 * len(expected)) >= 0.95
 
 
+def test_query_blocks_and_second_round_lose_nothing(spark, monkeypatch):
+    """Small blocks on both sides, with most rows asking; all parts are probed, so results are exact."""
+    monkeypatch.setattr(neighbours, "QUERIES_PER_BLOCK", 40)
+    monkeypatch.setattr(neighbours, "ROWS_PER_BLOCK", 30)
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(900)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = neighbours.nearest(table, F.col("vec_id") % 3 != 0, k=5, recall=1.0).collect()
+    got = {}
+    for r in sorted(found, key=lambda r: (r["query_id"], r["rank"])):
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert got == {q: [i for i, _ in want] for q, want in brute_nearest(rows, {i for i, _ in rows if i % 3}, 5).items()}
+
+
+def test_later_parts_return_only_what_can_win():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    vectors = pa.array(rng.normal(size=(500, 4)).tolist(), pa.list_(pa.float64()))
+    rows = pa.table({"vec_id": pa.array(range(500)), "v": vectors})
+    ask = lambda least: pa.table({"key": ["a"], "q": vectors[:1], "least": [least]})
+    run = neighbours._rerank(21)
+    everything = run(ask(float("-inf")), rows)["score"].to_pylist()
+    assert len(everything) == 21
+    assert run(ask(everything[4]), rows)["score"].to_pylist() == everything[:5]
+    assert run(ask(1e9), rows).num_rows == 0
+
+
 def test_parts_are_balanced():
     rng = np.random.default_rng(3)
     vectors = rng.normal(size=(1_000, 8)).astype(np.float32)
     part = neighbours.balanced_parts(neighbours.neighbour_graph(vectors, 6), 3, rng)
     assert np.ptp(np.bincount(part)) <= 1
     router = neighbours.fit_router(vectors.astype(float), 8_000, 10)
-    assert router.parts == 8 and 1 <= router.probes <= 8
+    assert router.parts == 32 and 1 <= router.probes < 32
 
 
 RULES = [("org/", "allow"), ("example.org/es/", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
