@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -25,7 +25,18 @@ BYTE_PIECE = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?(?U:[^\s\p{L}\p{N}])+|(?U:\s)+(?!(?U:\S))|(?U:\s)+"
 )
 
+# Control and format characters that cleaning takes away; line breaks and tabs become spaces.
+CONTROL = r"[\x00\x{FFFD}]|(?![\t\n\r])[\p{Cc}\p{Cf}\p{Co}]"
+IDEOGRAPH = (
+    r"([\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{2A700}-\x{2B73F}\x{2B740}-\x{2B81F}"
+    r"\x{2B920}-\x{2CEAF}\x{F900}-\x{FAFF}\x{2F800}-\x{2FA1F}])"
+)
+MARKED_PIECE = "\u2581[^\u2581]*|[^\u2581]+"
+# One punctuation character, or a run of everything else that is not whitespace.
+SINGLE_PUNCT = r"(?U)[!-/:-@\[-`{-~\p{P}]|[^\s!-/:-@\[-`{-~\p{P}]+"
+
 ALGORITHMS = ("char", "bpe", "unigram")
+IMPORTED = ("wordpiece", "wordlevel")  # kinds of tokenizer files that are not learnt from a corpus
 NORMS = ("none", "nfc")
 PUNCT_POLICIES = ("keep", "strip", "space")
 SPECIAL_TOKENS = ("<pad>", "<bos>", "<eos>", "<unk>", "<sep>")
@@ -151,3 +162,54 @@ def tokenizer_id(algo: Column, vocab_size: Column, norm: Column, lower: Column,
         punct_policy,
         F.concat(F.lit("s"), seed.cast("string")),
     )
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _decomposed(lists: pa.Array) -> pa.Array:
+    lists = lists.cast(pa.list_(pa.string()))
+    return pa.array([None if x is None else [unicodedata.normalize("NFD", t) for t in x] for x in lists.to_pylist()], lists.type)
+
+
+def clean_parts(parts: Column, clean: bool, ideographs: bool, strip_accents: bool, lower: bool, specials: Sequence[str]) -> Column:
+    """The cleaning normaliser of word-piece files for each part of a cut text; special tokens stay.
+
+    Removes control characters, sets ideographs apart, removes accents, maps to lower case. Only lists
+    with a character from U+00C0 on cross to Python, to be decomposed.
+    """
+
+    def each(parts: Column, change: Callable[[Column], Column]) -> Column:
+        return F.transform(parts, lambda part: F.when(part.isin(*specials), part).otherwise(change(part)))
+
+    if clean:
+        parts = each(parts, lambda p: F.regexp_replace(F.regexp_replace(p, CONTROL, ""), r"(?U)\s", " "))
+    if ideographs:
+        parts = each(parts, lambda p: F.regexp_replace(p, IDEOGRAPH, " $1 "))
+    if strip_accents:
+        may_change = F.exists(parts, lambda p: p.rlike(r"[^\x{0}-\x{BF}]"))
+        apart = _decomposed(F.when(may_change, parts))
+        bare = F.zip_with(parts, apart, lambda p, d: F.when(p.isin(*specials), p).otherwise(F.regexp_replace(d, r"\p{Mn}", "")))
+        parts = F.when(may_change, bare).otherwise(parts)
+    if lower:
+        parts = each(parts, lambda p: F.lower(F.translate(p, "\u03a3", "\u03c3")))
+    return parts
+
+
+def single_punct_pieces(text: Column) -> Column:
+    """Punctuation characters one by one, and runs of everything else that is not whitespace."""
+    return F.regexp_extract_all(text, F.lit(SINGLE_PUNCT), 0)
+
+
+def unbroken_pieces(text: Column) -> Column:
+    """Runs of everything that is not whitespace."""
+    return F.regexp_extract_all(text, F.lit(r"(?U)\S+"), 0)
+
+
+def marked_pieces(text: Column, prepend: Column, split: bool) -> Column:
+    """Spaces as U+2581, one put in front where ``prepend`` holds; cut before each of them if ``split``.
+
+    Without ``split`` the whole text is one piece, whose tokens may cross the borders of words.
+    """
+    marked = F.translate(text, " ", "\u2581")
+    marked = F.when(prepend & ~marked.startswith("\u2581"), F.concat(F.lit("\u2581"), marked)).otherwise(marked)
+    pieces = F.regexp_extract_all(marked, F.lit(MARKED_PIECE), 0) if split else F.array(marked)
+    return F.when(text == "", F.array().cast("array<string>")).when(text.isNotNull(), pieces)

@@ -19,22 +19,29 @@ from pyspark.sql import types as T
 from corpusops.contracts import DatasetError
 from corpusops.functions.text import (
     ALGORITHMS,
+    IMPORTED,
     NORMS,
     PUNCT_POLICIES,
     SPECIAL_TOKENS,
     byte_pieces,
     check_text_options,
+    clean_parts,
     cut_specials,
     holds_special,
+    marked_pieces,
     normalize_encoding,
     normalize_parts,
     normalize_training,
     pretokenize,
+    single_punct_pieces,
+    unbroken_pieces,
 )
 from corpusops.operators.vocab import add_missing_specials
+from corpusops.operators.wordpiece import PieceOptions, piece_segmenter, word_segmenter
 
 UNKNOWN_PENALTY = 10.0
 WORD_CACHE = 200_000
+CACHED_LENGTH = 256  # longer words are segmented anew, so the cache stays small
 MOST_ID = 20_000_000  # of an imported vocabulary
 
 
@@ -48,7 +55,7 @@ class TokenizerConfig:
     seed: int = 13
 
     def __post_init__(self):
-        if self.algo not in ALGORITHMS:
+        if self.algo not in (*ALGORITHMS, *IMPORTED):
             raise DatasetError(f"unknown algorithm '{self.algo}', expected one of {list(ALGORITHMS)}")
         check_text_options(self.norm, self.punct_policy)
         if self.vocab_size <= len(SPECIAL_TOKENS):
@@ -89,6 +96,9 @@ def byte_characters() -> list[str]:
     return table
 
 
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+
+
 @dataclass(frozen=True)
 class TokenizerModel:
     config: TokenizerConfig
@@ -100,9 +110,18 @@ class TokenizerModel:
     unknown: str | None = "<unk>"
     fuse_unk: bool = False
     specials: tuple[str, ...] = SPECIAL_TOKENS
+    # What files of other kinds say: nodes of the exchange layout, kept as they are.
+    model_type: str | None = None
+    pieces: PieceOptions = PieceOptions()
+    byte_fallback: bool = False
+    splitter: dict[str, Any] | None = None
+    cleaner: dict[str, Any] | None = None
+    decoder: dict[str, Any] | None | str = "own"
 
     @property
     def kind(self) -> str:
+        if self.model_type is not None:
+            return self.model_type
         return "BPE" if self.merges or not self.scores else "Unigram"
 
     @property
@@ -131,11 +150,18 @@ class TokenizerModel:
     def merge_table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(self.merges)], "rank long, left string, right string")
 
+    @property
+    def decoder_node(self) -> dict[str, Any] | None:
+        """The decoder of the file, or that of the engine's own models."""
+        if self.decoder == "own":
+            return BYTE_LEVEL if self.byte_level else None
+        return self.decoder
+
     def to_json(self) -> dict[str, Any]:
         """The common exchange layout of tokenizer files."""
         steps = normalizer_steps(self.config.norm, self.config.lower, self.config.punct_policy)
         ids = self.special_ids()
-        level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        level = BYTE_LEVEL
         piece = {"Sequence": {"id": "A", "type_id": 0}}
         other = {"Sequence": {"id": "B", "type_id": 0}}
         mark = {t: {"SpecialToken": {"id": t, "type_id": 0}} for t in SPECIAL_TOKENS}
@@ -145,9 +171,16 @@ class TokenizerModel:
                 "end_of_word_suffix": None, "fuse_unk": self.fuse_unk, "byte_fallback": False, "ignore_merges": False,
                 "vocab": self.ids, "merges": [list(m) for m in self.merges],
             }
+        elif self.kind == "WordLevel":
+            model = {"type": "WordLevel", "vocab": self.ids, "unk_token": self.unknown}
+        elif self.kind == "WordPiece":
+            model = {
+                "type": "WordPiece", "unk_token": self.unknown, "continuing_subword_prefix": self.pieces.prefix,
+                "max_input_chars_per_word": self.pieces.most_characters, "vocab": self.ids,
+            }
         else:
             model = {
-                "type": "Unigram", "unk_id": self.ids[self.unknown], "byte_fallback": False,
+                "type": "Unigram", "unk_id": self.ids[self.unknown], "byte_fallback": self.byte_fallback,
                 "vocab": [[t, s] for t, s in zip(self.tokens, self.scores)],
             }
         return {
@@ -162,15 +195,15 @@ class TokenizerModel:
                 for t, i in self.ids.items()
                 if t in self.specials
             ],
-            "normalizer": {"type": "Sequence", "normalizers": steps} if steps else None,
-            "pre_tokenizer": level if self.byte_level else {"type": "Whitespace"},
+            "normalizer": self.cleaner or ({"type": "Sequence", "normalizers": steps} if steps else None),
+            "pre_tokenizer": level if self.byte_level else self.splitter or {"type": "Whitespace"},
             "post_processor": {
                 "type": "TemplateProcessing",
                 "single": [mark["<bos>"], piece, mark["<eos>"]],
                 "pair": [mark["<bos>"], piece, mark["<sep>"], other, mark["<eos>"]],
                 "special_tokens": {t: {"id": t, "ids": [ids[t]], "tokens": [t]} for t in ("<bos>", "<eos>", "<sep>")},
             },
-            "decoder": level if self.byte_level else None,
+            "decoder": self.decoder_node,
             "model": model,
         }
 
@@ -192,12 +225,16 @@ class TokenizerModel:
             if unknown is not None and unknown not in model["vocab"]:
                 raise DatasetError(f"the unknown token '{unknown}' is not in the vocabulary")
         elif kind == "Unigram":
-            _refuse(model, "model", byte_fallback=False)
             tokens = [t for t, _ in model["vocab"]]
             scores = [float(s) for _, s in model["vocab"]]
             if model.get("unk_id") is None:
                 raise DatasetError("cannot import a Unigram model without an unknown token")
             unknown, fuse = tokens[model["unk_id"]], True
+        elif kind in ("WordLevel", "WordPiece") and "merges" not in model:
+            tokens = _by_id(model["vocab"].items())
+            unknown, fuse = model.get("unk_token"), False
+            if unknown not in model["vocab"]:
+                raise DatasetError(f"the unknown token '{unknown}' is not in the vocabulary")
         else:
             raise DatasetError(f"cannot import a tokenizer of type '{kind}'")
         added = document.get("added_tokens") or []
@@ -207,19 +244,66 @@ class TokenizerModel:
         specials = tuple(dict.fromkeys([*(t["content"] for t in added), *SPECIAL_TOKENS]))
         tokens = add_missing_specials(tokens)
         scores = scores + [0.0] * (len(tokens) - len(scores)) if scores else scores
-        norm, lower, policy = _read_normalizer(document.get("normalizer"))
+        normalizer = document.get("normalizer")
+        cleaner = normalizer if normalizer is not None and normalizer["type"] == "BertNormalizer" else None
+        norm, lower, policy = _read_normalizer(None if cleaner else normalizer)
         pre = document.get("pre_tokenizer") or {}
-        if pre.get("type") not in ("Whitespace", "ByteLevel"):
-            raise DatasetError(f"cannot import pre-tokenizer '{pre.get('type')}'")
-        _refuse(pre, "pre-tokenizer", add_prefix_space=False, use_regex=True)
-        byte_level = pre["type"] == "ByteLevel"
-        algo = "bpe" if kind == "BPE" else ("char" if byte_level else "unigram")
+        byte_level = pre.get("type") == "ByteLevel"
+        if byte_level or pre.get("type") == "Whitespace":
+            _refuse(pre, "pre-tokenizer", add_prefix_space=False, use_regex=True)
+        elif pre.get("type") == "Metaspace" and kind == "Unigram":
+            _refuse(pre, "pre-tokenizer", replacement="\u2581")
+        elif pre.get("type") not in ("BertPreTokenizer", "WhitespaceSplit"):
+            raise DatasetError(f"cannot import pre-tokenizer '{pre.get('type')}' for a model of type '{kind}'")
+        algo = {"BPE": "bpe", "Unigram": "char" if byte_level else "unigram"}.get(kind, kind.lower())
         config = TokenizerConfig(algo, len(tokens), norm, lower, policy, seed)
-        return cls(config, tokens, scores, merges, byte_level, unknown, fuse, specials)
+        return cls(
+            config, tokens, scores, merges, byte_level, unknown, fuse, specials,
+            model_type=kind,
+            pieces=PieceOptions(model.get("continuing_subword_prefix") or "##", model.get("max_input_chars_per_word", 100)),
+            byte_fallback=bool(model.get("byte_fallback")),
+            splitter=None if byte_level or pre["type"] == "Whitespace" else pre,
+            cleaner=cleaner,
+            decoder=document.get("decoder"),
+        )
 
     def parts(self) -> tuple[Any, ...]:
         """The model as plain values, to be broadcast."""
-        return self.kind, self.tokens, self.scores, self.merges, self.byte_level, self.unknown, self.fuse_unk, self.specials
+        return (
+            self.kind, self.tokens, self.scores, self.merges, self.byte_level, self.unknown, self.fuse_unk, self.specials,
+            self.pieces, self.byte_fallback,
+        )
+
+    def word_lists(self, text: Column, first: Column) -> Column:
+        """Pre-tokens of a normalised text; ``first`` tells whether the text begins there."""
+        kind = "ByteLevel" if self.byte_level else (self.splitter or {}).get("type", "Whitespace")
+        if kind == "Metaspace":
+            scheme = self.splitter.get("prepend_scheme", "always" if self.splitter.get("add_prefix_space", True) else "never")
+            prepend = first if scheme == "first" else F.lit(scheme == "always")
+            return marked_pieces(text, prepend, self.splitter.get("split", True))
+        cut = {"ByteLevel": byte_pieces, "Whitespace": pretokenize, "BertPreTokenizer": single_punct_pieces, "WhitespaceSplit": unbroken_pieces}
+        return cut[kind](text)
+
+    def normal_parts(self, parts: Column) -> Column:
+        """Each part of a cut text as the encoder normalises it."""
+        if self.cleaner is None:
+            return normalize_parts(parts, self.config.norm, self.config.lower, self.config.punct_policy, self.specials)
+        lower = self.cleaner.get("lowercase", True)
+        strip = self.cleaner.get("strip_accents")
+        return clean_parts(
+            parts,
+            self.cleaner.get("clean_text", True),
+            self.cleaner.get("handle_chinese_chars", True),
+            lower if strip is None else strip,
+            lower,
+            self.specials,
+        )
+
+    def normal_text(self, text: Column) -> Column:
+        """A text without special tokens as the encoder normalises it."""
+        if self.cleaner is None:
+            return self.config.encoding_text(text)
+        return F.get(self.normal_parts(F.when(text.isNotNull(), F.array(text))), F.lit(0))
 
 
 def segmenter(
@@ -231,12 +315,22 @@ def segmenter(
     unknown: str | None = "<unk>",
     fuse_unk: bool = False,
     specials: tuple[str, ...] = SPECIAL_TOKENS,
+    pieces: PieceOptions = PieceOptions(),
+    byte_fallback: bool = False,
 ) -> Callable[[str], list[int]]:
     """Segmentation of one pre-token into ids. Called once per distinct word of a batch.
 
     A special token is a word of its own; no pre-token of ordinary text can be spelled like one.
     """
-    core = _bpe_segmenter(tokens, merges, unknown, fuse_unk) if kind == "BPE" else _unigram_segmenter(tokens, scores, unknown)
+    ids = {t: i for i, t in enumerate(tokens) if t is not None}
+    if kind == "BPE":
+        core = _bpe_segmenter(tokens, merges, unknown, fuse_unk)
+    elif kind == "WordLevel":
+        core = word_segmenter(ids, unknown)
+    elif kind == "WordPiece":
+        core = piece_segmenter(ids, unknown, pieces)
+    else:
+        core = _unigram_segmenter(tokens, scores, unknown, byte_fallback)
     whole = {t: [i] for i, t in enumerate(tokens) if t in specials}
     table = byte_characters()
 
@@ -334,7 +428,9 @@ def _bpe_segmenter(
     return segment
 
 
-def _unigram_segmenter(tokens: list[str], scores: list[float], unknown_token: str) -> Callable[[str], list[int]]:
+def _unigram_segmenter(
+    tokens: list[str], scores: list[float], unknown_token: str, byte_fallback: bool = False
+) -> Callable[[str], list[int]]:
     ids = {t: i for i, t in enumerate(tokens)}
     unk = ids[unknown_token]
     score = {t: s for t, s in zip(tokens, scores) if t not in SPECIAL_TOKENS}
@@ -355,9 +451,15 @@ def _unigram_segmenter(tokens: list[str], scores: list[float], unknown_token: st
         path: list[int] = []
         node = size
         while node > 0:
+            end = node
             node, token = back[node]
-            # A run of unknown characters counts as one unknown token.
-            if not (token == unk and path and path[-1] == unk):
+            # A run of unknown characters counts as one unknown token, or as its bytes if all are known.
+            if token == unk:
+                while node > 0 and back[node][1] == unk:
+                    node = back[node][0]
+                spelled = [ids.get(f"<0x{b:02X}>") for b in word[node:end].encode("utf-8")] if byte_fallback else [None]
+                path += [unk] if None in spelled else spelled[::-1]
+            else:
                 path.append(token)
         return path[::-1]
 
@@ -385,9 +487,12 @@ def encode_words(words: Column, model: TokenizerModel, spark: SparkSession) -> C
         coded = lists.flatten().dictionary_encode()
         parts = []
         for word in coded.dictionary.to_pylist():
-            if word not in cache:
-                cache[word] = state[0](word)
-            parts.append(cache[word])
+            found = cache.get(word)
+            if found is None:
+                found = state[0](word)
+                if len(word) <= CACHED_LENGTH:
+                    cache[word] = found
+            parts.append(found)
         sizes = np.array([len(p) for p in parts], dtype=np.int64)
         pool = np.array([t for p in parts for t in p], dtype=np.int32)
         at = np.cumsum(sizes) - sizes
@@ -408,13 +513,13 @@ def encode(texts: DataFrame, model: TokenizerModel, text: str = "payload", name:
     Special tokens spelled out in a text become their ids. They are cut out before anything is
     normalised; texts without any take the plain path.
     """
-    config, raw = model.config, F.col(text)
-    pieces = byte_pieces if model.byte_level else pretokenize
+    raw = F.col(text)
     special = holds_special(raw, model.specials)
-    parts = cut_specials(F.when(special, raw), model.specials)
-    parts = normalize_parts(parts, config.norm, config.lower, config.punct_policy, model.specials)
-    cut = F.flatten(F.transform(parts, lambda p: F.when(p.isin(*model.specials), F.array(p)).otherwise(pieces(p))))
-    plain = pieces(config.encoding_text(F.when(~special, raw)))
+    parts = model.normal_parts(cut_specials(F.when(special, raw), model.specials))
+    cut = F.flatten(
+        F.transform(parts, lambda p, i: F.when(p.isin(*model.specials), F.array(p)).otherwise(model.word_lists(p, i == 0)))
+    )
+    plain = model.word_lists(model.normal_text(F.when(~special, raw)), F.lit(True))
     words = F.coalesce(plain, cut, F.array().cast("array<string>"))
     return texts.withColumn(name, encode_words(words, model, texts.sparkSession))
 

@@ -424,6 +424,17 @@ ORACLE |= {
         SELECT doc_id, CAST(coalesce(sum(len(ids)), 0) AS INTEGER) AS n_tokens,
           md5(coalesce(string_agg(array_to_string(ids, ' '), ' ' ORDER BY pos), '')) AS ids_md5
         FROM documents LEFT JOIN fused USING (doc_id) GROUP BY doc_id""",
+    "t07_encode_words": f"""WITH {WORDS}, ids AS (
+          SELECT doc_id, pos, coalesce(id, 3) AS id
+          FROM (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos
+            FROM (SELECT doc_id, regexp_extract_all({_normal("text")}, '{_WORD}') AS w FROM documents))
+          LEFT JOIN top_words ON token = word
+        )
+        SELECT doc_id, CAST(count(id) AS INTEGER) AS n_tokens, md5(coalesce(string_agg(id, ' ' ORDER BY pos), '')) AS ids_md5
+        FROM documents LEFT JOIN ids USING (doc_id) GROUP BY doc_id""",
+    "t11_decode_pieces": f"""SELECT doc_id, md5(array_to_string(
+          list_filter(regexp_extract_all({_normal("text")}, '{_WORD}'), lambda w: length(w) <= 100), ' ')) AS text_md5
+        FROM documents""",
     "t11_decode_char": f"SELECT doc_id, md5({_normal('text')}) AS text_md5 FROM documents",
     "a13_token_metrics": f"WITH {_SAMPLES} SELECT {_NUM}, {_OOV}, {_AVG} FROM samples",
     "a14_length_percentiles": f"WITH {_SAMPLES} SELECT split, {_P50}, {_P95} FROM samples GROUP BY split",

@@ -12,7 +12,9 @@ from corpusops.functions import arrays, text
 from corpusops.functions.records import VariantRecord
 from corpusops.operators import chars, ranking, report, runlog, sequences, splits, validation, vocab
 from corpusops.operators import profile as prof
+from corpusops.operators.decoding import decode
 from corpusops.operators.tokenizer import TokenizerConfig, TokenizerModel, encode
+from corpusops.operators.wordpiece import PieceOptions, piece_vocabulary
 from corpusops.plans.tokenizer_job import learn
 from corpusops.sources import readers, views
 from corpusops.sources.positions import block_offsets, number_rows, with_row_numbers
@@ -350,6 +352,39 @@ def t11_decode_char(spark, sf_dir):
     return coded.select("doc_id", F.md5(chars.decode_bytes(F.col("ids"), model.byte_ids())).alias("text_md5"))
 
 
+def _word_model(spark: SparkSession, sf_dir: str, kind: str, pieces: PieceOptions = PieceOptions()) -> TokenizerModel:
+    """The most frequent words of the corpus as a vocabulary of the given kind."""
+    config = TokenizerConfig(kind.lower(), WORD_VOCABULARY)
+    words = vocab.word_counts(views.documents(spark, sf_dir), config.training_text(F.col("text")))
+    top = vocab.top_words(words, config.vocab_size)
+    if kind == "WordLevel":
+        tokens = [r["token"] for r in top.orderBy("id").collect()]
+    else:
+        tokens = piece_vocabulary(words, top, pieces.prefix)
+    decoder = None if kind == "WordLevel" else {"type": "WordPiece", "prefix": pieces.prefix, "cleanup": False}
+    return TokenizerModel(config, [*text.SPECIAL_TOKENS, *tokens], model_type=kind, pieces=pieces, decoder=decoder)
+
+
+WORD_VOCABULARY = 2_000
+# No pre-token mixes word characters with others, so none can be taken for a piece inside a word.
+UNMISTAKABLE = PieceOptions("#_")
+
+
+@query("t07_encode_words")
+def t07_encode_words(spark, sf_dir):
+    """Ids of whole words."""
+    coded = encode(views.documents(spark, sf_dir), _word_model(spark, sf_dir, "WordLevel"), "text", "ids")
+    return coded.select("doc_id", F.size("ids").alias("n_tokens"), F.md5(F.array_join("ids", " ")).alias("ids_md5"))
+
+
+@query("t11_decode_pieces")
+def t11_decode_pieces(spark, sf_dir):
+    """Words cut by longest match and put together again; words above the length limit are unknown, so they go."""
+    model = _word_model(spark, sf_dir, "WordPiece", UNMISTAKABLE)
+    back = decode(encode(views.documents(spark, sf_dir), model, "text", "ids"), model, "ids", "back")
+    return back.select("doc_id", F.md5("back").alias("text_md5"))
+
+
 @query("t02_bpe_8000")
 def t02_bpe_8000(spark, sf_dir):
     """The default vocabulary size; one merge at a time, as SQL has it, would take thousands of rounds."""

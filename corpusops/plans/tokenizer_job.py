@@ -9,9 +9,10 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusops.contracts import DatasetError
 from corpusops.functions.arrays import template
 from corpusops.functions.records import VariantRecord
-from corpusops.functions.text import SPECIAL_TOKENS
+from corpusops.functions.text import ALGORITHMS, SPECIAL_TOKENS
 from corpusops.operators import bpe, unigram, vocab
 from corpusops.operators.report import length_histogram, macro_coverage, report_document, token_report, token_samples
 from corpusops.operators.runlog import newest_first, upsert
@@ -38,6 +39,8 @@ def learn(
     texts: DataFrame, config: TokenizerConfig, text: str = "payload", seed_size: int = unigram.DEFAULT_SEED_SIZE
 ) -> TokenizerModel:
     """Learn a vocabulary from raw texts. ``seed_size`` bounds the first pieces of unigram."""
+    if config.algo not in ALGORITHMS:
+        raise DatasetError(f"'{config.algo}' vocabularies are imported, not learnt")
     column = config.training_text(F.col(text))
     zeros = [0.0] * len(SPECIAL_TOKENS)
     if config.algo == "char":

@@ -10,6 +10,7 @@ from corpusops.contracts import DatasetError
 from corpusops.functions.text import SPECIAL_TOKENS, normalize_encoding, normalize_training
 from corpusops.operators import bpe, unigram, vocab
 from corpusops.operators.chars import decode_bytes
+from corpusops.operators.decoding import decode
 from corpusops.operators.tokenizer import TokenizerConfig, TokenizerModel, dump, encode
 from corpusops.plans.run_tables import RunLog, read_table
 from corpusops.plans.tokenizer_job import encode_sequences, inspect_tokenizer, learn, load_tokenizer, read_registry, train_tokenizer
@@ -164,6 +165,101 @@ def test_import_refuses_what_it_cannot_encode(change):
         TokenizerModel.from_json(document)
 
 
+ODD_TEXTS = [
+    "Hello, World! naïve Éclair don't un\u00adseen zero\u200bwidth", "x\u0000y\ufffdz \x85 tab\tnl\n", "中文 mixed中x \uf900", "ΟΔΟΣ Σ İ Ǆ", "a" * 120 + " aa",
+    "[UNK] hello [CLS]world[SEP]", "[CLS]", "", "   ", None, "e\u0301 \U0001F600\U0001F600 ok ok", "#hash ##x ___ `~ $5.00", "▁a b", "  a  b c ", "a[CLS]a [SEP] a",
+]
+
+
+def equals_library(spark, document):
+    """Ids and decoded texts against the common library; returns the model."""
+    library = pytest.importorskip("tokenizers")
+    reference = library.Tokenizer.from_str(json.dumps(document))
+    model = TokenizerModel.from_json(document)
+    expected = [reference.encode(t, add_special_tokens=False).ids if t is not None else [] for t in ODD_TEXTS]
+    assert coded(model, frame(spark, ODD_TEXTS)) == expected
+    # What is written out again encodes alike, here and there.
+    assert coded(TokenizerModel.from_json(model.to_json()), frame(spark, ODD_TEXTS)) == expected
+    again = library.Tokenizer.from_str(dump(model))
+    again.no_padding()
+    assert [again.encode(t, add_special_tokens=False).ids if t is not None else [] for t in ODD_TEXTS] == expected
+    for skip in (True, False):
+        rows = encode(frame(spark, ODD_TEXTS), model)
+        back = [r["text"] for r in decode(rows, model, skip_special=skip).orderBy("n").collect()]
+        assert back == [reference.decode(ids, skip_special_tokens=skip) for ids in expected]
+    return model
+
+
+def marks(*contents):
+    flags = {"single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True}
+    return [{"id": i, "content": t, **flags} for i, t in enumerate(contents)]
+
+
+def word_file(kind, **change):
+    tokens = ["[UNK]", "[CLS]", "[SEP]", "hello", "world", "naive", "a", "##a", "##aa", "don", "'", "t", "un", "##seen", "ok", ",", "!", "x", "##y", "##z", "中", "e", "é"]
+    model = {"type": kind, "vocab": {t: i for i, t in enumerate(tokens)}, "unk_token": "[UNK]"}
+    if kind == "WordPiece":
+        model |= {"continuing_subword_prefix": "##", "max_input_chars_per_word": 100}
+    base = {"version": "1.0", "added_tokens": marks("[UNK]", "[CLS]", "[SEP]"), "normalizer": None, "pre_tokenizer": {"type": "BertPreTokenizer"}}
+    return base | {"post_processor": None, "decoder": None, "model": model} | change
+
+
+def cleaner(**change):
+    return {"type": "BertNormalizer", "clean_text": True, "handle_chinese_chars": True, "strip_accents": None, "lowercase": True} | change
+
+
+@pytest.mark.parametrize(
+    "kind, change",
+    [
+        ("WordPiece", {"normalizer": cleaner(), "decoder": {"type": "WordPiece", "prefix": "##", "cleanup": True}}),
+        ("WordPiece", {"normalizer": cleaner(lowercase=False, strip_accents=True, handle_chinese_chars=False)}),
+        ("WordPiece", {"normalizer": cleaner(strip_accents=False, clean_text=False), "decoder": {"type": "WordPiece", "prefix": "##", "cleanup": False}}),
+        ("WordPiece", {"pre_tokenizer": {"type": "Whitespace"}}),
+        ("WordLevel", {"pre_tokenizer": {"type": "WhitespaceSplit"}}),
+        ("WordLevel", {"normalizer": cleaner()}),
+    ],
+)
+def test_word_files_equal_library(spark, kind, change):
+    model = equals_library(spark, word_file(kind, **change))
+    assert model.kind == kind and model.config.algo == kind.lower()
+
+
+BYTES_BACK = [{"type": "Replace", "pattern": {"String": "▁"}, "content": " "}, {"type": "ByteFallback"}, {"type": "Fuse"}]
+
+
+@pytest.mark.parametrize("scheme, split", [("always", True), ("first", True), ("never", True), ("always", False), ("first", False)])
+@pytest.mark.parametrize("fallback", [True, False])
+def test_marked_unigram_files_equal_library(spark, scheme, split, fallback):
+    pieces = {"[UNK]": 0.0, "[CLS]": 0.0, "[SEP]": 0.0, "▁": -2.0, "▁a": -1.5, "a": -2.5, "aa": -2.7, "▁hello": -4.0, "ok▁ok": -3.0, "ok": -5.0, "o": -6.0, "k": -6.5, "e": -4.4}
+    pieces |= {f"<0x{b:02X}>": -20.0 for b in range(256) if fallback or b < 10}
+    strip = {"type": "Strip", "content": " ", "start": 1, "stop": 0}
+    equals_library(spark, {
+        "version": "1.0", "added_tokens": marks("[UNK]", "[CLS]", "[SEP]"), "normalizer": None, "post_processor": None,
+        "pre_tokenizer": {"type": "Metaspace", "replacement": "▁", "prepend_scheme": scheme, "split": split},
+        "decoder": {"type": "Sequence", "decoders": [*BYTES_BACK, strip]} if split else {"type": "Metaspace", "replacement": "▁", "prepend_scheme": scheme, "split": split},
+        "model": {"type": "Unigram", "unk_id": 0, "byte_fallback": fallback, "vocab": list(pieces.items())},
+    })
+
+
+@pytest.mark.parametrize("algo, size", [("bpe", 120), ("unigram", 120), ("char", 40), ("char", 300)])
+def test_decoding_of_learnt_vocabularies_equals_library(spark, algo, size):
+    library = pytest.importorskip("tokenizers")
+    model = learn(frame(spark, LIBRARY_TEXTS), TokenizerConfig(algo, size), seed_size=300)
+    reference = library.Tokenizer.from_str(dump(model))
+    rows = encode(frame(spark, LIBRARY_TEXTS + ODD_TEXTS), model).orderBy("n")
+    got = [(r["input_ids"], r["text"]) for r in decode(rows, model).orderBy("n").collect()]
+    assert [t for _, t in got] == [reference.decode(ids) for ids, _ in got]
+
+
+def test_decoding_of_odd_ids(spark):
+    model = TokenizerModel.from_json(word_file("WordLevel"))
+    rows = spark.createDataFrame([(1, None), (2, []), (3, [3, None, -1, 999, 4])], "n long, input_ids array<int>")
+    assert [r["text"] for r in decode(rows, model).orderBy("n").collect()] == [None, "", "hello world"]
+    assert decode(rows.limit(0), model).count() == 0
+    with pytest.raises(DatasetError):
+        decode(rows, TokenizerModel.from_json(word_file("WordLevel", decoder={"type": "CTC"})))
+
+
 def random_words():
     rng = random.Random(5)
     letters = "aaabbcdé"
