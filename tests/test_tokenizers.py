@@ -3,6 +3,7 @@ import json
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from corpusops.operators.decoding import decode
 from corpusops.operators.tokenizer import TokenizerConfig, TokenizerModel, dump, encode
 from corpusops.plans.run_tables import RunLog, read_table
 from corpusops.plans.tokenizer_job import encode_sequences, inspect_tokenizer, learn, load_tokenizer, read_registry, train_tokenizer
+from corpusops.session import WrittenTable
 from corpusops.sources.readers import read_sequences
 
 TEXTS = ["hello world", "tokenizer"]
@@ -329,15 +331,102 @@ def test_unigram_invariants(spark):
     assert learned.pieces == once
 
 
-def test_seed_pieces_by_brute_force(spark):
-    rows = [("abcab", 3), ("\U0001F600a\U0001F600", 2), ("x" * 40, 1)]
-    expected = {}
-    for word, n in rows:
+def maximal_repeats(counts, max_piece):
+    uses = {}
+    for word, n in counts.items():
         for i in range(len(word)):
-            for j in range(i + 1, min(i + 4, len(word)) + 1):
-                expected[word[i:j]] = expected.get(word[i:j], 0) + n
-    found = unigram.seed_pieces(spark.createDataFrame(rows, "word string, n long"), 4, 1_000).collect()
-    assert {r["piece"]: r["n"] for r in found} == {p: n for p, n in expected.items() if n >= 2 or len(p) == 1}
+            for j in range(i + 1, min(i + max_piece, len(word)) + 1):
+                uses[word[i:j]] = uses.get(word[i:j], 0) + n
+    extended = {p[1:] for p, n in uses.items() if n == uses.get(p[1:])} | {p[:-1] for p, n in uses.items() if n == uses.get(p[:-1])}
+    return {p: n for p, n in uses.items() if len(p) == 1 or (n >= 2 and p not in extended)}
+
+
+def seeds_of(spark, counts, max_piece, most, parts=3):
+    with WrittenTable(spark, "branches") as table:
+        words = spark.createDataFrame(list(counts.items()), "word string, n long").repartition(parts)
+        return {r["piece"]: r["n"] for r in unigram.seed_pieces(words, max_piece, most, table).collect()}
+
+
+@pytest.mark.parametrize("max_piece", [2, 4, 16])
+def test_seed_pieces_by_brute_force(spark, max_piece):
+    counts = {"abcab": 3, "\U0001F600a\U0001F600": 2, "x" * 40: 1, "xxab": 1, "zyx": 5, "caballero": 1, "\uffffa": 2, "a": 7}
+    assert seeds_of(spark, counts, max_piece, 1_000) == maximal_repeats(counts, max_piece)
+    draw = random.Random(3)
+    counts = {"".join(draw.choices("aab\u00e9", k=draw.randint(1, 9))): draw.randint(1, 4) for _ in range(200)}
+    assert seeds_of(spark, counts, max_piece, 1_000_000) == maximal_repeats(counts, max_piece)
+    assert seeds_of(spark, {}, max_piece, 10) == {}
+
+
+def test_seeds_are_cut_by_gain_then_piece(spark):
+    draw = random.Random(4)
+    counts = {"".join(draw.choices("abcde", k=draw.randint(1, 9))): draw.randint(1, 100_000) for _ in range(300)}
+    whole = maximal_repeats(counts, 8)
+    ranked = sorted((p for p in whole if len(p) > 1), key=lambda p: (-whole[p] * len(p), p))
+    for most in (0, 1, 57, 200):
+        kept = {p for p in whole if len(p) == 1} | set(ranked[:most])
+        assert seeds_of(spark, counts, 8, most) == {p: whole[p] for p in kept}
+
+
+def plain_unigram(counts, vocab_size, max_piece, seed_size):
+    """The same learning on the driver, word by word."""
+    words, weights = list(counts), np.array([float(n) for n in counts.values()])
+    uses = maximal_repeats(counts, max_piece)
+    longer = sorted((p for p in uses if len(p) > 1), key=lambda p: (-uses[p] * len(p), p))[:seed_size]
+    scores = {p: uses[p] * len(p) for p in uses if len(p) == 1 or p in longer}
+    scores = {p: np.log(w / sum(scores.values())) for p, w in scores.items()}
+    room = vocab_size - len(SPECIAL_TOKENS)
+
+    def lattice(texts, **more):
+        names = list(scores)
+        return names, np.array(list(scores.values())), unigram.Lattice(texts, {p: i for i, p in enumerate(names)}, max_piece, **more)
+
+    while True:
+        for _ in range(2):
+            names, values, made = lattice(words)
+            share = {p: max(u, 0.5) for p, u in zip(names, made.expected(values, weights, len(names))) if u >= 0.5 or len(p) == 1}
+            digamma = unigram._digamma(np.array([*share.values(), sum(share.values())]))
+            scores = dict(zip(share, digamma[:-1] - digamma[-1]))
+        if len(scores) <= room * 1.1:
+            break
+        names, values, made = lattice(words)
+        used = np.zeros(len(names))
+        for path, n in zip(made.best_paths(values), weights):
+            for p in path:
+                used[p] += n
+        longer = [p for p in names if len(p) > 1]
+        kept, losses = [p for p in names if len(p) == 1], []
+        for piece, path in zip(longer, lattice(longer, skip_whole=True)[2].best_paths(values)):
+            own = used[names.index(piece)]
+            if not path:
+                kept.append(piece)
+            elif own > 0 and scores[piece] >= sum(values[p] for p in path):
+                grown = np.log(used.sum() + own * (len(path) - 1))
+                apart = sum(np.log(used[p] + own) - grown for p in path)
+                losses.append((-round(own / used.sum() * (np.log(own) - np.log(used.sum()) - apart), 9), piece))
+        target = max(int(room * 1.1), int(0.75 * len(names)))
+        kept += [p for _, p in sorted(losses)[: max(target - len(kept), 0)]]
+        if len(kept) == len(names):
+            break
+        scores = {p: scores[p] for p in kept}
+    ranked = sorted(scores, key=lambda p: (len(p) > 1, -scores[p], p))
+    return {p: scores[p] for p in ranked[: max(room, sum(len(p) == 1 for p in ranked))]}
+
+
+@pytest.mark.parametrize("vocab_size, chunk_chars", [(60, 200_000), (60, 40), (200, 300)])
+def test_unigram_equals_plain_learning(spark, monkeypatch, vocab_size, chunk_chars):
+    monkeypatch.setattr(unigram, "CHUNK_CHARS", chunk_chars)
+    draw = random.Random(5)
+    syllables = ["ka", "to", "mi", "ren", "s", "ol", "\u00e9t"]
+    counts = {"".join(draw.choices(syllables, k=draw.randint(1, 5))): draw.randint(1, 30) for _ in range(250)}
+    words = spark.createDataFrame(list(counts.items()), "word string, n long")
+    learned = unigram.learn_unigram(words, vocab_size, 8, 300)
+    expected = plain_unigram(counts, vocab_size, 8, 300)
+    assert set(learned.pieces) == set(expected)
+    assert np.allclose(learned.scores, [expected[p] for p in learned.pieces], atol=1e-5)
+
+
+def test_unigram_of_no_words(spark):
+    assert unigram.learn_unigram(spark.createDataFrame([], "word string, n long"), 50) == unigram.UnigramResult([], [])
 
 
 def test_lattice_sums_by_brute_force():
@@ -350,8 +439,6 @@ def test_lattice_sums_by_brute_force():
             return [[]]
         return [[i, *rest] for p, i in index.items() if word.startswith(p) for rest in paths(word[len(p) :])]
 
-    import numpy as np
-
     words, weights = ["abab", "b", "abaab"], np.array([2.0, 1.0, 3.0])
     expected = np.zeros(len(pieces))
     for word, n in zip(words, weights):
