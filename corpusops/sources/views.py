@@ -98,9 +98,12 @@ def record_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The same table as a stream of its files."""
+    """The same table as a stream of its files, whether it is one file or a folder of them.
+
+    A stream refuses the plain path of a file; of a pattern that fits only the table it takes either.
+    """
     schema = table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 def raw_lines(spark: SparkSession, sf_dir: str, positioned: bool = False) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from corpusops.contracts import Contract
 from corpusops.operators.validation import check_lines, split_valid
 from corpusops.session import ensure_checkpoint_dir
-from corpusops.sources.readers import parse_lines
+from corpusops.sources.readers import _exists, parse_lines
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
@@ -43,7 +43,7 @@ def tail_totals(metrics: DataFrame, out: str) -> DataFrame:
         .start()
         .awaitTermination()
     )
-    return spark.read.schema(totals.schema).parquet(f"{out}/totals")
+    return _written(spark, f"{out}/totals", totals.schema)
 
 
 def read_metrics_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -82,6 +82,11 @@ def validate_stream(lines: DataFrame, contract: Contract, out: str, keep: tuple[
     )
     schema = checked.schema
     return (
-        spark.read.schema(T.StructType([f for f in schema if f.name != "errors"])).parquet(f"{out}/valid"),
-        spark.read.schema(schema).parquet(f"{out}/quarantine"),
+        _written(spark, f"{out}/valid", T.StructType([f for f in schema if f.name != "errors"])),
+        _written(spark, f"{out}/quarantine", schema),
     )
+
+
+def _written(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """What the batches of a stream wrote; a stream without any file has no batch and no folder."""
+    return spark.read.schema(schema).parquet(path) if _exists(spark, path) else spark.createDataFrame([], schema)

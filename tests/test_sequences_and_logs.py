@@ -2,6 +2,8 @@ import json
 import random
 from collections import Counter
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from corpusops.contracts import DEFAULT_CONTRACT, DatasetError
 from corpusops.functions import arrays
 from corpusops.operators import report, runlog, sequences
 from corpusops.operators.validation import check, split_valid
+from corpusops.plans.queries import QUERIES
 from corpusops.plans.run_tables import RunLog, read_table
 from corpusops.sources.readers import is_object, parse_lines, read_sequences
 from corpusops.sources.writers import append_metrics
@@ -171,3 +174,26 @@ def test_stream_validation_equals_batch(spark, tmp_path):
     good, bad = split_valid(batch)
     values = lambda frame: sorted(r["value"] for r in frame.select("value").collect())
     assert values(valid) == values(good) and values(quarantine) == values(bad)
+
+
+@pytest.mark.parametrize("files", [None, 3, 0])
+def test_table_streams_read_files_and_folders(spark, tmp_path, files):
+    """A table may be one file, a folder of files, or an empty folder."""
+    rows = pa.table({"doc_id": [9, 10, 5], "lang": ["en"] * 3, "source": ["web"] * 3, "text": ["a", "b", "c"]})
+    events = pa.table({"event_type": ["click", "view", "click"], "value": [1.0, 2.0, 0.5]})
+    for name, table in (("documents", rows), ("events", events)):
+        path = tmp_path / f"{name}.parquet"
+        if files is None:
+            pq.write_table(table, path)
+        else:
+            spark.createDataFrame(table.to_pandas()).limit(files).repartition(max(files, 1)).write.parquet(str(path))
+    found = QUERIES["st2_stream_validate"](spark, str(tmp_path)).collect()
+    totals = {r["metric"]: r["total"] for r in QUERIES["st1_metrics_tail"](spark, str(tmp_path)).collect()}
+    sides = [(5, "quarantine"), (9, "valid"), (10, "valid")]
+    assert sorted((r["doc_id"], r["side"]) for r in found) == ([] if files == 0 else sides)
+    assert totals == ({} if files == 0 else {"click": 1.5, "view": 2.0})
+
+
+def test_stream_without_files_is_empty(spark, tmp_path):
+    lines = spark.readStream.text(str(tmp_path))
+    assert [f.count() for f in jobs.validate_stream(lines, DEFAULT_CONTRACT, str(tmp_path / "out"))] == [0, 0]
