@@ -65,6 +65,23 @@ def test_means_of_odd_rows_without_a_shuffle(spark):
     assert "Exchange" not in frame._jdf.queryExecution().executedPlan().toString()
 
 
+def test_means_of_long_rows_by_brute_force_in_built_in_expressions(spark):
+    rng = random.Random(7)
+    rows = []
+    for i, n in enumerate([127, 128, 129, 256, 700]):
+        ids = [rng.choice([None, *range(50)]) for _ in range(n)]
+        rows.append((i, ids, None if i == 1 else [rng.choice([None, 0, 1, 1]) for _ in range(n + rng.choice([-9, 0, 9]))]))
+    table = spark.createDataFrame(rows, SCHEMA)
+    for frame, reach, ahead in ((sequences.prefix_mean(table), 10**6, 0), (sequences.sliding_mean(table, 5, False), 5, 5)):
+        found = {r["seq_id"]: r["mean"] for r in frame.collect()}
+        for i, ids, mask in rows:
+            kept = [x if x is not None and (mask is None or p < len(mask) and mask[p]) else None for p, x in enumerate(ids)]
+            spans = [[x for x in kept[max(0, p - reach) : p + ahead + 1] if x is not None] for p in range(len(ids))]
+            assert found[i] == [sum(x) / len(x) if x else 0.0 for x in spans]
+        # Batches of rows held in Python grew with their length.
+        assert "Python" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
 def test_batches(spark, tmp_path):
     (tmp_path / "s.jsonl").write_text('{"input_ids":[101,5,2]}\n{"input_ids":[7],"attention_mask":[1]}\n{"input_ids":[9,9],"attention_mask":[1,0]}\n')
     rows = read_sequences(spark, str(tmp_path / "s.jsonl")).withColumn("row", F.monotonically_increasing_id() + 1)
