@@ -10,7 +10,9 @@ import re
 from collections.abc import Callable
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,14 +38,20 @@ def decode(rows: DataFrame, model: TokenizerModel, ids: str = "input_ids", name:
     are no valid UTF-8 become U+FFFD. Nothing is shuffled; the broadcast table is the vocabulary.
     """
     decoder_step(model.decoder_node)  # refuse before anything runs
+    by_place = _by_place(model.decoder_node)
     left_out = set(model.specials) if skip_special else set()
     tokens = [None if t in left_out else t for t in model.tokens]
     shared = rows.sparkSession.sparkContext.broadcast((tokens, model.decoder_node))
+    tables: list[pa.Array | np.ndarray] = []
 
     @F.arrow_udf(T.StringType())
     def decoded(lists: pa.Array) -> pa.Array:
         known, node = shared.value
         step = decoder_step(node)
+        if by_place:
+            if not tables:
+                tables.extend(_spellings(known, node))
+            return _joined(lists, *tables)
         texts = []
         for numbers in lists.to_pylist():
             if numbers is None:
@@ -56,6 +64,39 @@ def decode(rows: DataFrame, model: TokenizerModel, ids: str = "input_ids", name:
     return rows.withColumn(name, decoded(F.col(f"`{ids}`")))
 
 
+def _by_place(node: dict[str, Any] | None) -> bool:
+    """Whether a token's text depends only on whether it is the first of its row."""
+    return node is None or node["type"] in ("WordPiece", "Metaspace")
+
+
+def _spellings(known: list[str | None], node: dict[str, Any] | None) -> tuple[pa.Array, np.ndarray]:
+    """Texts of all tokens behind others, then of all at the start of a row; which of them are tokens."""
+    step = decoder_step(node)
+    tokens = [t or "" for t in known]
+    first = [step([t])[0] for t in tokens]
+    later = [" " + t for t in tokens] if node is None else [step(["", t])[1] for t in tokens]
+    return pa.array(later + first, pa.large_string()), np.array([t is not None for t in known], dtype=bool)
+
+
+def _joined(lists: pa.Array, spelled: pa.Array, held: np.ndarray) -> pa.Array:
+    """The texts of lists of ids, put together for a whole batch at once."""
+    flat = lists.flatten()
+    ids = flat.fill_null(-1).to_numpy(zero_copy_only=False)
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    kept = (ids >= 0) & (ids < len(held))
+    kept[kept] = held[ids[kept]]
+    ends = np.append(0, np.cumsum(sizes, dtype=np.int64))
+    ends = ends - np.searchsorted(np.flatnonzero(~kept), ends)
+    ids = ids[kept].astype(np.int64)
+    ids[ends[:-1][ends[1:] > ends[:-1]]] += len(held)
+    # Each row's text is a stretch of the bytes of all tokens.
+    texts = spelled.take(pa.array(ids))
+    at = np.frombuffer(texts.buffers()[1], np.int64)[ends] if len(ids) else np.zeros(len(ends), np.int64)
+    valid = lists.is_valid().to_numpy(zero_copy_only=False)
+    whole = pa.LargeStringArray.from_buffers(len(lists), pa.py_buffer(at.tobytes()), texts.buffers()[2] or pa.py_buffer(b""))
+    return pc.if_else(pa.array(valid), whole, pa.scalar(None, pa.large_string())).cast(pa.string())
+
+
 def decoder_step(node: dict[str, Any] | None) -> Step:
     if node is None:
         return lambda tokens: tokens

@@ -4,15 +4,16 @@ import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from corpusops.contracts import DatasetError
 from corpusops.functions.text import SPECIAL_TOKENS, normalize_encoding, normalize_training
-from corpusops.operators import bpe, unigram, vocab
+from corpusops.operators import bpe, decoding, tokenizer, unigram, vocab
 from corpusops.operators.chars import decode_bytes
 from corpusops.operators.decoding import decode
-from corpusops.operators.tokenizer import TokenizerConfig, TokenizerModel, dump, encode
+from corpusops.operators.tokenizer import TokenizerConfig, TokenizerModel, dump, encode, encode_words
 from corpusops.plans.run_tables import RunLog, read_table
 from corpusops.plans.tokenizer_job import encode_sequences, inspect_tokenizer, learn, load_tokenizer, read_registry, train_tokenizer
 from corpusops.session import WrittenTable
@@ -262,6 +263,36 @@ def test_decoding_of_odd_ids(spark):
         decode(rows, TokenizerModel.from_json(word_file("WordLevel", decoder={"type": "CTC"})))
 
 
+def test_bytes_are_counted_and_coded_a_batch_at_once(spark):
+    """Byte vocabularies are learnt without pieces and looked up in bulk, as the segmenter does word by word."""
+    texts = ["abc ABC <unk>é<pad>", "", None, "ééé ñ<sep><sep>zz", "  a\t日本 ﬁ İx", "<eos>"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "n long, payload string")
+    counts = vocab.byte_counts(rows, F.col("payload"))
+    assert "'ll" not in counts._jdf.queryExecution().optimizedPlan().toString()
+    raw = collections.Counter(b for t in texts if t for b in t.encode())
+    assert {int(r["token"], 16): r["n"] for r in counts.collect()} == raw
+    for size in (9, 300):
+        model = learn(rows, TokenizerConfig("char", size))
+        assert tokenizer._is_bytewise(model)
+        segment = tokenizer.segmenter(*model.parts())
+        lists = [["abc", " ABC", "<unk>", "é"], [], None, ["<pad>", "ñé", "日本", "<sep>", "<sep>", "zz"]]
+        words = spark.createDataFrame(list(enumerate(lists)), "n long, words array<string>")
+        got = words.select("n", encode_words(F.col("words"), model, spark).alias("ids")).orderBy("n").collect()
+        assert [r["ids"] for r in got] == [[i for w in x or [] for i in segment(w)] for x in lists]
+
+
+@pytest.mark.parametrize("node", [None, {"type": "WordPiece", "prefix": "##"}, {"type": "Metaspace", "replacement": "▁", "prepend_scheme": "always"}])
+def test_texts_of_a_batch_are_joined_at_once(node):
+    known = ["a", None, "##é", "▁b", ".", "n't", ""]
+    step = decoding.decoder_step(node)
+    lists = [[0, 2, 3], None, [], [1, 99, -1, None], [2, 1, 2, 4], [3, 5, 6, 0], [None, 3, 4]]
+    kept = [None if x is None else [known[i] for i in x if i is not None and 0 <= i < 7 and known[i] is not None] for x in lists]
+    expected = [None if x is None else (" " if node is None else "").join(step(x)) for x in kept]
+    for part in (slice(None), slice(3, None), slice(1, 3)):
+        batch = pa.array(lists, pa.list_(pa.int32()))[part]
+        assert decoding._joined(batch, *decoding._spellings(known, node)).to_pylist() == expected[part]
+
+
 def random_words():
     rng = random.Random(5)
     letters = "aaabbcdé"
