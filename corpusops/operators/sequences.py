@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusops.contracts import DatasetError
 from corpusops.functions.arrays import pad
 
-# Places of a block of running sums.
-SUM_BLOCK = 128
-
 
 def over_length(sequences: DataFrame, limit: int, ids: str = "input_ids") -> DataFrame:
     """Sequences longer than the model takes."""
@@ -112,73 +110,44 @@ def context_pairs(sequences: DataFrame, window: int, causal: bool, n_global: int
 
 def prefix_mean(sequences: DataFrame, causal: bool = True, name: str = "mean") -> DataFrame:
     """Add the running mean of the unmasked ids of each sequence, or its overall mean, at every position."""
-    return _with_means(sequences, name, 0, None if causal else -1)
+    return sequences.withColumn(name, _means(0, None if causal else -1))
 
 
 def sliding_mean(sequences: DataFrame, window: int, causal: bool = True, name: str = "mean") -> DataFrame:
     """Add the mean over the sliding window that ends at, or surrounds, each position."""
     _check_window(window)
-    return _with_means(sequences, name, window + 1, 0 if causal else window)
-
-
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def _running_sums(values: Column) -> Column:
-    """Sum and count of the values of an array up to and with each place, by blocks and from their blocks' start."""
-    empty = F.array().cast("array<struct<total:bigint,count:bigint>>")
-    numbers = F.sequence(F.lit(0), F.floor(F.greatest(F.size(values) - 1, F.lit(0)) / SUM_BLOCK).cast("int"))
-
-    def added(sums: Column, x: Column) -> Column:
-        total = sums["total"] + F.coalesce(x, F.lit(0).cast("long"))
-        count = sums["count"] + F.when(x.isNull(), 0).otherwise(1)
-        row = F.struct(total.alias("total"), count.alias("count"))
-        return F.struct(total.alias("total"), count.alias("count"), F.concat(sums["sums"], F.array(row)).alias("sums"))
+    return sequences.withColumn(name, _means(window + 1, 0 if causal else window))
 
-    start = F.struct(F.lit(0).cast("long").alias("total"), F.lit(0).cast("long").alias("count"), empty.alias("sums"))
-    return F.transform(numbers, lambda b: F.aggregate(F.slice(values, b * SUM_BLOCK + 1, F.lit(SUM_BLOCK)), start, added, lambda sums: sums["sums"]))
 
-
-def _block_starts(blocks: Column) -> Column:
-    """Sum and count before each block."""
-    zero = F.struct(F.lit(0).cast("long").alias("total"), F.lit(0).cast("long").alias("count"))
-
-    def added(starts: Column, block: Column) -> Column:
-        last, whole = F.element_at(starts, -1), F.get(block, F.size(block) - 1)
-        return F.concat(starts, F.array(F.struct(*((last[c] + F.coalesce(whole[c], F.lit(0).cast("long"))).alias(c) for c in ("total", "count")))))
-
-    return F.aggregate(blocks, F.array(zero), added)
-
-
-def _with_means(sequences: DataFrame, name: str, reach: int, ahead: int | None) -> DataFrame:
-    """Add means of a window of each position, from running sums of the row's own arrays.
+def _means(reach: int, ahead: int | None) -> Column:
+    """Means of a window of each position, from running sums of the row's own arrays.
 
     ``reach`` is how many positions the window spans up to and with its own (0: from the start), ``ahead``
     how many follow (None: none, -1: to the end). A position whose window has no unmasked id
-    gets 0. Built-in expressions work row by row, so nothing is shuffled and no batch of rows is held; sums are
-    built in blocks, so that long sequences cost no more a position than short ones.
+    gets 0. A sequence lies in one row, so nothing is shuffled.
     """
-    ids, mask = F.col("input_ids"), F.col("attention_mask")
-    seen = lambda i: mask.isNull() | (F.coalesce(F.get(mask, i), F.lit(0)) != 0)
-    values = F.transform(ids, lambda x, i: F.when(seen(i), x.cast("long")))
-
-    def means(sums: Column) -> Column:
-        def until(place: Column, c: str) -> Column:
-            block = F.floor((place - 1) / SUM_BLOCK).cast("int")
-            return F.when(place <= 0, F.lit(0).cast("long")).otherwise(
-                F.get(sums["starts"], block)[c] + F.get(F.get(sums["blocks"], block), place - 1 - block * SUM_BLOCK)[c]
-            )
-
-        def mean(_: Column, i: Column) -> Column:
-            high = F.size(ids) if ahead == -1 else F.least(i + (ahead or 0) + 1, F.size(ids))
-            low = F.greatest(i - reach + 1, F.lit(0)) if reach else None
-            of = lambda c: until(high, c) if low is None else until(high, c) - until(low, c)
-            return _let(of("count"), lambda n: F.when(n > 0, of("total").cast("double") / n.cast("double")).otherwise(0.0))
-
-        return F.transform(ids, mean)
-
-    both = _let(_let(values, _running_sums), lambda blocks: F.struct(blocks.alias("blocks"), _block_starts(blocks).alias("starts")))
-    # The generator keeps the means from being found once a use.
-    return sequences.withColumn(name, F.explode(F.array(_let(both, means))))
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def means(ids: pa.Array, masks: pa.Array) -> pa.Array:
+        sizes = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        # The only array as long as the batch besides its input; rows are worked on one by one.
+        offsets = np.append(0, np.cumsum(sizes))
+        flat = np.empty(offsets[-1])
+        for i, n in enumerate(sizes):
+            if not n:
+                continue
+            row = ids[i].values
+            kept = row.is_valid().to_numpy(zero_copy_only=False)
+            if masks[i].is_valid:
+                mask = masks[i].values.fill_null(0).to_numpy(zero_copy_only=False) != 0
+                kept &= np.append(mask, np.zeros(max(0, n - len(mask)), bool))[:n]
+            value = np.where(kept, row.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), 0)
+            total, count = np.append(0, np.cumsum(value)), np.append(0, np.cumsum(kept))
+            at = np.arange(n)
+            low = np.maximum(at - reach + 1, 0) if reach else np.zeros(n, np.int64)
+            high = np.full(n, n) if ahead == -1 else np.minimum(at + (ahead or 0) + 1, n)
+            sums, counts = total[high] - total[low], count[high] - count[low]
+            flat[offsets[i] : offsets[i + 1]] = np.where(counts > 0, sums / np.maximum(counts, 1), 0.0)
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat), mask=ids.is_null())
+
+    return means(F.col("input_ids"), F.col("attention_mask"))
