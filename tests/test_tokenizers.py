@@ -341,6 +341,51 @@ def test_bpe_min_frequency(spark):
     assert bpe.learn_bpe(words.limit(0), 100).merges == []
 
 
+def replaced(parts, pair, new):
+    out, i = [], 0
+    while i < len(parts):
+        step = 2 if tuple(parts[i : i + 2]) == pair else 1
+        out.append(new if step == 2 else parts[i])
+        i += step
+    return out
+
+
+def test_bpe_words_are_merged_in_arrays():
+    """Merges, what they change in the counts of pairs, and taking them back, against word by word."""
+    rng = random.Random(5)
+    words = [[rng.randrange(3) for _ in range(rng.randrange(12))] for _ in range(200)]
+    weights = [rng.randrange(1, 9) for _ in words]
+
+    def counted(words):
+        pairs = collections.Counter()
+        for w, n in zip(words, weights):
+            for a, b in zip(w, w[1:]):
+                pairs[a << bpe.PAIR_BITS | b] += n
+        return pairs
+
+    found = bpe.Words(np.array(sum(words, []), np.int32), np.array([len(w) for w in words]), np.array(weights))
+    found.index()
+    states, log = [words], []
+    for new, pair in enumerate([(0, 0), (1, 2), (3, 3), (9, 9), (2, 1), (3, 4), (4, 4)], 3):
+        words = [replaced(w, pair, new) for w in states[-1]]
+        log.append(found.merge(pair[0] << bpe.PAIR_BITS | pair[1], new))
+        change = counted(words)
+        change.subtract(counted(states[-1]))
+        got = {} if log[-1] is None else dict(zip(log[-1].pairs.tolist(), log[-1].n.tolist()))
+        assert got == {p: n for p, n in change.items() if n}
+        ids, lengths, _ = found.flat()
+        assert ids.tolist() == sum(words, []) and lengths.tolist() == [len(w) for w in words]
+        back = bpe.symbol_ids(bpe.spelled_words(ids, lengths).slice(3))
+        assert back[0].tolist() == sum(words[3:], []) and back[1].tolist() == lengths[3:].tolist()
+        states.append(words)
+    while log:
+        last, words = log.pop(), states.pop()
+        if last is not None:
+            found.undo(last)
+        assert found.flat()[0].tolist() == sum(states[-1], [])
+        assert dict(zip(*(x.tolist() for x in found.counts()))) == counted(states[-1])
+
+
 def test_symbols_sort_like_ids():
     ids = [0, 1, 63, 64, 4095, 4096, 200_000, bpe.MAX_SYMBOLS - 1]
     assert [bpe.symbol_id(bpe.symbol(i)) for i in ids] == ids
