@@ -659,6 +659,22 @@ def test_license_notices_wrapped_and_within_long_lines(spark):
     assert min(r["overlap"] for r in found) > 0.99
 
 
+def test_license_windows_of_both_kinds_come_from_one_scan(spark):
+    mit = licenses.TEMPLATES["MIT"][2]
+    known = licenses.templates(spark.createDataFrame([(1,)], "x int")).filter("family = 'MIT'").collect()
+    rows = [(1, 0, "one two three"), (2, 0, "of this software and two words"), (3, 0, f"a b {mit} c d")]
+    cut = licenses.pieces(spark.createDataFrame(rows, "doc_id long, first_line int, paragraph string").withColumn("_run", F.col("doc_id")))
+    held = licenses._holds_pair_at({p for r in known for p in r["pairs"]})
+    places = F.filter(licenses._places(F.col("words")), lambda i: held(F.col("words"), i))
+    common = F.array_distinct(F.transform(places, lambda i: licenses._pair_at(F.col("words"), i)))
+    found = licenses._windows(cut.withColumn("_common", common), known)
+    assert "Union" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r["doc_id"], r["family"]) for r in found.collect()}
+    assert got == {(2, "unknown"), (3, "unknown"), (3, "MIT")}
+    whole = found.filter("overlap = 1").collect()
+    assert whole and {r["end"] for r in whole} == {2 + len(mit.split())}
+
+
 def test_batches_stay_bounded(spark, docs):
     language.predict(docs, F.col("text"), language.Model([], np.zeros((language.BUCKETS, 0)), np.zeros(0)))
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 2_000
