@@ -501,6 +501,26 @@ def test_unigram_equals_plain_learning(spark, monkeypatch, vocab_size, chunk_cha
     assert np.allclose(learned.scores, [expected[p] for p in learned.pieces], atol=1e-5)
 
 
+def test_stored_lattices_leave_out_what_is_gone():
+    pieces = ["a", "b", "ab", "ba", "aba"]
+    scores = np.array([-1.0, -1.5, -0.7, -np.inf, -np.inf])
+    alive, index = np.isfinite(scores), {p: i for i, p in enumerate(pieces)}
+    columns = [column.split()[0] for column in unigram.STORED.split(", ")]
+    words = ["abab", "b", "abaab", "aba"]
+    rest = {p: i for p, i in index.items() if alive[i]}
+    for kept in ([True] * 4, [True, False, True, False], [False] * 4):
+        own = [w for w, k in zip(words, kept) if k]
+        plain = unigram.Lattice(own, rest, 16)
+        row = dict(zip(columns, unigram.Lattice(words, index, 16).row(np.arange(4))))
+        stored = unigram.Lattice.stored(row, alive, np.array(kept))
+        again = unigram.Lattice.stored(dict(zip(columns, stored.row(np.arange(len(own))))), alive)
+        for lattice in (stored, again):
+            assert lattice.best_paths(scores) == plain.best_paths(scores)
+            weights = np.arange(1.0, len(own) + 1)
+            assert np.allclose(lattice.expected(scores, weights, 5), plain.expected(scores, weights, 5))
+            assert lattice.nodes == plain.nodes and lattice.piece.tolist() == plain.piece.tolist()
+
+
 def test_unigram_of_no_words(spark):
     assert unigram.learn_unigram(spark.createDataFrame([], "word string, n long"), 50) == unigram.UnigramResult([], [])
 
