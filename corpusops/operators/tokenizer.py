@@ -37,7 +37,7 @@ from corpusops.functions.text import (
     single_punct_pieces,
     unbroken_pieces,
 )
-from corpusops.operators.vocab import add_missing_specials
+from corpusops.operators.vocab import add_missing_specials, flat_bytes
 from corpusops.operators.wordpiece import PieceOptions, piece_segmenter, word_segmenter
 
 UNKNOWN_PENALTY = 10.0
@@ -521,38 +521,71 @@ def encode_bytes(words: Column, model: TokenizerModel) -> Column:
 
     Unknown bytes next to each other in a pre-token count as one token.
     """
-    ids = model.ids
-    unk = ids[model.unknown]
-    table = np.array([ids.get(c, unk) for c in byte_characters()], dtype=np.int32)
-    whole = {t: ids[t] for t in model.specials if t in ids}
+    table, unk = _byte_table(model)
+    whole = {t: i for t, i in model.ids.items() if t in model.specials}
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def encoded(lists: pa.Array) -> pa.Array:
         lists = lists.cast(pa.list_(pa.string()))
         flat = lists.flatten()
         # Where words begin, then where rows do.
-        at = np.frombuffer(flat.buffers()[1], np.int32)[flat.offset : flat.offset + len(flat) + 1] if len(flat) else np.zeros(1, np.int32)
-        raw = np.frombuffer(flat.buffers()[2], np.uint8)[at[0] : at[-1]] if at[-1] > at[0] else np.zeros(0, np.uint8)
-        at = at - at[0]
+        at, raw = flat_bytes(flat)
         coded = table[raw]
-        unknown = coded == unk
-        dropped = np.zeros(len(coded), bool)
-        dropped[1:] = unknown[1:] & unknown[:-1]
-        dropped[at[:-1][at[:-1] < len(coded)]] = False
+        dropped = _follows(coded == unk, at)
         special = pc.index_in(flat, value_set=pa.array(list(whole), pa.string()))
         for k in np.flatnonzero(special.is_valid().to_numpy(zero_copy_only=False)).tolist():
             dropped[at[k] + 1 : at[k + 1]] = True
             coded[at[k]] = whole[flat[k].as_py()]
         rows = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        ends = at[np.append(0, np.cumsum(rows, dtype=np.int64))]
-        gone = np.flatnonzero(dropped)
-        if len(gone):
-            coded, ends = coded[~dropped], ends - np.searchsorted(gone, ends)
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(coded, pa.int32()))
+        return _id_lists(coded, dropped, at[np.append(0, np.cumsum(rows, dtype=np.int64))])
 
     return encoded(words)
 
 
+def encode_whole(text: Column, model: TokenizerModel) -> Column:
+    """The same for normalised texts that hold no special token, without cutting them into pre-tokens.
+
+    Where a pre-token ends matters only between unknown bytes of two characters; a text with such a place gives null.
+    """
+    table, unk = _byte_table(model)
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def encoded(texts: pa.Array) -> pa.Array:
+        ends, raw = flat_bytes(texts.fill_null(""))
+        coded = table[raw]
+        dropped = _follows(coded == unk, ends)
+        meet = np.flatnonzero(dropped & ((raw & 0xC0) != 0x80))
+        left = texts.is_null().to_numpy(zero_copy_only=False).copy()
+        left[np.searchsorted(ends, meet, side="right") - 1] = True
+        return _id_lists(coded, dropped, ends, left)
+
+    return encoded(text)
+
+
+def _byte_table(model: TokenizerModel) -> tuple[np.ndarray, int]:
+    """The id of each byte, and that of unknown ones."""
+    ids = model.ids
+    unk = ids[model.unknown]
+    return np.array([ids.get(c, unk) for c in byte_characters()], dtype=np.int32), unk
+
+
+def _follows(unknown: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which unknown bytes follow another of the same word or text, as these begin ``at``."""
+    result = np.zeros(len(unknown), bool)
+    result[1:] = unknown[1:] & unknown[:-1]
+    result[at[:-1][at[:-1] < len(unknown)]] = False
+    return result
+
+
+def _id_lists(coded: np.ndarray, dropped: np.ndarray, ends: np.ndarray, left: np.ndarray | None = None) -> pa.Array:
+    """Ids as lists without the dropped ones; null where ``left`` out."""
+    gone = np.flatnonzero(dropped)
+    if len(gone):
+        coded, ends = coded[~dropped], ends - np.searchsorted(gone, ends)
+    mask = None if left is None else pa.array(left)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(coded, pa.int32()), mask=mask)
+
+
 def encode(texts: DataFrame, model: TokenizerModel, text: str = "payload", name: str = "input_ids") -> DataFrame:
     """Add the token ids of a text column; no special tokens are added.
 
@@ -565,8 +598,14 @@ def encode(texts: DataFrame, model: TokenizerModel, text: str = "payload", name:
     cut = F.flatten(
         F.transform(parts, lambda p, i: F.when(p.isin(*model.specials), F.array(p)).otherwise(model.word_lists(p, i == 0)))
     )
-    plain = model.word_lists(model.normal_text(F.when(~special, raw)), F.lit(True))
-    words = F.coalesce(plain, cut, F.array().cast("array<string>"))
+    plain = F.when(~special, raw)
+    no_words = F.array().cast("array<string>")
+    if _is_bytewise(model) and set(model.specials) <= set(SPECIAL_TOKENS):
+        # No pre-token can be spelled like one of these special tokens, so most texts need none.
+        whole = encode_whole(model.normal_text(plain), model)
+        rest = model.word_lists(model.normal_text(F.when(whole.isNull(), plain)), F.lit(True))
+        return texts.withColumn(name, F.coalesce(whole, encode_bytes(F.coalesce(rest, cut, no_words), model)))
+    words = F.coalesce(model.word_lists(model.normal_text(plain), F.lit(True)), cut, no_words)
     return texts.withColumn(name, encode_words(words, model, texts.sparkSession))
 
 

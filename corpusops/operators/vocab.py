@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusops.functions.text import SPECIAL_TOKENS, bytes_of, pretokenize
+from corpusops.functions.text import SPECIAL_TOKENS, pretokenize
 from corpusops.session import BROADCAST_BYTES, ROW_BYTES, join_small
 
 
@@ -23,13 +27,29 @@ def top_words(counts: DataFrame, vocab_size: int) -> DataFrame:
 
 
 def byte_counts(texts: DataFrame, text: Column) -> DataFrame:
-    """Occurrences of each UTF-8 byte, from those of the characters: pieces leave out none, so nothing is cut into them."""
-    return (
-        word_counts(texts, text, lambda t: F.filter(F.split(t, ""), lambda c: c != ""))
-        .select(F.explode(bytes_of(F.col("word"))).alias("token"), "n")
-        .groupBy("token")
-        .agg(F.sum("n").alias("n"))
-    )
+    """Occurrences of each UTF-8 byte: pieces leave out none, so nothing is cut into them.
+
+    A task counts its texts batch by batch and hands on at most 256 rows.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(256, dtype=np.int64)
+        for batch in batches:
+            n += np.bincount(flat_bytes(batch.column(0).drop_null())[1], minlength=256)
+        found = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array([f"{b:02X}" for b in found], pa.string()), pa.array(n[found])], ["token", "n"])
+
+    return texts.select(text.alias("text")).mapInArrow(count, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
+
+
+def flat_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where each of some texts begins and the last one ends, and their UTF-8 bytes, one text after the other."""
+    if not len(texts):
+        return np.zeros(1, np.int64), np.zeros(0, np.uint8)
+    texts = texts.cast(pa.large_string())
+    at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(texts.buffers()[2], np.uint8)[at[0] : at[-1]] if at[-1] > at[0] else np.zeros(0, np.uint8)
+    return at - at[0], raw
 
 
 def char_vocabulary(texts: DataFrame, text: Column, vocab_size: int) -> DataFrame:

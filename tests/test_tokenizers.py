@@ -281,6 +281,25 @@ def test_bytes_are_counted_and_coded_a_batch_at_once(spark):
         assert [r["ids"] for r in got] == [[i for w in x or [] for i in segment(w)] for x in lists]
 
 
+def test_texts_are_coded_whole_unless_unknown_bytes_meet(spark):
+    """By pieces and whole the ids are the same; unknown bytes of two pieces stay two tokens."""
+    texts = ["ab ab", "zé", "éz", "éé", "x1", "1x!", "x 1", "日本1é", "a\U0001F600\U0001F600b", "<PAD>é!", "a<unk>x1", "", None, "b" * 9]
+    rows = spark.createDataFrame(list(enumerate(texts)), "n long, payload string")
+    for size in (6, 7, 9, 12, 300):
+        model = learn(rows, TokenizerConfig("char", size))
+        normal = model.normal_text(F.col("payload"))
+        pieces = rows.select("n", normal.alias("t"), model.word_lists(normal, F.lit(True)).alias("words"))
+        whole = tokenizer.encode_whole(F.col("t"), model)
+        apart = pieces.select("n", encode_words(F.col("words"), model, spark).alias("ids"), whole.alias("whole"))
+        own = {r["n"]: r for r in apart.collect()}
+        coded = encode(rows, model)
+        assert coded.columns == ["n", "payload", "input_ids"]
+        assert {r["n"]: r["input_ids"] for r in coded.collect() if r["n"] != 10} == {n: r["ids"] for n, r in own.items() if n != 10}
+        assert all(r["whole"] in (None, r["ids"]) for r in own.values())
+        assert size > 6 or own[4]["whole"] is None and len(own[4]["ids"]) == 2
+        assert size < 300 or not any(r["whole"] is None for n, r in own.items() if n != 12)
+
+
 @pytest.mark.parametrize("node", [None, {"type": "WordPiece", "prefix": "##"}, {"type": "Metaspace", "replacement": "▁", "prepend_scheme": "always"}])
 def test_texts_of_a_batch_are_joined_at_once(node):
     known = ["a", None, "##é", "▁b", ".", "n't", ""]
