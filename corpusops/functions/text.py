@@ -142,7 +142,8 @@ def _training(text: Column, compose: bool, lower: bool, punct_policy: str) -> Co
 def _encoding(text: Column, compose: bool, lower: bool, punct_policy: str, collapse: bool) -> Column:
     if lower:
         # The encoder maps characters one by one, so a final capital sigma becomes the plain one.
-        text = F.replace(nfc(text) if compose else text, F.lit("\u03a3"), F.lit("\u03c3"))
+        # Neither sigma composes with anything, so the text stays composed.
+        text, compose = F.replace(nfc(text) if compose else text, F.lit("\u03a3"), F.lit("\u03c3")), False
     result = _base(text, "nfc" if compose else "none", lower, punct_policy)
     return _collapse(result, RUN) if collapse else result
 

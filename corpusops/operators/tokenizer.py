@@ -18,8 +18,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusops.contracts import DatasetError
+from corpusops.functions import latin
+from corpusops.functions.latin import flat_bytes
 from corpusops.functions.text import (
     ALGORITHMS,
+    FEW_SPECIALS,
     IMPORTED,
     NORMS,
     PUNCT_POLICIES,
@@ -37,7 +40,7 @@ from corpusops.functions.text import (
     single_punct_pieces,
     unbroken_pieces,
 )
-from corpusops.operators.vocab import add_missing_specials, flat_bytes
+from corpusops.operators.vocab import add_missing_specials
 from corpusops.operators.wordpiece import PieceOptions, piece_segmenter, word_segmenter
 
 UNKNOWN_PENALTY = 10.0
@@ -76,6 +79,15 @@ class TokenizerConfig:
             "special_tokens": list(SPECIAL_TOKENS),
         }
 
+    @property
+    def keeps_latin(self) -> bool:
+        """Whether texts of ``functions.latin`` are normalised as it does."""
+        return self.punct_policy == "keep" and (self.lower or self.norm != "none")
+
+    def latin_apart(self, text: Column) -> Column | None:
+        """The texts that ``functions.latin`` does not normalise, if it does any."""
+        return latin.apart(text) if self.keeps_latin else None
+
     def training_text(self, text: Column) -> Column:
         return normalize_both(text, self.norm, self.lower, self.punct_policy)
 
@@ -285,6 +297,12 @@ class TokenizerModel:
         cut = {"ByteLevel": byte_pieces, "Whitespace": pretokenize, "BertPreTokenizer": single_punct_pieces, "WhitespaceSplit": unbroken_pieces}
         return cut[kind](text)
 
+    def latin_apart(self, text: Column) -> Column | None:
+        """The texts that need more than ``functions.latin``, special tokens among them, if any need no more."""
+        known = _is_bytewise(self) if self.byte_level else self.splitter is None or self.splitter.get("type") == "Whitespace"
+        plain = known and self.cleaner is None and self.config.keeps_latin and len(self.specials) <= FEW_SPECIALS
+        return latin.apart(text, self.specials) if plain else None
+
     def normal_parts(self, parts: Column) -> Column:
         """Each part of a cut text as the encoder normalises it."""
         if self.cleaner is None:
@@ -467,27 +485,27 @@ def _unigram_segmenter(
     return segment
 
 
-def encode_words(words: Column, model: TokenizerModel, spark: SparkSession) -> Column:
-    """Token ids of a list of pre-tokens.
+def encode_words(words: Column, model: TokenizerModel, spark: SparkSession, simple: Column | None = None) -> Column:
+    """Token ids of a list of pre-tokens, or of the pre-tokens of ``simple`` where that is not null.
 
     Runs where the text is read: nothing is shuffled. Each batch segments its distinct words once
     (a bounded cache carries them across batches) and lays out all ids by array arithmetic. The
     broadcast vocabulary is bounded by its size setting.
     """
-    if _is_bytewise(model):
+    if simple is None and _is_bytewise(model):
         return encode_bytes(words, model)
     shared = spark.sparkContext.broadcast(model.parts())
+    lower = model.config.lower
     cache: dict[str, list[int]] = {}
     state: list[Callable[[str], list[int]]] = []
 
-    @F.arrow_udf(T.ArrayType(T.IntegerType()))
-    def encoded(lists: pa.Array) -> pa.Array:
+    def segmented(flat: pa.Array, at: np.ndarray) -> pa.Array:
+        """Ids of words as lists, one for the words from each place of ``at`` to the next."""
         if not state:
             state.append(segmenter(*shared.value))
         if len(cache) > WORD_CACHE:
             cache.clear()
-        lists = lists.cast(pa.list_(pa.string()))
-        coded = lists.flatten().dictionary_encode()
+        coded = flat.dictionary_encode()
         parts = []
         for word in coded.dictionary.to_pylist():
             found = cache.get(word)
@@ -498,16 +516,32 @@ def encode_words(words: Column, model: TokenizerModel, spark: SparkSession) -> C
             parts.append(found)
         sizes = np.array([len(p) for p in parts], dtype=np.int64)
         pool = np.fromiter(itertools.chain.from_iterable(parts), np.int32, int(sizes.sum()))
-        at = np.cumsum(sizes) - sizes
+        starts = np.cumsum(sizes) - sizes
         use = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         counts = sizes[use] if len(use) else np.zeros(0, dtype=np.int64)
         ends = np.append(0, np.cumsum(counts))
-        take = np.repeat(at[use] - ends[:-1], counts) + np.arange(ends[-1]) if len(use) else np.zeros(0, dtype=np.int64)
+        take = np.repeat(starts[use] - ends[:-1], counts) + np.arange(ends[-1]) if len(use) else np.zeros(0, dtype=np.int64)
+        return pa.ListArray.from_arrays(pa.array(ends[at], pa.int32()), pa.array(pool[take], pa.int32()))
+
+    def of_lists(lists: pa.Array) -> pa.Array:
+        lists = lists.cast(pa.list_(pa.string()))
         rows = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        offsets = ends[np.append(0, np.cumsum(rows))]
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(pool[take], pa.int32()))
+        return segmented(lists.flatten(), np.append(0, np.cumsum(rows)))
 
-    return encoded(words)
+    if simple is None:
+
+        @F.arrow_udf(T.ArrayType(T.IntegerType()))
+        def encoded(lists: pa.Array) -> pa.Array:
+            return of_lists(lists)
+
+        return encoded(words)
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def encoded_either(texts: pa.Array, lists: pa.Array) -> pa.Array:
+        found = segmented(*latin.words(texts, lower))
+        return pc.if_else(texts.is_valid(), found, of_lists(lists)) if texts.null_count else found
+
+    return encoded_either(simple, words)
 
 
 def _is_bytewise(model: TokenizerModel) -> bool:
@@ -562,6 +596,27 @@ def encode_whole(text: Column, model: TokenizerModel) -> Column:
     return encoded(text)
 
 
+def encode_latin(text: Column, model: TokenizerModel, others: Column) -> Column:
+    """The same for raw texts without special tokens that ``functions.latin`` normalises; ``others`` where these are null.
+
+    Where unknown bytes of two characters meet, it is seen whether a pre-token ends there.
+    """
+    table, unk = _byte_table(model)
+    lower = model.config.lower
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def encoded(texts: pa.Array, others: pa.Array) -> pa.Array:
+        ends, raw = latin.normal_bytes(texts, lower)
+        coded = table[raw]
+        dropped = _follows(coded == unk, ends)
+        meet = np.flatnonzero(dropped & ((raw & 0xC0) != 0x80))
+        dropped[meet[latin.piece_begins(raw, ends, meet)]] = False
+        found = _id_lists(coded, dropped, ends)
+        return pc.if_else(texts.is_valid(), found, others.cast(found.type)) if texts.null_count else found
+
+    return encoded(text, others)
+
+
 def _byte_table(model: TokenizerModel) -> tuple[np.ndarray, int]:
     """The id of each byte, and that of unknown ones."""
     ids = model.ids
@@ -593,20 +648,25 @@ def encode(texts: DataFrame, model: TokenizerModel, text: str = "payload", name:
     normalised; texts without any take the plain path.
     """
     raw = F.col(text)
-    special = holds_special(raw, model.specials)
-    parts = model.normal_parts(cut_specials(F.when(special, raw), model.specials))
+    apart = model.latin_apart(raw)
+    simple = None if apart is None else F.when(apart.isNull(), raw)
+    other = raw if apart is None else apart
+    special = holds_special(other, model.specials)
+    parts = model.normal_parts(cut_specials(F.when(special, other), model.specials))
     cut = F.flatten(
         F.transform(parts, lambda p, i: F.when(p.isin(*model.specials), F.array(p)).otherwise(model.word_lists(p, i == 0)))
     )
-    plain = F.when(~special, raw)
+    plain = F.when(~special, other)
     no_words = F.array().cast("array<string>")
     if _is_bytewise(model) and set(model.specials) <= set(SPECIAL_TOKENS):
         # No pre-token can be spelled like one of these special tokens, so most texts need none.
         whole = encode_whole(model.normal_text(plain), model)
         rest = model.word_lists(model.normal_text(F.when(whole.isNull(), plain)), F.lit(True))
-        return texts.withColumn(name, F.coalesce(whole, encode_bytes(F.coalesce(rest, cut, no_words), model)))
+        others = F.coalesce(whole, encode_bytes(F.coalesce(rest, cut, no_words), model))
+        # Most ids come last, so that no other step in Python carries them.
+        return texts.withColumn(name, others if simple is None else encode_latin(simple, model, others))
     words = F.coalesce(model.word_lists(model.normal_text(plain), F.lit(True)), cut, no_words)
-    return texts.withColumn(name, encode_words(words, model, texts.sparkSession))
+    return texts.withColumn(name, encode_words(words, model, texts.sparkSession, simple))
 
 
 def dump(model: TokenizerModel) -> str:

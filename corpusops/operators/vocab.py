@@ -6,18 +6,34 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusops.functions import latin
 from corpusops.functions.text import SPECIAL_TOKENS, pretokenize
 from corpusops.session import BROADCAST_BYTES, ROW_BYTES, join_small
 
 
-def word_counts(texts: DataFrame, text: Column, pieces=pretokenize) -> DataFrame:
+def word_counts(texts: DataFrame, text: Column, pieces=pretokenize, raw: Column | None = None, lower: bool = True) -> DataFrame:
     """Occurrences of each pre-token. The only corpus-sized shuffle of training, and it moves
-    one partial count per word and task, never one row per occurrence."""
-    return texts.select(F.explode(pieces(text)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    one partial count per word and task, never one row per occurrence.
+
+    Where ``text`` is null, ``raw`` is cut and counted, a batch at once.
+    """
+    if raw is None:
+        return texts.select(F.explode(pieces(text)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            simple = batch.column(1).filter(batch.column(0).is_null()).drop_null()
+            for found in (batch.column(0).cast(pa.list_(pa.string())).flatten(), latin.words(simple, lower)[0]):
+                counted = pc.value_counts(found)
+                yield pa.RecordBatch.from_arrays([counted.field("values").cast(pa.string()), counted.field("counts")], ["word", "n"])
+
+    parts = texts.select(pieces(text).alias("words"), raw.alias("raw")).mapInArrow(count, "word string, n long")
+    return parts.groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def top_words(counts: DataFrame, vocab_size: int) -> DataFrame:
@@ -26,38 +42,35 @@ def top_words(counts: DataFrame, vocab_size: int) -> DataFrame:
     return with_ids(kept.withColumnRenamed("word", "token"), [F.desc("n"), F.col("token")])
 
 
-def byte_counts(texts: DataFrame, text: Column) -> DataFrame:
+def byte_counts(texts: DataFrame, text: Column, raw: Column | None = None, lower: bool = True) -> DataFrame:
     """Occurrences of each UTF-8 byte: pieces leave out none, so nothing is cut into them.
 
-    A task counts its texts batch by batch and hands on at most 256 rows.
+    A task counts its texts batch by batch and hands on at most 256 rows. Where ``text`` is null, ``raw`` is
+    normalised and counted.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(256, dtype=np.int64)
         for batch in batches:
-            n += np.bincount(flat_bytes(batch.column(0).drop_null())[1], minlength=256)
+            n += np.bincount(latin.flat_bytes(batch.column(0).drop_null())[1], minlength=256)
+            if batch.num_columns > 1:
+                simple = batch.column(1).filter(batch.column(0).is_null()).drop_null()
+                n += np.bincount(latin.normal_bytes(simple, lower)[1], minlength=256)
         found = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array([f"{b:02X}" for b in found], pa.string()), pa.array(n[found])], ["token", "n"])
 
-    return texts.select(text.alias("text")).mapInArrow(count, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
-
-
-def flat_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Where each of some texts begins and the last one ends, and their UTF-8 bytes, one text after the other."""
-    if not len(texts):
-        return np.zeros(1, np.int64), np.zeros(0, np.uint8)
-    texts = texts.cast(pa.large_string())
-    at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    raw = np.frombuffer(texts.buffers()[2], np.uint8)[at[0] : at[-1]] if at[-1] > at[0] else np.zeros(0, np.uint8)
-    return at - at[0], raw
+    columns = [text.alias("text"), *([] if raw is None else [raw.alias("raw")])]
+    return texts.select(*columns).mapInArrow(count, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def char_vocabulary(texts: DataFrame, text: Column, vocab_size: int) -> DataFrame:
+def char_vocabulary(
+    texts: DataFrame, text: Column, vocab_size: int, raw: Column | None = None, lower: bool = True
+) -> DataFrame:
     """Byte-level vocabulary by frequency, ties by byte; ``score`` is the log of its share.
 
     At most 256 rows, so the unpartitioned windows here are over a constant-sized table.
     """
-    counts = byte_counts(texts, text)
+    counts = byte_counts(texts, text, raw, lower)
     total = F.sum("n").over(W.partitionBy())
     scored = counts.withColumn("score", F.log(F.col("n") / total))
     kept = scored.orderBy(F.desc("n"), "token").limit(max(vocab_size - len(SPECIAL_TOKENS), 0))

@@ -15,7 +15,7 @@ from corpusops.operators import profile as prof
 from corpusops.operators.decoding import decode
 from corpusops.operators.tokenizer import TokenizerConfig, TokenizerModel, encode
 from corpusops.operators.wordpiece import PieceOptions, piece_vocabulary
-from corpusops.plans.tokenizer_job import learn
+from corpusops.plans.tokenizer_job import learn, training_bytes, training_words
 from corpusops.sources import readers, views
 from corpusops.sources.positions import block_offsets, number_rows, with_row_numbers
 from corpusops.streaming import jobs
@@ -300,7 +300,7 @@ LEARNING = TokenizerConfig("char", 64)
 
 
 def _document_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vocab.word_counts(views.documents(spark, sf_dir), LEARNING.training_text(F.col("text")))
+    return training_words(views.documents(spark, sf_dir), LEARNING, "text")
 
 
 @query("t01_word_freq")
@@ -327,9 +327,7 @@ def u03_missing_specials(spark, sf_dir):
 
 @query("t04_char_vocab")
 def t04_char_vocab(spark, sf_dir):
-    found = vocab.char_vocabulary(
-        views.documents(spark, sf_dir), LEARNING.training_text(F.col("text")), LEARNING.vocab_size
-    )
+    found = training_bytes(views.documents(spark, sf_dir), LEARNING, "text")
     return found.select("token", "n", "id", F.round("score", 6).alias("score"))
 
 
@@ -341,7 +339,7 @@ def _char_model(spark: SparkSession, sf_dir: str, size: int) -> TokenizerModel:
 def t05_encode_char(spark, sf_dir):
     model = _char_model(spark, sf_dir, LEARNING.vocab_size)
     return encode(views.documents(spark, sf_dir), model, "text", "ids").select(
-        "doc_id", F.size("ids").alias("n_tokens"), F.md5(F.array_join("ids", " ")).alias("ids_md5")
+        "doc_id", F.size("ids").alias("n_tokens"), F.md5(arrays.joined_ids(F.col("ids"))).alias("ids_md5")
     )
 
 
@@ -355,7 +353,7 @@ def t11_decode_char(spark, sf_dir):
 def _word_model(spark: SparkSession, sf_dir: str, kind: str, pieces: PieceOptions = PieceOptions()) -> TokenizerModel:
     """The most frequent words of the corpus as a vocabulary of the given kind."""
     config = TokenizerConfig(kind.lower(), WORD_VOCABULARY)
-    words = vocab.word_counts(views.documents(spark, sf_dir), config.training_text(F.col("text")))
+    words = training_words(views.documents(spark, sf_dir), config, "text")
     top = vocab.top_words(words, config.vocab_size)
     if kind == "WordLevel":
         tokens = [r["token"] for r in top.orderBy("id").collect()]
@@ -374,7 +372,7 @@ UNMISTAKABLE = PieceOptions("#_")
 def t07_encode_words(spark, sf_dir):
     """Ids of whole words."""
     coded = encode(views.documents(spark, sf_dir), _word_model(spark, sf_dir, "WordLevel"), "text", "ids")
-    return coded.select("doc_id", F.size("ids").alias("n_tokens"), F.md5(F.array_join("ids", " ")).alias("ids_md5"))
+    return coded.select("doc_id", F.size("ids").alias("n_tokens"), F.md5(arrays.joined_ids(F.col("ids"))).alias("ids_md5"))
 
 
 @query("t11_decode_pieces")
@@ -407,7 +405,7 @@ def t05_encode(spark, sf_dir):
     docs = views.documents(spark, sf_dir)
     model = learn(docs, TokenizerConfig("bpe", 128), "text")
     return encode(docs, model, "text").select(
-        "doc_id", F.size("input_ids").alias("n_tokens"), F.md5(F.array_join("input_ids", " ")).alias("ids_md5")
+        "doc_id", F.size("input_ids").alias("n_tokens"), F.md5(arrays.joined_ids(F.col("input_ids"))).alias("ids_md5")
     )
 
 

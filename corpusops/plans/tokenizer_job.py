@@ -35,20 +35,37 @@ from corpusops.sources.writers import path_digests, write_json_document
 REGISTRY_SCHEMA = "tokenizer_id string, manifest_path string, algo string, vocab_size long, created_at string"
 
 
+def training_words(texts: DataFrame, config: TokenizerConfig, text: str) -> DataFrame:
+    """Pre-tokens of the training text and their counts."""
+    raw = F.col(text)
+    apart = config.latin_apart(raw)
+    if apart is None:
+        return vocab.word_counts(texts, config.training_text(raw))
+    return vocab.word_counts(texts, config.training_text(apart), raw=raw, lower=config.lower)
+
+
+def training_bytes(texts: DataFrame, config: TokenizerConfig, text: str) -> DataFrame:
+    """The byte-level vocabulary of the training text."""
+    raw = F.col(text)
+    apart = config.latin_apart(raw)
+    if apart is None:
+        return vocab.char_vocabulary(texts, config.training_text(raw), config.vocab_size)
+    return vocab.char_vocabulary(texts, config.training_text(apart), config.vocab_size, raw, config.lower)
+
+
 def learn(
     texts: DataFrame, config: TokenizerConfig, text: str = "payload", seed_size: int = unigram.DEFAULT_SEED_SIZE
 ) -> TokenizerModel:
     """Learn a vocabulary from raw texts. ``seed_size`` bounds the first pieces of unigram."""
     if config.algo not in ALGORITHMS:
         raise DatasetError(f"'{config.algo}' vocabularies are imported, not learnt")
-    column = config.training_text(F.col(text))
     zeros = [0.0] * len(SPECIAL_TOKENS)
     if config.algo == "char":
-        rows = vocab.char_vocabulary(texts, column, config.vocab_size).orderBy("id").collect()
+        rows = training_bytes(texts, config, text).orderBy("id").collect()
         shown = byte_characters()
         tokens = [shown[int(r["token"], 16)] for r in rows]
         return TokenizerModel(config, [*SPECIAL_TOKENS, *tokens], zeros + [r["score"] for r in rows], byte_level=True)
-    words = vocab.word_counts(texts, column)
+    words = training_words(texts, config, text)
     if config.algo == "bpe":
         learned = bpe.learn_bpe(words, config.vocab_size)
         return TokenizerModel(config, learned.tokens, [], learned.merges)
