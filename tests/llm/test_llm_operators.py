@@ -675,6 +675,37 @@ def test_license_windows_of_both_kinds_come_from_one_scan(spark):
     assert whole and {r["end"] for r in whole} == {2 + len(mit.split())}
 
 
+def test_license_windows_without_a_template_pair_are_scored(spark):
+    # Words of a notice in another order share no pair with any template, yet read like a licence.
+    rng = random.Random(3)
+    words = [w for w in re.findall("[a-z]+", licenses.TEMPLATES["GPL-3.0"][1].lower()) if len(w) > 3]
+    pairs = {p for r in licenses.templates(spark.createDataFrame([(1,)], "x int")).collect() for p in r["pairs"]}
+    while pairs & set(map(" ".join, zip(words, words[1:]))):
+        rng.shuffle(words)
+    other = " ".join(words)
+    rows = [(1, f"{prose(rng, 30)}\n\n{other}")] + [(100 + i, prose(rng, 60)) for i in range(200)]
+    found = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), most=40).collect()
+    assert (1, 2, "unknown") in {(r["doc_id"], r["paragraph_no"], r["family"]) for r in found}
+
+
+def test_license_paragraphs_are_counted_as_they_are_cut(spark):
+    rng = random.Random(4)
+    bits = ["a", "rem", "dnl", "remark", " ", "\n", "\r\n", "\r", "#", "\x85", "É", "\x01", "7", "\n\n", "\n# dnl x"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 30))) for _ in range(500)] + [None]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = [(r["doc_id"], r["first_line"], r["paragraph"]) for r in licenses.paragraphs(table, "text", "doc_id").collect()]
+    expected = []
+    for i, text in enumerate(texts[:-1]):
+        run = []
+        for k, line in enumerate([*re.split(r"\r\n|\r|\n", text), ""]):
+            if re.search("[a-zÉ0-9]", line):
+                run.append((k, line))
+            elif run:
+                expected.append((i, run[0][0], "\n".join(x for _, x in run)))
+                run = []
+    assert sorted(found) == expected and licenses.n_paragraphs(table, "text") == len(expected)
+
+
 def test_batches_stay_bounded(spark, docs):
     language.predict(docs, F.col("text"), language.Model([], np.zeros((language.BUCKETS, 0)), np.zeros(0)))
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 2_000
