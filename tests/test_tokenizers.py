@@ -16,7 +16,7 @@ from corpusops.operators.decoding import decode
 from corpusops.operators.tokenizer import TokenizerConfig, TokenizerModel, dump, encode, encode_words
 from corpusops.plans.run_tables import RunLog, read_table
 from corpusops.plans.tokenizer_job import encode_sequences, inspect_tokenizer, learn, load_tokenizer, read_registry, train_tokenizer
-from corpusops.session import WrittenTable
+from corpusops.session import WrittenTable, bounded_batches
 from corpusops.sources.readers import read_sequences
 
 TEXTS = ["hello world", "tokenizer"]
@@ -520,6 +520,27 @@ def test_unigram_equals_plain_learning(spark, monkeypatch, vocab_size, chunk_cha
     assert np.allclose(learned.scores, [expected[p] for p in learned.pieces], atol=1e-5)
 
 
+def test_lattices_are_stored_in_rows_of_bounded_size(spark):
+    words = spark.createDataFrame([("ab" * 2_000 + f"c{i}", 1) for i in range(30)] + [("ab" * 20_000, 1)], "word string, n long").coalesce(1)
+    seeds = spark.createDataFrame([("a", 0), ("ab", 1), ("b", 2)], "piece string, number int")
+    shared = spark.sparkContext.broadcast(seeds.toArrow())
+    nodes = sorted(r["nodes"] for r in unigram._lattices(words, shared, 4, False).collect())
+    assert nodes[-1] == 40_001 and nodes[-2] <= unigram.LATTICE_CHARS + unigram.LATTICE_WORDS
+    assert sum(nodes) == 40_001 + sum(len(f"c{i}") + 4_001 for i in range(30))
+
+
+def test_batches_are_bounded_for_a_while(spark):
+    keys = [f"spark.sql.execution.arrow.{k}" for k in ("maxRecordsPerBatch", "maxBytesPerBatch")]
+    before = [spark.conf.get(k) for k in keys]
+    with pytest.raises(ValueError), bounded_batches(spark, 10, 1_000):
+        assert [spark.conf.get(k) for k in keys] == ["10", "1000"]
+        with bounded_batches(spark, 20, 500):
+            assert [spark.conf.get(k) for k in keys] == ["10", "500"]
+        assert [spark.conf.get(k) for k in keys] == ["10", "1000"]
+        raise ValueError
+    assert [spark.conf.get(k) for k in keys] == before
+
+
 def test_stored_lattices_leave_out_what_is_gone():
     pieces = ["a", "b", "ab", "ba", "aba"]
     scores = np.array([-1.0, -1.5, -0.7, -np.inf, -np.inf])
